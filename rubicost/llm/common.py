@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -112,3 +113,28 @@ def saved(df: DataFrame) -> DataFrame:
 def text_key(text: str = "text"):
     """A 64-bit key of a text column; tells rows with one id and different texts apart."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+
+
+SIEVE_BITS = 1 << 22
+
+
+def sieve(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose id may be among ``ids`` (one bigint column): none of those is lost, most others are.
+
+    A bit map of fixed size (512 KB) goes to the tasks, so wide rows that an exact
+    join would drop need not be shuffled for it. The exact join has to follow.
+    """
+    spark = df.sparkSession
+    (name,) = ids.columns
+    at = F.pmod(F.xxhash64(name), F.lit(SIEVE_BITS))
+    words = ids.select(F.shiftright(at, 5).alias("w"), F.pmod(at, F.lit(32)).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
+    bitmap = np.zeros(SIEVE_BITS >> 5, dtype=np.uint32)
+    found = words.toPandas()  # at most SIEVE_BITS / 32 rows
+    bitmap[found["w"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    shared = spark.sparkContext.broadcast(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
+
+    @F.pandas_udf("boolean")
+    def may(place: pd.Series) -> pd.Series:
+        return pd.Series(shared.value[place.to_numpy()].astype(bool))
+
+    return df.where(F.col(column).isNotNull()).where(may(F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))))

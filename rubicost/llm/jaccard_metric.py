@@ -13,14 +13,17 @@ is the connected component of each document.
    empty slices as the class has to spare plus one).
 3. Each cell's pivots are measured against all members, linearly in its size.
    Members within the radius link to the pivot; pairs in one component are
-   settled, which ends cells of near copies however large. Later rounds take
-   other pivots in cells that still hold several components.
+   settled, which ends cells of near copies however large. A later round takes
+   another pivot in cells that still hold several components.
 4. What stays open is joined recursively in bounded tasks: pivots split a
    region into Voronoi regions, and a document also goes to each region whose
    pivot is not farther than its own pivot plus twice the radius (triangle
    inequality). Cells beyond ``REGION`` members meet block by block.
 
-Distances are computed from the texts' own shingles, so hashes only propose.
+Each document has a sketch: a hash of each of its slices. The number of slices
+that differ is a metric too and never more than the number of shingles that
+differ, so it rules pairs out before any text is read (steps 3 and 4). What it
+doesn't rule out is measured on the texts' own shingles: hashes only propose.
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing; with fewer words than a shingle the whole sequence is the one
@@ -38,16 +41,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubicost.llm.common import WordHasher, map_slices, mix64, saved, signed, words_of
+from rubicost.llm.common import WordHasher, map_slices, mix64, saved, sieve, signed, words_of
 
 SHINGLE = 3
 PERCENT = 90
 CLASS_RATIO = 1.2
 REGION = 256
-ROUNDS = 3
 LEAF = 12
 
-SCAN = "doc_id long, n_shingles long, s1 long, s2 long, sigs array<long>"
+SCAN = "doc_id long, n_shingles long, s1 long, s2 long, sigs array<struct<c:int,keys:array<long>,sketch:binary>>"
 
 
 def lowered(text: str) -> str:
@@ -109,28 +111,37 @@ class SizeClasses:
         return range(self.at(n), self.at(n * 100 // self.percent) + 1)
 
 
-def signatures(h: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    out = []
+def sketch(h: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each slice and whether it holds a shingle."""
+    at = ((h >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+    sums = np.zeros(m, dtype=np.uint64)
+    np.add.at(sums, at, mix64(h))
+    return mix64(sums), np.bincount(at, minlength=m) > 0
+
+
+def signatures(h: np.ndarray, classes: SizeClasses) -> tuple[list[np.ndarray], list[int], list[bytes]]:
+    """Cells of a set for each of its classes, the classes, and its sketches there (16 bits for a slice)."""
+    keys, own, sketches = [], [], []
     for c in classes.of(len(h)):
         m, spare = classes.slices(c)
-        at = ((h >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
-        sums = np.zeros(m, dtype=np.uint64)
-        np.add.at(sums, at, mix64(h))
-        full = np.bincount(at, minlength=m) > 0
+        sums, full = sketch(h, m)
         salt = np.uint64(c * 0xA24BAED4963EE407 % (1 << 64))
-        out.append(mix64(mix64(sums[full] + salt) + np.flatnonzero(full).astype(np.uint64)))
+        key = mix64(mix64(sums[full] + salt) + np.flatnonzero(full).astype(np.uint64))
         empty = np.flatnonzero(~full)
         if len(empty) > spare:
             sets = np.array(list(combinations(empty.tolist(), spare + 1)), dtype=np.uint64)
-            key = np.full(len(sets), salt, dtype=np.uint64) + np.uint64(0xE7037ED1A0B428DB)
+            more = np.full(len(sets), salt, dtype=np.uint64) + np.uint64(0xE7037ED1A0B428DB)
             for column in sets.T:
-                key = mix64(key + column + np.uint64(1))
-            out.append(key)
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+                more = mix64(more + column + np.uint64(1))
+            key = np.concatenate([key, more])
+        keys.append(key)
+        own.append(c)
+        sketches.append((sums >> np.uint64(48)).astype(np.uint16).tobytes())
+    return keys, own, sketches
 
 
 def scan(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """Set size, two hashes of the set and its cells, for each row."""
+    """Set size, two hashes of the set, and by class its cells and sketch, for each row."""
 
     def start():
         hasher, classes = WordHasher(), SizeClasses(percent)
@@ -142,7 +153,7 @@ def scan(documents: DataFrame, size: int, percent: int) -> DataFrame:
                 out["n_shingles"].append(len(h))
                 out["s1"].append(int(signed(mix64(h).sum(dtype=np.uint64, keepdims=True))[0]))
                 out["s2"].append(int(signed(mix64(h ^ np.uint64(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64, keepdims=True))[0]))
-                out["sigs"].append(signed(signatures(h, classes)))
+                out["sigs"].append([{"c": c, "keys": signed(k), "sketch": b} for k, c, b in zip(*signatures(h, classes), strict=True)])
             return {"doc_id": cols["doc_id"]} | out
 
         return work
@@ -150,6 +161,15 @@ def scan(documents: DataFrame, size: int, percent: int) -> DataFrame:
     return map_slices(documents.select("doc_id", "text"), start, SCAN)
 
 
+def may_link(a: np.ndarray, b: np.ndarray, n_a, n_b, percent: int) -> np.ndarray:
+    """False where the sketches prove that two sets don't link.
+
+    Sets that link differ in at most (100 - percent) / (100 + percent) of their
+    sizes' sum, and the sketches differ in no more slices.
+    """
+    return (a != b).sum(axis=-1) * (100 + percent) <= (100 - percent) * (n_a + n_b)
+
+
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """v, label: the smallest node reachable over links a - b, for each node that has a link.
 
@@ -171,157 +191,152 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
             return labels
 
 
+def sifted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """x, y of the pairs (x, y, c) that sizes and sketches don't rule out."""
+    left = sketches.select(F.col("s1").alias("x"), "c", F.col("n").alias("n_x"), F.col("sketch").alias("a"))
+    right = sketches.select(F.col("s1").alias("y"), "c", F.col("n").alias("n_y"), F.col("sketch").alias("b"))
+    both = pairs.join(left, ["x", "c"]).join(right, ["y", "c"]).where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+
+    def start():
+        def work(cols):
+            keep = [bool(may_link(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16), n, m, percent)) for a, b, n, m in zip(cols["a"], cols["b"], cols["n_x"], cols["n_y"], strict=True)]
+            return {k: [v for v, ok in zip(cols[k], keep, strict=True) if ok] for k in ("x", "y")}
+
+        return work
+
+    return map_slices(both, start, "x long, y long", rows=4096).distinct()
+
+
 def measured(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b of the pairs (x, y of node keys) whose documents link, as representative ids."""
-    left = texts.select(F.col("s1").alias("x"), F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("text").alias("t_a"))
-    right = texts.select(F.col("s1").alias("y"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("text").alias("t_b"))
-    sizes = texts.select("s1", "n")
-    fit = pairs.join(sizes.select(F.col("s1").alias("x"), F.col("n").alias("m_a")), "x").join(sizes.select(F.col("s1").alias("y"), F.col("n").alias("m_b")), "y")
-    fit = fit.where(100 * F.least("m_a", "m_b") >= percent * F.greatest("m_a", "m_b")).select("x", "y").distinct()
+    """a, b: representatives of the pairs (x, y of set hashes) whose texts' sets link."""
+    left = texts.select(F.col("s1").alias("x"), F.col("rep").alias("a"), F.col("text").alias("t_a"))
+    right = texts.select(F.col("s1").alias("y"), F.col("rep").alias("b"), F.col("text").alias("t_b"))
 
     def start():
         def work(cols):
-            seen: dict[int, set] = {}
+            seen: dict[str, set] = {}
             out = {"a": [], "b": []}
             for a, b, s, t in zip(cols["a"], cols["b"], cols["t_a"], cols["t_b"], strict=True):
-                sets = []
-                for i, text in ((a, s), (b, t)):
-                    key = (i, hash(text))
-                    if key not in seen:
-                        seen[key] = shingles(text, size)
-                    sets.append(seen[key])
-                if linked(*sets, percent):
+                for text in (s, t):
+                    if text not in seen:
+                        seen[text] = shingles(text, size)
+                if linked(seen[s], seen[t], percent):
                     out["a"].append(a)
                     out["b"].append(b)
             return out
 
         return work
 
-    return map_slices(fit.join(left, "x").join(right, "y").select("a", "b", "t_a", "t_b"), start, "a long, b long", rows=64)
+    return map_slices(pairs.join(left, "x").join(right, "y").select("a", "b", "t_a", "t_b"), start, "a long, b long", rows=64)
 
 
-def region_links(sets: list[set], labels: list[int], percent: int, cross: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect all components of a region, as positions; recursive and exact.
+def region_pairs(sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Positions of the pairs of a region that may link; recursive, misses none.
 
-    Pairs with one label are settled. ``cross`` (0 or 1 for each set) asks only
-    for pairs of different sides.
+    Pairs with one label are settled. ``cross`` (0 or 1 for each member) asks
+    only for pairs of different sides. The radius bounds the slices that differ
+    between linked members of the region.
     """
-    radius = (100 - percent) / 100
-    top = list(range(len(sets)))
-    found: list[tuple[int, int]] = []
-    first = {}
-    for i, x in enumerate(labels):
-        top[i] = first.setdefault(x, i)
-
-    def root(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    def test(i: int, j: int) -> None:
-        if root(i) != root(j) and linked(sets[i], sets[j], percent):
-            found.append((i, j))
-            top[root(i)] = root(j)
-
-    def distance(i: int, j: int) -> float:
-        common = len(sets[i] & sets[j])
-        return 1 - common / (len(sets[i]) + len(sets[j]) - common)
-
-    def join(region: list[int]) -> None:
-        if len({root(i) for i in region}) < 2:
+    found: set[tuple[int, int]] = set()
+    radius = int(2 * sizes.max(initial=0) * (100 - percent) / (100 + percent))
+
+    def join(region: np.ndarray) -> None:
+        if len(np.unique(labels[region])) < 2:
             return
         if len(region) > LEAF:
             pivots = region[:: max(1, len(region) // 4)][:4]
-            away = {i: [distance(i, p) for p in pivots] for i in region}
-            for i in region:
-                for p, d in zip(pivots, away[i], strict=True):
-                    if d <= radius:
-                        test(i, p)
-            parts: list[list[int]] = [[] for _ in pivots]
-            for i in region:
-                least = min(away[i])
-                for part, d in zip(parts, away[i], strict=True):
-                    if d <= least + 2 * radius + 1e-12:
-                        part.append(i)
-            if max(map(len, parts)) <= 0.75 * len(region):
-                for part in parts:
-                    join(part)
+            away = (sketches[region][:, None, :] != sketches[pivots][None, :, :]).sum(axis=2)
+            near = away <= away.min(axis=1, keepdims=True) + 2 * radius
+            if near.sum(axis=0).max() <= 0.75 * len(region):
+                for part in near.T:
+                    join(region[part])
                 return
-        for i, j in combinations(region, 2):
-            if cross is None or cross[i] != cross[j]:
-                test(i, j)
+        for k, i in enumerate(region):
+            rest = region[k + 1 :]
+            rest = rest[(labels[rest] != labels[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))]
+            if cross is not None:
+                rest = rest[cross[rest] != cross[i]]
+            ok = may_link(sketches[rest], sketches[i], sizes[rest], sizes[i], percent)
+            found.update((min(i, j), max(i, j)) for j in rest[ok].tolist())
 
-    if sets:
-        join(list(range(len(sets))))
-    return found
+    join(np.arange(len(sizes)))
+    return sorted((int(i), int(j)) for i, j in found)
 
 
 def open_cells(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, rep, s1, label, cell of the members of cells that hold several components."""
-    named = members.join(labels.select(F.col("v").alias("rep"), F.col("label").alias("found")), "rep", "left").select("key", "rep", "s1", F.coalesce("found", "rep").alias("label"))
+    """key, c, s1, label, size of the members of cells that hold several components."""
+    named = members.join(labels.select(F.col("v").alias("rep"), F.col("label").alias("found")), "rep", "left").select("key", "c", "s1", F.coalesce("found", "rep").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select(F.col("key").alias("k"), "size")
     return named.join(mixed, F.col("key") == F.col("k")).drop("k")
 
 
-def joined_in_tasks(cells: DataFrame, texts: DataFrame, size: int, percent: int, region: int) -> DataFrame:
-    """Links within open cells, region by region; a task holds at most about two blocks of ``region`` members."""
+def joined_in_tasks(cells: DataFrame, sketches: DataFrame, percent: int, region: int) -> DataFrame:
+    """x, y of pairs within open cells that may link; a task holds at most about two blocks of ``region`` members."""
     blocks = F.ceil(F.col("size") / F.lit(region)).cast("int")
     own = F.pmod(F.xxhash64("s1", "key"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = cells.withColumn("own", own).withColumn("other", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    full = dealt.select("key", "lo", "hi", "own", "rep", "label").join(texts.select("rep", "text"), "rep")
+    full = cells.join(sketches, ["s1", "c"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = full.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "s1", "label", "n", "sketch")
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rep"], kind="stable")
+        group = group.sort_values("s1", kind="stable")
         lo, hi = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
-        cross = None if lo == hi else (group["own"] == hi).astype(int).tolist()
-        got = region_links([shingles(t, size) for t in group["text"]], group["label"].tolist(), percent, cross)
-        reps = group["rep"].tolist()
-        return pd.DataFrame({"a": [reps[i] for i, _ in got], "b": [reps[j] for _, j in got]}, dtype="int64")
+        cross = None if lo == hi else (group["own"] == hi).to_numpy()
+        vectors = np.stack([np.frombuffer(b, np.uint16) for b in group["sketch"]])
+        got = region_pairs(vectors, group["n"].to_numpy(), group["label"].to_numpy(), percent, cross)
+        s1 = group["s1"].to_numpy()
+        return pd.DataFrame({"x": [s1[i] for i, _ in got], "y": [s1[j] for _, j in got]}, dtype="int64")
 
-    return full.groupBy("key", "lo", "hi").applyInPandas(task, "a long, b long")
+    return dealt.groupBy("key", "lo", "hi").applyInPandas(task, "x long, y long").distinct()
 
 
-def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, region: int = REGION, rounds: int = ROUNDS) -> DataFrame:
+def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, region: int = REGION) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of documents."""
     rows = saved(scan(documents, size, percent))
     real = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = saved(real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    # several texts of one doc_id, or equal sets of several: both are links of their own
+    # equal sets of several ids, and several texts of one id, are bound by the representatives
     bound = real.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    posts = real.select("s1", F.explode("sigs").alias("key"))
+    by_class = real.select("s1", F.col("n_shingles").alias("n"), F.explode("sigs").alias("z")).select("s1", "n", "z.c", "z.keys", "z.sketch")
+    posts = by_class.select("s1", "c", F.explode("keys").alias("key"))
     cells = posts.groupBy("key").agg(F.min("s1").alias("p"), F.max("s1").alias("q")).where("p < q").select(F.col("key").alias("k"), "p", "q")
-    met = saved(posts.join(cells, F.col("key") == F.col("k")).select("key", "s1", "p", "q").distinct())
-    members = met.join(classes.select("s1", "rep"), "s1").select("key", "s1", "rep")
-    wanted = met.select("s1").distinct().join(classes, "s1").select("s1", "rep", F.col("n_shingles").alias("n"))
-    texts = saved(texts_of(documents, wanted, size))
+    met = saved(posts.join(cells, F.col("key") == F.col("k")).select("key", "c", "s1", "p", "q").distinct())
+    sketches = saved(by_class.select("s1", "n", "c", "sketch").join(met.select("s1").distinct(), "s1", "left_semi").dropDuplicates(["s1", "c"]))
+    members = met.select("key", "c", "s1").join(classes.select("s1", "rep"), "s1")
     pair = lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
-    ends = met.select(F.explode(F.array(pair("s1", "p"), pair("s1", "q"))).alias("z")).select("z.x", "z.y").where("x < y").distinct()
-    links = saved(measured(ends, texts, size, percent))
+    ends = met.select("c", F.explode(F.array(pair("s1", "p"), pair("s1", "q"))).alias("z")).select("z.x", "z.y", "c").where("x < y").distinct()
+    links = checked(documents, sifted(ends, sketches, percent), classes, size, percent)
     labels = components(links)
-    for turn in range(1, rounds + 1):
+    for last in (False, True):
         cells = saved(open_cells(members, labels))
         if cells.isEmpty():
             break
-        if turn < rounds:
-            pivot = cells.groupBy("key").agg(F.min_by(F.struct("s1", "label"), F.xxhash64("label", "s1", F.lit(turn))).alias("pivot")).select(F.col("key").alias("k"), "pivot.s1", "pivot.label").toDF("k", "p", "p_label")
-            tried = cells.join(pivot, F.col("key") == F.col("k")).where("label <> p_label").select(F.least("s1", "p").alias("x"), F.greatest("s1", "p").alias("y")).distinct()
-            more = measured(tried, texts, size, percent)
+        if last:
+            pairs = joined_in_tasks(cells, sketches, percent, region)
         else:
-            more = joined_in_tasks(cells, texts, size, percent, region)
-        labels = components(more, labels)
+            pivot = cells.groupBy("key").agg(F.min_by(F.struct("s1", "label"), F.xxhash64("label", "s1")).alias("z")).select(F.col("key").alias("k"), F.col("z.s1").alias("p"), F.col("z.label").alias("p_label"))
+            tried = cells.join(pivot, F.col("key") == F.col("k")).where("label <> p_label").select(F.least("s1", "p").alias("x"), F.greatest("s1", "p").alias("y"), "c").distinct()
+            pairs = sifted(tried, sketches, percent)
+        pairs = saved(pairs)
+        if not pairs.isEmpty():
+            labels = components(checked(documents, pairs, classes, size, percent), labels)
     final = components(bound, labels)
     # a node is its own component where it has no link
-    by_id = rows.select("doc_id", "n_shingles").join(final.select(F.col("v"), "label"), F.col("doc_id") == F.col("v"), "left")
+    by_id = rows.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("v"), "left")
     return by_id.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
+def checked(documents: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links among the proposed pairs, from the texts of their representatives."""
+    pairs = saved(pairs)
+    wanted = saved(pairs.select(F.explode(F.array("x", "y")).alias("s1")).distinct().join(classes, "s1").select("s1", "rep"))
+    return saved(measured(pairs, saved(texts_of(documents, wanted, size)), size, percent))
+
+
 def texts_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """s1, rep, n and the text for each wanted representative."""
-    named = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    both = named.join(wanted, F.col("doc_id") == F.col("rep")).select("s1", "rep", "n", "text")
+    """s1, rep and the text for each wanted representative."""
+    named = sieve(documents.select("doc_id", "text"), "doc_id", wanted.select("rep"))
+    both = named.join(wanted, F.col("doc_id") == F.col("rep")).select("s1", "rep", "text")
 
     def start():
         hasher = WordHasher()
@@ -334,7 +349,7 @@ def texts_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         return work
 
     # an id may have several texts: only those of the wanted set stay, once
-    return map_slices(both, start, "s1 long, rep long, n long, text string").dropDuplicates(["s1", "rep"])
+    return map_slices(both, start, "s1 long, rep long, text string").dropDuplicates(["s1", "rep"])
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
