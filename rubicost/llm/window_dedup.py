@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubicost.llm.common import WordHasher, map_slices, mix64, saved, signed, words_of
+from rubicost.llm.common import WordHasher, map_slices, mix64, saved, sieve, signed, words_of
 
 WINDOW = 50
 BASE = np.uint64(0xD6E8FEB86659FD93)  # odd, so that it has an inverse modulo 2**64
@@ -137,9 +137,10 @@ def removal(documents: DataFrame, width: int = WINDOW) -> DataFrame:
     marks = anchors.join(shared, F.col("a") == F.col("r_a")).groupBy(F.col("c1").alias("m_c1")).agg(F.collect_set("a").alias("marks"))
     first = rows.join(classes, ["c1", "c2", "n_words"])
     judged = saved(first.drop("anchors").join(marks, F.col("c1") == F.col("m_c1"), "left").select("doc_id", "id", "c1", "n_words", "kept_sha256", (F.col("id") > F.col("rep")).alias("copy"), F.col("marks").alias("anchors")))
-    wanted = judged.where(~F.col("copy") & F.col("anchors").isNotNull()).groupBy(F.col("id").alias("w_id"), "c1").agg(F.first("anchors").alias("anchors"))
+    wanted = saved(judged.where(~F.col("copy") & F.col("anchors").isNotNull()).groupBy(F.col("id").alias("w_id"), "c1").agg(F.first("anchors").alias("anchors")))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    texts = documents.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), key.alias("t"), "text").join(wanted, F.col("id") == F.col("w_id")).select("id", "c1", "t", "text", "anchors").dropDuplicates(["id", "c1", "t"])
+    near = sieve(documents.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), key.alias("t"), "text"), "id", wanted.select("w_id"))
+    texts = near.join(wanted, F.col("id") == F.col("w_id")).select("id", "c1", "t", "text", "anchors").dropDuplicates(["id", "c1", "t"])
     flagged = saved(with_class(texts))
     found = repeated_windows(flagged, width)
     cut = cut_texts(flagged.join(found.select(F.col("id").alias("f_id"), F.col("c1").alias("f_c1"), "starts"), (F.col("id") == F.col("f_id")) & (F.col("c1") == F.col("f_c1"))), width)
