@@ -34,10 +34,11 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -263,10 +264,13 @@ def region_pairs(sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray, pe
     return sorted((int(i), int(j)) for i, j in found)
 
 
-def open_cells(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, c, s1, label, size of the members of cells that hold several components."""
+def open_cells(members: DataFrame, labels: DataFrame, pivots: int) -> DataFrame:
+    """key, c, s1, label, size of the members of cells that hold several components.
+
+    ``pivots`` members of each cell have met all others, so cells with only one more are settled.
+    """
     named = members.join(labels.select(F.col("v").alias("rep"), F.col("label").alias("found")), "rep", "left").select("key", "c", "s1", F.coalesce("found", "rep").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select(F.col("key").alias("k"), "size")
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where((F.col("lo") < F.col("hi")) & (F.col("size") > pivots + 1)).select(F.col("key").alias("k"), "size")
     return named.join(mixed, F.col("key") == F.col("k")).drop("k")
 
 
@@ -277,16 +281,35 @@ def joined_in_tasks(cells: DataFrame, sketches: DataFrame, percent: int, region:
     full = cells.join(sketches, ["s1", "c"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = full.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "s1", "label", "n", "sketch")
 
-    def task(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("s1", kind="stable")
-        lo, hi = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
-        cross = None if lo == hi else (group["own"] == hi).to_numpy()
-        vectors = np.stack([np.frombuffer(b, np.uint16) for b in group["sketch"]])
-        got = region_pairs(vectors, group["n"].to_numpy(), group["label"].to_numpy(), percent, cross)
-        s1 = group["s1"].to_numpy()
-        return pd.DataFrame({"x": [s1[i] for i, _ in got], "y": [s1[j] for _, j in got]}, dtype="int64")
-
-    return dealt.groupBy("key", "lo", "hi").applyInPandas(task, "x long, y long").distinct()
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            g = pa.Table.from_batches(held)
+            lo, hi = g["lo"][0].as_py(), g["hi"][0].as_py()
+            cross = None if lo == hi else g["own"].to_numpy() == hi
+            vectors = np.stack([np.frombuffer(b, np.uint16) for b in g["sketch"].to_pylist()])
+            s1 = g["s1"].to_numpy()
+            got = np.array(region_pairs(vectors, g["n"].to_numpy(), g["label"].to_numpy(), percent, cross), dtype=np.int64).reshape(-1, 2)
+            a, b = s1[got[:, 0]], s1[got[:, 1]]
+            return pa.RecordBatch.from_pydict({"x": pa.array(np.minimum(a, b)), "y": pa.array(np.maximum(a, b))})
+
+        last = None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *new], [*new, batch.num_rows], strict=True):
+                if b > a:
+                    if held and tuple(keys[:, a]) != last:
+                        yield flush()
+                        held.clear()
+                    held.append(batch.slice(a, b - a))
+                    last = tuple(keys[:, a])
+        if held:
+            yield flush()
+
+    placed = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "s1")
+    return placed.mapInArrow(regions, "x long, y long").distinct()
 
 
 def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, region: int = REGION) -> DataFrame:
@@ -308,7 +331,7 @@ def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, regi
     links = checked(documents, sifted(ends, sketches, percent), classes, size, percent)
     labels = components(links)
     for last in (False, True):
-        cells = saved(open_cells(members, labels))
+        cells = saved(open_cells(members, labels, 3 if last else 2))
         if cells.isEmpty():
             break
         if last:
