@@ -1,5 +1,5 @@
 """Named queries by subject; importing this package registers them."""
 
-from rubicost.plans import knowledge, usage
+from rubicost.plans import history, knowledge, pricing, usage, viewer
 
-__all__ = ["knowledge", "usage"]
+__all__ = ["history", "knowledge", "pricing", "usage", "viewer"]
