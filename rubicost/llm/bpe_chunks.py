@@ -22,6 +22,7 @@ import base64
 import heapq
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 import regex
@@ -40,10 +41,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+SHORT = 64
+NEVER = 1 << 60
+
+
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As ``merge``, for pieces so short that looking through all pairs is cheapest."""
+    rank = ranks.get
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [rank(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) < NEVER:
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
+        if i < len(pairs):
+            pairs[i] = rank(parts[i] + parts[i + 1], NEVER)
+    return [ranks[p] for p in parts]
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: the adjacent pair of lowest rank is merged first, the leftmost of equals."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
+    if len(piece) <= SHORT:
+        return merge_short(piece, ranks)
     n = len(piece)
     follow, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
@@ -67,25 +90,28 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Memo(dict):
+    """Ids by pre-token, merged when first asked for."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self[piece] = merge(piece.encode(), self.ranks)
+        return ids
+
+
 class Encoder:
-    """Encodes pre-tokens; ids of frequent ones are remembered up to a bound."""
+    """Encodes pre-tokens; ids are remembered until they are too many."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 300_000) -> None:
-        self.ranks, self.pattern, self.limit = ranks, regex.compile(pattern), limit
-        self.seen: dict[str, list[int]] = {}
+        self.seen, self.pattern, self.limit = Memo(ranks), regex.compile(pattern), limit
 
     def encode(self, pieces: list[str]) -> list[int]:
-        seen, out = self.seen, []
-        for p in pieces:
-            ids = seen.get(p)
-            if ids is None:
-                ids = merge(p.encode(), self.ranks)
-                if len(p) < 64:
-                    if len(seen) >= self.limit:
-                        seen.clear()
-                    seen[p] = ids
-            out += ids
-        return out
+        if len(self.seen) > self.limit:
+            self.seen.clear()
+        return list(chain.from_iterable(map(self.seen.__getitem__, pieces)))
 
     def ends(self, text: str, start: int = 0) -> Iterator[int]:
         """End of each pre-token from ``start`` on."""

@@ -7,29 +7,26 @@ data through the driver.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 WORD = r"[^\x20\x09-\x0D]+"
-WORDS = re.compile(WORD)
 
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text; none for null."""
-    return WORDS.findall(text) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8; none for null. ``bytes.split`` parts at those six characters."""
+    return text.encode().split() if text else []
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -43,25 +40,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHasher:
-    """64-bit hashes of words, remembered for frequent words up to a bound."""
-
-    def __init__(self, limit: int = 200_000) -> None:
-        self.seen: dict[str, int] = {}
-        self.limit = limit
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        seen, digest = self.seen, xxhash.xxh3_64_intdigest
-        out = np.empty(len(words), dtype=U64)
-        for i, w in enumerate(words):
-            h = seen.get(w)
-            if h is None:
-                h = digest(w)
-                if len(seen) >= self.limit:
-                    seen.clear()
-                seen[w] = h
-            out[i] = h
-        return out
+BASE = U64(0xD6E8FEB86659FD93)  # odd, so that it has an inverse modulo 2**64
+BASE_INVERSE = U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+BYTE_VALUES = mix64(np.arange(1, 257, dtype=U64) * GOLDEN)
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+
+
+class Powers:
+    """Powers of a base modulo 2**64, as many as were needed so far."""
+
+    def __init__(self, base: np.uint64) -> None:
+        self.base, self.held = base, np.ones(1, dtype=U64)
+
+    def __call__(self, n: int) -> np.ndarray:
+        if n > len(self.held):
+            grown = np.full(max(n, 4096), self.base, dtype=U64)
+            grown[0] = 1
+            self.held = np.cumprod(grown, dtype=U64)
+        return self.held[:n]
+
+
+UP, DOWN = Powers(BASE), Powers(BASE_INVERSE)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text: a polynomial over its bytes, cut at the words, then scrambled."""
+    raw = np.frombuffer(text.encode() if text else b"", dtype=np.uint8)
+    inside = ~SPACES[raw]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros(0, dtype=U64)
+    sums = np.zeros(len(raw) + 1, dtype=U64)
+    np.cumsum(BYTE_VALUES[raw] * UP(len(raw)), out=sums[1:])
+    return mix64((sums[end] - sums[start]) * DOWN(len(raw))[start] + (end - start).astype(U64))
+
+
+def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Rabin-Karp hash of each run of ``width`` hashes, modulo 2**64."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=U64)
+    sums = np.zeros(len(hashes) + 1, dtype=U64)
+    np.cumsum(hashes * UP(len(hashes)), out=sums[1:])
+    return mix64((sums[width:] - sums[:-width]) * DOWN(n))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubicost.llm.common import WordHasher, map_slices, mix64, saved, sieve, signed, words_of
+from rubicost.llm.common import map_slices, mix64, rolling, saved, sieve, signed, word_hashes, words_of
 
 SHINGLE = 3
 PERCENT = 90
@@ -58,11 +58,11 @@ def lowered(text: str) -> str:
     return text.encode().lower().decode()
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> set[str]:
+def shingles(text: str | None, size: int = SHINGLE) -> set[bytes]:
     words = words_of(lowered(text)) if text else []
     if len(words) < size:
-        return {" ".join(words)} if words else set()
-    return set(map(" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
 
 
 def linked(a: set, b: set, percent: int) -> bool:
@@ -70,17 +70,12 @@ def linked(a: set, b: set, percent: int) -> bool:
     return bool(common) and 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def shingle_hashes(words: list[str], hasher: WordHasher, size: int) -> np.ndarray:
-    h = hasher(words)
-    if not len(h):
-        return h
-    if len(h) < size:
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Distinct hashes of the shingles of a text."""
+    h = word_hashes(lowered(text)) if text else np.zeros(0, dtype=np.uint64)
+    if 0 < len(h) < size:
         h = np.concatenate([h, np.full(size - len(h), 0x5851F42D4C957F2D, dtype=np.uint64)])
-    n = len(h) - size + 1
-    out = np.zeros(n, dtype=np.uint64)
-    for i in range(size):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(out)
+    return np.unique(rolling(h, size))
 
 
 class SizeClasses:
@@ -145,12 +140,12 @@ def scan(documents: DataFrame, size: int, percent: int) -> DataFrame:
     """Set size, two hashes of the set, and by class its cells and sketch, for each row."""
 
     def start():
-        hasher, classes = WordHasher(), SizeClasses(percent)
+        classes = SizeClasses(percent)
 
         def work(cols):
             out = {k: [] for k in ("n_shingles", "s1", "s2", "sigs")}
             for text in cols["text"]:
-                h = shingle_hashes(words_of(lowered(text)) if text else [], hasher, size)
+                h = shingle_hashes(text, size)
                 out["n_shingles"].append(len(h))
                 out["s1"].append(int(signed(mix64(h).sum(dtype=np.uint64, keepdims=True))[0]))
                 out["s2"].append(int(signed(mix64(h ^ np.uint64(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64, keepdims=True))[0]))
@@ -317,8 +312,10 @@ def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, regi
     rows = saved(scan(documents, size, percent))
     real = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = saved(real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    # equal sets of several ids, and several texts of one id, are bound by the representatives
-    bound = real.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    named = saved(rows.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")))
+    # the sets of one id are one node: its representatives are linked
+    several = named.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
+    bound = several.join(named.select("doc_id", F.col("rep").alias("b")), "doc_id").where("a <> b").select("a", "b")
 
     by_class = real.select("s1", F.col("n_shingles").alias("n"), F.explode("sigs").alias("z")).select("s1", "n", "z.c", "z.keys", "z.sketch")
     posts = by_class.select("s1", "c", F.explode("keys").alias("key"))
@@ -328,25 +325,22 @@ def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, regi
     members = met.select("key", "c", "s1").join(classes.select("s1", "rep"), "s1")
     pair = lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
     ends = met.select("c", F.explode(F.array(pair("s1", "p"), pair("s1", "q"))).alias("z")).select("z.x", "z.y", "c").where("x < y").distinct()
-    links = checked(documents, sifted(ends, sketches, percent), classes, size, percent)
+    links = checked(documents, sifted(ends, sketches, percent), classes, size, percent).unionByName(bound)
     labels = components(links)
-    for last in (False, True):
-        cells = saved(open_cells(members, labels, 3 if last else 2))
-        if cells.isEmpty():
-            break
-        if last:
-            pairs = joined_in_tasks(cells, sketches, percent, region)
-        else:
-            pivot = cells.groupBy("key").agg(F.min_by(F.struct("s1", "label"), F.xxhash64("label", "s1")).alias("z")).select(F.col("key").alias("k"), F.col("z.s1").alias("p"), F.col("z.label").alias("p_label"))
-            tried = cells.join(pivot, F.col("key") == F.col("k")).where("label <> p_label").select(F.least("s1", "p").alias("x"), F.greatest("s1", "p").alias("y"), "c").distinct()
-            pairs = sifted(tried, sketches, percent)
-        pairs = saved(pairs)
+    cells = saved(open_cells(members, labels, 2))
+    large = cells.where(F.col("size") > region)
+    if not large.isEmpty():
+        pivot = large.groupBy("key").agg(F.min_by(F.struct("s1", "label"), F.xxhash64("label", "s1")).alias("z")).select(F.col("key").alias("k"), F.col("z.s1").alias("p"), F.col("z.label").alias("p_label"))
+        tried = large.join(pivot, F.col("key") == F.col("k")).where("label <> p_label").select(F.least("s1", "p").alias("x"), F.greatest("s1", "p").alias("y"), "c").distinct()
+        labels = components(checked(documents, sifted(tried, sketches, percent), classes, size, percent), labels)
+        cells = saved(open_cells(members, labels, 2))
+    if not cells.isEmpty():
+        pairs = saved(joined_in_tasks(cells, sketches, percent, region))
         if not pairs.isEmpty():
             labels = components(checked(documents, pairs, classes, size, percent), labels)
-    final = components(bound, labels)
     # a node is its own component where it has no link
-    by_id = rows.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("v"), "left")
-    return by_id.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    final = named.join(labels, F.col("rep") == F.col("v"), "left")
+    return final.select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
 
 
 def checked(documents: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -362,10 +356,8 @@ def texts_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     both = named.join(wanted, F.col("doc_id") == F.col("rep")).select("s1", "rep", "text")
 
     def start():
-        hasher = WordHasher()
-
         def work(cols):
-            own = [int(signed(mix64(shingle_hashes(words_of(lowered(t or "")), hasher, size)).sum(dtype=np.uint64, keepdims=True))[0]) for t in cols["text"]]
+            own = [int(signed(mix64(shingle_hashes(t, size)).sum(dtype=np.uint64, keepdims=True))[0]) for t in cols["text"]]
             keep = [a == b for a, b in zip(own, cols["s1"], strict=True)]
             return {k: [x for x, ok in zip(v, keep, strict=True) if ok] for k, v in cols.items()}
 

@@ -69,7 +69,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 class Model:
-    """Names in code point order and log-likelihoods, buckets by languages."""
+    """Names in code point order and log-likelihoods, languages by buckets."""
 
     def __init__(self, names: list[str], logs: np.ndarray) -> None:
         self.names, self.logs = names, logs
@@ -103,54 +103,61 @@ def fit(documents: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, smoo
         table[found["bucket"].to_numpy(), [names.index(x) for x in found["lang"]]] = found["n"]
     known = table.sum(0) > 0
     names, table = [x for x, k in zip(names, known, strict=True) if k], table[:, known]
-    return Model(names, np.log((table + smoothing) / (table.sum(0) + smoothing * buckets)).astype(np.float32))
+    return Model(names, np.log((table + smoothing) / (table.sum(0) + smoothing * buckets)).T.astype(np.float32).copy())
 
 
-def em(lik: np.ndarray, doc: np.ndarray, docs: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions by document and its log-likelihood; lik has a row for each word, scaled to a largest entry of 1."""
-    first = np.searchsorted(doc, np.arange(docs))
-    share = np.full((docs, lik.shape[1]), 1 / lik.shape[1])
-    words = np.bincount(doc, minlength=docs)[:, None]
+def em(lik: np.ndarray, sizes: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (languages by documents) and log-likelihoods of consecutive documents of ``sizes`` words.
+
+    lik has a row for each language and a column for each word, scaled to a largest entry of 1.
+    """
+    first = np.cumsum(sizes) - sizes
+    share = np.full((len(lik), len(sizes)), 1 / len(lik), dtype=np.float32)
     for _ in range(rounds):
-        joint = lik * share[doc]
-        joint /= joint.sum(1, keepdims=True)
-        share = np.maximum(np.add.reduceat(joint, first) / words, 1e-9)
-        share /= share.sum(1, keepdims=True)
-    return share, np.add.reduceat(np.log((lik * share[doc]).sum(1)), first)
+        joint = [x * np.repeat(s, sizes) for x, s in zip(lik, share, strict=True)]
+        scale = 1 / sum(joint)
+        share = np.stack([np.add.reduceat(x * scale, first) for x in joint]) / sizes.astype(np.float32)
+        share = np.maximum(share, 1e-9)
+        share /= share.sum(axis=0)
+    mixed = sum(x * np.repeat(s, sizes) for x, s in zip(lik, share, strict=True))
+    return share, np.add.reduceat(np.log(mixed), first)
 
 
 def infer(texts: list[str | None], model: Model, penalty: float) -> list[tuple[list[str], list[float]]]:
     """Languages of each text with their proportions, largest first."""
     out: list[tuple[list[str], list[float]]] = [([], []) for _ in texts]
-    bucket, first, doc = trigrams(texts, model.logs.shape[0])
+    bucket, first, doc = trigrams(texts, model.logs.shape[1])
     if not len(bucket) or not model.names:
         return out
-    present, doc = np.unique(doc, return_inverse=True)
-    log = np.add.reduceat(model.logs[bucket], first, dtype=np.float64)
-    top = log.max(1)
-    lik = np.exp(np.maximum(log - top[:, None], -60))
-    docs, words = len(present), np.bincount(doc)
-    starts = np.searchsorted(doc, np.arange(docs))
-    alone = np.add.reduceat(np.log(lik), starts)
-    share, full = em(lik, doc, docs)
-    cost = penalty * np.log(words + 1)
-    for i in range(docs):
-        chosen, value = [int(alone[i].argmax())], float(alone[i].max())
-        parts = [1.0]
-        # no set can be likelier than all languages together
+    present, sizes = np.unique(doc, return_counts=True)
+    starts = np.cumsum(sizes) - sizes
+    log = np.stack([np.add.reduceat(x[bucket], first) for x in model.logs])
+    log = np.maximum(log - log.max(axis=0), -60)
+    lik = np.exp(log)
+    alone = np.stack([np.add.reduceat(x, starts) for x in log])
+    share, full = em(lik, sizes)
+    cost = penalty * np.log(sizes + 1)
+    best = alone.argmax(axis=0)
+    # no set can be likelier than all languages together
+    several = full - alone.max(axis=0) > cost
+    for i, at in enumerate(present):
+        out[at] = [model.names[best[i]]], [1.0]
+        if not several[i]:
+            continue
+        own, n = lik[:, starts[i] : starts[i] + sizes[i]], sizes[i : i + 1]
+        chosen, value, parts = [int(best[i])], float(alone[best[i], i]), [1.0]
         while len(chosen) < len(model.names) and full[i] - value > cost[i]:
-            own = lik[starts[i] : starts[i] + words[i]]
             tried = []
-            for x in np.argsort(-share[i], kind="stable"):
-                if int(x) not in chosen and share[i, x] > 1e-3:
-                    got, ll = em(own[:, [*chosen, int(x)]], np.zeros(len(own), int), 1)
-                    tried.append((float(ll[0]), -int(x), got[0].tolist()))
+            for x in range(len(model.names)):
+                if x not in chosen and share[x, i] > 1e-3:
+                    got, ll = em(own[[*chosen, x]], n)
+                    tried.append((float(ll[0]), -x, got[:, 0].tolist()))
             if not tried or max(tried)[0] - value <= cost[i]:
                 break
             value, x, parts = max(tried)
             chosen.append(-x)
         ranked = sorted(zip(parts, chosen, strict=True), key=lambda p: (-p[0], model.names[p[1]]))
-        out[present[i]] = [model.names[x] for _, x in ranked], [float(p) for p, _ in ranked]
+        out[at] = [model.names[x] for _, x in ranked], [float(p) for p, _ in ranked]
     return out
 
 

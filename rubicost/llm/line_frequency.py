@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 from rubicost.llm.common import map_slices, text_key, words_of
 
 SYMBOLS = "#*$%&|<>"
+SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 5
 
 BASE_SCHEMA = "doc_id long, tk long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def repeated_words(words: list[str], window: int = WINDOW) -> int:
+def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words that lie in windows found twice or more in the text."""
     windows = list(zip(*(words[i:] for i in range(window)), strict=False))
     first: dict[tuple, int] = {}
@@ -53,7 +54,7 @@ def base_stats(text: str | None) -> tuple[int, int, int, int, int]:
             dup += 1
         elif line and not line.isspace() or words_of(line):
             seen.add(line)
-    return len(words), sum(map(len, words)), sum(text.count(c) for c in SYMBOLS), dup, repeated_words(words)
+    return len(words), len(text) - sum(map(text.count, SPACES)), sum(text.count(c) for c in SYMBOLS), dup, repeated_words(words)
 
 
 def base(documents: DataFrame) -> DataFrame:

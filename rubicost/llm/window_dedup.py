@@ -28,32 +28,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubicost.llm.common import WordHasher, map_slices, mix64, saved, sieve, signed, words_of
+from rubicost.llm.common import map_slices, rolling, saved, sieve, signed, word_hashes, words_of
 
 WINDOW = 50
-BASE = np.uint64(0xD6E8FEB86659FD93)  # odd, so that it has an inverse modulo 2**64
-BASE_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 LAST = (1 << 63) - 1
 
 SCAN = "doc_id long, c1 long, c2 long, n_words long, kept_sha256 string, anchors array<long>"
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Rabin-Karp hash of each run of ``width`` words, modulo 2**64."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(BASE, len(hashes)), dtype=np.uint64)])
-    return mix64((sums[width:] - sums[:-width]) * powers(BASE_INVERSE, n))
-
-
 def window_anchors(hashes: np.ndarray, width: int) -> np.ndarray:
     """The anchor of each window: the least hash among its grams of half the width."""
     grams = rolling(hashes, width // 2)
@@ -63,16 +45,14 @@ def window_anchors(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(grams, span).min(axis=1)
 
 
-def digest(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode()).hexdigest()
+def digest(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
 def scan(documents: DataFrame, width: int) -> DataFrame:
     """One row per document: class of the word sequence, words, digest of all words and anchors."""
 
     def start():
-        hasher = WordHasher()
-
         def work(cols):
             out = {k: [] for k in ("c1", "c2", "n_words", "kept_sha256", "anchors")}
             for text in cols["text"]:
@@ -82,7 +62,7 @@ def scan(documents: DataFrame, width: int) -> DataFrame:
                 out["c2"].append(int.from_bytes(bytes.fromhex(d[16:32]), "big", signed=True))
                 out["n_words"].append(len(words))
                 out["kept_sha256"].append(d)
-                out["anchors"].append(signed(np.unique(window_anchors(hasher(words), width))) if len(words) >= width else [])
+                out["anchors"].append(signed(np.unique(window_anchors(word_hashes(text), width))) if len(words) >= width else [])
             return {"doc_id": cols["doc_id"]} | out
 
         return work
@@ -97,12 +77,10 @@ def repeated_windows(flagged: DataFrame, width: int) -> DataFrame:
     """
 
     def start():
-        hasher = WordHasher()
-
         def work(cols):
             out = {"starts": [], "hashes": []}
             for text, anchors in zip(cols["text"], cols["anchors"], strict=True):
-                h = hasher(words_of(text))
+                h = word_hashes(text)
                 at = np.flatnonzero(np.isin(signed(window_anchors(h, width)), np.array(anchors, dtype=np.int64)))
                 out["starts"].append(at.astype(np.int32))
                 out["hashes"].append(signed(rolling(h, width)[at]))

@@ -1,5 +1,5 @@
 """Named queries by subject; importing this package registers them."""
 
-from rubicost.plans import history, knowledge, pricing, usage, viewer
+from rubicost.plans import accuracy, history, ingest, knowledge, pricing, unitrate, usage, viewer, web
 
-__all__ = ["history", "knowledge", "pricing", "usage", "viewer"]
+__all__ = ["accuracy", "history", "ingest", "knowledge", "pricing", "unitrate", "usage", "viewer", "web"]

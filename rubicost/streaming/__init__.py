@@ -1 +1,5 @@
+"""Streaming queries; importing this package registers them."""
 
+from rubicost.streaming import log
+
+__all__ = ["log"]
