@@ -1,16 +1,18 @@
 """Toxicity severity by cumulative-link ordinal regression.
 
-Features are the words of a text (letters only, lower-cased) with 1 + log(count).
+Features are the words of a text (letters only, lower-cased) and their stems (the
+first ``STEMS`` letters, for inflected forms), each with 1 + log(count).
 The model is P(grade <= j) = sigmoid(threshold_j - w . x): one weight vector is
 shared by all ordered thresholds. Output is the expected grade.
 
 Labels say only toxic or not, so grades come from them: 0 is not toxic; toxic
-texts get 1 to 3 by the density of words that go with the label (words whose
+texts get 1 to 3 by their amount of features that go with the label (those whose
 smoothed odds among toxic training texts are at least eightfold), cut at the
-terciles of the training texts.
+terciles of the toxic training texts.
 
 Fitting uses a bounded sample: at most ``sample`` labelled documents, drawn by
-a hash of the id, and at most ``vocabulary`` words found in ``min_df`` of them.
+a hash of the id, and at most ``vocabulary`` features found in ``min_df`` of them
+whose presence depends on the label (likelihood ratio of at least ``evidence``).
 It runs in one task over that sample; the weights (bounded by ``vocabulary``)
 go to all tasks as a broadcast. Every document is scored over its whole text.
 
@@ -37,12 +39,20 @@ from rubicost.llm.common import map_slices
 SAMPLE = 12_000
 VOCABULARY = 50_000
 GRADES = 3
+STEMS = (4, 5)
 LETTERS = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, severity int, expected_severity double, p_toxic double, toxic boolean"
 
 
 def features(text: str | None) -> Counter:
-    return Counter(LETTERS.findall(text.lower())) if text else Counter()
+    """Counts of the words and of their stems, which end in a hyphen."""
+    words = Counter(LETTERS.findall(text.lower())) if text else Counter()
+    out = Counter(words)
+    for w, n in words.items():
+        for k in STEMS:
+            if len(w) >= k:
+                out[w[:k] + "-"] += n
+    return out
 
 
 def sigmoid(x):
@@ -56,18 +66,18 @@ def grade_probs(score: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def severity_grades(counts: list[Counter], toxic: np.ndarray, words: list[str]) -> np.ndarray:
-    """0 for texts that aren't toxic, else 1 to GRADES by tercile of the density of label words."""
+    """0 for texts that aren't toxic, else 1 to GRADES by tercile of the amount of label features."""
     df = Counter(w for c in counts for w in c)
     bad = Counter(w for c, t in zip(counts, toxic, strict=True) if t for w in c)
     n, m = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     odds = lambda w: ((bad[w] + 0.5) / n) / ((df[w] - bad[w] + 0.5) / m)
     lexicon = {w for w in words if odds(w) >= 8}
-    density = np.array([sum(c[w] for w in lexicon & c.keys()) / max(1, sum(c.values())) for c in counts])
-    cuts = np.quantile(density[toxic], [i / GRADES for i in range(1, GRADES)]) if toxic.any() else np.zeros(GRADES - 1)
-    return np.where(toxic, 1 + np.searchsorted(cuts, density, side="left"), 0)
+    amount = np.array([sum(1 + np.log(c[w]) for w in lexicon & c.keys()) for c in counts], dtype=float)
+    cuts = np.quantile(amount[toxic], [i / GRADES for i in range(1, GRADES)]) if toxic.any() else np.zeros(GRADES - 1)
+    return np.where(toxic, 1 + np.searchsorted(cuts, amount, side="left"), 0)
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, width: int, l2: float = 0.3, rounds: int = 250, rate: float = 0.08) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, width: int, l2: float = 0.3, rounds: int = 600, rate: float = 0.02, slow: float = 0.98) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds by Adam on the penalised likelihood, all rows at each step."""
     n = len(y)
     w, first, gaps = np.zeros(width), np.array([2.0]), np.zeros(GRADES - 1)
@@ -85,20 +95,31 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndar
         g_cut = np.bincount(np.minimum(y, GRADES), -da, minlength=GRADES + 1)[:GRADES] + np.bincount(np.maximum(y - 1, 0), np.where(y > 0, db, 0), minlength=GRADES)[:GRADES]
         g_w = np.bincount(cols, vals * g_score[rows], minlength=width) + l2 * w
         g = np.concatenate([g_w, [g_cut.sum()], [np.exp(gaps[k]) * g_cut[k + 1 :].sum() for k in range(GRADES - 1)]])
-        state = [0.9 * state[0] + 0.1 * g, 0.999 * state[1] + 0.001 * g * g]
-        step = rate * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.999**t)) + 1e-8)
+        state = [0.9 * state[0] + 0.1 * g, slow * state[1] + (1 - slow) * g * g]
+        step = rate * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - slow**t)) + 1e-8)
         w, first, gaps = w - step[:width], first - step[width : width + 1], gaps - step[width + 1 :]
     return w, np.concatenate([first, first + np.cumsum(np.exp(gaps))])
 
 
-def train(texts: list[str | None], toxic: list[int], vocabulary: int = VOCABULARY, min_df: int = 5) -> tuple[dict[str, float], list[float]]:
+def dependence(with_label: np.ndarray, found: np.ndarray, labelled: int, total: int) -> np.ndarray:
+    """Likelihood ratio statistic of the presence of features against a label, from counts of texts."""
+    cells = np.stack([with_label, found - with_label, labelled - with_label, total - labelled - found + with_label]).astype(float)
+    share = np.array([labelled, total - labelled] * 2)[:, None] / total
+    expected = share * np.stack([found, found, total - found, total - found])
+    return 2 * (cells * np.log(np.maximum(cells, 1e-12) / np.maximum(expected, 1e-12))).sum(axis=0)
+
+
+def train(texts: list[str | None], toxic: list[int], vocabulary: int = VOCABULARY, min_df: int = 3, evidence: float = 12.0) -> tuple[dict[str, float], list[float]]:
     """Weights by word and thresholds; no weights and far thresholds if nothing is toxic."""
     flags = np.array([bool(t) for t in toxic])
     if not flags.any():
         return {}, [50.0, 51.0, 52.0]
     counts = [features(t) for t in texts]
     df = Counter(w for c in counts for w in c)
-    words = sorted((w for w, n in df.items() if n >= min_df), key=lambda w: (-df[w], w))[:vocabulary]
+    bad = Counter(w for c, t in zip(counts, flags, strict=True) if t for w in c)
+    words = sorted(w for w, n in df.items() if n >= min_df)
+    tied = dependence(np.array([bad[w] for w in words], dtype=int), np.array([df[w] for w in words], dtype=int), int(flags.sum()), len(flags))
+    words = [words[i] for i in np.argsort(-tied, kind="stable")[:vocabulary] if tied[i] >= evidence]
     of = {w: i for i, w in enumerate(words)}
     y = severity_grades(counts, flags, words)
     triples = [(i, of[w], 1 + np.log(n)) for i, c in enumerate(counts) for w, n in c.items() if w in of]

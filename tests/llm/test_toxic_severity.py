@@ -6,7 +6,7 @@ from tests.llm.data import odd_documents
 
 
 def test_labels_are_met(spark):
-    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     train, test = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
     scored = {r["doc_id"]: r for r in ts.severity(docs, train).collect()}
     pairs = [(scored[r["doc_id"]]["toxic"], bool(r["toxic"])) for r in test.collect() if r["doc_id"] in scored]
