@@ -62,7 +62,8 @@ def sigmoid(x):
 def grade_probs(score: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Probability of each grade from scores w . x and ascending thresholds."""
     below = np.concatenate([np.zeros((len(score), 1)), sigmoid(cuts[None, :] - score[:, None]), np.ones((len(score), 1))], axis=1)
-    return np.maximum(np.diff(below, axis=1), 1e-12)
+    p = np.maximum(np.diff(below, axis=1), 1e-12)
+    return p / p.sum(axis=1, keepdims=True)
 
 
 def severity_grades(counts: list[Counter], toxic: np.ndarray, words: list[str]) -> np.ndarray:
@@ -162,7 +163,7 @@ def severity(documents: DataFrame, labels: DataFrame, least: float = 0.5, **opti
             if not cols["doc_id"]:
                 return {k: [] for k in ("doc_id", "severity", "expected_severity", "p_toxic", "toxic")}
             p = score_texts(cols["text"], weights, cuts)
-            mean, any_ = p @ np.arange(p.shape[1]), 1 - p[:, 0]
+            mean, any_ = np.minimum(p @ np.arange(p.shape[1]), GRADES), 1 - p[:, 0]
             return {"doc_id": cols["doc_id"], "severity": p.argmax(1).astype(np.int32), "expected_severity": mean, "p_toxic": any_, "toxic": any_ >= least}
 
         return work
