@@ -20,8 +20,8 @@ is the connected component of each document.
    pivot is not farther than its own pivot plus twice the radius (triangle
    inequality). Cells beyond ``REGION`` members meet block by block.
 
-Each document has a sketch: a hash of each of its slices. The number of slices
-that differ is a metric too and never more than the number of shingles that
+Each document has a sketch: a hash of each of its slices, cut finer by ``FINE``.
+The number of fine slices that differ is a metric too and never more than the number of shingles that
 differ, so it rules pairs out before any text is read (steps 3 and 4). What it
 doesn't rule out is measured on the texts' own shingles: hashes only propose.
 
@@ -49,6 +49,7 @@ PERCENT = 90
 CLASS_RATIO = 1.2
 REGION = 256
 LEAF = 12
+FINE = 4
 
 SCAN = "doc_id long, n_shingles long, s1 long, s2 long, sigs array<struct<c:int,keys:array<long>,sketch:binary>>"
 
@@ -107,20 +108,21 @@ class SizeClasses:
         return range(self.at(n), self.at(n * 100 // self.percent) + 1)
 
 
-def sketch(h: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each slice and whether it holds a shingle."""
-    at = ((h >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
-    sums = np.zeros(m, dtype=np.uint64)
-    np.add.at(sums, at, mix64(h))
-    return mix64(sums), np.bincount(at, minlength=m) > 0
+def sketch(h: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Hash of each slice, whether it holds a shingle, and the sketch: 8 bits for each fine slice."""
+    at = ((h >> np.uint64(20)) % np.uint64(FINE * m)).astype(np.int64)
+    fine = np.zeros(FINE * m, dtype=np.uint64)
+    np.add.at(fine, at, mix64(h))
+    full = np.bincount(at % m, minlength=m) > 0
+    return mix64(fine.reshape(FINE, m).sum(axis=0, dtype=np.uint64)), full, (mix64(fine) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def signatures(h: np.ndarray, classes: SizeClasses) -> tuple[list[np.ndarray], list[int], list[bytes]]:
-    """Cells of a set for each of its classes, the classes, and its sketches there (16 bits for a slice)."""
+    """Cells of a set for each of its classes, the classes, and its sketches there."""
     keys, own, sketches = [], [], []
     for c in classes.of(len(h)):
         m, spare = classes.slices(c)
-        sums, full = sketch(h, m)
+        sums, full, fine = sketch(h, m)
         salt = np.uint64(c * 0xA24BAED4963EE407 % (1 << 64))
         key = mix64(mix64(sums[full] + salt) + np.flatnonzero(full).astype(np.uint64))
         empty = np.flatnonzero(~full)
@@ -132,7 +134,7 @@ def signatures(h: np.ndarray, classes: SizeClasses) -> tuple[list[np.ndarray], l
             key = np.concatenate([key, more])
         keys.append(key)
         own.append(c)
-        sketches.append((sums >> np.uint64(48)).astype(np.uint16).tobytes())
+        sketches.append(fine)
     return keys, own, sketches
 
 
@@ -195,7 +197,7 @@ def sifted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     def start():
         def work(cols):
-            keep = [bool(may_link(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16), n, m, percent)) for a, b, n, m in zip(cols["a"], cols["b"], cols["n_x"], cols["n_y"], strict=True)]
+            keep = [bool(may_link(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), n, m, percent)) for a, b, n, m in zip(cols["a"], cols["b"], cols["n_x"], cols["n_y"], strict=True)]
             return {k: [v for v, ok in zip(cols[k], keep, strict=True) if ok] for k in ("x", "y")}
 
         return work
@@ -283,7 +285,7 @@ def joined_in_tasks(cells: DataFrame, sketches: DataFrame, percent: int, region:
             g = pa.Table.from_batches(held)
             lo, hi = g["lo"][0].as_py(), g["hi"][0].as_py()
             cross = None if lo == hi else g["own"].to_numpy() == hi
-            vectors = np.stack([np.frombuffer(b, np.uint16) for b in g["sketch"].to_pylist()])
+            vectors = np.stack([np.frombuffer(b, np.uint8) for b in g["sketch"].to_pylist()])
             s1 = g["s1"].to_numpy()
             got = np.array(region_pairs(vectors, g["n"].to_numpy(), g["label"].to_numpy(), percent, cross), dtype=np.int64).reshape(-1, 2)
             a, b = s1[got[:, 0]], s1[got[:, 1]]
