@@ -7,7 +7,8 @@ depend only on the text after their start, so from the first place where two
 neighbours agree on a boundary inside their overlap they agree for good. Where
 the overlap holds no common boundary (one very long pre-token), matching goes
 on from the last sure boundary until it meets one of the next chunk's. The
-stitched pieces are encoded by merging the pair of lowest rank, leftmost first.
+stitched pieces are encoded by merging the pair of lowest rank, leftmost first;
+pieces that are new to a task go through these rounds together, as arrays.
 Decoding joins the raw bytes of the ids.
 
 Defined results: a null text is encoded as the empty text, that is no ids;
@@ -21,9 +22,10 @@ from __future__ import annotations
 import base64
 import heapq
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -41,32 +43,63 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-SHORT = 64
-NEVER = 1 << 60
+WIDTHS = (6, 8, 10, 12, 16, 24, 32)
+NEVER = (1 << 31) - 1
 
 
-def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """As ``merge``, for pieces so short that looking through all pairs is cheapest."""
-    rank = ranks.get
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pairs = [rank(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
-    while pairs and (least := min(pairs)) < NEVER:
-        i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i:
-            pairs[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
-        if i < len(pairs):
-            pairs[i] = rank(parts[i] + parts[i + 1], NEVER)
-    return [ranks[p] for p in parts]
+class Pairs:
+    """The rank of the token that two adjacent tokens make, for all pairs that make one, and the ids of single bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        found = sorted((ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
+        self.keys = np.array([k for k, _ in found] or [-1], dtype=np.int64)
+        self.made = np.array([r for _, r in found] or [NEVER], dtype=np.int32)
+        self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
+        self.of_bytes = np.array([ranks.get(bytes([i, j]), NEVER) for i in range(256) for j in range(256)], dtype=np.int32)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; ``NEVER`` where they make no token or a side is missing (negative)."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.made[at], NEVER)
+
+
+def merge_many(pieces: list[bytes], pairs: Pairs, width: int) -> list[list[int]]:
+    """As ``merge``, for many pieces of at most ``width`` bytes at once: each round merges one pair of every piece."""
+    n = len(pieces)
+    sizes = np.array([len(p) for p in pieces])
+    raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8).reshape(n, width)
+    place = np.arange(width)
+    parts = np.where(place < sizes[:, None], pairs.bytes[raw], np.int32(-1))
+    rank = np.full((n, width), NEVER, dtype=np.int32)
+    rank[:, :-1] = np.where(place[1:] < sizes[:, None], pairs.of_bytes[raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]], NEVER)
+    done, live = np.full((n, width), -1, dtype=np.int32), np.arange(n)
+    while len(live):
+        at = rank.argmin(axis=1)
+        least = rank[np.arange(len(live)), at]
+        go = least < NEVER
+        if not go.all():
+            done[live[~go]] = parts[~go]
+            parts, rank, live, at, least = parts[go], rank[go], live[go], at[go], least[go]
+        rows = np.arange(len(live))
+        # the right one of the two goes, and what follows moves up; the pair's own rank goes
+        parts[rows, at] = least
+        moved = np.minimum(place + (place > at[:, None]), width - 1)
+        parts = np.take_along_axis(parts, moved, axis=1)
+        parts[:, -1] = -1
+        rank = np.take_along_axis(rank, np.minimum(place + (place >= at[:, None]), width - 1), axis=1)
+        rank[:, -1] = NEVER
+        rank[rows, at] = pairs.ranks(least, parts[rows, np.minimum(at + 1, width - 1)])
+        some = at > 0
+        rank[rows[some], at[some] - 1] = pairs.ranks(parts[rows[some], at[some] - 1], least[some])
+    kept = (done >= 0).sum(axis=1).tolist()
+    return [row[:k] for row, k in zip(done.tolist(), kept, strict=True)]
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: the adjacent pair of lowest rank is merged first, the leftmost of equals."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
-    if len(piece) <= SHORT:
-        return merge_short(piece, ranks)
     n = len(piece)
     follow, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
@@ -90,28 +123,38 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Memo(dict):
-    """Ids by pre-token, merged when first asked for."""
-
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self[piece] = merge(piece.encode(), self.ranks)
-        return ids
-
-
 class Encoder:
     """Encodes pre-tokens; ids are remembered until they are too many."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 300_000) -> None:
-        self.seen, self.pattern, self.limit = Memo(ranks), regex.compile(pattern), limit
-
-    def encode(self, pieces: list[str]) -> list[int]:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: Pairs | None = None, limit: int = 300_000) -> None:
+        self.ranks, self.pattern, self.pairs, self.limit = ranks, regex.compile(pattern), pairs or Pairs(ranks), limit
+        self.seen: dict[str, list[int]] = {}
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Merges the pieces that aren't remembered, those of like length together."""
+        by: dict[int, list[str]] = {}
+        for p in pieces:
+            raw = p.encode()
+            if (whole := self.ranks.get(raw)) is not None:
+                self.seen[p] = [whole]
+            elif len(raw) > WIDTHS[-1]:
+                self.seen[p] = merge(raw, self.ranks)
+            else:
+                by.setdefault(next(w for w in WIDTHS if len(raw) <= w), []).append(p)
+        for width, own in by.items():
+            for at in range(0, len(own), 4096):
+                some = own[at : at + 4096]
+                self.seen.update(zip(some, merge_many([p.encode() for p in some], self.pairs, width), strict=True))
+
+    def encode_all(self, texts: list[list[str]]) -> list[list[int]]:
+        """Ids of texts given as their pre-tokens."""
         if len(self.seen) > self.limit:
             self.seen.clear()
-        return list(chain.from_iterable(map(self.seen.__getitem__, pieces)))
+        self.learn(set().union(*texts) - self.seen.keys())
+        return [list(chain.from_iterable(map(self.seen.__getitem__, pieces))) for pieces in texts]
+
+    def encode(self, pieces: list[str]) -> list[int]:
+        return self.encode_all([pieces])[0]
 
     def ends(self, text: str, start: int = 0) -> Iterator[int]:
         """End of each pre-token from ``start`` on."""
@@ -160,12 +203,12 @@ def stitch(text: str, starts: list[int], stops: list[int], ends: list[list[int]]
 def encode_documents(documents: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id and ids (array of int), one row for each row of documents."""
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = spark.sparkContext.broadcast((ranks, Pairs(ranks)))
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def whole():
-        encoder = Encoder(shared.value, pattern)
-        return lambda cols: {"doc_id": cols["doc_id"], "ids": [encoder.encode(encoder.pattern.findall(t)) for t in cols["text"]]}
+        encoder = Encoder(shared.value[0], pattern, shared.value[1])
+        return lambda cols: {"doc_id": cols["doc_id"], "ids": encoder.encode_all([encoder.pattern.findall(t) for t in cols["text"]])}
 
     short = map_slices(docs.where(F.length("text") <= chunk), whole, "doc_id long, ids array<int>")
 
@@ -179,7 +222,7 @@ def encode_documents(documents: DataFrame, ranks: dict[bytes, int], pattern: str
         return work
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        encoder = Encoder(shared.value, pattern)
+        encoder = Encoder(shared.value[0], pattern, shared.value[1])
         times = int((group["start"] == 0).sum())
         group = group.drop_duplicates("start").sort_values("start")
         starts = group["start"].tolist()

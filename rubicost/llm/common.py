@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,6 +93,20 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(U64).view(np.int64)
 
 
+def plain(column: pa.Array) -> list:
+    """The column as Python values; lists of whole numbers without nulls by way of NumPy, which is much faster."""
+    if not pa.types.is_list(column.type) or not pa.types.is_integer(column.type.value_type):
+        return column.to_pylist()
+    values = column.flatten()
+    if values.null_count:
+        return column.to_pylist()
+    flat = values.to_numpy().tolist()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    ends = np.cumsum(sizes).tolist()
+    out = [flat[b - n : b] for b, n in zip(ends, sizes.tolist(), strict=True)]
+    return out if not column.null_count else [x if ok else None for x, ok in zip(out, column.is_valid().to_pylist(), strict=True)]
+
+
 def map_slices(
     df: DataFrame,
     fn: Callable[[], Callable[[dict[str, list]], dict[str, Iterable]]],
@@ -111,7 +126,7 @@ def map_slices(
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                out = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
+                out = work({n: plain(part.column(i)) for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(task, schema)
