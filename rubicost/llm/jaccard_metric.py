@@ -8,9 +8,11 @@ is the connected component of each document.
 2. First-level regions. Nearly all documents lie at distance 1 of each other,
    where a pivot says nothing, so regions are cells of documents that agree on
    a slice of the shingle universe. Sizes fall into classes; a class has more
-   slices than linked documents of its sizes can have differing shingles, hence
-   linked documents share a cell whose slice is equal and not empty (or as many
-   empty slices as the class has to spare plus one).
+   slices than linked documents of its sizes can have differing shingles, and
+   some to spare. Linked documents hence agree on more slices than were spared,
+   and share a cell: a slice that is equal and not empty or, where a document
+   has more empty slices than were spared, one of its first empty slices (the
+   prefix of a set that has to overlap another in so many members).
 3. Each cell's pivots are measured against all members, linearly in its size.
    Members within the radius link to the pivot; pairs in one component are
    settled, which ends cells of near copies however large. A later round takes
@@ -20,7 +22,7 @@ is the connected component of each document.
    pivot is not farther than its own pivot plus twice the radius (triangle
    inequality). Cells beyond ``REGION`` members meet block by block.
 
-Each document has a sketch: a hash of each of its slices, cut finer by ``FINE``.
+Each document has a sketch: a hash of each of its slices, cut finer by ``fine``.
 The number of fine slices that differ is a metric too and never more than the number of shingles that
 differ, so it rules pairs out before any text is read (steps 3 and 4). What it
 doesn't rule out is measured on the texts' own shingles: hashes only propose.
@@ -34,8 +36,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +51,8 @@ PERCENT = 90
 CLASS_RATIO = 1.2
 REGION = 256
 LEAF = 12
-FINE = 4
+#: fine slices of a sketch for each shingle, about
+RESOLUTION = 0.45
 
 SCAN = "doc_id long, n_shingles long, s1 long, s2 long, sigs array<struct<c:int,keys:array<long>,sketch:binary>>"
 
@@ -88,6 +91,7 @@ class SizeClasses:
     def __init__(self, percent: int, ratio: float = CLASS_RATIO) -> None:
         self.percent, self.ratio = percent, ratio
         self.least = -(-percent // (100 - percent))  # smaller sets link only if equal
+        self.fine = max(1, round(RESOLUTION * percent / (100 - percent)))
         self.tops: list[int] = []
 
     def at(self, n: int) -> int:
@@ -97,9 +101,11 @@ class SizeClasses:
         return next(i for i, top in enumerate(self.tops) if top >= n)
 
     def slices(self, c: int) -> tuple[int, int]:
-        differ = self.tops[c] * (100 - self.percent) // self.percent
-        spare = min(2, differ // 8)
-        return differ + 1 + spare, spare
+        least = self.tops[c] * (100 - self.percent) // self.percent + 1
+        smallest = (self.tops[c - 1] + 1 if c else self.least) * self.percent / 100
+        empty = least * math.exp(-smallest / least)  # as many are expected; more than three deviations beyond are rare
+        spare = math.ceil(empty + 3 * math.sqrt(empty))
+        return least + spare, spare
 
     def of(self, n: int) -> range:
         """Classes of the larger member of any linked pair that a set of n members can be in."""
@@ -108,13 +114,13 @@ class SizeClasses:
         return range(self.at(n), self.at(n * 100 // self.percent) + 1)
 
 
-def sketch(h: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+def sketch(h: np.ndarray, m: int, fine: int) -> tuple[np.ndarray, np.ndarray, bytes]:
     """Hash of each slice, whether it holds a shingle, and the sketch: 8 bits for each fine slice."""
-    at = ((h >> np.uint64(20)) % np.uint64(FINE * m)).astype(np.int64)
-    fine = np.zeros(FINE * m, dtype=np.uint64)
-    np.add.at(fine, at, mix64(h))
+    at = ((h >> np.uint64(20)) % np.uint64(fine * m)).astype(np.int64)
+    sums = np.zeros(fine * m, dtype=np.uint64)
+    np.add.at(sums, at, mix64(h))
     full = np.bincount(at % m, minlength=m) > 0
-    return mix64(fine.reshape(FINE, m).sum(axis=0, dtype=np.uint64)), full, (mix64(fine) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return mix64(sums.reshape(fine, m).sum(axis=0, dtype=np.uint64)), full, (mix64(sums) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def signatures(h: np.ndarray, classes: SizeClasses) -> tuple[list[np.ndarray], list[int], list[bytes]]:
@@ -122,16 +128,13 @@ def signatures(h: np.ndarray, classes: SizeClasses) -> tuple[list[np.ndarray], l
     keys, own, sketches = [], [], []
     for c in classes.of(len(h)):
         m, spare = classes.slices(c)
-        sums, full, fine = sketch(h, m)
+        sums, full, fine = sketch(h, m, classes.fine)
         salt = np.uint64(c * 0xA24BAED4963EE407 % (1 << 64))
         key = mix64(mix64(sums[full] + salt) + np.flatnonzero(full).astype(np.uint64))
         empty = np.flatnonzero(~full)
         if len(empty) > spare:
-            sets = np.array(list(combinations(empty.tolist(), spare + 1)), dtype=np.uint64)
-            more = np.full(len(sets), salt, dtype=np.uint64) + np.uint64(0xE7037ED1A0B428DB)
-            for column in sets.T:
-                more = mix64(more + column + np.uint64(1))
-            key = np.concatenate([key, more])
+            first = empty[: len(empty) - spare].astype(np.uint64)
+            key = np.concatenate([key, mix64(mix64(first + salt) + np.uint64(0xE7037ED1A0B428DB))])
         keys.append(key)
         own.append(c)
         sketches.append(fine)
@@ -156,7 +159,7 @@ def scan(documents: DataFrame, size: int, percent: int) -> DataFrame:
 
         return work
 
-    return map_slices(documents.select("doc_id", "text"), start, SCAN)
+    return map_slices(documents.select("doc_id", "text"), start, SCAN, rows=64)
 
 
 def may_link(a: np.ndarray, b: np.ndarray, n_a, n_b, percent: int) -> np.ndarray:
