@@ -54,7 +54,8 @@ LEAF = 12
 #: fine slices of a sketch for each shingle, about
 RESOLUTION = 0.45
 
-SCAN = "doc_id long, n_shingles long, s1 long, s2 long, sigs array<struct<c:int,keys:array<long>,sketch:binary>>"
+SCAN = "doc_id long, n_shingles long, s1 long, s2 long, sigs array<struct<c:int,sketch:binary>>"
+POSTS = "s1 long, sigs array<struct<c:int,keys:array<long>>>"
 
 
 def lowered(text: str) -> str:
@@ -141,27 +142,52 @@ def signatures(h: np.ndarray, classes: SizeClasses) -> tuple[list[np.ndarray], l
     return keys, own, sketches
 
 
+def set_hash(h: np.ndarray, salt: int = 0) -> int:
+    """A hash of the set of some hashes, in any order."""
+    return int(signed(mix64(h ^ np.uint64(salt)).sum(dtype=np.uint64, keepdims=True))[0])
+
+
 def scan(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """Set size, two hashes of the set, and by class its cells and sketch, for each row."""
+    """Set size, two hashes of the set and its sketch by class, for each row."""
 
     def start():
         classes = SizeClasses(percent)
 
         def work(cols):
-            out = {k: [] for k in ("n_shingles", "s1", "s2", "sigs")}
-            for text in cols["text"]:
-                h = shingle_hashes(text, size)
-                out["n_shingles"].append(len(h))
-                out["s1"].append(int(signed(mix64(h).sum(dtype=np.uint64, keepdims=True))[0]))
-                out["s2"].append(int(signed(mix64(h ^ np.uint64(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64, keepdims=True))[0]))
-                out["sigs"].append([{"c": c, "keys": signed(k), "sketch": b} for k, c, b in zip(*signatures(h, classes), strict=True)])
-            return {"doc_id": cols["doc_id"]} | out
+            sets = [shingle_hashes(t, size) for t in cols["text"]]
+            return {
+                "doc_id": cols["doc_id"],
+                "n_shingles": [len(h) for h in sets],
+                "s1": [set_hash(h) for h in sets],
+                "s2": [set_hash(h, 0x8EBC6AF09C88C6E3) for h in sets],
+                "sigs": [[{"c": c, "sketch": b} for _, c, b in zip(*signatures(h, classes), strict=True)] for h in sets],
+            }
 
         return work
 
     return map_slices(documents.select("doc_id", "text"), start, SCAN, rows=64)
 
 
+def postings(documents: DataFrame, size: int, percent: int) -> DataFrame:
+    """s1, c, key: the cells of each row's set, dealt out by key.
+
+    They outweigh the texts' other data by far, so they are made from the texts
+    where they are dealt out, and written nowhere else.
+    """
+
+    def start():
+        classes = SizeClasses(percent)
+
+        def work(cols):
+            sets = [shingle_hashes(t, size) for t in cols["text"]]
+            return {"s1": [set_hash(h) for h in sets], "sigs": [[{"c": c, "keys": signed(k)} for k, c, _ in zip(*signatures(h, classes), strict=True)] for h in sets]}
+
+        return work
+
+    found = map_slices(documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text"), start, POSTS, rows=64)
+    return found.select("s1", F.explode("sigs").alias("z")).select("s1", "z.c", F.explode("z.keys").alias("key")).repartition("key")
+
+
 def may_link(a: np.ndarray, b: np.ndarray, n_a, n_b, percent: int) -> np.ndarray:
     """False where the sketches prove that two sets don't link.
 
@@ -322,10 +348,11 @@ def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, regi
     several = named.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
     bound = several.join(named.select("doc_id", F.col("rep").alias("b")), "doc_id").where("a <> b").select("a", "b")
 
-    by_class = real.select("s1", F.col("n_shingles").alias("n"), F.explode("sigs").alias("z")).select("s1", "n", "z.c", "z.keys", "z.sketch")
-    posts = by_class.select("s1", "c", F.explode("keys").alias("key"))
-    cells = posts.groupBy("key").agg(F.min("s1").alias("p"), F.max("s1").alias("q")).where("p < q").select(F.col("key").alias("k"), "p", "q")
-    met = saved(posts.join(cells, F.col("key") == F.col("k")).select("key", "c", "s1", "p", "q").distinct())
+    by_class = real.select("s1", F.col("n_shingles").alias("n"), F.explode("sigs").alias("z")).select("s1", "n", "z.c", "z.sketch")
+    posts = postings(documents, size, percent)  # both uses share the one exchange
+    cells = posts.groupBy("key").agg(F.min("s1").alias("p"), F.max("s1").alias("q"), F.max("c").alias("own")).where("p < q").select(F.col("key").alias("k"), "p", "q", "own")
+    # a key is of one class; both sides read the same columns, else the exchange would be made twice
+    met = saved(posts.join(cells, F.col("key") == F.col("k")).select("key", F.greatest("c", "own").alias("c"), "s1", "p", "q").distinct())
     sketches = saved(by_class.select("s1", "n", "c", "sketch").join(met.select("s1").distinct(), "s1", "left_semi").dropDuplicates(["s1", "c"]))
     members = met.select("key", "c", "s1").join(classes.select("s1", "rep"), "s1")
     pair = lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
@@ -362,7 +389,7 @@ def texts_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def start():
         def work(cols):
-            own = [int(signed(mix64(shingle_hashes(t, size)).sum(dtype=np.uint64, keepdims=True))[0]) for t in cols["text"]]
+            own = [set_hash(shingle_hashes(t, size)) for t in cols["text"]]
             keep = [a == b for a, b in zip(own, cols["s1"], strict=True)]
             return {k: [x for x, ok in zip(v, keep, strict=True) if ok] for k, v in cols.items()}
 
