@@ -39,7 +39,7 @@ def candidates(t: Tables):
 @query(f"""{BASE}, {PICK}
 SELECT s.spec_id, CASE WHEN a.c IS NOT NULL THEN 'exact' WHEN o.c IS NOT NULL THEN 'blocked' ELSE 'none' END AS source, coalesce(a.c.file_id, o.c.file_id) AS file_id,
     a.c.sheet AS sheet, a.c.row_no AS row_no, a.c.price AS price
-FROM specs s LEFT JOIN cand a ON a.text = s.text AND a.category = s.category AND a.state = 'allowed' LEFT JOIN cand o ON o.text = s.text AND o.category = s.category AND o.state = 'other'""")
+FROM specs s LEFT JOIN cand a ON a.text = s.text AND a.category = s.category AND a.state = 'allowed' LEFT JOIN cand o ON o.text = s.text AND o.category = s.category AND o.state = 'other'""", whole=True)
 def exact_match(t: Tables):
     """Same text and attributes in an allowed file, else the unselected file that blocks the row; its price is not told."""
     cand = candidates(t)
@@ -64,7 +64,7 @@ sim AS (SELECT a.text AS spec_text, b.text AS item_text, b.category, {dice('a.to
 
 @query(f"""{BASE}, {LEXICAL}, best AS (SELECT s.spec_id, item_text, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY s.spec_id ORDER BY round(similarity, 6) DESC, item_text) AS rank
     FROM specs s JOIN sim ON sim.spec_text = s.text AND sim.category = s.category WHERE similarity >= {ACCEPT * 0.8})
-SELECT spec_id, rank::INTEGER AS rank, item_text, similarity FROM best WHERE rank <= 8""")
+SELECT spec_id, rank::INTEGER AS rank, item_text, similarity FROM best WHERE rank <= 8""", whole=True)
 def lexical_candidates(t: Tables):
     """The eight most similar reference texts of the same category, over an inverted index of tokens."""
     specs = t.specs()
@@ -101,7 +101,7 @@ hit AS (SELECT s.spec_id, 1 AS tier, 85 AS pct, n.norm_id, n.hours FROM specs s
     UNION ALL SELECT s.spec_id, 2, 72, n.norm_id, n.hours FROM specs s JOIN norms n ON n.level = 'item' AND n.text = s.text AND n.category = s.category
     UNION ALL SELECT s.spec_id, 3, 55, n.norm_id, n.hours FROM specs s JOIN norms n ON n.level = 'category' AND n.category = s.category),
 r AS (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY tier, norm_id) AS k FROM hit)
-SELECT spec_id, tier, pct, norm_id, hours FROM r WHERE k = 1""")
+SELECT spec_id, tier, pct, norm_id, hours FROM r WHERE k = 1""", whole=True)
 def norm_lookup(t: Tables):
     """The first tier that has a norm: parameterised, item, category; each tier is one row per key before its join."""
     norms = t("part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("norm_id"), (F.col("p_partkey") % 3).alias("k"), F.col("p_name").alias("text"), F.col("p_type").alias("category"), F.col("p_size").alias("size"), F.round(F.col("p_retailprice") / 1000, 6).alias("hours"))
@@ -124,7 +124,7 @@ SELECT spec_id, source, CASE WHEN source = 'exact' THEN round(a.price, 8) END AS
     CASE WHEN source = 'exact' THEN round(qty * a.price, 7) END AS total_material FROM p"""
 
 
-@query(CASCADE)
+@query(CASCADE, whole=True)
 def hourly_cascade(t: Tables):
     """The whole cascade: exact, parked for permission, norm, run rate, confidence, totals and no price."""
     cand = candidates(t)
@@ -149,7 +149,7 @@ def hourly_cascade(t: Tables):
     )
 
 
-@query(f"""WITH c AS ({CASCADE}) SELECT source, count(*) AS n FROM c GROUP BY source""")
+@query(f"""WITH c AS ({CASCADE}) SELECT source, count(*) AS n FROM c GROUP BY source""", whole=True)
 def cascade_statistics(t: Tables):
     """Rows by source."""
     return hourly_cascade(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
@@ -205,7 +205,7 @@ def hard_filter_pairs(t: Tables):
 
 @query(f"""{BASE}, {LEXICAL}, per AS (SELECT s.spec_id, i.file_id, max(sim.similarity) AS best FROM specs s JOIN sim ON sim.spec_text = s.text AND sim.category = s.category
     JOIN (SELECT DISTINCT file_id, text || ' ' || size AS item_text, category FROM items WHERE file_id % 5 <> 4) i ON i.item_text = sim.item_text AND i.category = sim.category GROUP BY 1, 2)
-SELECT file_id, round(sum(best) / (SELECT count(*) FROM specs), 6) AS score FROM per GROUP BY file_id""")
+SELECT file_id, round(sum(best) / (SELECT count(*) FROM specs), 6) AS score FROM per GROUP BY file_id""", whole=True)
 def template_ranking(t: Tables):
     """How well each file covers a work list: the mean over its items of the best similarity in the file."""
     specs = t.specs()

@@ -10,8 +10,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
-    """Registers ``fn(tables) -> DataFrame`` under its name; ``sql`` is its equivalent."""
+def query(sql: str | None = None, name: str | None = None, whole: bool = False):
+    """Registers ``fn(tables) -> DataFrame`` under its name; ``sql`` is its equivalent.
+
+    ``whole`` registers it once more, as ``whole_`` and the name, over all rows of
+    its tables where ``sql`` names a part of them; that one has no equivalent.
+    """
 
     def register(fn):
         from rubicost.tables import Tables
@@ -20,6 +24,8 @@ def query(sql: str | None = None, name: str | None = None):
         if key in QUERIES:
             raise ValueError(f"{key} is registered already")
         QUERIES[key] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        if whole:
+            QUERIES[f"whole_{key}"] = lambda spark, sf_dir: fn(Tables(spark, sf_dir, whole=True))
         if sql:
             ORACLES[key] = sql
         return fn
