@@ -193,14 +193,39 @@ SELECT a_id, b_id FROM a JOIN b ON (a.category = b.category OR b.category = 'oth
     AND (a.unit IS NULL OR a.unit = b.unit OR (a.unit IN ('pcs', 'set', 'point') AND b.unit IN ('pcs', 'set', 'point')) OR (a.unit IN ('set', 'lot') AND b.unit IN ('set', 'lot')))""")
 def hard_filter_pairs(t: Tables):
     """Pairs that pass the hard filter of attributes and units; the wildcard category is a key of its own."""
+    a, b = filter_sides(t("part").where("p_partkey % 40 = 0"), t("part").where("p_partkey % 7 = 0"))
+    return filtered(a, b).select("a_id", "b_id")
+
+
+def filter_sides(a, b):
+    """Both sides of the hard filter: id, category, size and unit."""
     unit_a = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'pcs' WHEN 1 THEN 'set' WHEN 2 THEN 'lot' END")
     unit_b = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'point' WHEN 1 THEN 'set' ELSE 'm' END")
-    a = t("part").where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("a_id"), F.col("p_type").alias("ca"), F.col("p_size").alias("sa"), unit_a.alias("ua"))
-    b = t("part").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("b_id"), F.when(F.col("p_type") == "PROMO", "other").otherwise(F.col("p_type")).alias("cb"), F.nullif("p_size", F.lit(7)).alias("sb"), unit_b.alias("ub"))
-    keyed = a.withColumn("k", F.explode(F.array("ca", F.lit("other"))))
-    both = keyed.join(b, F.col("k") == F.col("cb"))
+    a = a.select(F.col("p_partkey").alias("a_id"), F.col("p_type").alias("ca"), F.col("p_size").alias("sa"), unit_a.alias("ua"))
+    return a, b.select(F.col("p_partkey").alias("b_id"), F.when(F.col("p_type") == "PROMO", "other").otherwise(F.col("p_type")).alias("cb"), F.nullif("p_size", F.lit(7)).alias("sb"), unit_b.alias("ub"))
+
+
+def filtered(a, b):
+    """Pairs of rows of both sides that pass the hard filter."""
+    both = a.withColumn("k", F.explode(F.array_distinct(F.array("ca", F.lit("other"))))).join(b, F.col("k") == F.col("cb"))
     ok = attributes_compatible({"category": F.col("ca"), "size": F.col("sa")}, {"category": F.col("cb"), "size": F.col("sb")}) & units_compatible(F.col("ua"), F.col("ub"))
-    return both.where(ok).select("a_id", "b_id")
+    return both.where(ok)
+
+
+@query()
+def whole_hard_filter_pairs(t: Tables):
+    """All parts on both sides, by classes of equal category, size and unit: the pairs of classes that pass and the members of each class.
+
+    A row with ``a`` and ``b`` is a pair of classes, one with an id is a member of
+    the class beside it. The pairs of rows are the members of the one with those
+    of the other; their number grows with the square of the parts, that of the
+    classes does not.
+    """
+    a, b = filter_sides(t("part"), t("part"))
+    in_a, in_b = F.struct(F.col("ca").alias("category"), F.col("sa").alias("size"), F.col("ua").alias("unit")).alias("a"), F.struct(F.col("cb").alias("category"), F.col("sb").alias("size"), F.col("ub").alias("unit")).alias("b")
+    pairs = filtered(a.drop("a_id").distinct(), b.drop("b_id").distinct()).select(in_a, in_b)
+    members = a.select(in_a, "a_id").unionByName(b.select(in_b, "b_id"), allowMissingColumns=True)
+    return pairs.unionByName(members, allowMissingColumns=True)
 
 
 @query(f"""{BASE}, {LEXICAL}, per AS (SELECT s.spec_id, i.file_id, max(sim.similarity) AS best FROM specs s JOIN sim ON sim.spec_text = s.text AND sim.category = s.category
@@ -230,10 +255,10 @@ def price_spread(t: Tables):
 
 @query("""WITH w AS (SELECT page_id, (length(html) % 90 + 10)::DOUBLE AS price, page_id % 3 AS kind FROM pages), r AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'norm' WHEN 2 THEN 'exact' ELSE 'none' END AS source FROM part)
 SELECT p_partkey, CASE WHEN source = 'none' AND price IS NOT NULL THEN 'web' ELSE source END AS source, CASE WHEN source IN ('none', 'norm') THEN price END AS unit_material, CASE WHEN source = 'none' AND price IS NOT NULL THEN 40 END AS pct
-FROM r LEFT JOIN w ON w.page_id = p_partkey AND w.kind = 0""")
+FROM r LEFT JOIN w ON w.page_id = p_partkey AND w.kind = 0""", whole=True)
 def web_prices(t: Tables):
     """Web prices fill rows that have no material price; only rows without any source change theirs."""
-    w = t("pages").where("page_id % 3 = 0").select("page_id", (F.length("html") % 90 + F.lit(10.0)).alias("price"))
+    w = t.part_of("pages", "page_id % 3 = 0").select("page_id", (F.length("html") % 90 + F.lit(10.0)).alias("price"))
     r = t("part").select("p_partkey", F.expr("CASE p_partkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'norm' WHEN 2 THEN 'exact' ELSE 'none' END").alias("source"))
     found = (F.col("source") == "none") & F.col("price").isNotNull()
     return r.join(w, F.col("page_id") == F.col("p_partkey"), "left").select("p_partkey", F.when(found, "web").otherwise(F.col("source")).alias("source"), F.when(F.col("source").isin("none", "norm"), F.col("price")).alias("unit_material"), F.when(found, 40).alias("pct"))

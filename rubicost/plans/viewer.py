@@ -67,11 +67,11 @@ def find_in_rows(t: Tables):
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS pos, l_suppkey FROM lineitem WHERE l_suppkey % 10 = 3),
 a AS (SELECT l_suppkey, coalesce(min(pos) FILTER (WHERE l_orderkey >= 3000), max(pos)) AS place FROM r GROUP BY l_suppkey)
-SELECT r.l_suppkey, pos, l_orderkey, l_linenumber FROM r JOIN a ON a.l_suppkey = r.l_suppkey WHERE pos // 25 = place // 25""")
+SELECT r.l_suppkey, pos, l_orderkey, l_linenumber FROM r JOIN a ON a.l_suppkey = r.l_suppkey WHERE pos // 25 = place // 25""", whole=True)
 def page_around_row(t: Tables):
     """For each sheet the page of 25 rows that holds the first row at or after a given one."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    rows = t("lineitem").where("l_suppkey % 10 = 3").withColumn("pos", (F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)) - 1).cast("long"))
+    rows = t.part_of("lineitem", "l_suppkey % 10 = 3").withColumn("pos", (F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)) - 1).cast("long"))
     at = rows.groupBy("l_suppkey").agg(F.coalesce(F.min(F.when(F.col("l_orderkey") >= 3000, F.col("pos"))), F.max("pos")).alias("at"))
     return rows.join(at, "l_suppkey").where(F.floor(F.col("pos") / 25) == F.floor(F.col("at") / 25)).select("l_suppkey", "pos", "l_orderkey", "l_linenumber")
 

@@ -56,3 +56,61 @@ def test_similar_texts_of_each_part(run, part, items):
             cover[f] = cover.get(f, 0) + max(s for (_, g), s in near.items() if g == f)
     assert sorted((r["spec_id"], r["rank"], r["item_text"], r["similarity"]) for r in run("lexical_candidates")) == sorted(want)
     assert {r["file_id"]: r["score"] for r in run("template_ranking")} == pytest.approx({f: s / len(part) for f, s in cover.items()}, abs=2e-6)
+
+
+def test_hard_filter_classes_hold_all_pairs(run, part):
+    rows, pairs = run("hard_filter_pairs"), set()
+    a_of, b_of = {}, {}
+    for r in rows:
+        if r["a_id"] is not None:
+            a_of.setdefault(r["a"], []).append(r["a_id"])
+        elif r["b_id"] is not None:
+            b_of.setdefault(r["b"], []).append(r["b_id"])
+    met = [(r["a"], r["b"]) for r in rows if r["a"] and r["b"]]
+    assert len(met) == len(set(met))
+    for a, b in met:
+        pairs |= {(x, y) for x in a_of[a] for y in b_of[b]}
+    groups, want = (("pcs", "set", "point"), ("set", "lot")), set()
+    for x in part:
+        for y in part:
+            ua, ub = ("pcs", "set", "lot", None)[x["p_partkey"] % 4], ("point", "set", "m")[y["p_partkey"] % 3]
+            unit = ua is None or ua == ub or any(ua in g and ub in g for g in groups)
+            if unit and (y["p_type"] in ("PROMO", x["p_type"])) and y["p_size"] in (7, x["p_size"]):
+                want.add((x["p_partkey"], y["p_partkey"]))
+    assert pairs == want
+
+
+def test_all_rows_ask_and_answer(run, spark, sf_dir, part):
+    types = {r["p_type"]: set() for r in part}
+    for r in part:
+        types[r["p_type"]].add(r["p_size"])
+    ids = lambda step, at: sorted(r["p_partkey"] for r in part if any(s % step == at for s in types[r["p_type"]]))
+    assert sorted(r["want_id"] for r in run("band_interpolation")) == ids(7, 0)
+    assert sorted(r["want_id"] for r in run("rating_round_up")) == ids(6, 1)
+    words = {(f"{r['p_name']} {r['p_type'].lower()}") for r in part}
+    best = {}
+    for a in {r["p_name"] for r in part}:
+        near = sorted((-len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split())), b) for b in words)[0]
+        if -near[0] >= 0.5:
+            best[a] = near[1]
+    assert {r["a"]: r["b"] for r in run("similar_text")} == best
+    assert {(r["w0"], r["wb"]) for r in run("bracket_grid")} == {(r["p_size"], r["p_size"]) for r in part}
+    pages = {r["page_id"]: float(len(r["html"]) % 90 + 10) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    assert {r["p_partkey"]: r["unit_material"] for r in run("web_prices")} == {r["p_partkey"]: pages.get(r["p_partkey"]) if r["p_partkey"] % 4 != 2 else None for r in part}
+
+
+def test_all_lines_are_read(run, items):
+    lines = [i for i, _ in items]
+    got = run("cross_model_references")
+    assert len(got) == len(lines) and sum(not r["needs_check"] for r in got) == sum(i["l_suppkey"] % 2 for i in lines)
+    assert {r["l_suppkey"] for r in run("page_around_row")} == {i["l_suppkey"] for i in lines}
+    size = lambda x: "small" if x < 10 else "medium" if x < 30 else "large"
+    best = {}
+    for i in lines:
+        k = size(i["l_quantity"])
+        best[k] = min(best.get(k, i["l_suppkey"]), i["l_suppkey"])
+    mine = {k: sorted((i["l_orderkey"], i["l_linenumber"], i["l_partkey"], i["l_extendedprice"]) for i in lines if size(i["l_quantity"]) == k and i["l_suppkey"] == f) for k, f in best.items()}
+    for r in run("contractor_lookup"):
+        rows = mine[r["class"]]
+        same = sorted((o, p, x) for o, n, p, x in rows if n == r["phase"])
+        assert r["rate"] == pytest.approx(same[0][2] if same else rows[0][3], abs=0.006)
