@@ -17,7 +17,7 @@ ORDER = ["l_linenumber", "l_partkey", "l_extendedprice"]
 SQL_ORDER = "l_linenumber, l_partkey, l_extendedprice"
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS value FROM lineitem WHERE l_orderkey < 3000""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS value FROM lineitem WHERE l_orderkey < 3000""", whole=True)
 def parsed_numbers(t: Tables):
     """Numbers written in eight ways are all read back."""
     x = F.col("l_quantity")
@@ -35,7 +35,7 @@ def parsed_numbers(t: Tables):
     )
     value = parse_number(text)
     back = F.when(n.isin(5, 6), value / 1000).when(n == 7, -value).otherwise(value)
-    return t("lineitem").where("l_orderkey < 3000").select("l_orderkey", "l_linenumber", "l_partkey", back.alias("value"))
+    return t.part_of("lineitem", "l_orderkey < 3000").select("l_orderkey", "l_linenumber", "l_partkey", back.alias("value"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'pcs' WHEN 1 THEN 'm2' WHEN 2 THEN 'h' WHEN 3 THEN CASE WHEN p_size % 2 = 0 THEN 'h' ELSE 'pcs' END WHEN 4 THEN 'set' WHEN 5 THEN NULL ELSE 'm' END AS unit FROM part""")
@@ -231,11 +231,11 @@ def norm_records(t: Tables):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, (CASE WHEN l_partkey % 1000 >= 702 THEN chr((65 + ((l_partkey % 1000 + 1 - 703) // 676))::INTEGER) ELSE '' END) || (CASE WHEN l_partkey % 1000 + 1 > 26 THEN chr((65 + ((l_partkey % 1000 + 1 - 27) // 26) % 26)::INTEGER) ELSE '' END)
-    || chr((65 + (l_partkey % 1000) % 26)::INTEGER) || l_linenumber AS cell, CASE WHEN l_discount * 100 - floor(l_discount * 100) >= 0 THEN floor(l_quantity / 4 * 1 + 0.5) END AS rounded FROM lineitem WHERE l_orderkey < 2000""")
+    || chr((65 + (l_partkey % 1000) % 26)::INTEGER) || l_linenumber AS cell, CASE WHEN l_discount * 100 - floor(l_discount * 100) >= 0 THEN floor(l_quantity / 4 * 1 + 0.5) END AS rounded FROM lineitem WHERE l_orderkey < 2000""", whole=True)
 def cell_names(t: Tables):
     """Spreadsheet coordinates and rounding half away from zero."""
     n = (F.col("l_partkey") % 1000 + 1).cast("int")
-    return t("lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(column_letters(n), F.col("l_linenumber").cast("string")).alias("cell"), excel_round(F.col("l_quantity") / 4).alias("rounded"))
+    return t.part_of("lineitem", "l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(column_letters(n), F.col("l_linenumber").cast("string")).alias("cell"), excel_round(F.col("l_quantity") / 4).alias("rounded"))
 
 
 @query("""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) SELECT doc_id, len(list_filter(ls, lambda s: trim(s) <> '')) AS lines FROM x""")
@@ -244,7 +244,7 @@ def work_list_lines(t: Tables):
     return t("documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")).cast("long").alias("lines"))
 
 
-@query("""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand || ', ' || p_type), '[^a-z0-9 ]', ' ', 'g')) AS raw_key FROM part WHERE false""")
+@query("""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand || ', ' || p_type), '[^a-z0-9 ]', ' ', 'g')) AS raw_key FROM part WHERE false""", whole=True)
 def empty_keys(t: Tables):
     """An empty input gives an empty result with the same columns."""
-    return t("part").where("false").select("p_partkey", normalised(F.concat_ws(" ", "p_name", "p_brand")).alias("raw_key"))
+    return t.part_of("part", "false").select("p_partkey", normalised(F.concat_ws(" ", "p_name", "p_brand")).alias("raw_key"))

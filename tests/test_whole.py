@@ -114,3 +114,23 @@ def test_all_lines_are_read(run, items):
         rows = mine[r["class"]]
         same = sorted((o, p, x) for o, n, p, x in rows if n == r["phase"])
         assert r["rate"] == pytest.approx(same[0][2] if same else rows[0][3], abs=0.006)
+
+
+def test_later_orders_are_read_too(spark):
+    """On sf0.01, whose order keys reach 14999."""
+    sf_dir = "/root/testdata/sf0.01"
+    run = lambda name: [r.asDict() for r in __spark_entry__.queries()[f"whole_{name}"](spark, sf_dir).collect()]
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").collect()
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").collect()
+    key = lambda r: (r["l_orderkey"], r["l_linenumber"], r["l_partkey"])
+    assert sorted((*key(r), r["value"]) for r in run("parsed_numbers")) == sorted((*key(r), r["l_quantity"]) for r in lines)
+    for name in ("cell_names", "edited_rows", "markers_joined"):
+        assert sorted(map(key, run(name))) == sorted(map(key, lines)), name
+    orders = {}
+    for r in lines:
+        orders.setdefault(r["l_orderkey"], []).append(r["l_quantity"])
+    layout = run("workbook_layout")
+    assert len(layout) == len(lines) + 2 * len(orders)
+    assert {r["section"]: (r["line"], r["qty"]) for r in layout if r["kind"] == "subtotal"} == {k: (len(q) + 2, sum(q)) for k, q in orders.items()}
+    keys = {r["p_partkey"]: r["raw_key"] for r in run("empty_keys")}
+    assert keys == {r["p_partkey"]: re.sub("[^a-z0-9]+", " ", f"{r['p_name']} {r['p_brand']}".lower()).strip() for r in part}
