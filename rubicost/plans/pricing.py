@@ -1,4 +1,4 @@
-"""The hourly-norm pricing cascade: exact, similar, norm, run rate, no price.
+"""The hourly-norm pricing cascade: exact, similar, parked, norm, fallback, web, run rate, no price.
 
 Every stage aggregates the reference rows to one candidate per distinct text
 before it meets the request rows, so a popular text costs one row, not one per
@@ -124,9 +124,9 @@ SELECT spec_id, source, CASE WHEN source = 'exact' THEN round(a.price, 8) END AS
     CASE WHEN source = 'exact' THEN round(qty * a.price, 7) END AS total_material FROM p"""
 
 
-@query(CASCADE, whole=True)
+@query(CASCADE)
 def hourly_cascade(t: Tables):
-    """The whole cascade: exact, parked for permission, norm, run rate, confidence, totals and no price."""
+    """The stages and rows that the SQL names: exact, parked for permission, category norm, run rate, confidence, totals and no price."""
     cand = candidates(t)
     a = cand.where("state = 'allowed'").select("text", "category", F.col("c").alias("a"))
     o = cand.where("state = 'other'").select("text", "category", F.col("c").alias("o"))
@@ -149,12 +149,75 @@ def hourly_cascade(t: Tables):
     )
 
 
-@query(f"""WITH c AS ({CASCADE}) SELECT source, count(*) AS n FROM c GROUP BY source""", whole=True)
+@query(f"""WITH c AS ({CASCADE}) SELECT source, count(*) AS n FROM c GROUP BY source""")
 def cascade_statistics(t: Tables):
     """Rows by source."""
     return hourly_cascade(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def nearest(t: Tables):
+    """For each text and category of the request rows the most similar allowed and unselected reference row, from ACCEPT on."""
+    k, named = F.col("file_id") % 5, F.concat_ws(" ", "text", F.col("size").cast("string"))
+    state = F.when(k.isin(*ALLOWED), "allowed").otherwise("other")
+    row = F.struct("file_id", F.col("unit_price").alias("price"))
+    refs = t.items().where(~k.isin(*DENIED) & F.col("unit_price").isNotNull()).groupBy(named.alias("r_key"), "category", state.alias("state")).agg(F.min_by(row, F.struct(F.col("tag") != "A", "file_id", "sheet", "row_no", "unit_price")).alias("c"))
+    key = F.concat_ws("\x1f", "text", "category")
+    left = t.specs().select("text", "category").distinct().select(key.alias("k"), "category", tokens(F.col("text")).alias("toks"))
+    right = refs.select("r_key", "category").distinct().withColumn("toks", tokens(F.col("r_key")))
+    sim = lexical_join(left, right, "k", "r_key", on=["category"], least=ACCEPT).withColumn("similarity", F.round("similarity", 6))
+    best = first_of(sim.join(refs, ["r_key", "category"]), ["l_key", "state"], F.desc("similarity"), F.col("r_key"))
+    hit = F.struct("similarity", "c.file_id", "c.price")
+    return best.groupBy("l_key").agg(*[F.max(F.when(F.col("state") == x, hit)).alias(n) for x, n in (("allowed", "a"), ("other", "o"))])
+
+
+@query()
+def whole_hourly_cascade(t: Tables):
+    """All stages for all parts: exact, similar, parked for permission, the norm tiers, weak match, web, run rate and no price.
+
+    The best rows are taken from all similar ones, not from the first eight. The
+    weak match is the fallback without a model.
+    """
+    t = Tables(t.spark, t.sf_dir, whole=True)
+    exact = exact_match(t).select("spec_id", F.col("source").alias("first"), F.col("file_id").alias("first_file"), F.col("price").alias("first_price"))
+    norms = norm_lookup(t).select("spec_id", F.col("pct").alias("norm_pct"), "hours")
+    web = t("pages").groupBy(F.col("page_id").alias("spec_id")).agg(F.min(F.length("html") % 90 + F.lit(10.0)).alias("web"))
+    rows = t.specs().withColumn("l_key", F.concat_ws("\x1f", "text", "category")).join(nearest(t), "l_key", "left")
+    rows = rows.join(exact, "spec_id").join(norms, "spec_id", "left").join(web, "spec_id", "left")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    a, o = F.col("a.similarity"), F.col("o.similarity")
+    blocks = sure(o >= MEDIUM) & (a.isNull() | (o > a + MARGIN)) & ~sure(a >= HIGH)
+    stage = (
+        F.when(F.col("first") == "exact", "exact")
+        .when(~blocks & sure(a >= MEDIUM), "similar")
+        .when(blocks | (F.col("first") == "blocked"), "pending_permission")
+        .when(F.col("hours").isNotNull(), "norm")
+        .when(a.isNotNull(), "weak")
+        .when(F.col("web").isNotNull(), "web")
+        .otherwise("none")
+    )
+    rows, at = rows.withColumn("stage", stage), F.col("stage")
+    material = F.when(at == "exact", F.col("first_price")).when(at.isin("similar", "weak"), F.col("a.price")).when(at.isin("norm", "web"), F.col("web"))
+    pct = F.when(at == "exact", 95).when(at == "similar", F.when(a >= HIGH, 88).otherwise(72)).when(at == "norm", F.col("norm_pct")).when(at == "weak", 50).when(at == "web", 40)
+    flags = F.concat_ws(", ", F.when(pct < 60, "CHECK"), F.when(at.isin("norm", "web") & F.col("web").isNotNull(), "WEB"), F.when(at == "none", "NO PRICE"))
+    return rows.select(
+        "spec_id",
+        F.when(at.isin("similar", "weak"), "semantic").otherwise(at).alias("source"),
+        F.round(material, 8).alias("unit_material"),
+        F.when(at != "pending_permission", F.round(F.col("hours") * TARGET_RATE, 4)).alias("unit_labour"),
+        pct.alias("pct"),
+        F.when(pct >= 80, "high").when(pct >= 60, "medium").when(pct.isNotNull(), "low").alias("confidence"),
+        F.nullif(flags, F.lit("")).alias("flag"),
+        F.when(at == "pending_permission", F.when(F.col("first") == "blocked", F.col("first_file")).otherwise(F.col("o.file_id"))).alias("blocked_file"),
+        F.round(F.col("qty") * material, 7).alias("total_material"),
+    )
+
+
+@query()
+def whole_cascade_statistics(t: Tables):
+    """Rows of the cascade over all parts by source."""
+    return whole_hourly_cascade(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""{with_views("items")}, b AS (SELECT category, max(unit_price / 10000) FILTER (WHERE file_id % 5 IN (1, 2)) AS allowed, max(unit_price / 10000) FILTER (WHERE file_id % 5 IN (0, 3)) AS other,
     arg_max(file_id, (unit_price, -file_id)) FILTER (WHERE file_id % 5 IN (0, 3)) AS other_file FROM items WHERE qty > 10 GROUP BY category, size)
 SELECT category, count(*) AS n, count(*) FILTER (WHERE other >= {MEDIUM} AND (allowed IS NULL OR other > allowed + {MARGIN}) AND NOT coalesce(allowed >= {HIGH}, false)) AS blocked, max(other_file) AS other_file FROM b GROUP BY category""")

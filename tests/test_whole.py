@@ -134,3 +134,25 @@ def test_later_orders_are_read_too(spark):
     assert {r["section"]: (r["line"], r["qty"]) for r in layout if r["kind"] == "subtotal"} == {k: (len(q) + 2, sum(q)) for k, q in orders.items()}
     keys = {r["p_partkey"]: r["raw_key"] for r in run("empty_keys")}
     assert keys == {r["p_partkey"]: re.sub("[^a-z0-9]+", " ", f"{r['p_name']} {r['p_brand']}".lower()).strip() for r in part}
+
+
+def test_cascade_runs_all_stages(spark, tmp_path):
+    """Requests that end in different stages; the weak match is not among them."""
+    names = {1: ("red bolt", "A"), 2: ("green ring", "B"), 3: ("old plate", "C"), 4: ("hot gear", "D"), 5: ("blue wire", "E"), 6: ("big tube", "F"), 8: ("lone part", "G"), 12: ("thin rod", "F"), 24: ("near wide gear", "H"), 36: ("near wide gear set", "H")}
+    part = [(k, n, c, "x", 5, 1000.0 + k) for k, (n, c) in names.items()]
+    # Files 1 and 2 are allowed, 3 is not selected, 4 is denied.
+    lines = [(1, 1, 1, 1), (2, 3, 3, 1), (3, 4, 4, 1), (4, 1, 36, 1)]
+    lines = [(o, f, p, n, 2.0, 20.0, "A", None) for o, f, p, n in lines]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(8, "x" * 7), (5, "y" * 3)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = {r["spec_id"]: r for r in __spark_entry__.queries()["whole_hourly_cascade"](spark, str(tmp_path)).collect()}
+    assert len(rows) == len(part)
+    got = {k: (r["source"], r["unit_material"], r["pct"], r["flag"], r["blocked_file"]) for k, r in rows.items()}
+    assert got[1] == ("exact", 10.0, 95, None, None) and got[36][0] == "exact"
+    assert got[3] == ("pending_permission", None, None, None, 3)
+    assert got[24] == ("semantic", 10.0, 72, None, None)
+    assert got[5] == ("norm", 13.0, 55, "CHECK, WEB", None) and rows[5]["unit_labour"] == pytest.approx(25 * 1.005)
+    assert got[6][:3] == ("norm", None, 85) and got[12][:3] == ("norm", None, 85)
+    assert got[8] == ("web", 17.0, 40, "CHECK, WEB", None)
+    assert got[4] == ("none", None, None, "NO PRICE", None)
