@@ -7,14 +7,16 @@ data through the driver.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -107,16 +109,30 @@ def plain(column: pa.Array) -> list:
     return out if not column.null_count else [x if ok else None for x, ok in zip(out, column.is_valid().to_pylist(), strict=True)]
 
 
+def slices(batch: pa.RecordBatch, rows: int, volume: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of at most ``rows`` rows; halved while they hold more than ``volume`` bytes."""
+    todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+    while todo:
+        part = todo.pop()
+        if part.num_rows > 1 and part.nbytes > volume:
+            half = part.num_rows // 2
+            todo += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
+
+
 def map_slices(
     df: DataFrame,
     fn: Callable[[], Callable[[dict[str, list]], dict[str, Iterable]]],
     schema: str,
     rows: int = 256,
+    volume: int = 4 << 20,
 ) -> DataFrame:
     """Maps a frame by slices of few rows, so that memory stays bounded.
 
     ``fn()`` is called once for each task and returns a function from columns
-    (name to list) to output columns. Slices hold at most ``rows`` rows.
+    (name to list) to output columns (lists or Arrow arrays). A slice has at most ``rows`` rows and
+    about ``volume`` bytes, or a single row that is larger.
     """
     target = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(target)
@@ -124,28 +140,77 @@ def map_slices(
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = fn()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows, volume):
                 out = work({n: plain(part.column(i)) for i, n in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+                made = [x if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(made, schema=arrow)
 
     return df.mapInArrow(task, schema)
 
 
+def keep_slices(df: DataFrame, column: str, fn: Callable[[], Callable[[list], list[bool]]], rows: int = 256, volume: int = 4 << 20) -> DataFrame:
+    """The rows that ``fn()`` says true for, by the values of one column; all columns pass through, whatever their names."""
+    at = df.columns.index(column)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = fn()
+        for batch in batches:
+            for part in slices(batch, rows, volume):
+                yield part.filter(pa.array(work(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(task, df.schema)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """A hash of all columns of a row that have one (maps have none); orders rows that are alike otherwise."""
+    return F.xxhash64(*[F.col(f"`{f.name.replace('`', '``')}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a local one only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/rubicost"
+    """The shared folder that ``spark.checkpoint.dir`` names; a local one only for ``local`` masters where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return root or "/tmp/checkpoints/rubicost"
+
+
+#: folders of saved frames that ``discard`` may delete
+FOLDERS: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the frame is computed once, written to the shared checkpoint folder and read from there.
 
-    Executors that are lost later cost nothing that was computed before.
+    Executors that are lost later cost nothing that was computed before. The
+    files stay for lazy results that read them; ``discard`` deletes those that
+    nothing reads any more.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/rubicost-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    FOLDERS[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a frame that ``saved`` returned and that no later plan reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(FOLDERS.pop(df))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the frame doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def ddl(df: DataFrame) -> str:
+    """The columns of a frame as a schema string, whatever their names."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def text_key(text: str = "text"):

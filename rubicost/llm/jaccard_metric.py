@@ -13,49 +13,54 @@ is the connected component of each document.
    and share a cell: a slice that is equal and not empty or, where a document
    has more empty slices than were spared, one of its first empty slices (the
    prefix of a set that has to overlap another in so many members).
-3. Each cell's pivots are measured against all members, linearly in its size.
-   Members within the radius link to the pivot; pairs in one component are
-   settled, which ends cells of near copies however large. A later round takes
-   another pivot in cells that still hold several components.
+3. Each cell's smallest member is its pivot and is measured against all others,
+   linearly in its size. Members within the radius link to the pivot; pairs in
+   one component are settled, which ends cells of near copies however large. A
+   second round takes another pivot in large cells of many components.
 4. What stays open is joined recursively in bounded tasks: pivots split a
    region into Voronoi regions, and a document also goes to each region whose
    pivot is not farther than its own pivot plus twice the radius (triangle
-   inequality). Cells beyond ``REGION`` members meet block by block.
+   inequality). Cells beyond ``REGION`` members meet block by block; members of
+   the cell's largest component never meet each other there. A pair is proposed
+   in one cell only: the first of those that its two members share.
 
-Each document has a sketch: a hash of each of its slices, cut finer by ``fine``.
-The number of fine slices that differ is a metric too and never more than the number of shingles that
-differ, so it rules pairs out before any text is read (steps 3 and 4). What it
-doesn't rule out is measured on the texts' own shingles: hashes only propose.
+A slice is kept as 32 bits, which are the hashes of its finer slices. All slices
+of a document are its sketch. The number of fine slices that differ is a metric
+too and never more than the number of shingles that differ, so it rules pairs
+out before any text is read (steps 3 and 4). What it doesn't rule out is
+measured on the texts' own shingles: hashes only propose.
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing; with fewer words than a shingle the whole sequence is the one
 shingle; rows with one doc_id are one node, each of their texts counts; a null
 doc_id takes no part and its component is null; an empty table gives no rows;
-other columns are ignored.
+other columns are ignored by ``join`` and pass through ``one_of_each``. There,
+of rows with one doc_id the one with the smallest text stays, and rows with a
+null doc_id stay.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubicost.llm.common import map_slices, mix64, rolling, saved, sieve, signed, word_hashes, words_of
+from rubicost.llm.common import FOLDERS, discard, free_name, map_slices, mix64, rolling, saved, sieve, signed, slices, word_hashes, words_of
 
 SHINGLE = 3
 PERCENT = 90
-CLASS_RATIO = 1.2
+CLASS_RATIO = 1.25
 REGION = 256
 LEAF = 12
-#: fine slices of a sketch for each shingle, about
+#: fine slices of a sketch for each shingle, at most about
 RESOLUTION = 0.45
 
 SCAN = "doc_id long, n_shingles long, s1 long, s2 long, sigs array<struct<c:int,sketch:binary>>"
-POSTS = "s1 long, sigs array<struct<c:int,keys:array<long>>>"
 
 
 def lowered(text: str) -> str:
@@ -86,23 +91,25 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 class SizeClasses:
     """Classes of set sizes and, for each, how many slices and spare slices it has.
 
-    Linked sets whose larger one has N members differ in at most N * (100 - percent) / percent.
+    Linked sets differ in at most (100 - percent) / (100 + percent) of their sizes' sum.
     """
 
     def __init__(self, percent: int, ratio: float = CLASS_RATIO) -> None:
         self.percent, self.ratio = percent, ratio
         self.least = -(-percent // (100 - percent))  # smaller sets link only if equal
-        self.fine = max(1, round(RESOLUTION * percent / (100 - percent)))
+        #: fine slices of a slice; they share its 32 bits
+        self.fine = max(f for f in (1, 2, 4) if f == 1 or f <= RESOLUTION * percent / (100 - percent) + 0.5)
         self.tops: list[int] = []
 
     def at(self, n: int) -> int:
+        """The class of size n."""
         while not self.tops or self.tops[-1] < n:
             low = self.tops[-1] + 1 if self.tops else self.least
             self.tops.append(max(low, int(low * self.ratio)))
-        return next(i for i, top in enumerate(self.tops) if top >= n)
+        return bisect_left(self.tops, n)
 
     def slices(self, c: int) -> tuple[int, int]:
-        least = self.tops[c] * (100 - self.percent) // self.percent + 1
+        least = 2 * self.tops[c] * (100 - self.percent) // (100 + self.percent) + 1
         smallest = (self.tops[c - 1] + 1 if c else self.least) * self.percent / 100
         empty = least * math.exp(-smallest / least)  # as many are expected; more than three deviations beyond are rare
         spare = math.ceil(empty + 3 * math.sqrt(empty))
@@ -114,32 +121,36 @@ class SizeClasses:
             return range(0)
         return range(self.at(n), self.at(n * 100 // self.percent) + 1)
 
+    def unpacked(self, sketch: bytes) -> np.ndarray:
+        """The fine slices of a sketch."""
+        return np.frombuffer(sketch, dtype=f"<u{4 // self.fine}")
 
-def sketch(h: np.ndarray, m: int, fine: int) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Hash of each slice, whether it holds a shingle, and the sketch: 8 bits for each fine slice."""
+
+def sketch(h: np.ndarray, m: int, fine: int) -> np.ndarray:
+    """32 bits for each slice of a set, made of the hashes of its fine slices; 0 for an empty one."""
     at = ((h >> np.uint64(20)) % np.uint64(fine * m)).astype(np.int64)
     sums = np.zeros(fine * m, dtype=np.uint64)
     np.add.at(sums, at, mix64(h))
-    full = np.bincount(at % m, minlength=m) > 0
-    return mix64(sums.reshape(fine, m).sum(axis=0, dtype=np.uint64)), full, (mix64(sums) >> np.uint64(56)).astype(np.uint8).tobytes()
-
-
-def signatures(h: np.ndarray, classes: SizeClasses) -> tuple[list[np.ndarray], list[int], list[bytes]]:
-    """Cells of a set for each of its classes, the classes, and its sketches there."""
-    keys, own, sketches = [], [], []
-    for c in classes.of(len(h)):
-        m, spare = classes.slices(c)
-        sums, full, fine = sketch(h, m, classes.fine)
-        salt = np.uint64(c * 0xA24BAED4963EE407 % (1 << 64))
-        key = mix64(mix64(sums[full] + salt) + np.flatnonzero(full).astype(np.uint64))
-        empty = np.flatnonzero(~full)
-        if len(empty) > spare:
-            first = empty[: len(empty) - spare].astype(np.uint64)
-            key = np.concatenate([key, mix64(mix64(first + salt) + np.uint64(0xE7037ED1A0B428DB))])
-        keys.append(key)
-        own.append(c)
-        sketches.append(fine)
-    return keys, own, sketches
+    return (mix64(sums) >> np.uint64(64 - 32 // fine)).astype(f"<u{4 // fine}").view("<u4")
+
+
+def posted(slices: np.ndarray, spare: int) -> np.ndarray:
+    """Which slices name a cell: those that aren't empty, and the first empty ones beyond the spare number."""
+    out = slices != 0
+    empty = np.flatnonzero(~out)
+    out[empty[: max(0, len(empty) - spare)]] = True
+    return out
+
+
+def cell_keys(c: int, slices: np.ndarray, spare: int) -> np.ndarray:
+    """Cells of a set in a class: the class, the slice's place (24 bits) and its content, side by side."""
+    at = np.flatnonzero(posted(slices, spare)).astype(np.uint64)
+    return signed(np.uint64(c & 127) << np.uint64(56) | (at & np.uint64(0xFFFFFF)) << np.uint64(32) | slices[at].astype(np.uint64))
+
+
+def signatures(h: np.ndarray, classes: SizeClasses) -> list[tuple[int, np.ndarray]]:
+    """The classes of a set and its sketch in each."""
+    return [(c, sketch(h, classes.slices(c)[0], classes.fine)) for c in classes.of(len(h))]
 
 
 def set_hash(h: np.ndarray, salt: int = 0) -> int:
@@ -160,7 +171,7 @@ def scan(documents: DataFrame, size: int, percent: int) -> DataFrame:
                 "n_shingles": [len(h) for h in sets],
                 "s1": [set_hash(h) for h in sets],
                 "s2": [set_hash(h, 0x8EBC6AF09C88C6E3) for h in sets],
-                "sigs": [[{"c": c, "sketch": b} for _, c, b in zip(*signatures(h, classes), strict=True)] for h in sets],
+                "sigs": [[{"c": c, "sketch": x.tobytes()} for c, x in signatures(h, classes)] for h in sets],
             }
 
         return work
@@ -168,24 +179,59 @@ def scan(documents: DataFrame, size: int, percent: int) -> DataFrame:
     return map_slices(documents.select("doc_id", "text"), start, SCAN, rows=64)
 
 
-def postings(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """s1, c, key: the cells of each row's set, dealt out by key.
+def postings(rows: DataFrame, percent: int) -> DataFrame:
+    """key, s1: the cells of each row's set, from its sketches."""
 
-    They outweigh the texts' other data by far, so they are made from the texts
-    where they are dealt out, and written nowhere else.
-    """
-
-    def start():
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(percent)
+        for batch in batches:
+            for part in slices(batch, 64, 1 << 20):
+                keys, owner = [], []
+                for s1, n, sigs in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    classes.of(n)
+                    own = [cell_keys(z["c"], np.frombuffer(z["sketch"], "<u4"), classes.slices(z["c"])[1]) for z in sigs]
+                    keys += own
+                    owner.append(np.full(sum(map(len, own)), s1, dtype=np.int64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], names=["key", "s1"])
 
-        def work(cols):
-            sets = [shingle_hashes(t, size) for t in cols["text"]]
-            return {"s1": [set_hash(h) for h in sets], "sigs": [[{"c": c, "keys": signed(k)} for k, c, _ in zip(*signatures(h, classes), strict=True)] for h in sets]}
+    return rows.select("s1", "n_shingles", "sigs").mapInArrow(task, "key long, s1 long")
 
-        return work
 
-    found = map_slices(documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text"), start, POSTS, rows=64)
-    return found.select("s1", F.explode("sigs").alias("z")).select("s1", "z.c", F.explode("z.keys").alias("key")).repartition("key")
+def with_pivots(postings: DataFrame) -> DataFrame:
+    """key, s1, p: the members of cells of two or more, p being the smallest. Cells are streamed, none is held."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = member = pivot = None  # of the row before
+        told = False  # whether the pivot's own row of that cell is out
+        for batch in batches:
+            key, s1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            fresh = np.empty(len(key), dtype=bool)
+            fresh[0] = key[0] != cell
+            fresh[1:] = key[1:] != key[:-1]
+            again = np.zeros(len(key), dtype=bool)
+            again[0] = not fresh[0] and s1[0] == member
+            again[1:] = ~fresh[1:] & (s1[1:] == s1[:-1])
+            cell, member = key[-1], s1[-1]
+            key, s1, fresh = key[~again], s1[~again], fresh[~again]
+            if not len(key):
+                continue
+            begin = np.flatnonzero(fresh)
+            run = np.cumsum(fresh)
+            p = np.concatenate([[0 if pivot is None else pivot], s1[begin]])[run]
+            out = ~fresh
+            several = begin[np.append(out[1:], False)[begin]]
+            at = np.concatenate([np.flatnonzero(out), several])
+            rows = [key[at], s1[at], p[at]]
+            if not fresh[0] and not told:
+                rows = [np.append(x, y) for x, y in zip(rows, (key[0], pivot, pivot), strict=True)]
+            told = bool(several[-1] == begin[-1]) if len(begin) and len(several) else not len(begin)
+            pivot = p[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in rows], names=["key", "s1", "p"])
+
+    return postings.repartition("key").sortWithinPartitions("key", "s1").mapInArrow(task, "key long, s1 long, p long")
 
 
 def may_link(a: np.ndarray, b: np.ndarray, n_a, n_b, percent: int) -> np.ndarray:
@@ -213,9 +259,12 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         best = labels.join(near, labels.v == near.a, "left").select("v", "label", F.least("label", F.coalesce("m", "label")).alias("m"))
         jump = labels.select(F.col("v").alias("j"), F.col("label").alias("j_label"))
         new = saved(best.join(jump, F.col("m") == F.col("j"), "left").select("v", F.col("label").alias("old"), F.least("m", F.coalesce("j_label", "m")).alias("label")))
+        discard(labels)
         labels = new.select("v", "label")
         if new.where("label <> old").isEmpty():
+            discard(edges)
             return labels
+        FOLDERS[labels] = FOLDERS.pop(new)
 
 
 def sifted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -225,8 +274,10 @@ def sifted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(left, ["x", "c"]).join(right, ["y", "c"]).where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
 
     def start():
+        unpacked = SizeClasses(percent).unpacked
+
         def work(cols):
-            keep = [bool(may_link(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), n, m, percent)) for a, b, n, m in zip(cols["a"], cols["b"], cols["n_x"], cols["n_y"], strict=True)]
+            keep = [bool(may_link(unpacked(a), unpacked(b), n, m, percent)) for a, b, n, m in zip(cols["a"], cols["b"], cols["n_x"], cols["n_y"], strict=True)]
             return {k: [v for v, ok in zip(cols[k], keep, strict=True) if ok] for k in ("x", "y")}
 
         return work
@@ -290,34 +341,50 @@ def region_pairs(sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray, pe
     return sorted((int(i), int(j)) for i, j in found)
 
 
-def open_cells(members: DataFrame, labels: DataFrame, pivots: int) -> DataFrame:
-    """key, c, s1, label, size of the members of cells that hold several components.
+def open_cells(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, c, s1, label, size, top, n_top of the members of cells that hold several components.
 
-    ``pivots`` members of each cell have met all others, so cells with only one more are settled.
+    A cell's pivot has met all others, so cells of two are settled. ``top`` is
+    the component with most members, ``n_top`` their number.
     """
-    named = members.join(labels.select(F.col("v").alias("rep"), F.col("label").alias("found")), "rep", "left").select("key", "c", "s1", F.coalesce("found", "rep").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where((F.col("lo") < F.col("hi")) & (F.col("size") > pivots + 1)).select(F.col("key").alias("k"), "size")
-    return named.join(mixed, F.col("key") == F.col("k")).drop("k")
+    named = met.join(labels, "s1").select("key", "s1", "label")
+    kinds = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("k"))
+    mixed = kinds.agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("z"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1 AND size > 2")
+    some = mixed.select("k", "size", F.col("z.label").alias("top"), F.col("z.n").alias("n_top"))
+    return named.join(some, F.col("key") == F.col("k")).select("key", class_of("key").alias("c"), "s1", "label", "size", "top", "n_top")
+
+
+def class_of(key: str) -> Column:
+    return F.shiftright(key, 56).cast("int")
 
 
 def joined_in_tasks(cells: DataFrame, sketches: DataFrame, percent: int, region: int) -> DataFrame:
-    """x, y of pairs within open cells that may link; a task holds at most about two blocks of ``region`` members."""
-    blocks = F.ceil(F.col("size") / F.lit(region)).cast("int")
-    own = F.pmod(F.xxhash64("s1", "key"), blocks).cast("int")
-    full = cells.join(sketches, ["s1", "c"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    """x, y of pairs within open cells that may link; a task holds at most about two blocks of ``region`` members.
+
+    The members of the largest component have blocks of their own, which meet
+    those of the others and not each other.
+    """
+    top = F.col("label") == F.col("top")
+    many, rest = F.ceil(F.col("n_top") / F.lit(region)).cast("int"), F.ceil((F.col("size") - F.col("n_top")) / F.lit(region)).cast("int")
+    place = F.xxhash64("s1", "key")
+    own = F.when(top, F.pmod(place, many)).otherwise(many + F.pmod(place, rest)).cast("int")
+    others = F.sequence(F.when(top, many).otherwise(F.lit(0)), many + rest - 1)
+    full = cells.join(sketches, ["s1", "c"]).withColumn("own", own).withColumn("other", F.explode(others))
     dealt = full.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "s1", "label", "n", "sketch")
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        classes = SizeClasses(percent)
 
         def flush() -> pa.RecordBatch:
             g = pa.Table.from_batches(held)
-            lo, hi = g["lo"][0].as_py(), g["hi"][0].as_py()
+            key, lo, hi = (g[k][0].as_py() for k in ("key", "lo", "hi"))
             cross = None if lo == hi else g["own"].to_numpy() == hi
-            vectors = np.stack([np.frombuffer(b, np.uint8) for b in g["sketch"].to_pylist()])
-            s1 = g["s1"].to_numpy()
-            got = np.array(region_pairs(vectors, g["n"].to_numpy(), g["label"].to_numpy(), percent, cross), dtype=np.int64).reshape(-1, 2)
-            a, b = s1[got[:, 0]], s1[got[:, 1]]
+            raw, s1, sizes = g["sketch"].to_pylist(), g["s1"].to_numpy(), g["n"].to_numpy()
+            c, i = key >> 56, key >> 32 & 0xFFFFFF
+            got = region_pairs(np.stack([classes.unpacked(x) for x in raw]), sizes, g["label"].to_numpy(), percent, cross)
+            got = [(a, b) for a, b in got if classes.at(max(sizes[a], sizes[b])) == c and first_shared(raw[a], raw[b], classes.slices(c)[1]) == i]
+            a, b = s1[np.array([a for a, _ in got], dtype=np.int64)], s1[np.array([b for _, b in got], dtype=np.int64)]
             return pa.RecordBatch.from_pydict({"x": pa.array(np.minimum(a, b)), "y": pa.array(np.maximum(a, b))})
 
         last = None
@@ -335,7 +402,13 @@ def joined_in_tasks(cells: DataFrame, sketches: DataFrame, percent: int, region:
             yield flush()
 
     placed = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "s1")
-    return placed.mapInArrow(regions, "x long, y long").distinct()
+    return placed.mapInArrow(regions, "x long, y long")
+
+
+def first_shared(a: bytes, b: bytes, spare: int) -> int:
+    """The first slice whose cell two sets of one class share, by their sketches; they share one where this is asked."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    return int(np.argmax((x == y) & posted(x, spare) & posted(y, spare))) & 0xFFFFFF
 
 
 def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, region: int = REGION) -> DataFrame:
@@ -348,28 +421,30 @@ def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, regi
     several = named.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
     bound = several.join(named.select("doc_id", F.col("rep").alias("b")), "doc_id").where("a <> b").select("a", "b")
 
+    met = saved(with_pivots(postings(real, percent)))
     by_class = real.select("s1", F.col("n_shingles").alias("n"), F.explode("sigs").alias("z")).select("s1", "n", "z.c", "z.sketch")
-    posts = postings(documents, size, percent)  # both uses share the one exchange
-    cells = posts.groupBy("key").agg(F.min("s1").alias("p"), F.max("s1").alias("q"), F.max("c").alias("own")).where("p < q").select(F.col("key").alias("k"), "p", "q", "own")
-    # a key is of one class; both sides read the same columns, else the exchange would be made twice
-    met = saved(posts.join(cells, F.col("key") == F.col("k")).select("key", F.greatest("c", "own").alias("c"), "s1", "p", "q").distinct())
-    sketches = saved(by_class.select("s1", "n", "c", "sketch").join(met.select("s1").distinct(), "s1", "left_semi").dropDuplicates(["s1", "c"]))
-    members = met.select("key", "c", "s1").join(classes.select("s1", "rep"), "s1")
-    pair = lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
-    ends = met.select("c", F.explode(F.array(pair("s1", "p"), pair("s1", "q"))).alias("z")).select("z.x", "z.y", "c").where("x < y").distinct()
+    sketches = saved(by_class.join(met.select("s1").distinct(), "s1", "left_semi").dropDuplicates(["s1", "c"]))
+    ends = met.where("s1 <> p").select(F.col("p").alias("x"), F.col("s1").alias("y"), class_of("key").alias("c")).groupBy("x", "y").agg(F.max("c").alias("c"))
     links = checked(documents, sifted(ends, sketches, percent), classes, size, percent).unionByName(bound)
     labels = components(links)
-    cells = saved(open_cells(members, labels, 2))
-    large = cells.where(F.col("size") > region)
+
+    def open_now() -> DataFrame:
+        own = classes.join(labels, F.col("rep") == F.col("v"), "left").select("s1", F.coalesce("label", "rep").alias("label"))
+        return saved(open_cells(met, own))
+
+    cells = open_now()
+    large = cells.where(F.col("size") - F.col("n_top") > region)
     if not large.isEmpty():
         pivot = large.groupBy("key").agg(F.min_by(F.struct("s1", "label"), F.xxhash64("label", "s1")).alias("z")).select(F.col("key").alias("k"), F.col("z.s1").alias("p"), F.col("z.label").alias("p_label"))
         tried = large.join(pivot, F.col("key") == F.col("k")).where("label <> p_label").select(F.least("s1", "p").alias("x"), F.greatest("s1", "p").alias("y"), "c").distinct()
         labels = components(checked(documents, sifted(tried, sketches, percent), classes, size, percent), labels)
-        cells = saved(open_cells(members, labels, 2))
+        cells = open_now()
     if not cells.isEmpty():
         pairs = saved(joined_in_tasks(cells, sketches, percent, region))
         if not pairs.isEmpty():
             labels = components(checked(documents, pairs, classes, size, percent), labels)
+    for x in (rows, met, sketches, cells):
+        discard(x)
     # a node is its own component where it has no link
     final = named.join(labels, F.col("rep") == F.col("v"), "left")
     return final.select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
@@ -401,5 +476,14 @@ def texts_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """The documents that stand for their component (those with its smallest doc_id); null ids stay. Columns stay."""
-    found = join(documents, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone, again, rank = (free_name(documents, x) for x in ("gone", "again", "rank"))
+    found = join(documents, **options)
+    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    kept = documents.join(lost, F.col("doc_id") == F.col(gone), "left_anti")
+    twice = saved(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(again)).count().where("count > 1").select(again))
+    if twice.isEmpty():
+        return kept
+    same = F.col("doc_id") == F.col(again)
+    order = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*(F.col(f"`{c}`") for c in documents.columns))))
+    first = kept.join(twice, same, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    return kept.join(twice, same, "left_anti").unionByName(first)
