@@ -15,14 +15,16 @@ is the connected component of each document.
    prefix of a set that has to overlap another in so many members).
 3. Each cell's smallest member is its pivot and is measured against all others,
    linearly in its size. Members within the radius link to the pivot; pairs in
-   one component are settled, which ends cells of near copies however large. A
-   second round takes another pivot in large cells of many components.
+   one component are settled, which ends cells of near copies however large.
 4. What stays open is joined recursively in bounded tasks: pivots split a
    region into Voronoi regions, and a document also goes to each region whose
    pivot is not farther than its own pivot plus twice the radius (triangle
-   inequality). Cells beyond ``REGION`` members meet block by block; members of
-   the cell's largest component never meet each other there. A pair is proposed
-   in one cell only: the first of those that its two members share.
+   inequality). Cells that have members in common form a bundle. A bundle of up
+   to ``BUNDLE`` bytes of sketches goes to one task, each member once, however
+   many cells it is in. Cells of larger bundles are dealt out one by one, in
+   blocks of ``REGION`` members; members of a cell's largest component never
+   meet each other there. A pair is proposed in one cell only: the first of
+   those that its two members share.
 
 A slice is kept as 32 bits, which are the hashes of its finer slices. All slices
 of a document are its sketch. The number of fine slices that differ is a metric
@@ -56,6 +58,7 @@ SHINGLE = 3
 PERCENT = 90
 CLASS_RATIO = 1.25
 REGION = 256
+BUNDLE = 32 << 20
 LEAF = 12
 #: fine slices of a sketch for each shingle, at most about
 RESOLUTION = 0.45
@@ -358,6 +361,73 @@ def class_of(key: str) -> Column:
     return F.shiftright(key, 56).cast("int")
 
 
+def bundled(cells: DataFrame, sketches: DataFrame) -> DataFrame:
+    """bundle, s1, c, label, n, sketch, bytes: each member of open cells once, with the size of its bundle's sketches."""
+    node = F.xxhash64("s1", "c")  # if two members had one hash, their bundles would be one
+    ends = cells.groupBy(F.col("key").alias("k")).agg(F.min(node).alias("b"))
+    edges = cells.select("key", node.alias("a")).join(ends, F.col("key") == F.col("k")).where("a <> b").select("a", "b").distinct()
+    found = components(edges)
+    members = cells.select("s1", "c", "label").distinct().withColumn("node", node).join(found.withColumnRenamed("label", "bundle"), F.col("node") == F.col("v"), "left").join(sketches, ["s1", "c"])
+    named = members.select(F.coalesce("bundle", "node").alias("bundle"), "s1", "c", "label", "n", "sketch")
+    sizes = named.groupBy(F.col("bundle").alias("of")).agg(F.sum(F.length("sketch")).alias("bytes"))
+    return named.join(sizes, F.col("bundle") == F.col("of")).drop("of")
+
+
+def bundle_pairs(sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray, c: int, percent: int, classes: SizeClasses) -> list[tuple[int, int]]:
+    """Positions of the pairs of members of one class that may link, each from the first cell that they share."""
+    classes.of(int(sizes.max()))
+    spare = classes.slices(c)[1]
+    empty = sketches == 0
+    # as ``posted``, for all members at once
+    named = ~empty | (np.cumsum(empty, axis=1) <= empty.sum(axis=1, keepdims=True) - spare)
+    fine = sketches.view(f"<u{4 // classes.fine}")
+    largest = np.array([classes.at(int(n)) for n in sizes])
+    found = []
+    for i in range(sketches.shape[1]):
+        rows = np.flatnonzero(named[:, i])
+        rows = rows[np.argsort(sketches[rows, i], kind="stable")]
+        for cell in np.split(rows, np.flatnonzero(np.diff(sketches[rows, i])) + 1):
+            if len(cell) < 2 or (labels[cell] == labels[cell[0]]).all():
+                continue
+            for a, b in region_pairs(fine[cell], sizes[cell], labels[cell], percent):
+                a, b = cell[a], cell[b]
+                if max(largest[a], largest[b]) == c and np.argmax((sketches[a] == sketches[b]) & named[a] & named[b]) == i:
+                    found.append((int(a), int(b)))
+    return found
+
+
+def joined_bundles(bundles: DataFrame, percent: int) -> DataFrame:
+    """x, y of pairs within bundles that may link; a task holds one bundle at a time."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        classes = SizeClasses(percent)
+
+        def flush() -> pa.RecordBatch:
+            g = pa.Table.from_batches(held)
+            s1, sizes = g["s1"].to_numpy(), g["n"].to_numpy()
+            raw = np.stack([np.frombuffer(x, "<u4") for x in g["sketch"].to_pylist()])
+            got = np.array(bundle_pairs(raw, sizes, g["label"].to_numpy(), g["c"][0].as_py(), percent, classes), dtype=np.int64).reshape(-1, 2)
+            a, b = s1[got[:, 0]], s1[got[:, 1]]
+            return pa.RecordBatch.from_pydict({"x": pa.array(np.minimum(a, b)), "y": pa.array(np.maximum(a, b))})
+
+        last = None
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1):
+                if len(part):
+                    if held and of[part[0]] != last:
+                        yield flush()
+                        held.clear()
+                    held.append(batch.slice(part[0], len(part)))
+                    last = of[part[0]]
+        if held:
+            yield flush()
+
+    placed = bundles.select("bundle", "s1", "c", "label", "n", "sketch").repartition("bundle").sortWithinPartitions("bundle", "s1")
+    return placed.mapInArrow(task, "x long, y long")
+
+
 def joined_in_tasks(cells: DataFrame, sketches: DataFrame, percent: int, region: int) -> DataFrame:
     """x, y of pairs within open cells that may link; a task holds at most about two blocks of ``region`` members.
 
@@ -411,7 +481,7 @@ def first_shared(a: bytes, b: bytes, spare: int) -> int:
     return int(np.argmax((x == y) & posted(x, spare) & posted(y, spare))) & 0xFFFFFF
 
 
-def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, region: int = REGION) -> DataFrame:
+def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, region: int = REGION, bundle: int = BUNDLE) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of documents."""
     rows = saved(scan(documents, size, percent))
     real = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -428,19 +498,17 @@ def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, regi
     links = checked(documents, sifted(ends, sketches, percent), classes, size, percent).unionByName(bound)
     labels = components(links)
 
-    def open_now() -> DataFrame:
-        own = classes.join(labels, F.col("rep") == F.col("v"), "left").select("s1", F.coalesce("label", "rep").alias("label"))
-        return saved(open_cells(met, own))
-
-    cells = open_now()
-    large = cells.where(F.col("size") - F.col("n_top") > region)
-    if not large.isEmpty():
-        pivot = large.groupBy("key").agg(F.min_by(F.struct("s1", "label"), F.xxhash64("label", "s1")).alias("z")).select(F.col("key").alias("k"), F.col("z.s1").alias("p"), F.col("z.label").alias("p_label"))
-        tried = large.join(pivot, F.col("key") == F.col("k")).where("label <> p_label").select(F.least("s1", "p").alias("x"), F.greatest("s1", "p").alias("y"), "c").distinct()
-        labels = components(checked(documents, sifted(tried, sketches, percent), classes, size, percent), labels)
-        cells = open_now()
+    own = classes.join(labels, F.col("rep") == F.col("v"), "left").select("s1", F.coalesce("label", "rep").alias("label"))
+    cells = saved(open_cells(met, own))
     if not cells.isEmpty():
-        pairs = saved(joined_in_tasks(cells, sketches, percent, region))
+        bundles = saved(bundled(cells, sketches))
+        pairs = joined_bundles(bundles.where(F.col("bytes") <= bundle), percent)
+        wide = bundles.where(F.col("bytes") > bundle)
+        if not wide.isEmpty():
+            some = cells.join(wide.select("s1", "c"), ["s1", "c"], "left_semi")
+            pairs = pairs.unionByName(joined_in_tasks(some, sketches, percent, region))
+        pairs = saved(pairs.distinct())
+        discard(bundles)
         if not pairs.isEmpty():
             labels = components(checked(documents, pairs, classes, size, percent), labels)
     for x in (rows, met, sketches, cells):

@@ -44,6 +44,7 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in jm.join(df).collect()} == brute(rows, 3, 90)
     assert {tuple(r) for r in jm.join(df, size=5, percent=80).collect()} == brute(rows, 5, 80)
+    assert {tuple(r) for r in jm.join(df, size=2, percent=60).collect()} == brute(rows, 2, 60)
 
 
 def test_chains_and_large_groups_meet_block_by_block(spark):
@@ -51,7 +52,9 @@ def test_chains_and_large_groups_meet_block_by_block(spark):
     base = words(rng, 60, 5000)
     rows = [(i, " ".join(edited(rng, base, i % 4))) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {tuple(r) for r in jm.join(df, region=8).collect()} == brute(rows, 3, 90)
+    assert {tuple(r) for r in jm.join(df).collect()} == brute(rows, 3, 90)
+    assert {tuple(r) for r in jm.join(df, region=8, bundle=0).collect()} == brute(rows, 3, 90)
+    assert {tuple(r) for r in jm.join(df, size=5, percent=80, region=8, bundle=2000).collect()} == brute(rows, 5, 80)
 
 
 def test_signatures_miss_no_linked_pair():
