@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,47 +10,98 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubicost.functions.text import weight
+from rubicost.functions.text import total_weight, weight
+
+
+def prefix_tokens(texts: DataFrame, key: str, tokens: str, frequency: DataFrame, share: float, weigh=weight, on: list[str] | None = None) -> DataFrame:
+    """key, on, t: the rarest tokens of each text, up to the weight that another text can do without.
+
+    Two texts that have tokens of at least ``share`` of each one's weight in
+    common have one of these in common: what is left out weighs less than that
+    share. ``frequency`` (t, df) orders the tokens, unknown ones first.
+    """
+    each = texts.select(key, *(on or []), tokens, F.explode(tokens).alias("t")).join(frequency, "t", "left")
+    order = Window.partitionBy(key, *(on or [])).orderBy(F.coalesce("df", F.lit(0)), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mine = weigh(F.col("t"))
+    total = F.aggregate(tokens, F.lit(0.0), lambda s, t: s + weigh(t))
+    ranked = each.select(key, *(on or []), "t", (total - F.sum(mine).over(order) + mine).alias("rest"), total.alias("total"))
+    return ranked.where(F.col("rest") >= share * F.col("total") - 1e-9).select(key, *(on or []), "t")
+
+
+def document_frequency(texts: DataFrame, tokens: str) -> DataFrame:
+    """t, df: in how many of the texts a token occurs."""
+    return texts.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
 
 
 def lexical_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tokens: str = "toks", on: list[str] | None = None, least: float = 0.0) -> DataFrame:
-    """Pairs of texts with their weighted Dice similarity, by an inverted index on tokens.
+    """Pairs of texts with a weighted Dice similarity of at least ``least`` and above 0, by an inverted index on tokens.
 
-    Both sides should hold distinct texts: common tokens fan out by the product
-    of their texts, never by that of their rows. ``on`` names further equal columns.
+    Both sides hold distinct texts with arrays of distinct tokens. Only the
+    rarest tokens of a text are indexed: with d = least / (2 - least), similar
+    texts share d of either one's weight, so frequent tokens meet nobody unless
+    a text consists of them. ``on`` names further equal columns. Null and empty
+    arrays are similar to nothing.
     """
     on = on or []
-    sides = []
-    for df, key, side in ((left, left_key, "l"), (right, right_key, "r")):
-        total = F.aggregate(tokens, F.lit(0.0), lambda s, t: s + weight(t))
-        sides.append(df.select(F.col(key).alias(f"{side}_key"), *on, total.alias(f"{side}_w"), F.explode(tokens).alias("t")))
-    met = sides[0].join(sides[1], ["t", *on])
-    sums = met.groupBy("l_key", "r_key", *on).agg(F.sum(weight(F.col("t"))).alias("w"), F.first("l_w").alias("l_w"), F.first("r_w").alias("r_w"))
-    scored = sums.select("l_key", "r_key", *on, (2 * F.col("w") / (F.col("l_w") + F.col("r_w"))).alias("similarity"))
+    share = max(least / (2 - least), 1e-6)
+    frequency = document_frequency(right, tokens)
+    index = [prefix_tokens(df, key, tokens, frequency, share, on=on).withColumnRenamed(key, f"{side}_key") for df, key, side in ((left, left_key, "l"), (right, right_key, "r"))]
+    met = index[0].join(index[1], ["t", *on]).select("l_key", "r_key", *on).distinct()
+    sides = [df.select(F.col(key).alias(f"{side}_key"), *on, F.col(tokens).alias(f"{side}_t")) for df, key, side in ((left, left_key, "l"), (right, right_key, "r"))]
+    both = met.join(sides[0], ["l_key", *on]).join(sides[1], ["r_key", *on])
+    common = total_weight(F.array_intersect("l_t", "r_t"))
+    scored = both.select("l_key", "r_key", *on, (2 * common / (total_weight(F.col("l_t")) + total_weight(F.col("r_t")))).alias("similarity"))
     return scored.where(F.col("similarity") >= least)
 
 
-def asof_nearest(points: DataFrame, keys: list[str], x: str, value: str, wanted: DataFrame, at: str) -> DataFrame:
-    """Wanted rows with the nearest points below and above: lo, lo_value, hi, hi_value.
+def overlap_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_tokens: str, right_tokens: str, least: float) -> DataFrame:
+    """left_key, right_key, overlap: pairs of texts with a Jaccard similarity of words of at least ``least``, by their rarest words."""
+    one = lambda t: F.lit(1.0)
+    a, b = left.select(left_key, F.array_distinct(left_tokens).alias("l_t")), right.select(right_key, F.array_distinct(right_tokens).alias("r_t"))
+    frequency = document_frequency(b, "r_t")
+    met = prefix_tokens(a, left_key, "l_t", frequency, least, one).join(prefix_tokens(b, right_key, "r_t", frequency, least, one), "t").drop("t").distinct()
+    both = met.join(a, left_key).join(b, right_key)
+    overlap = F.size(F.array_intersect("l_t", "r_t")) / F.size(F.array_union("l_t", "r_t"))
+    return both.select(left_key, right_key, overlap.alias("overlap")).where(F.col("overlap") >= least)
 
-    Points and wanted rows are merged into one ordered stream per key, so no row
-    meets more than its own neighbours.
+
+def asof_nearest(points: DataFrame, keys: list[str], x: str, value: str, wanted: DataFrame, at: str, width: float | None = None) -> DataFrame:
+    """Wanted rows with the nearest points at or below and at or above: lo, lo_value, hi, hi_value.
+
+    Points and the distinct wanted places are merged into one ordered stream per
+    key; each direction carries the last point along, so a stream is read once.
+    With ``width`` a key's stream is cut into pieces of that length, whose first
+    and last points are carried on: one hot key then has many tasks. Rows of
+    wanted keys without points stay, with nulls; a null place has no neighbour.
+    Of points at one place the one of least value counts.
+    """
+    piece = F.floor(F.col("_x") / width) if width else F.lit(0)
+    p = points.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("_x")).agg(F.min(value).alias("_v")).select(*keys, "_x", F.struct(F.col("_x").alias("x"), F.col("_v").alias("v")).alias("_p"))
+    w = wanted.select(*keys, F.col(at).alias("_x")).where(F.col(at).isNotNull()).distinct()
+    both = p.withColumn("_w", F.lit(False)).unionByName(w.withColumn("_p", F.lit(None).cast(p.schema["_p"].dataType)).withColumn("_w", F.lit(True))).withColumn("_b", piece)
+    carried = lambda keys, order, least, most: F.last("_p", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(least, most))
+    up, down, first = F.col("_x"), F.col("_x").desc(), Window.unboundedPreceding
+    near = both.withColumn("_lo", carried([*keys, "_b"], up, first, 0)).withColumn("_hi", carried([*keys, "_b"], down, first, 0)).where("_w")
+    if width:
+        ends = both.groupBy(*keys, "_b").agg(F.max("_p").alias("_last"), F.min("_p").alias("_first"))
+        beside = lambda c, order: F.last(c, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(first, -1))
+        ends = ends.withColumn("_before", beside("_last", F.col("_b"))).withColumn("_after", beside("_first", F.col("_b").desc())).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb"), "_before", "_after")
+        near = near.join(ends, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_b") == F.col("_kb")]).withColumn("_lo", F.coalesce("_lo", "_before")).withColumn("_hi", F.coalesce("_hi", "_after"))
+    found = near.select(*[F.col(k).alias(f"_w_{k}") for k in keys], "_x", F.col("_lo.x").alias("lo"), F.col("_lo.v").alias("lo_value"), F.col("_hi.x").alias("hi"), F.col("_hi.v").alias("hi_value"))
+    return wanted.join(found, [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys] + [F.col(at) == F.col("_x")], "left").select(*wanted.columns, "lo", "lo_value", "hi", "hi_value")
+
+
+def interval_join(rows: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, size: float) -> DataFrame:
+    """Every row with each span of its key that holds it, or once with nulls if none does.
+
+    A left equi-join on key and bucket of ``size``, with the bounds as a further
+    condition of the join. ``size`` should be about the length of a span.
     """
-    p = points.groupBy(*keys, x).agg(F.first(value).alias("_v")).select(*keys, F.col(x).alias("_x"), F.struct(F.col(x).alias("x"), F.col("_v").alias("v")).alias("_p"), F.lit(None).alias("_w"))
-    w = wanted.select(*keys, F.col(at).alias("_x"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), F.struct(*[F.col(c) for c in wanted.columns]).alias("_w"))
-    both = p.withColumn("_w", F.lit(None).cast(w.schema["_w"].dataType)).unionByName(w)
-    order = Window.partitionBy(*keys).orderBy("_x")
-    below = F.last("_p", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    above = F.first("_p", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
-    near = both.withColumn("_lo", below).withColumn("_hi", above).where(F.col("_w").isNotNull())
-    return near.select("_w.*", F.col("_lo.x").alias("lo"), F.col("_lo.v").alias("lo_value"), F.col("_hi.x").alias("hi"), F.col("_hi.v").alias("hi_value"))
-
-
-def interval_join(rows: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, size: int = 64) -> DataFrame:
-    """Rows with each span of their key that holds them: an equi-join on key and bucket, then the bounds."""
     buckets = F.explode(F.sequence(F.floor(F.col(start) / size), F.floor(F.col(end) / size)))
-    cut = spans.withColumn("_b", buckets)
-    return rows.withColumn("_b", F.floor(F.col(at) / size)).join(cut, [*keys, "_b"], "left").where(F.col(start).isNull() | F.col(at).between(F.col(start), F.col(end))).drop("_b")
+    other = [c for c in spans.columns if c not in keys]
+    cut = spans.where(F.col(start) <= F.col(end)).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *other, buckets.alias("_kb"))
+    inside = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col("_b") == F.col("_kb"), F.col(at).between(F.col(start), F.col(end))]
+    return rows.withColumn("_b", F.floor(F.col(at) / size)).join(cut, inside, "left").select(*rows.columns, *other)
 
 
 def first_match(*tiers: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -61,13 +113,22 @@ def first_match(*tiers: DataFrame, keys: list[str], order: list[Column]) -> Data
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int, shards: int = 16, block: int = 256) -> DataFrame:
-    """query_id, vec_id, similarity: each query's k nearest rows by cosine, exact.
+#: vectors of a shard of ``knn_join``, about
+SHARD = 50_000
+
+
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, shards: int | None = None, block: int = 256) -> DataFrame:
+    """query_id, vec_id, similarity, rank: each query's k nearest rows by cosine, exact.
 
     Queries and vectors carry id and vector columns (``query_id``/``vec_id``,
     ``v``). Query blocks meet every shard of vectors; a shard keeps k of each
-    query, so what is shuffled is k rows per query and shard.
+    query, so what is shuffled is k rows per query and shard. The number of
+    shards follows the number of vectors. Vectors that are null, hold a null or
+    a non-finite number or have length 0, and null ids, take no part.
     """
+    valid = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
+    queries, vectors = queries.where(valid & F.col("query_id").isNotNull()), vectors.where(valid & F.col("vec_id").isNotNull())
+    shards = shards or max(4, math.ceil(vectors.count() / SHARD))
 
     def pack(df: DataFrame, key: str) -> DataFrame:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +136,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, shards: int = 16, b
                 for at in range(0, b.num_rows, block):
                     part = b.slice(at, block)
                     v = np.array([np.asarray(x, dtype=np.float64) for x in part.column(1).to_pylist()])
+                    v /= np.linalg.norm(v, axis=1, keepdims=True)
                     yield pa.RecordBatch.from_pydict({"ids": pa.array([part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()), "v": pa.array([v.tobytes()], pa.binary()), "n": pa.array([len(v)], pa.int32())})
 
         return df.select(F.col(key).cast("long"), "v").mapInArrow(task, "ids binary, v binary, n int")
@@ -88,10 +150,9 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, shards: int = 16, b
                 q = np.frombuffer(r["q"]).reshape(r["q_n"], -1)
                 v = np.frombuffer(r["v"]).reshape(r["n"], -1)
                 q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                sim = np.round((q @ v.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)), 9)
-                for i in range(len(q)):
-                    top = np.lexsort((ids, -sim[i]))[:k]
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(top), q_ids[i])), "vec_id": pa.array(ids[top]), "similarity": pa.array(sim[i][top])})
+                sim = np.round(q @ v.T, 9)
+                top = np.stack([np.lexsort((ids, -row))[:k] for row in sim])
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(q_ids, top.shape[1])), "vec_id": pa.array(ids[top].ravel()), "similarity": pa.array(np.take_along_axis(sim, top, axis=1).ravel())})
 
     near = left.join(right, "shard").select("q_ids", "q", "q_n", "ids", "v", "n").mapInArrow(task, "query_id long, vec_id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")

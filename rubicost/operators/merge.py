@@ -29,3 +29,10 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list[s
 
     fresh = first_of(new, keys, *[F.col(c) for c in order]).join(old.select(*keys), keys, "left_anti")
     return old.unionByName(fresh.select(*old.columns))
+
+
+def replace_groups(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """New rows, and the old ones of groups that have no new row."""
+    groups = new.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
+    kept = old.join(groups, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left_anti")
+    return kept.unionByName(new.select(*old.columns))

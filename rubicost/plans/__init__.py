@@ -1,5 +1,5 @@
 """Named queries by subject; importing this package registers them."""
 
-from rubicost.plans import accuracy, history, ingest, knowledge, pricing, unitrate, usage, viewer, web
+from rubicost.plans import accuracy, attributes, boq, history, ingest, knowledge, pricing, store, unitrate, usage, viewer, web
 
-__all__ = ["accuracy", "history", "ingest", "knowledge", "pricing", "unitrate", "usage", "viewer", "web"]
+__all__ = ["accuracy", "attributes", "boq", "history", "ingest", "knowledge", "pricing", "store", "unitrate", "usage", "viewer", "web"]

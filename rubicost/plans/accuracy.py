@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rubicost.operators.statistics import exact_median
 from rubicost.registry import query
 from rubicost.tables import Tables
 
@@ -23,8 +24,10 @@ SELECT part, count(*) AS n, count(*) FILTER (WHERE abs(ratio - 1) <= 0.15) AS wi
 def ratio_statistics(t: Tables):
     """Rows within 15 per cent, exact median of the ratio and of its error."""
     r = scored(t).where("truth > 0").select("part", (F.col("got") / F.col("truth")).alias("ratio"))
-    error = F.abs(F.col("ratio") - 1)
-    return r.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(error <= 0.15).alias("within"), F.round(F.median("ratio"), 6).alias("median_ratio"), F.round(F.median(error), 6).alias("median_error"))
+    r = r.withColumn("error", F.abs(F.col("ratio") - 1))
+    counts = r.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error") <= 0.15).alias("within"))
+    ratio, error = (exact_median(r, ["part"], c, f"median_{c}").drop("n") for c in ("ratio", "error"))
+    return counts.join(ratio, "part", "left").join(error, "part", "left").select("part", "n", "within", F.round("median_ratio", 6).alias("median_ratio"), F.round("median_error", 6).alias("median_error"))
 
 
 @query(f"""WITH {TRUTH} SELECT file_id, part, count(*) AS n, count(*) FILTER (WHERE truth IS NOT NULL AND source <> 'none') AS priced, count(*) FILTER (WHERE source = 'none') AS unpriced,
@@ -50,8 +53,10 @@ def unit_rate_scores(t: Tables):
 SELECT part, count(*) AS files, round(median(m), 6) AS median_of_medians, round(max(top), 4) AS highest FROM f GROUP BY part""")
 def score_rollup(t: Tables):
     """Median of the files' medians."""
-    f = scored(t).where("truth > 0").groupBy("file_id", "part").agg(F.median(F.col("got") / F.col("truth")).alias("m"), F.max("got").alias("top"))
-    return f.groupBy("part").agg(F.count(F.lit(1)).alias("files"), F.round(F.median("m"), 6).alias("median_of_medians"), F.round(F.max("top"), 4).alias("highest"))
+    r = scored(t).where("truth > 0").select("file_id", "part", "got", (F.col("got") / F.col("truth")).alias("ratio"))
+    top = r.groupBy("file_id", "part").agg(F.max("got").alias("top")).groupBy("part").agg(F.count(F.lit(1)).alias("files"), F.round(F.max("top"), 4).alias("highest"))
+    middle = exact_median(exact_median(r, ["file_id", "part"], "ratio", "m").drop("n"), ["part"], "m", "mm").drop("n")
+    return top.join(middle, "part", "left").select("part", "files", F.round("mm", 6).alias("median_of_medians"), "highest")
 
 
 @query(f"""WITH {TRUTH} SELECT source, count(*) AS n, count(truth) AS known FROM s GROUP BY source""")

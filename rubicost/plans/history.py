@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rubicost.operators.fold import ordered_fold
 from rubicost.operators.topk import first_of
 from rubicost.registry import query
 from rubicost.tables import Tables
@@ -122,98 +122,155 @@ def event_replay(t: Tables):
     return t("events").where("user_id = 8 AND event_id > 500").orderBy("event_id").limit(500).select(F.col("event_id").alias("seq"), F.col("user_id").alias("run_id"), F.col("event_type").alias("type"))
 
 
-def coalesce_deltas(lengths: list[int], times: list[float], is_text: list[bool], size: int = 48, wait: float = 0.12) -> list[int]:
+def delta_steps(size: int = 48, wait: float = 0.12):
     """Number of the flush that each entry belongs to.
 
     Text is held until ``size`` characters or ``wait`` seconds since the first
     held one are reached, and goes out before any other entry.
     """
-    out, flush, held, since = [], 0, 0, None
-    for n, at, text in zip(lengths, times, is_text, strict=True):
-        if not text:
+    flush, held, since = 0, 0, None
+
+    def step(length: int, at: float, is_text: bool) -> tuple[int]:
+        nonlocal flush, held, since
+        if not is_text:
             flush += held > 0
-            out.append(flush)
-            flush, held, since = flush + 1, 0, None
-            continue
+            out, flush, held, since = flush, flush + 1, 0, None
+            return (out,)
         since = at if since is None else since
-        held += n
-        out.append(flush)
+        held += length
+        out = flush
         if held >= size or at - since >= wait:
             flush, held, since = flush + 1, 0, None
-    return out
+        return (out,)
 
+    return step
 
-@query()
-def delta_flushes(t: Tables):
-    """Flushes of the text deltas of each conversation (an order-dependent fold, so a grouped function)."""
-    rows = t("conversations").select("conv_id", "turn", (F.length("text") % 40 + 1).alias("n"), (F.col("role") != "system").alias("is_text"))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("turn", kind="stable")
-        flush = coalesce_deltas(group["n"].tolist(), (group["turn"] * 0.05).tolist(), group["is_text"].tolist())
-        return pd.DataFrame({"conv_id": group["conv_id"], "turn": group["turn"], "flush": flush})
 
-    return rows.groupBy("conv_id").applyInPandas(fold, "conv_id long, turn long, flush int")
+@query("""WITH RECURSIVE e AS (SELECT conv_id, turn, coalesce(length(text), 0) % 40 + 1 AS n, turn * 0.05::DOUBLE AS tm, role IS DISTINCT FROM 'system' AS is_text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations),
+s AS (SELECT conv_id, turn, k, CASE WHEN is_text THEN 0 ELSE 0 END AS flush, CASE WHEN NOT is_text OR n >= 48 THEN 1 ELSE 0 END AS next, CASE WHEN is_text AND n < 48 THEN n ELSE 0 END AS held, CASE WHEN is_text AND n < 48 THEN tm END AS since FROM e WHERE k = 1
+    UNION ALL SELECT e.conv_id, e.turn, e.k, CASE WHEN is_text THEN s.next ELSE s.next + (s.held > 0)::INTEGER END,
+        CASE WHEN NOT is_text THEN s.next + (s.held > 0)::INTEGER + 1 WHEN s.held + n >= 48 OR tm - coalesce(since, tm) >= 0.12 THEN s.next + 1 ELSE s.next END,
+        CASE WHEN NOT is_text OR s.held + n >= 48 OR tm - coalesce(since, tm) >= 0.12 THEN 0 ELSE s.held + n END, CASE WHEN NOT is_text OR s.held + n >= 48 OR tm - coalesce(since, tm) >= 0.12 THEN NULL ELSE coalesce(since, tm) END
+        FROM s JOIN e ON e.conv_id = s.conv_id AND e.k = s.k + 1)
+SELECT conv_id, turn, flush::INTEGER AS flush FROM s""")
+def delta_flushes(t: Tables):
+    """Flushes of the text deltas of each conversation."""
+    rows = t("conversations").select("conv_id", "turn", "text", (F.coalesce(F.length("text"), F.lit(0)) % 40 + 1).alias("n"), (F.col("turn") * F.lit(0.05)).alias("at"), (~F.col("role").eqNullSafe(F.lit("system"))).alias("is_text"))
+    return ordered_fold(rows, "conv_id", ["turn", "text"], delta_steps, ["conv_id", "turn", "text"], "conv_id long, turn long, text string, flush int").drop("text")
 
 
-def bucket_decisions(times: list[float], capacity: float, per_second: float) -> list[bool]:
+def bucket_steps(capacity: float = 3, per_second: float = 1 / 20_000):
     """Whether a token bucket lets each request pass."""
-    tokens, last, out = capacity, None, []
-    for at in times:
+    tokens, last = capacity, None
+
+    def step(at: float) -> tuple[bool]:
+        nonlocal tokens, last
         tokens = capacity if last is None else min(capacity, tokens + (at - last) * per_second)
         last = at
-        out.append(tokens >= 1)
-        tokens -= tokens >= 1
-    return out
+        passed = tokens >= 1
+        tokens -= passed
+        return (passed,)
+
+    return step
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT user_id, event_id, k, tm, true AS passed, 2.0::DOUBLE AS tokens FROM e WHERE k = 1
+    UNION ALL SELECT e.user_id, e.event_id, e.k, e.tm, least(3.0, s.tokens + (e.tm - s.tm) * (1.0::DOUBLE / 20000)) >= 1, least(3.0, s.tokens + (e.tm - s.tm) * (1.0::DOUBLE / 20000)) - (least(3.0, s.tokens + (e.tm - s.tm) * (1.0::DOUBLE / 20000)) >= 1)::INTEGER
+        FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+SELECT user_id, event_id, passed FROM s""")
 def rate_limits(t: Tables):
     """Token bucket for each user over the ordered requests."""
-    rows = t("events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = t("events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return ordered_fold(rows, "user_id", ["at", "event_id"], bucket_steps, ["user_id", "event_id"], "user_id long, event_id long, passed boolean")
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["us", "event_id"], kind="stable")
-        return pd.DataFrame({"user_id": group["user_id"], "event_id": group["event_id"], "passed": bucket_decisions((group["us"] / 1e6).tolist(), 3, 1 / 20_000)})
 
-    return rows.groupBy("user_id").applyInPandas(fold, "user_id long, event_id long, passed boolean")
-
-
-def decide_cards(actions: list[tuple[float, str]], undo: float = 10, expiry: float = 1800) -> list[tuple[str, str]]:
-    """State after each action on one card, and what became of the action.
+def card_steps(undo: float = 10, expiry: float = 1800):
+    """State of a card after each action, and what became of the action.
 
     A card is open from its first action's time on; a decision counts once, may
     be undone within ``undo`` seconds, and nothing counts after ``expiry``.
     """
-    state, decided, out = "open", None, []
-    start = actions[0][0] if actions else 0
-    for at, action in actions:
+    state, decided, start = "open", None, None
+
+    def step(at: float, action: str) -> tuple[str, str]:
+        nonlocal state, decided, start
+        start = at if start is None else start
         if state == "open" and at - start > expiry:
             state = "expired"
         if action == "undo":
-            ok = state in ("allowed", "denied") and decided is not None and at - decided <= undo
-            state, decided = ("open", None) if ok else (state, decided)
-            out.append((state, "undone" if ok else "ignored"))
-        elif state == "open":
+            if state in ("allowed", "denied") and decided is not None and at - decided <= undo:
+                state, decided = "open", None
+                return state, "undone"
+            return state, "ignored"
+        if state == "open":
             state, decided = action, at
-            out.append((state, "applied"))
-        else:
-            out.append((state, "ignored"))
-    return out
+            return state, "applied"
+        return state, "ignored"
 
+    return step
 
-@query()
+
+@query("""WITH RECURSIVE e AS (SELECT user_id * 100 + day(ts) AS card_id, event_id, epoch_us(ts) / 1e6 AS tm, CASE WHEN event_type = 'error' THEN 'undo' WHEN event_type IN ('view', 'click') THEN 'allowed' ELSE 'denied' END AS action FROM events),
+n AS (SELECT *, row_number() OVER w AS k, first_value(tm) OVER w AS start FROM e WINDOW w AS (PARTITION BY card_id ORDER BY tm, event_id)),
+s AS (SELECT card_id, event_id, k, CASE WHEN action = 'undo' THEN 'open' ELSE action END AS state, CASE WHEN action <> 'undo' THEN tm END AS decided, CASE WHEN action = 'undo' THEN 'ignored' ELSE 'applied' END AS effect FROM n WHERE k = 1
+    UNION ALL SELECT card_id, event_id, k, CASE WHEN action = 'undo' THEN CASE WHEN was IN ('allowed', 'denied') AND tm - decided <= 10 THEN 'open' ELSE was END WHEN was = 'open' THEN action ELSE was END,
+        CASE WHEN action = 'undo' THEN CASE WHEN was IN ('allowed', 'denied') AND tm - decided <= 10 THEN NULL ELSE decided END WHEN was = 'open' THEN tm ELSE decided END,
+        CASE WHEN action = 'undo' THEN CASE WHEN was IN ('allowed', 'denied') AND tm - decided <= 10 THEN 'undone' ELSE 'ignored' END WHEN was = 'open' THEN 'applied' ELSE 'ignored' END
+        FROM (SELECT n.card_id, n.event_id, n.k, n.tm, n.action, s.decided, CASE WHEN s.state = 'open' AND n.tm - n.start > 1800 THEN 'expired' ELSE s.state END AS was FROM s JOIN n ON n.card_id = s.card_id AND n.k = s.k + 1))
+SELECT card_id, event_id, state, effect FROM s""")
 def card_decisions(t: Tables):
     """Decisions on cards: a fold over the ordered actions of each card."""
     action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type").isin("view", "click"), "allowed").otherwise("denied")
-    rows = t("events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("card_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), action.alias("action"))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["us", "event_id"], kind="stable")
-        got = decide_cards(list(zip(group["us"] / 1e6, group["action"], strict=True)))
-        return pd.DataFrame({"card_id": group["card_id"], "event_id": group["event_id"], "state": [s for s, _ in got], "effect": [e for _, e in got]})
-
-    return rows.groupBy("card_id").applyInPandas(fold, "card_id long, event_id long, state string, effect string")
+    rows = t("events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("card_id"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), action.alias("action"))
+    return ordered_fold(rows, "card_id", ["at", "event_id"], card_steps, ["card_id", "event_id"], "card_id long, event_id long, state string, effect string")
+
+
+def queue_steps():
+    """Whether a job is taken: one with its key that is queued or running holds it off until it is done."""
+    free = None
+
+    def step(at: float, lasts: float) -> tuple[bool]:
+        nonlocal free
+        taken = free is None or at >= free
+        if taken:
+            free = at + lasts
+        return (taken,)
+
+    return step
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id % 50 AS key, event_id, epoch_us(ts) / 1e6 AS tm, value * 600 AS lasts, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT key, event_id, k, true AS taken, tm + lasts AS free FROM e WHERE k = 1
+    UNION ALL SELECT e.key, e.event_id, e.k, e.tm >= s.free, CASE WHEN e.tm >= s.free THEN e.tm + e.lasts ELSE s.free END FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1)
+SELECT key, event_id, taken FROM s""")
+def enqueued_jobs(t: Tables):
+    """One queued or running job for each key; a key frees when its job is done."""
+    rows = t("events").select((F.col("user_id") % 50).alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("value") * 600).alias("lasts"))
+    return ordered_fold(rows, "key", ["at", "event_id"], queue_steps, ["key", "event_id"], "key long, event_id long, taken boolean")
+
+
+@query("""WITH e AS (SELECT event_id, user_id AS run_id, json_extract_string(props, '$.k')::BIGINT AS seq FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY run_id, seq ORDER BY event_id) AS k FROM e),
+m AS (SELECT run_id, max(seq) AS last FROM e GROUP BY 1)
+SELECT event_id, r.run_id, seq FROM r WHERE k = 1 UNION ALL SELECT event_id, r.run_id, last + row_number() OVER (PARTITION BY r.run_id ORDER BY event_id) FROM r JOIN m ON m.run_id = r.run_id WHERE k > 1""")
+def renumbered_log(t: Tables):
+    """Log entries whose number is taken in their run, late or sent twice, go on after its last number."""
+    e = t("events").select("event_id", F.col("user_id").alias("run_id"), F.get_json_object("props", "$.k").cast("bigint").alias("seq"))
+    r = e.withColumn("k", F.row_number().over(Window.partitionBy("run_id", "seq").orderBy("event_id")))
+    last = e.groupBy("run_id").agg(F.max("seq").alias("last"))
+    late = r.where("k > 1").join(last, "run_id").withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("event_id")))
+    return r.where("k = 1").select("event_id", "run_id", "seq").unionByName(late.select("event_id", "run_id", (F.col("last") + F.col("place")).alias("seq")))
+
+
+@query("""WITH j AS (SELECT o_orderkey AS job_id, o_orderdate AS tm, o_orderkey % 4 AS failures FROM orders), a AS (SELECT job_id, tm, failures, unnest(range(1, least(failures + 1, 3) + 1)) AS attempt FROM j)
+SELECT job_id, attempt::INTEGER AS attempt, tm + to_seconds(5 * (2 ** (attempt - 1) - 1)) AS started, CASE WHEN attempt <= failures AND attempt < 3 THEN 'retried' WHEN attempt <= failures THEN 'failed' ELSE 'done' END AS result FROM a""")
+def job_attempts(t: Tables):
+    """Attempts of jobs: a failed one is retried after 5 * 2^(n-1) seconds, three times at most."""
+    j = t("orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("at"), (F.col("o_orderkey") % 4).cast("int").alias("failures"))
+    a = j.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.least(F.col("failures") + 1, F.lit(3)))))
+    wait = F.expr("make_dt_interval(0, 0, 0, 5 * (shiftleft(1, attempt - 1) - 1))")
+    failed = F.col("attempt") <= F.col("failures")
+    return a.select("job_id", "attempt", (F.col("at") + wait).alias("started"), F.when(failed & (F.col("attempt") < 3), "retried").when(failed, "failed").otherwise("done").alias("result"))
 
 
 @query("""WITH r AS (SELECT event_id, user_id, ts, props, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS k FROM events)

@@ -17,7 +17,7 @@ ORDER = ["l_linenumber", "l_partkey", "l_extendedprice"]
 SQL_ORDER = "l_linenumber, l_partkey, l_extendedprice"
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS value FROM lineitem WHERE l_orderkey < 3000""", whole=True)
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS value FROM lineitem""")
 def parsed_numbers(t: Tables):
     """Numbers written in eight ways are all read back."""
     x = F.col("l_quantity")
@@ -35,7 +35,7 @@ def parsed_numbers(t: Tables):
     )
     value = parse_number(text)
     back = F.when(n.isin(5, 6), value / 1000).when(n == 7, -value).otherwise(value)
-    return t.part_of("lineitem", "l_orderkey < 3000").select("l_orderkey", "l_linenumber", "l_partkey", back.alias("value"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", back.alias("value"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'pcs' WHEN 1 THEN 'm2' WHEN 2 THEN 'h' WHEN 3 THEN CASE WHEN p_size % 2 = 0 THEN 'h' ELSE 'pcs' END WHEN 4 THEN 'set' WHEN 5 THEN NULL ELSE 'm' END AS unit FROM part""")
@@ -69,7 +69,7 @@ def section_forward_fill(t: Tables):
     return t("lineitem").withColumn("title", title).select("l_orderkey", "l_linenumber", "l_partkey", F.last("title", ignorenulls=True).over(w).alias("section"))
 
 
-@query(f"""WITH s AS (SELECT l_orderkey, l_quantity // 10 AS rate, row_number() OVER w AS k, l_quantity // 10 IS DISTINCT FROM lag(l_quantity // 10) OVER w AS new FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {SQL_ORDER})),
+@query(f"""WITH s AS (SELECT l_orderkey, floor(l_quantity / 10) AS rate, row_number() OVER w AS k, floor(l_quantity / 10) IS DISTINCT FROM lag(floor(l_quantity / 10)) OVER w AS new FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {SQL_ORDER})),
 i AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY l_orderkey ORDER BY k) AS island FROM s) SELECT l_orderkey, rate::BIGINT AS rate, min(k) AS row_start, max(k) AS row_end, count(*) AS n FROM i GROUP BY l_orderkey, rate, island HAVING count(*) >= 2""")
 def rate_islands(t: Tables):
     """Runs of consecutive rows with one rate, of two rows at least."""
@@ -101,8 +101,7 @@ def section_of_row(t: Tables):
     """The section whose interval of rows holds a row: an equi-join on key and bucket, then the bounds."""
     spans = t("part").where("p_size % 5 = 1").groupBy("p_type", F.col("p_size").alias("row_start")).agg(F.min("p_brand").alias("title")).withColumn("row_end", F.col("row_start") + 4)
     rows = t("part").select("p_partkey", "p_type", "p_size")
-    hit = interval_join(rows, spans, ["p_type"], "p_size", "row_start", "row_end").where("title IS NOT NULL").select("p_partkey", "title")
-    return rows.select("p_partkey").join(hit, "p_partkey", "left")
+    return interval_join(rows, spans, ["p_type"], "p_size", "row_start", "row_end", size=5).select("p_partkey", "title")
 
 
 @query("""WITH m AS (SELECT s_suppkey AS sheet, s_suppkey % 5 AS r1, s_suppkey % 5 + 3 AS r2, s_nationkey % 4 AS c1, s_nationkey % 4 + 2 AS c2, s_name AS anchor FROM supplier)
@@ -231,11 +230,11 @@ def norm_records(t: Tables):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, (CASE WHEN l_partkey % 1000 >= 702 THEN chr((65 + ((l_partkey % 1000 + 1 - 703) // 676))::INTEGER) ELSE '' END) || (CASE WHEN l_partkey % 1000 + 1 > 26 THEN chr((65 + ((l_partkey % 1000 + 1 - 27) // 26) % 26)::INTEGER) ELSE '' END)
-    || chr((65 + (l_partkey % 1000) % 26)::INTEGER) || l_linenumber AS cell, CASE WHEN l_discount * 100 - floor(l_discount * 100) >= 0 THEN floor(l_quantity / 4 * 1 + 0.5) END AS rounded FROM lineitem WHERE l_orderkey < 2000""", whole=True)
+    || chr((65 + (l_partkey % 1000) % 26)::INTEGER) || l_linenumber AS cell, CASE WHEN l_discount * 100 - floor(l_discount * 100) >= 0 THEN floor(l_quantity / 4 * 1 + 0.5) END AS rounded FROM lineitem""")
 def cell_names(t: Tables):
     """Spreadsheet coordinates and rounding half away from zero."""
     n = (F.col("l_partkey") % 1000 + 1).cast("int")
-    return t.part_of("lineitem", "l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(column_letters(n), F.col("l_linenumber").cast("string")).alias("cell"), excel_round(F.col("l_quantity") / 4).alias("rounded"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(column_letters(n), F.col("l_linenumber").cast("string")).alias("cell"), excel_round(F.col("l_quantity") / 4).alias("rounded"))
 
 
 @query("""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) SELECT doc_id, len(list_filter(ls, lambda s: trim(s) <> '')) AS lines FROM x""")
@@ -244,7 +243,7 @@ def work_list_lines(t: Tables):
     return t("documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")).cast("long").alias("lines"))
 
 
-@query("""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand || ', ' || p_type), '[^a-z0-9 ]', ' ', 'g')) AS raw_key FROM part WHERE false""", whole=True)
-def empty_keys(t: Tables):
-    """An empty input gives an empty result with the same columns."""
-    return t.part_of("part", "false").select("p_partkey", normalised(F.concat_ws(" ", "p_name", "p_brand")).alias("raw_key"))
+@query("""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS raw_key FROM part""")
+def raw_keys(t: Tables):
+    """Keys that keep the brand."""
+    return t("part").select("p_partkey", normalised(F.concat_ws(" ", "p_name", "p_brand")).alias("raw_key"))

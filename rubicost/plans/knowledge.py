@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rubicost.operators.merge import insert_absent, override
+from rubicost.operators.statistics import exact_median
 from rubicost.operators.topk import first_of, page
 from rubicost.registry import query
 from rubicost.tables import Tables, with_views
@@ -34,7 +35,11 @@ SELECT f.file_id, name, market, coalesce(items, 0) AS items, coalesce(rates, 0)
 FROM files f LEFT JOIN i ON i.file_id = f.file_id""")
 def file_counters(t: Tables):
     """Each file with the counts of its children, which are aggregated before the join."""
-    children = t.items().groupBy("file_id").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("unit_price") > 3000).alias("rates"), F.count_distinct("category").alias("sections"), F.count_distinct("sheet").alias("used_in"))
+    # by category and by sheet, so that neither distinct count needs copies of the rows
+    kinds = t.items().groupBy("file_id", "category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("unit_price") > 3000).alias("high"))
+    children = kinds.groupBy("file_id").agg(F.sum("n").alias("items"), F.sum("high").alias("rates"), F.count("category").alias("sections"))
+    sheets = t.items().select("file_id", "sheet").distinct().groupBy("file_id").agg(F.count("sheet").alias("used_in"))
+    children = children.join(sheets, "file_id", "left")
     return t.files().join(children, "file_id", "left").select("file_id", "name", "market", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("items", "rates", "sections", "used_in")])
 
 
@@ -80,9 +85,11 @@ s AS (SELECT median(rate) AS m FROM r), f AS (SELECT median(unit_price / 100) AS
 SELECT round(coalesce(s.m, f.m), 4) AS default_rate FROM s, f""")
 def default_hourly_rate(t: Tables):
     """Exact median of the files' rates without zeros; the rows' rates if there is none."""
-    rates = t.files().select(F.when(F.col("balance") > 0, F.round(F.col("balance") / 100, 2)).alias("rate")).agg(F.median("rate").alias("m"))
-    rows = t.items().where("unit_price > 0").agg(F.median(F.col("unit_price") / 100).alias("f"))
-    return rates.crossJoin(rows).select(F.round(F.coalesce("m", "f"), 4).alias("default_rate"))
+    rates = t.files().select(F.when(F.col("balance") > 0, F.round(F.col("balance") / 100, 2)).alias("rate"))
+    rows = t.items().where("unit_price > 0").select((F.col("unit_price") / 100).alias("rate"))
+    # one row each, or none
+    both = exact_median(rates, [], "rate").select(F.lit(1).alias("tier"), "median").unionByName(exact_median(rows, [], "rate").select(F.lit(2).alias("tier"), "median"))
+    return both.agg(F.round(F.min_by("median", "tier"), 4).alias("default_rate"))
 
 
 @query(f"""{ITEMS} SELECT file_id, sheet, row_no, text, unit_price FROM items WHERE file_id = 7 AND text ILIKE '%red%'
@@ -162,7 +169,7 @@ def array_append_remove(t: Tables):
 def owned_files(t: Tables):
     """Rows the caller owns: a semi-join on the owner, names from a dimension."""
     owners = t("customer").where("c_mktsegment = 'BUILDING'").select("c_nationkey")
-    return t("supplier").where("s_acctbal > 0").join(owners, F.col("s_nationkey") == F.col("c_nationkey"), "left_semi").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_name", "n_name")
+    return t("supplier").where("s_acctbal > 0").join(owners, F.col("s_nationkey") == F.col("c_nationkey"), "left_semi").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_name", "n_name")
 
 
 @query("""SELECT doc_id, coalesce(CASE WHEN doc_id % 9 = 0 THEN 'edited ' || lang END, lang) AS effective, doc_id % 9 = 0 AS edited FROM documents""")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rubicost.functions.text import tokens
 from rubicost.functions.units import attributes_compatible, units_compatible
 from rubicost.operators.joins import knn_join, lexical_join
+from rubicost.operators.statistics import exact_median
 from rubicost.operators.topk import first_of
 from rubicost.registry import query
 from rubicost.tables import Tables, with_views
@@ -39,7 +40,7 @@ def candidates(t: Tables):
 @query(f"""{BASE}, {PICK}
 SELECT s.spec_id, CASE WHEN a.c IS NOT NULL THEN 'exact' WHEN o.c IS NOT NULL THEN 'blocked' ELSE 'none' END AS source, coalesce(a.c.file_id, o.c.file_id) AS file_id,
     a.c.sheet AS sheet, a.c.row_no AS row_no, a.c.price AS price
-FROM specs s LEFT JOIN cand a ON a.text = s.text AND a.category = s.category AND a.state = 'allowed' LEFT JOIN cand o ON o.text = s.text AND o.category = s.category AND o.state = 'other'""", whole=True)
+FROM specs s LEFT JOIN cand a ON a.text = s.text AND a.category = s.category AND a.state = 'allowed' LEFT JOIN cand o ON o.text = s.text AND o.category = s.category AND o.state = 'other'""")
 def exact_match(t: Tables):
     """Same text and attributes in an allowed file, else the unselected file that blocks the row; its price is not told."""
     cand = candidates(t)
@@ -64,7 +65,7 @@ sim AS (SELECT a.text AS spec_text, b.text AS item_text, b.category, {dice('a.to
 
 @query(f"""{BASE}, {LEXICAL}, best AS (SELECT s.spec_id, item_text, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY s.spec_id ORDER BY round(similarity, 6) DESC, item_text) AS rank
     FROM specs s JOIN sim ON sim.spec_text = s.text AND sim.category = s.category WHERE similarity >= {ACCEPT * 0.8})
-SELECT spec_id, rank::INTEGER AS rank, item_text, similarity FROM best WHERE rank <= 8""", whole=True)
+SELECT spec_id, rank::INTEGER AS rank, item_text, similarity FROM best WHERE rank <= 8""")
 def lexical_candidates(t: Tables):
     """The eight most similar reference texts of the same category, over an inverted index of tokens."""
     specs = t.specs()
@@ -101,7 +102,7 @@ hit AS (SELECT s.spec_id, 1 AS tier, 85 AS pct, n.norm_id, n.hours FROM specs s
     UNION ALL SELECT s.spec_id, 2, 72, n.norm_id, n.hours FROM specs s JOIN norms n ON n.level = 'item' AND n.text = s.text AND n.category = s.category
     UNION ALL SELECT s.spec_id, 3, 55, n.norm_id, n.hours FROM specs s JOIN norms n ON n.level = 'category' AND n.category = s.category),
 r AS (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY tier, norm_id) AS k FROM hit)
-SELECT spec_id, tier, pct, norm_id, hours FROM r WHERE k = 1""", whole=True)
+SELECT spec_id, tier, pct, norm_id, hours FROM r WHERE k = 1""")
 def norm_lookup(t: Tables):
     """The first tier that has a norm: parameterised, item, category; each tier is one row per key before its join."""
     norms = t("part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("norm_id"), (F.col("p_partkey") % 3).alias("k"), F.col("p_name").alias("text"), F.col("p_type").alias("category"), F.col("p_size").alias("size"), F.round(F.col("p_retailprice") / 1000, 6).alias("hours"))
@@ -131,7 +132,7 @@ def hourly_cascade(t: Tables):
     a = cand.where("state = 'allowed'").select("text", "category", F.col("c").alias("a"))
     o = cand.where("state = 'other'").select("text", "category", F.col("c").alias("o"))
     norms = t("part").where("p_partkey % 4 <> 0 AND p_partkey % 3 = 2 AND p_type <> 'PROMO'").groupBy(F.col("p_type").alias("category")).agg(F.min_by(F.round(F.col("p_retailprice") / 1000, 6), "p_partkey").alias("hours"))
-    rows = t.specs().join(a, ["text", "category"], "left").join(o, ["text", "category"], "left").join(F.broadcast(norms), "category", "left")
+    rows = t.specs().join(a, ["text", "category"], "left").join(o, ["text", "category"], "left").join(norms, "category", "left")
     has_a, has_o = F.col("a").isNotNull() & (F.col("spec_id") % 3 != 0), F.col("o").isNotNull() & (F.col("spec_id") % 2 == 0)
     rows = rows.withColumn("source", F.when(has_a, "exact").when(has_o, "pending_permission").when(F.col("hours").isNotNull(), "norm").otherwise("none"))
     exact, norm = F.col("source") == "exact", F.col("source") == "norm"
@@ -177,7 +178,6 @@ def whole_hourly_cascade(t: Tables):
     The best rows are taken from all similar ones, not from the first eight. The
     weak match is the fallback without a model.
     """
-    t = Tables(t.spark, t.sf_dir, whole=True)
     exact = exact_match(t).select("spec_id", F.col("source").alias("first"), F.col("file_id").alias("first_file"), F.col("price").alias("first_price"))
     norms = norm_lookup(t).select("spec_id", F.col("pct").alias("norm_pct"), "hours")
     web = t("pages").groupBy(F.col("page_id").alias("spec_id")).agg(F.min(F.length("html") % 90 + F.lit(10.0)).alias("web"))
@@ -250,14 +250,18 @@ def confidence_levels(t: Tables):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", pct.alias("pct"), F.when(pct >= 80, "high").when(pct >= 60, "medium").otherwise("low").alias("confidence"), (pct < 60).alias("needs_check"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS a_id, p_type AS category, p_size AS size, CASE p_partkey % 4 WHEN 0 THEN 'pcs' WHEN 1 THEN 'set' WHEN 2 THEN 'lot' ELSE NULL END AS unit FROM part WHERE p_partkey % 40 = 0),
-b AS (SELECT p_partkey AS b_id, CASE WHEN p_type = 'PROMO' THEN 'other' ELSE p_type END AS category, nullif(p_size, 7) AS size, CASE p_partkey % 3 WHEN 0 THEN 'point' WHEN 1 THEN 'set' ELSE 'm' END AS unit FROM part WHERE p_partkey % 7 = 0)
-SELECT a_id, b_id FROM a JOIN b ON (a.category = b.category OR b.category = 'other') AND (b.size IS NULL OR a.size = b.size)
-    AND (a.unit IS NULL OR a.unit = b.unit OR (a.unit IN ('pcs', 'set', 'point') AND b.unit IN ('pcs', 'set', 'point')) OR (a.unit IN ('set', 'lot') AND b.unit IN ('set', 'lot')))""")
+FILTER_SIDES = """a AS (SELECT p_type AS ca, p_size AS sa, CASE p_partkey % 4 WHEN 0 THEN 'pcs' WHEN 1 THEN 'set' WHEN 2 THEN 'lot' ELSE NULL END AS ua, count(*) AS n_a FROM part GROUP BY ALL),
+b AS (SELECT CASE WHEN p_type = 'PROMO' THEN 'other' ELSE p_type END AS cb, nullif(p_size, 7) AS sb, CASE p_partkey % 3 WHEN 0 THEN 'point' WHEN 1 THEN 'set' ELSE 'm' END AS ub, count(*) AS n_b FROM part GROUP BY ALL)"""
+
+
+@query(f"""WITH {FILTER_SIDES} SELECT * FROM a JOIN b ON (ca = cb OR cb = 'other') AND (sb IS NULL OR sa = sb)
+    AND (ua IS NULL OR ua = ub OR (ua IN ('pcs', 'set', 'point') AND ub IN ('pcs', 'set', 'point')) OR (ua IN ('set', 'lot') AND ub IN ('set', 'lot')))""")
 def hard_filter_pairs(t: Tables):
-    """Pairs that pass the hard filter of attributes and units; the wildcard category is a key of its own."""
-    a, b = filter_sides(t("part").where("p_partkey % 40 = 0"), t("part").where("p_partkey % 7 = 0"))
-    return filtered(a, b).select("a_id", "b_id")
+    """Pairs of attribute classes that pass the hard filter, with the rows of each; the wildcard category is a key of its own."""
+    a, b = filter_sides(t("part"), t("part"))
+    a = a.groupBy("ca", "sa", "ua").agg(F.count(F.lit(1)).alias("n_a"))
+    b = b.groupBy("cb", "sb", "ub").agg(F.count(F.lit(1)).alias("n_b"))
+    return filtered(a, b).drop("k")
 
 
 def filter_sides(a, b):
@@ -293,7 +297,7 @@ def whole_hard_filter_pairs(t: Tables):
 
 @query(f"""{BASE}, {LEXICAL}, per AS (SELECT s.spec_id, i.file_id, max(sim.similarity) AS best FROM specs s JOIN sim ON sim.spec_text = s.text AND sim.category = s.category
     JOIN (SELECT DISTINCT file_id, text || ' ' || size AS item_text, category FROM items WHERE file_id % 5 <> 4) i ON i.item_text = sim.item_text AND i.category = sim.category GROUP BY 1, 2)
-SELECT file_id, round(sum(best) / (SELECT count(*) FROM specs), 6) AS score FROM per GROUP BY file_id""", whole=True)
+SELECT file_id, round(sum(best) / (SELECT count(*) FROM specs), 6) AS score FROM per GROUP BY file_id""")
 def template_ranking(t: Tables):
     """How well each file covers a work list: the mean over its items of the best similarity in the file."""
     specs = t.specs()
@@ -313,15 +317,17 @@ def template_ranking(t: Tables):
 def price_spread(t: Tables):
     """Median and coefficient of variation by category."""
     x = F.col("p_retailprice")
-    return t("part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.median(x).alias("median_price"), F.round(F.stddev_pop(x) / F.abs(F.avg(x)), 6).alias("spread"))
+    spread = t("part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.stddev_pop(x) / F.abs(F.avg(x)), 6).alias("spread"))
+    middle = exact_median(t("part"), ["p_type"], "p_retailprice", "median_price").drop("n")
+    return spread.join(middle, "p_type", "left").select("p_type", "n", "median_price", "spread")
 
 
 @query("""WITH w AS (SELECT page_id, (length(html) % 90 + 10)::DOUBLE AS price, page_id % 3 AS kind FROM pages), r AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'norm' WHEN 2 THEN 'exact' ELSE 'none' END AS source FROM part)
 SELECT p_partkey, CASE WHEN source = 'none' AND price IS NOT NULL THEN 'web' ELSE source END AS source, CASE WHEN source IN ('none', 'norm') THEN price END AS unit_material, CASE WHEN source = 'none' AND price IS NOT NULL THEN 40 END AS pct
-FROM r LEFT JOIN w ON w.page_id = p_partkey AND w.kind = 0""", whole=True)
+FROM r LEFT JOIN w ON w.page_id = p_partkey""")
 def web_prices(t: Tables):
     """Web prices fill rows that have no material price; only rows without any source change theirs."""
-    w = t.part_of("pages", "page_id % 3 = 0").select("page_id", (F.length("html") % 90 + F.lit(10.0)).alias("price"))
+    w = t("pages").select("page_id", (F.length("html") % 90 + F.lit(10.0)).alias("price"))
     r = t("part").select("p_partkey", F.expr("CASE p_partkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'norm' WHEN 2 THEN 'exact' ELSE 'none' END").alias("source"))
     found = (F.col("source") == "none") & F.col("price").isNotNull()
     return r.join(w, F.col("page_id") == F.col("p_partkey"), "left").select("p_partkey", F.when(found, "web").otherwise(F.col("source")).alias("source"), F.when(F.col("source").isin("none", "norm"), F.col("price")).alias("unit_material"), F.when(found, 40).alias("pct"))

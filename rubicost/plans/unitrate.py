@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rubicost.functions.text import jaccard
-from rubicost.operators.joins import asof_nearest
+from rubicost.operators.joins import asof_nearest, overlap_join
 from rubicost.operators.topk import first_of, mode_first_seen
 from rubicost.registry import query
 from rubicost.tables import Tables, with_views
@@ -69,14 +68,14 @@ def rate_card(t: Tables):
     return g.withColumn("text", F.when(F.col("low") == F.col("high"), low).otherwise(F.concat(low, F.lit("–"), high)))
 
 
-@query("""WITH pts AS (SELECT p_type, p_size::DOUBLE AS x, arg_min(p_retailprice, p_partkey) AS v FROM part WHERE p_size % 7 = 0 GROUP BY 1, 2), w AS (SELECT p_partkey AS want_id, p_type, p_size::DOUBLE AS x FROM part WHERE p_partkey % 20 = 0),
+@query("""WITH pts AS (SELECT p_type, p_size::DOUBLE AS x, arg_min(p_retailprice, p_partkey) AS v FROM part WHERE p_size % 7 = 0 GROUP BY 1, 2), w AS (SELECT p_partkey AS want_id, p_type, p_size::DOUBLE AS x FROM part),
 n AS (SELECT want_id, w.x, max(p.x) FILTER (WHERE p.x <= w.x) AS lo, min(p.x) FILTER (WHERE p.x >= w.x) AS hi, arg_max(p.v, p.x) FILTER (WHERE p.x <= w.x) AS lo_v, arg_min(p.v, p.x) FILTER (WHERE p.x >= w.x) AS hi_v FROM w JOIN pts p ON p.p_type = w.p_type GROUP BY 1, 2)
 SELECT want_id, CASE WHEN lo = hi THEN lo_v WHEN lo IS NULL THEN hi_v WHEN hi IS NULL THEN lo_v WHEN lo_v = hi_v THEN lo_v WHEN hi - x <= x - lo THEN hi_v ELSE lo_v END AS rate,
-    CASE WHEN lo = hi THEN 'exact' WHEN lo IS NULL OR hi IS NULL THEN 'nearest' ELSE 'band' END AS method FROM n""", whole=True)
+    CASE WHEN lo = hi THEN 'exact' WHEN lo IS NULL OR hi IS NULL THEN 'nearest' ELSE 'band' END AS method FROM n""")
 def band_interpolation(t: Tables):
     """The rate of the nearest size: exact, within a band, or the nearest end outside the range."""
     points = t("part").where("p_size % 7 = 0").groupBy("p_type", F.col("p_size").cast("double").alias("px")).agg(F.min_by("p_retailprice", "p_partkey").alias("v"))
-    wanted = t.part_of("part", "p_partkey % 20 = 0").select(F.col("p_partkey").alias("want_id"), "p_type", F.col("p_size").cast("double").alias("x"))
+    wanted = t("part").select(F.col("p_partkey").alias("want_id"), "p_type", F.col("p_size").cast("double").alias("x"))
     n = asof_nearest(points, ["p_type"], "px", "v", wanted, "x")
     lo, hi, x = F.col("lo"), F.col("hi"), F.col("x")
     rate = F.when(lo == hi, F.col("lo_value")).when(lo.isNull(), F.col("hi_value")).when(hi.isNull(), F.col("lo_value")).when(hi - x <= x - lo, F.col("hi_value")).otherwise(F.col("lo_value"))
@@ -84,31 +83,31 @@ def band_interpolation(t: Tables):
     return n.where(lo.isNotNull() | hi.isNotNull()).select("want_id", rate.alias("rate"), method.alias("method"))
 
 
-@query("""WITH pts AS (SELECT p_type, p_size::DOUBLE AS x, arg_min(p_retailprice, p_partkey) AS v FROM part WHERE p_size % 6 = 1 GROUP BY 1, 2), w AS (SELECT p_partkey AS want_id, p_type, p_size::DOUBLE AS x FROM part WHERE p_partkey % 20 = 3),
+@query("""WITH pts AS (SELECT p_type, p_size::DOUBLE AS x, arg_min(p_retailprice, p_partkey) AS v FROM part WHERE p_size % 6 = 1 GROUP BY 1, 2), w AS (SELECT p_partkey AS want_id, p_type, p_size::DOUBLE AS x FROM part),
 n AS (SELECT want_id, w.x, max(p.x) FILTER (WHERE p.x <= w.x) AS lo, min(p.x) FILTER (WHERE p.x >= w.x) AS hi FROM w JOIN pts p ON p.p_type = w.p_type GROUP BY 1, 2)
-SELECT want_id, CASE WHEN lo IS NULL THEN hi WHEN hi IS NULL OR lo = hi THEN lo WHEN hi <= 2 * x THEN hi WHEN hi / x <= x / lo THEN hi ELSE lo END AS size FROM n""", whole=True)
+SELECT want_id, CASE WHEN lo IS NULL THEN hi WHEN hi IS NULL OR lo = hi THEN lo WHEN hi <= 2 * x THEN hi WHEN hi / x <= x / lo THEN hi ELSE lo END AS size FROM n""")
 def rating_round_up(t: Tables):
     """Ratings go up to the next size where that is at most double, else to the nearer one by ratio."""
     points = t("part").where("p_size % 6 = 1").groupBy("p_type", F.col("p_size").cast("double").alias("px")).agg(F.min_by("p_retailprice", "p_partkey").alias("v"))
-    wanted = t.part_of("part", "p_partkey % 20 = 3").select(F.col("p_partkey").alias("want_id"), "p_type", F.col("p_size").cast("double").alias("x"))
+    wanted = t("part").select(F.col("p_partkey").alias("want_id"), "p_type", F.col("p_size").cast("double").alias("x"))
     n = asof_nearest(points, ["p_type"], "px", "v", wanted, "x")
     lo, hi, x = F.col("lo"), F.col("hi"), F.col("x")
     size = F.when(lo.isNull(), hi).when(hi.isNull() | (lo == hi), lo).when(hi <= 2 * x, hi).when(hi / x <= x / lo, hi).otherwise(lo)
     return n.where(lo.isNotNull() | hi.isNotNull()).select("want_id", size.alias("size"))
 
 
-GRID = "grid AS (SELECT p_size AS w, p_partkey % 5 AS t, round(arg_min(p_retailprice, p_partkey), 2) AS rate FROM part WHERE p_size % 3 = 0 AND p_partkey % 7 < 4 GROUP BY 1, 2)"
+GRID = "grid AS (SELECT p_size AS w, p_partkey % 5 AS t, round(arg_min(p_retailprice, p_partkey), 2) AS rate FROM part GROUP BY 1, 2)"
 
 
 @query(f"""WITH {GRID}, step AS (SELECT coalesce(median(b.rate - a.rate), 10) AS step FROM grid a JOIN grid b ON b.w = a.w AND b.t = a.t + 1), want AS (SELECT DISTINCT p_size AS w0, p_partkey % 8 AS t0 FROM part),
 pick AS (SELECT w0, t0, coalesce(min(w) FILTER (WHERE w >= w0), max(w)) AS wb FROM want, (SELECT DISTINCT w FROM grid) GROUP BY w0, t0),
 near AS (SELECT w0, t0, wb, t, rate, row_number() OVER (PARTITION BY w0, t0 ORDER BY abs(t - t0), t) AS k FROM pick JOIN grid ON grid.w = wb)
-SELECT w0, t0, wb, t, round(rate + step * (t0 - t), 4) AS rate FROM near, step WHERE k = 1""", whole=True)
+SELECT w0, t0, wb, t, round(rate + step * (t0 - t), 4) AS rate FROM near, step WHERE k = 1""")
 def bracket_grid(t: Tables):
     """Two-dimensional nearest: the width at or above, then the nearest tier and a step for each further one."""
-    grid = t.part_of("part", "p_size % 3 = 0 AND p_partkey % 7 < 4").groupBy(F.col("p_size").alias("w"), (F.col("p_partkey") % 5).alias("t")).agg(F.round(F.min_by("p_retailprice", "p_partkey"), 2).alias("rate"))
+    grid = t("part").groupBy(F.col("p_size").alias("w"), (F.col("p_partkey") % 5).alias("t")).agg(F.round(F.min_by("p_retailprice", "p_partkey"), 2).alias("rate"))
     nxt = grid.select("w", (F.col("t") - 1).alias("t"), F.col("rate").alias("next"))
-    step = grid.join(nxt, ["w", "t"]).agg(F.coalesce(F.median(F.col("next") - F.col("rate")), F.lit(10.0)).alias("step"))
+    step = grid.join(nxt, ["w", "t"]).agg(F.coalesce(F.median(F.col("next") - F.col("rate")), F.lit(10.0)).alias("step"))  # a row per width and tier
     want = t("part").select(F.col("p_size").alias("w0"), (F.col("p_partkey") % 8).alias("t0")).distinct()
     widths = grid.select("w").distinct().withColumn("k", F.lit(0))
     n = asof_nearest(widths, ["k"], "w", "w", want.withColumn("k", F.lit(0)), "w0")
@@ -117,16 +116,15 @@ def bracket_grid(t: Tables):
     return near.crossJoin(F.broadcast(step)).select("w0", "t0", "wb", "t", F.round(F.col("rate") + F.col("step") * (F.col("t0") - F.col("t")), 4).alias("rate"))
 
 
-@query("""WITH w AS (SELECT DISTINCT p_name AS a, string_split(p_name, ' ') AS ta FROM part WHERE p_partkey % 3 = 0), r AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS b, p_type, string_split(p_name || ' ' || lower(p_type), ' ') AS tb FROM part),
+@query("""WITH w AS (SELECT DISTINCT p_name AS a, string_split(p_name, ' ') AS ta FROM part), r AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS b, p_type, string_split(p_name || ' ' || lower(p_type), ' ') AS tb FROM part),
 s AS (SELECT a, b, len(list_intersect(ta, tb))::DOUBLE / len(list_distinct(list_concat(ta, tb))) AS j FROM w, r WHERE len(list_intersect(ta, tb)) > 0)
-SELECT a, b, round(j, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY j DESC, b) AS k FROM s) WHERE k = 1 AND j >= 0.5""", whole=True)
+SELECT a, b, round(j, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY j DESC, b) AS k FROM s) WHERE k = 1 AND j >= 0.5""")
 def similar_text(t: Tables):
-    """The reference text with the largest word overlap, at least one half; distinct texts meet through their words."""
-    a = t.part_of("part", "p_partkey % 3 = 0").select(F.col("p_name").alias("a")).distinct().withColumn("ta", F.split("a", " "))
+    """The reference text with the largest word overlap, at least one half; distinct texts meet through their rarest words."""
+    a = t("part").select(F.col("p_name").alias("a")).distinct().withColumn("ta", F.split("a", " "))
     b = t("part").select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("b")).distinct().withColumn("tb", F.split("b", " "))
-    met = a.withColumn("w", F.explode(F.array_distinct("ta"))).join(b.withColumn("w", F.explode(F.array_distinct("tb"))), "w").dropDuplicates(["a", "b"])
-    scored = met.withColumn("j", jaccard(F.col("ta"), F.col("tb"))).where("j >= 0.5")
-    return first_of(scored, ["a"], F.desc("j"), F.col("b")).select("a", "b", F.round("j", 6).alias("overlap"))
+    scored = overlap_join(a, b, "a", "b", "ta", "tb", 0.5)
+    return first_of(scored, ["a"], F.desc("overlap"), F.col("b")).select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
 @query("""WITH a AS (SELECT l_orderkey AS section, arg_min(l_quantity, (l_linenumber, l_partkey, l_extendedprice)) FILTER (WHERE l_quantity >= 20) AS anchor FROM lineitem GROUP BY 1)
@@ -157,14 +155,14 @@ def sheet_totals(t: Tables):
     return t("lineitem").groupBy(F.col("l_suppkey").alias("sheet")).agg(part("A").alias("install"), part("N").alias("supply"), part("R").alias("other"), F.sum(x).cast("double").alias("total"))
 
 
-@query("""WITH r AS (SELECT l_suppkey AS file_id, CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'medium' ELSE 'large' END AS class, l_linenumber AS phase, l_extendedprice AS rate, l_orderkey AS ord, l_partkey FROM lineitem WHERE l_suppkey % 10 < 3),
+@query("""WITH r AS (SELECT l_suppkey AS file_id, CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'medium' ELSE 'large' END AS class, l_linenumber AS phase, l_extendedprice AS rate, l_orderkey AS ord, l_partkey FROM lineitem),
 best AS (SELECT class, min(file_id) AS file_id FROM r GROUP BY class), p AS (SELECT r.class, phase, arg_min(rate, (ord, l_partkey)) AS same, r.file_id FROM r JOIN best b ON b.class = r.class AND b.file_id = r.file_id GROUP BY 1, 2, 4),
 f AS (SELECT r.class, arg_min(rate, (ord, phase, l_partkey)) AS first FROM r JOIN best b ON b.class = r.class AND b.file_id = r.file_id GROUP BY 1), want AS (SELECT DISTINCT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class, (p_partkey % 9)::INTEGER AS phase FROM part)
-SELECT w.class, w.phase, round(coalesce(same, first), 2) AS rate FROM want w LEFT JOIN p ON p.class = w.class AND p.phase = w.phase LEFT JOIN f ON f.class = w.class""", whole=True)
+SELECT w.class, w.phase, round(coalesce(same, first), 2) AS rate FROM want w LEFT JOIN p ON p.class = w.class AND p.phase = w.phase LEFT JOIN f ON f.class = w.class""")
 def contractor_lookup(t: Tables):
     """By class: the best file, then its rate of the same phase, else its first."""
     kind = lambda c: F.when(F.col(c) < 10, "small").when(F.col(c) < 30, "medium").otherwise("large")
-    r = t.part_of("lineitem", "l_suppkey % 10 < 3").select(F.col("l_suppkey").alias("file_id"), kind("l_quantity").alias("class"), F.col("l_linenumber").alias("phase"), F.col("l_extendedprice").alias("rate"), F.col("l_orderkey").alias("ord"), "l_partkey")
+    r = t("lineitem").select(F.col("l_suppkey").alias("file_id"), kind("l_quantity").alias("class"), F.col("l_linenumber").alias("phase"), F.col("l_extendedprice").alias("rate"), F.col("l_orderkey").alias("ord"), "l_partkey")
     best = r.groupBy("class").agg(F.min("file_id").alias("file_id"))
     mine = r.join(F.broadcast(best), ["class", "file_id"])
     same = mine.groupBy("class", "phase").agg(F.min_by("rate", F.struct("ord", "l_partkey")).alias("same"))
@@ -197,17 +195,9 @@ def phase_months(t: Tables):
     return t("lineitem").groupBy(F.col("l_suppkey").alias("sheet"), F.col("l_linenumber").alias("phase")).agg(F.max("l_quantity").alias("months"), F.max_by("l_quantity", F.struct("l_orderkey", "l_partkey")).alias("last_weeks"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS rate, false AS needs_check FROM lineitem WHERE l_suppkey % 10 = 1 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 25, true FROM lineitem WHERE l_suppkey % 10 = 2""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 2 <> 0 THEN l_extendedprice ELSE l_quantity * 25 END AS rate, coalesce(l_suppkey % 2 = 0, true) AS needs_check FROM lineitem""")
 def cross_model_references(t: Tables):
-    """Rows of the other pricing model serve as rates too, flagged to be checked."""
-    own = t("lineitem").where("l_suppkey % 10 = 1").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("rate"), F.lit(False).alias("needs_check"))
-    other = t("lineitem").where("l_suppkey % 10 = 2").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") * 25).alias("rate"), F.lit(True).alias("needs_check"))
-    return own.unionByName(other)
-
-
-@query()
-def whole_cross_model_references(t: Tables):
-    """All rows: those of odd suppliers are of the own model, all others of the other one."""
+    """Rows of the other pricing model (here those of even suppliers) serve as rates too, flagged to be checked."""
     own = F.coalesce(F.col("l_suppkey") % 2 != 0, F.lit(False))
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(own, F.col("l_extendedprice")).otherwise(F.col("l_quantity") * 25).alias("rate"), (~own).alias("needs_check"))
 

@@ -65,13 +65,13 @@ def find_in_rows(t: Tables):
     return t("documents").where(F.contains(shown, F.lower(F.lit("Src7")))).orderBy("doc_id").limit(200).select("doc_id", "lang", "source")
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS pos, l_suppkey FROM lineitem WHERE l_suppkey % 10 = 3),
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS pos, l_suppkey FROM lineitem),
 a AS (SELECT l_suppkey, coalesce(min(pos) FILTER (WHERE l_orderkey >= 3000), max(pos)) AS place FROM r GROUP BY l_suppkey)
-SELECT r.l_suppkey, pos, l_orderkey, l_linenumber FROM r JOIN a ON a.l_suppkey = r.l_suppkey WHERE pos // 25 = place // 25""", whole=True)
+SELECT r.l_suppkey, pos, l_orderkey, l_linenumber FROM r JOIN a ON a.l_suppkey = r.l_suppkey WHERE pos // 25 = place // 25""")
 def page_around_row(t: Tables):
     """For each sheet the page of 25 rows that holds the first row at or after a given one."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    rows = t.part_of("lineitem", "l_suppkey % 10 = 3").withColumn("pos", (F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)) - 1).cast("long"))
+    rows = t("lineitem").withColumn("pos", (F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)) - 1).cast("long"))
     at = rows.groupBy("l_suppkey").agg(F.coalesce(F.min(F.when(F.col("l_orderkey") >= 3000, F.col("pos"))), F.max("pos")).alias("at"))
     return rows.join(at, "l_suppkey").where(F.floor(F.col("pos") / 25) == F.floor(F.col("at") / 25)).select("l_suppkey", "pos", "l_orderkey", "l_linenumber")
 
@@ -97,13 +97,13 @@ def upsert_keep_edited(t: Tables):
     return upsert(old, new, ["k"], F.col("o.source") == "edited")
 
 
-@query("""WITH e AS (SELECT p_partkey AS k, arg_min(p_retailprice, p_size) AS x FROM part GROUP BY 1), b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice AS labour FROM lineitem WHERE l_orderkey < 2000)
+@query("""WITH e AS (SELECT p_partkey AS k, arg_min(p_retailprice, p_size) AS x FROM part GROUP BY 1), b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice AS labour FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN k IS NOT NULL AND k % 11 = 0 THEN round(x * l_quantity, 2) ELSE labour END AS labour, CASE WHEN k % 11 = 0 THEN labour END AS original, coalesce(k % 11 = 0, false) AS edited
-FROM b LEFT JOIN e ON k = l_partkey""", whole=True)
+FROM b LEFT JOIN e ON k = l_partkey""")
 def edited_rows(t: Tables):
     """Edits recompute a row; the value before the first edit is kept."""
     edits = t("part").where("p_partkey % 11 = 0").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("x"))
-    base = t.part_of("lineitem", "l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.col("l_extendedprice").alias("labour"))
+    base = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.col("l_extendedprice").alias("labour"))
     hit = F.col("k").isNotNull()
     return base.join(edits, F.col("k") == F.col("l_partkey"), "left").select("l_orderkey", "l_linenumber", "l_partkey", F.when(hit, F.round(F.col("x") * F.col("l_quantity"), 2)).otherwise(F.col("labour")).alias("labour"), F.when(hit, F.col("labour")).alias("original"), hit.alias("edited"))
 
@@ -125,13 +125,13 @@ def write_report(t: Tables):
     return rows.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("decision") == "write", F.col("l_quantity")).otherwise(0.0)).alias("written"))
 
 
-@query("""WITH g AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_orderkey < 500)
+@query("""WITH g AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
 SELECT l_orderkey AS section, 'item' AS kind, k + 1 AS line, l_quantity AS qty FROM g UNION ALL SELECT DISTINCT l_orderkey, 'section', 1, NULL FROM g
-UNION ALL SELECT l_orderkey, 'subtotal', max(n) + 2, sum(l_quantity) FROM g GROUP BY l_orderkey""", whole=True)
+UNION ALL SELECT l_orderkey, 'subtotal', max(n) + 2, sum(l_quantity) FROM g GROUP BY l_orderkey""")
 def workbook_layout(t: Tables):
     """Lines of a generated workbook: a heading, the items and a subtotal for each section."""
     w = Window.partitionBy("l_orderkey")
-    g = t.part_of("lineitem", "l_orderkey < 500").select("l_orderkey", "l_quantity", F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_extendedprice")).alias("k"))
+    g = t("lineitem").select("l_orderkey", "l_quantity", F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_extendedprice")).alias("k"))
     items = g.select(F.col("l_orderkey").alias("section"), F.lit("item").alias("kind"), (F.col("k") + 1).cast("long").alias("line"), F.col("l_quantity").alias("qty"))
     ends = g.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
     heads = ends.select(F.col("l_orderkey").alias("section"), F.lit("section").alias("kind"), F.lit(1).cast("long").alias("line"), F.lit(None).cast("double").alias("qty"))
@@ -139,8 +139,8 @@ def workbook_layout(t: Tables):
 
 
 @query("""WITH m AS (SELECT s_suppkey, max(CASE WHEN s_acctbal < 0 THEN 'CHECK' END) AS marker FROM supplier GROUP BY 1)
-SELECT l_orderkey, l_linenumber, l_partkey, marker FROM lineitem LEFT JOIN m ON s_suppkey = l_suppkey WHERE l_orderkey < 1000""", whole=True)
+SELECT l_orderkey, l_linenumber, l_partkey, marker FROM lineitem LEFT JOIN m ON s_suppkey = l_suppkey""")
 def markers_joined(t: Tables):
     """Viewer rows with the markers of another table."""
     m = t("supplier").groupBy("s_suppkey").agg(F.max(F.when(F.col("s_acctbal") < 0, "CHECK")).alias("marker"))
-    return t.part_of("lineitem", "l_orderkey < 1000").join(m, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("l_orderkey", "l_linenumber", "l_partkey", "marker")
+    return t("lineitem").join(m, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("l_orderkey", "l_linenumber", "l_partkey", "marker")

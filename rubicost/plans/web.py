@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import html
 import json
-import re
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rubicost.plans.store import loose_number
 from rubicost.registry import query
 from rubicost.tables import Tables
 
@@ -36,9 +37,15 @@ def text_prices(t: Tables):
     return t("pages").where(F.col("html").rlike(mark + "[0-9]")).select("page_id", F.regexp_extract("html", mark + r"([0-9]+(?:[.,][0-9]{2})?)", 1).alias("amount"))
 
 
-def structured_price(text: str | None) -> tuple[str | None, float | None, str | None]:
-    """Product, price and currency of a page: linked data first, then meta tags."""
-    for block in re.findall(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script>", text or "", re.S | re.I):
+# Fixed patterns: where a page states its price.
+LINKED = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
+META = r"""(?i)<meta[^>]+(?:property|itemprop|name)=["']([^"']+)["'][^>]+content=["']([^"']+)["']"""
+TEXT_PRICE = r"(?i:€|EUR)\s*(\d{1,5}(?:[ .]\d{3})*[.,]\d{2})|(\d{1,5}(?:[ .]\d{3})*[.,]\d{2})\s*(?i:€|EUR)"
+
+
+def linked_price(blocks: list[str] | None) -> tuple[str | None, str | None, str | None]:
+    """Name, price and currency of the first product with an offer in a page's linked data, however deep it lies."""
+    for block in blocks if blocks is not None else ():
         try:
             todo = [json.loads(block)]
         except ValueError:
@@ -48,35 +55,61 @@ def structured_price(text: str | None) -> tuple[str | None, float | None, str |
             if isinstance(x, list):
                 todo = x + todo
             elif isinstance(x, dict):
-                offer = x.get("offers")
-                offer = offer[0] if isinstance(offer, list) and offer else offer
-                if isinstance(offer, dict) and (price := offer.get("price", offer.get("lowPrice"))) is not None:
-                    try:
-                        return x.get("name"), float(str(price).replace(",", ".")), offer.get("priceCurrency")
-                    except ValueError:
-                        pass
-                todo += [v for v in x.values() if isinstance(v, dict | list)]
-    meta = dict(re.findall(r'<meta[^>]+(?:property|itemprop)="([^"]+)"[^>]+content="([^"]*)"', text or "", re.I))
-    for key in ("product:price:amount", "og:price:amount", "price"):
-        try:
-            return meta.get("og:title"), float(meta[key].replace(",", ".")), meta.get("product:price:currency") or meta.get("og:price:currency") or meta.get("priceCurrency")
-        except (KeyError, ValueError):
-            continue
+                kinds = x.get("@type")
+                offers = (x.get("offers") or []) if "Product" in (kinds if isinstance(kinds, list) else [kinds]) else []
+                for o in offers if isinstance(offers, list) else [offers]:
+                    if price := o.get("price") or o.get("lowPrice"):
+                        return x.get("name"), str(price), o.get("priceCurrency")
+                todo = [v for v in x.values() if isinstance(v, dict | list)] + todo
     return None, None, None
 
 
-PRICE = T.StructType([T.StructField("product", T.StringType()), T.StructField("price", T.DoubleType()), T.StructField("currency", T.StringType())])
+LINKED_SCHEMA = T.StructType([T.StructField("name", T.StringType()), T.StructField("price", T.StringType()), T.StructField("currency", T.StringType())])
 
 
-@F.pandas_udf(PRICE)
-def price_of(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([structured_price(p) for p in pages], columns=["product", "price", "currency"])
+@F.pandas_udf(LINKED_SCHEMA)
+def linked_prices(blocks: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([linked_price(b) for b in blocks], columns=["name", "price", "currency"])
 
 
-@query()
+def priced_pages(pages: DataFrame, html: str) -> DataFrame:
+    """Adds product, price, currency and tier: linked data, meta tags, an amount in the text; nulls if a page has none.
+
+    Only pages with linked data have their blocks read in Python, nested as they are.
+    """
+    blocks = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(LINKED), F.lit(1))
+    keys, values = (F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(META), F.lit(i)) for i in (1, 2))
+    pages = pages.withColumns({"_ld": linked_prices(blocks), "_meta": F.arrays_zip(F.transform(keys, F.lower).alias("k"), values.alias("v"))})
+    tag = lambda name: F.filter("_meta", lambda x: x["k"] == name)
+    meta = lambda *names: F.coalesce(*(F.get(tag(n), F.size(tag(n)) - 1)["v"] for n in names))  # noqa: E731  the last of one name counts
+    title = F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    text = F.regexp_replace(html, r"<[^>]+>", " ")
+    amount = F.coalesce(F.nullif(F.regexp_extract(text, TEXT_PRICE, 1), F.lit("")), F.nullif(F.regexp_extract(text, TEXT_PRICE, 2), F.lit("")))
+    first, second, third = loose_number(F.col("_ld.price")), loose_number(meta("product:price:amount", "og:price:amount", "price")), loose_number(amount)
+    pages = pages.withColumns({"tier": F.when(first.isNotNull(), "linked").when(second.isNotNull(), "meta").when(third.isNotNull(), "text"), "price": F.coalesce(first, second, third)})
+    product = F.when(F.col("tier") == "linked", F.col("_ld.name")).when(F.col("tier") == "meta", F.coalesce(meta("og:title"), title)).when(F.col("tier") == "text", title)
+    currency = F.when(F.col("tier") == "linked", F.upper("_ld.currency")).when(F.col("tier") == "meta", F.upper(meta("product:price:currency", "pricecurrency"))).when(F.col("tier") == "text", "EUR")
+    return pages.withColumns({"product": product, "currency": F.nullif(currency, F.lit(""))}).drop("_ld", "_meta")
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'linked' WHEN 1 THEN 'linked' WHEN 2 THEN 'meta' WHEN 3 THEN 'text' END AS tier, CASE WHEN page_id % 5 < 4 THEN page_id + 0.5 END::DOUBLE AS price, CASE page_id % 5 WHEN 0 THEN 'Lamp ' || page_id WHEN 1 THEN 'Lamp ' || page_id WHEN 2 THEN 'Meta' WHEN 3 THEN 'Shop' END AS product,
+    CASE page_id % 5 WHEN 0 THEN 'EUR' WHEN 1 THEN 'DKK' WHEN 2 THEN 'NOK' WHEN 3 THEN 'EUR' END AS currency FROM pages""")
 def page_prices(t: Tables):
-    """Structured prices of pages (nested linked data is beyond SQL)."""
-    return t("pages").select("page_id", price_of("html").alias("x")).select("page_id", "x.product", "x.price", "x.currency")
+    """Prices of pages by linked data, meta tags and text, the first tier that has one."""
+    k, id_ = F.col("page_id") % 5, F.col("page_id").cast("string")
+    nested = F.concat(F.lit('<script type="application/ld+json">[{"@graph": [{"x": 1}, {"@type": ["Thing", "Product"], "name": "Lamp '), id_, F.lit('", "offers": [{"price": "'), id_, F.lit(',50", "priceCurrency": "eur"}]}]}]</script>'))
+    plain = F.concat(F.lit("<script type='application/ld+json'>{broken</script><script type='application/ld+json'>{\"@type\": \"Product\", \"name\": \"Lamp "), id_, F.lit('", "offers": {"lowPrice": '), id_, F.lit('.5, "priceCurrency": "DKK"}}</script>'))
+    meta = F.concat(F.lit("""<meta property='og:title' content='Meta'><meta name="product:price:amount" content='"""), id_, F.lit(""",5'><meta property="product:price:currency" content="nok">"""))
+    text = F.concat(F.lit("<title> Shop </title><p>now <b>"), id_, F.lit(",50</b> EUR only</p>"))
+    page = F.when(k == 0, nested).when(k == 1, plain).when(k == 2, meta).when(k == 3, text).otherwise("<p>no price</p>")
+    return priced_pages(t("pages").select("page_id", page.alias("html")), "html").select("page_id", "tier", "price", "product", "currency")
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages), x AS (SELECT page_id, coalesce(nullif(regexp_extract(text, '(?:€|[Ee][Uu][Rr])\s*(\d{1,5}(?:[ .]\d{3})*[.,]\d{2})|(\d{1,5}(?:[ .]\d{3})*[.,]\d{2})\s*(?:€|[Ee][Uu][Rr])', 1), ''), nullif(regexp_extract(text, '(?:€|[Ee][Uu][Rr])\s*(\d{1,5}(?:[ .]\d{3})*[.,]\d{2})|(\d{1,5}(?:[ .]\d{3})*[.,]\d{2})\s*(?:€|[Ee][Uu][Rr])', 2), '')) AS amount FROM p)
+SELECT page_id, amount IS NOT NULL AS priced FROM x""")
+def pages_with_prices(t: Tables):
+    """Which of the pages as they are have a price in any tier."""
+    return priced_pages(t("pages").select("page_id", "html"), "html").select("page_id", F.col("tier").isNotNull().alias("priced"))
 
 
 # Tags that stay, and those whose text goes with them.

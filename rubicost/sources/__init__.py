@@ -1 +1 @@
-
+"""Reading and writing of files and cell values."""

@@ -9,17 +9,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubicost.registry import query
+from rubicost.sources.files import shared_folder
 from rubicost.tables import Tables
 
 
-def shared_folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/rubicost").rstrip("/")
-
-
 def event_stream(t: Tables) -> DataFrame:
     """The events table as a stream of files."""
     schema = t("events").schema
@@ -56,20 +53,24 @@ def streamed_last_progress(t: Tables):
     return run_available(agg, "complete")
 
 
+def timed(t: Tables) -> DataFrame:
+    """The event stream with a watermark on ``at``, which is the event's time as a point in time (session zone UTC)."""
+    return event_stream(t).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 day")
+
+
 @query("""SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS start, event_type, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS value FROM events GROUP BY 1, 2""")
 def streamed_tumbling(t: Tables):
     """Tumbling windows with a watermark (an extension of ours, not part of the surveyed application)."""
-    s = event_stream(t).withWatermark("ts", "1 day")
-    agg = s.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("value"))
-    return run_available(agg.select(F.col("w.start").alias("start"), "event_type", "n", F.col("value").cast("double").alias("value")), "complete")
+    agg = timed(t).groupBy(F.window("at", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("value"))
+    return run_available(agg.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.col("value").cast("double").alias("value")), "complete")
 
 
 @query("""WITH b AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2024-01-01') AS b, count(*) AS n FROM events GROUP BY 1), s AS (SELECT b - INTERVAL 1 HOUR * k AS start, n FROM b, (SELECT unnest([0, 1, 2]) AS k))
 SELECT start, sum(n)::BIGINT AS n FROM s GROUP BY start""")
 def streamed_sliding(t: Tables):
     """Sliding windows of three hours, one each hour (our extension)."""
-    agg = event_stream(t).withWatermark("ts", "1 day").groupBy(F.window("ts", "3 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return run_available(agg.select(F.col("w.start").alias("start"), "n"), "complete")
+    agg = timed(t).groupBy(F.window("at", "3 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return run_available(agg.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n"), "complete")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),

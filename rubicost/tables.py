@@ -13,16 +13,12 @@ from pyspark.sql import functions as F
 class Tables:
     """Parquet tables of one folder, by name; columns and filters are pushed into the scans."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False) -> None:
-        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
 
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def part_of(self, name: str, condition: str) -> DataFrame:
-        """The rows of a table that the SQL equivalent of a query names; all rows for a whole table."""
-        return self(name) if self.whole else self(name).where(condition)
-
     def rows(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
 
@@ -65,8 +61,8 @@ class Tables:
         return named.select(F.col("s_suppkey").alias("file_id"), F.col("s_name").alias("name"), F.col("n_name").alias("market"), F.col("r_name").alias("client"), F.col("s_acctbal").alias("balance"))
 
     def specs(self) -> DataFrame:
-        """Request rows: each part asks for a price; in the SQL equivalents every fifth does."""
-        return self.part_of("part", "p_partkey % 5 = 0").select(F.col("p_partkey").alias("spec_id"), F.col("p_name").alias("text"), F.col("p_type").alias("category"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand"), (F.col("p_size") % 7 + 1).cast("double").alias("qty"))
+        """Request rows: each part asks for a price."""
+        return self("part").select(F.col("p_partkey").alias("spec_id"), F.col("p_name").alias("text"), F.col("p_type").alias("category"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand"), (F.col("p_size") % 7 + 1).cast("double").alias("qty"))
 
 
 VIEWS = {
@@ -80,7 +76,7 @@ VIEWS = {
     "files": """files AS (SELECT s_suppkey AS file_id, s_name AS name, n_name AS market, r_name AS client, s_acctbal AS balance
     FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
     "specs": """specs AS (SELECT p_partkey AS spec_id, p_name AS text, p_type AS category, p_size AS size, p_brand AS brand, (p_size % 7 + 1)::DOUBLE AS qty
-    FROM part WHERE p_partkey % 5 = 0)""",
+    FROM part)""",
 }
 
 

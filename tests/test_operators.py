@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 from rubicost.operators.joins import asof_nearest, interval_join, knn_join, lexical_join
 from rubicost.operators.merge import insert_absent, override, upsert
 from rubicost.operators.topk import mode_first_seen, page, systematic
-from rubicost.plans.history import bucket_decisions, coalesce_deltas, decide_cards
-from rubicost.plans.web import sanitised, structured_price
+from rubicost.plans.history import bucket_steps, card_steps, delta_steps, queue_steps
+from rubicost.plans.web import linked_price, sanitised
 
 
 def rows(df, *by):
@@ -64,17 +64,20 @@ def test_systematic_and_page(spark):
     assert [r["i"] for r in page(df, [F.col("i")], 3, 2).collect()] == [3, 4]
 
 
+def run(steps, *columns):
+    return [x if len(x) > 1 else x[0] for x in map(steps, *columns)]
+
+
 def test_deltas_buckets_and_cards():
-    assert coalesce_deltas([20, 20, 20, 5, 1], [0, 0.01, 0.02, 0.03, 0.04], [True] * 3 + [False, True]) == [0, 0, 0, 1, 2]
-    assert coalesce_deltas([1, 1, 1], [0, 0.05, 0.2], [True] * 3) == [0, 0, 0]
-    assert bucket_decisions([0, 0, 0, 0, 10], 3, 0.1) == [True, True, True, False, True]
-    assert decide_cards([(0, "allowed"), (5, "undo"), (6, "denied"), (30, "undo"), (31, "allowed")]) == [("allowed", "applied"), ("open", "undone"), ("denied", "applied"), ("denied", "ignored"), ("denied", "ignored")]
-    assert decide_cards([(0, "undo"), (4000, "allowed")])[1] == ("expired", "ignored")
+    assert run(delta_steps(), [20, 20, 20, 5, 1], [0, 0.01, 0.02, 0.03, 0.04], [True] * 3 + [False, True]) == [0, 0, 0, 1, 2]
+    assert run(delta_steps(), [1, 1, 1], [0, 0.05, 0.2], [True] * 3) == [0, 0, 0]
+    assert run(bucket_steps(3, 0.1), [0, 0, 0, 0, 10]) == [True, True, True, False, True]
+    assert run(card_steps(), [0, 5, 6, 30, 31], ["allowed", "undo", "denied", "undo", "allowed"]) == [("allowed", "applied"), ("open", "undone"), ("denied", "applied"), ("denied", "ignored"), ("denied", "ignored")]
+    assert run(card_steps(), [0, 4000], ["undo", "allowed"])[1] == ("expired", "ignored")
+    assert run(queue_steps(), [0, 5, 10, 12], [10, 1, 1, 1]) == [True, False, True, True]
 
 
 def test_html():
-    ld = '<script type="application/ld+json">[{"@graph":[{"@type":"Product","name":"Lamp","offers":[{"price":"12,50","priceCurrency":"EUR"}]}]}]</script>'
-    assert structured_price(ld) == ("Lamp", 12.5, "EUR")
-    assert structured_price('<meta property="product:price:amount" content="7.5"><meta property="product:price:currency" content="DKK">') == (None, 7.5, "DKK")
-    assert structured_price("<p>none</p>") == structured_price(None) == (None, None, None)
+    assert linked_price(['[{"@graph":[{"@type":"Product","name":"Lamp","offers":[{"price":"12,50","priceCurrency":"EUR"}]}]}]']) == ("Lamp", "12,50", "EUR")
+    assert linked_price(["{broken", '{"@type": "Thing", "offers": {"price": 1}}']) == linked_price(None) == (None, None, None)
     assert sanitised('<p onclick="x()">a<script>bad()</script><b>b</b> &lt;i&gt;</p><div>c</div>') == "<p>a<b>b</b> &lt;i&gt;</p>c"

@@ -8,9 +8,13 @@ import __spark_entry__
 from rubicost.functions.text import STOP_WORDS
 
 
+#: queries whose form over all stages or rows has a name of its own
+WHOLE = {x: f"whole_{x}" for x in ("hourly_cascade", "cascade_statistics", "hard_filter_pairs")}
+
+
 @pytest.fixture(scope="module")
 def run(spark, sf_dir):
-    return lambda name: [r.asDict() for r in __spark_entry__.queries()[f"whole_{name}"](spark, sf_dir).collect()]
+    return lambda name: [r.asDict() for r in __spark_entry__.queries()[WHOLE.get(name, name)](spark, sf_dir).collect()]
 
 
 @pytest.fixture(scope="module")
@@ -119,7 +123,7 @@ def test_all_lines_are_read(run, items):
 def test_later_orders_are_read_too(spark):
     """On sf0.01, whose order keys reach 14999."""
     sf_dir = "/root/testdata/sf0.01"
-    run = lambda name: [r.asDict() for r in __spark_entry__.queries()[f"whole_{name}"](spark, sf_dir).collect()]
+    run = lambda name: [r.asDict() for r in __spark_entry__.queries()[WHOLE.get(name, name)](spark, sf_dir).collect()]
     part = spark.read.parquet(f"{sf_dir}/part.parquet").collect()
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").collect()
     key = lambda r: (r["l_orderkey"], r["l_linenumber"], r["l_partkey"])
@@ -132,7 +136,7 @@ def test_later_orders_are_read_too(spark):
     layout = run("workbook_layout")
     assert len(layout) == len(lines) + 2 * len(orders)
     assert {r["section"]: (r["line"], r["qty"]) for r in layout if r["kind"] == "subtotal"} == {k: (len(q) + 2, sum(q)) for k, q in orders.items()}
-    keys = {r["p_partkey"]: r["raw_key"] for r in run("empty_keys")}
+    keys = {r["p_partkey"]: r["raw_key"] for r in run("raw_keys")}
     assert keys == {r["p_partkey"]: re.sub("[^a-z0-9]+", " ", f"{r['p_name']} {r['p_brand']}".lower()).strip() for r in part}
 
 
