@@ -9,7 +9,10 @@ the overlap holds no common boundary (one very long pre-token), matching goes
 on from the last sure boundary until it meets one of the next chunk's. The
 stitched pieces are encoded by merging the pair of lowest rank, leftmost first;
 pieces that are new to a task go through these rounds together, as arrays.
-Decoding joins the raw bytes of the ids.
+Decoding joins the raw bytes of the ids. A text of up to ``chunk`` characters is
+one chunk: its pre-tokens are final, there being no neighbour to stitch it to.
+Each Python worker has one encoder, which remembers the ids of the pieces that
+it has met in any task (at most ``limit`` of them, then it starts anew).
 
 Defined results: a null text is encoded as the empty text, that is no ids;
 repeated rows and null ids stay as they are; an empty table gives no rows;
@@ -23,15 +26,16 @@ import base64
 import heapq
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubicost.llm.common import map_slices, text_key
+from rubicost.llm.common import map_slices, slices, text_key
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -45,6 +49,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 WIDTHS = (6, 8, 10, 12, 16, 24, 32)
 NEVER = (1 << 31) - 1
+#: how ids are held
+ID = np.dtype("<i4")
 
 
 class Pairs:
@@ -64,7 +70,7 @@ class Pairs:
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.made[at], NEVER)
 
 
-def merge_many(pieces: list[bytes], pairs: Pairs, width: int) -> list[list[int]]:
+def merge_many(pieces: list[bytes], pairs: Pairs, width: int) -> list[bytes]:
     """As ``merge``, for many pieces of at most ``width`` bytes at once: each round merges one pair of every piece."""
     n = len(pieces)
     sizes = np.array([len(p) for p in pieces])
@@ -92,8 +98,8 @@ def merge_many(pieces: list[bytes], pairs: Pairs, width: int) -> list[list[int]]
         rank[rows, at] = pairs.ranks(least, parts[rows, np.minimum(at + 1, width - 1)])
         some = at > 0
         rank[rows[some], at[some] - 1] = pairs.ranks(parts[rows[some], at[some] - 1], least[some])
-    kept = (done >= 0).sum(axis=1).tolist()
-    return [row[:k] for row, k in zip(done.tolist(), kept, strict=True)]
+    raw, step = done.astype(ID).tobytes(), 4 * width
+    return [raw[at : at + 4 * k] for at, k in zip(range(0, step * n, step), (done >= 0).sum(axis=1).tolist(), strict=True)]
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -124,11 +130,11 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes pre-tokens; ids are remembered until they are too many."""
+    """Encodes pre-tokens; their ids, as bytes of 32 bits each, are remembered until they are too many."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: Pairs | None = None, limit: int = 300_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: Pairs | None = None, limit: int = 500_000) -> None:
         self.ranks, self.pattern, self.pairs, self.limit = ranks, regex.compile(pattern), pairs or Pairs(ranks), limit
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, bytes] = {}
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Merges the pieces that aren't remembered, those of like length together."""
@@ -136,9 +142,9 @@ class Encoder:
         for p in pieces:
             raw = p.encode()
             if (whole := self.ranks.get(raw)) is not None:
-                self.seen[p] = [whole]
+                self.seen[p] = whole.to_bytes(4, "little")
             elif len(raw) > WIDTHS[-1]:
-                self.seen[p] = merge(raw, self.ranks)
+                self.seen[p] = np.array(merge(raw, self.ranks), dtype=ID).tobytes()
             else:
                 by.setdefault(next(w for w in WIDTHS if len(raw) <= w), []).append(p)
         for width, own in by.items():
@@ -146,14 +152,14 @@ class Encoder:
                 some = own[at : at + 4096]
                 self.seen.update(zip(some, merge_many([p.encode() for p in some], self.pairs, width), strict=True))
 
-    def encode_all(self, texts: list[list[str]]) -> list[list[int]]:
+    def encode_all(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Ids of texts given as their pre-tokens."""
         if len(self.seen) > self.limit:
             self.seen.clear()
         self.learn(set().union(*texts) - self.seen.keys())
-        return [list(chain.from_iterable(map(self.seen.__getitem__, pieces))) for pieces in texts]
+        return [np.frombuffer(b"".join(map(self.seen.__getitem__, pieces)), dtype=ID) for pieces in texts]
 
-    def encode(self, pieces: list[str]) -> list[int]:
+    def encode(self, pieces: list[str]) -> np.ndarray:
         return self.encode_all([pieces])[0]
 
     def ends(self, text: str, start: int = 0) -> Iterator[int]:
@@ -161,6 +167,24 @@ class Encoder:
         return (m.end() for m in self.pattern.finditer(text, start))
 
 
+OWN: dict[str, Encoder] = {}
+
+
+def own_encoder(shared: tuple[dict[bytes, int], Pairs], pattern: str) -> Encoder:
+    """This Python worker's encoder for a vocabulary; only the last one used is held."""
+    held = OWN.get(pattern)
+    if held is None or held.ranks is not shared[0]:
+        OWN.clear()
+        held = OWN[pattern] = Encoder(shared[0], pattern, shared[1])
+    return held
+
+
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of ids as one Arrow column."""
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, ID), *rows]), pa.int32()))
+
+
 def stitch(text: str, starts: list[int], stops: list[int], ends: list[list[int]], encoder: Encoder) -> list[int]:
     """Ends of all pre-tokens of a text from those of its overlapping chunks.
 
@@ -207,13 +231,13 @@ def encode_documents(documents: DataFrame, ranks: dict[bytes, int], pattern: str
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def whole():
-        encoder = Encoder(shared.value[0], pattern, shared.value[1])
-        return lambda cols: {"doc_id": cols["doc_id"], "ids": encoder.encode_all([encoder.pattern.findall(t) for t in cols["text"]])}
+        encoder = own_encoder(shared.value, pattern)
+        return lambda cols: {"doc_id": cols["doc_id"], "ids": lists(encoder.encode_all([encoder.pattern.findall(t) for t in cols["text"]]))}
 
     short = map_slices(docs.where(F.length("text") <= chunk), whole, "doc_id long, ids array<int>")
 
     def cut():
-        encoder = Encoder({}, pattern)
+        encoder = own_encoder(shared.value, pattern)
 
         def work(cols):
             ends = [[a + e for e in encoder.ends(p)] for p, a in zip(cols["piece"], cols["start"], strict=True)]
@@ -222,7 +246,7 @@ def encode_documents(documents: DataFrame, ranks: dict[bytes, int], pattern: str
         return work
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        encoder = Encoder(shared.value[0], pattern, shared.value[1])
+        encoder = own_encoder(shared.value, pattern)
         times = int((group["start"] == 0).sum())
         group = group.drop_duplicates("start").sort_values("start")
         starts = group["start"].tolist()
@@ -244,12 +268,21 @@ def encode_documents(documents: DataFrame, ranks: dict[bytes, int], pattern: str
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """doc_id, ids and data: the raw bytes of the ids, joined."""
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
-
-    def start():
-        of = {i: b for b, i in shared.value.items()}.__getitem__
-        return lambda cols: {"doc_id": cols["doc_id"], "ids": cols["ids"], "data": [b"".join(map(of, x or ())) for x in cols["ids"]]}
-
-    return map_slices(encoded.select("doc_id", "ids"), start, "doc_id long, ids array<int>, data binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("data", pa.binary())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = np.empty(max(shared.value.values(), default=-1) + 1, dtype=object)
+        for raw, i in shared.value.items():
+            of[i] = raw
+        for batch in batches:
+            for part in slices(batch, 256, 1 << 22):
+                ids = part.column(1)
+                raw = of[ids.flatten().to_numpy()].tolist()
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy()).tolist()
+                data = [b"".join(raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), ids.cast(schema.field(1).type), pa.array(data, pa.binary())], schema=schema)
+
+    return encoded.select("doc_id", "ids").mapInArrow(task, "doc_id long, ids array<int>, data binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ A declarative template (``TEMPLATE``) names the marks around a turn, the roles
 that carry loss and the finite-state machine that says which role may follow
 which. ``format_conversations`` groups the rows of a conversation, orders them
 by turn, runs the machine over the roles and emits text segments, each with a
-loss flag. ``read_back`` recovers the turns from the formatted text.
+loss flag: these are the output, ``formatted`` is their texts joined, and the loss
+mask covers the segments with the flag. ``read_back`` recovers the turns from
+the formatted text, ``loss_text`` the text under the mask from the segments.
 
 Control strings inside texts are escaped reversibly: a backslash goes before
 each backslash and before each ``|`` that follows ``<``; in roles also before

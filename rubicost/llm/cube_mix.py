@@ -18,7 +18,8 @@ Defined results: a null text has size 0; the null source is a source of its
 own and comes last; repeated rows are drawn one by one; a null doc_id is kept;
 a source without words has target 0 and its documents are taken 0 times; an
 empty table gives no rows; other columns are ignored by ``mix`` and pass
-through ``mixed_documents``.
+through ``mixed_documents``, where rows of one id and text are told apart by a
+hash of the whole row.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubicost.llm.common import WORD, saved, text_key
+from rubicost.llm.common import WORD, saved, text_key, whole_row
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -153,9 +154,9 @@ def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, block:
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The mixture itself: each document as often as it is taken, with all its columns."""
-    by = ["doc_id", "_tk"]
-    rank = Window.partitionBy(*by).orderBy(F.lit(0))
-    drawn = mix(documents, **options).withColumnRenamed("tk", "_tk").withColumn("_n", F.row_number().over(rank)).select(F.col("doc_id").alias("_id"), F.col("_tk").alias("_k"), F.col("_n").alias("_m"), "copies").where("copies > 0")
-    docs = documents.withColumn("_tk", text_key()).withColumn("_n", F.row_number().over(rank))
-    joined = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tk") == F.col("_k")) & (F.col("_n") == F.col("_m")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*documents.columns)
+    place = lambda order: F.row_number().over(Window.partitionBy("doc_id", "tk", "source").orderBy(order))
+    drawn = mix(documents, **options).withColumn("n", place(F.desc("copies"))).where("copies > 0").select(F.col("doc_id").alias("d_id"), F.col("tk").alias("d_tk"), F.col("source").alias("d_source"), F.col("n").alias("d_n"), "copies")
+    # the row is nested, so that none of its columns can meet one of these
+    docs = documents.select("doc_id", "source", text_key().alias("tk"), whole_row(documents).alias("h"), F.struct("*").alias("row")).withColumn("n", place(F.col("h")))
+    joined = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("tk") == F.col("d_tk")) & F.col("source").eqNullSafe(F.col("d_source")) & (F.col("n") == F.col("d_n")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -19,12 +19,12 @@ is the connected component of each document.
 4. What stays open is joined recursively in bounded tasks: pivots split a
    region into Voronoi regions, and a document also goes to each region whose
    pivot is not farther than its own pivot plus twice the radius (triangle
-   inequality). Cells that have members in common form a bundle. A bundle of up
-   to ``BUNDLE`` bytes of sketches goes to one task, each member once, however
-   many cells it is in. Cells of larger bundles are dealt out one by one, in
-   blocks of ``REGION`` members; members of a cell's largest component never
-   meet each other there. A pair is proposed in one cell only: the first of
-   those that its two members share.
+   inequality). Cells with one pivot form a bundle. A bundle of up to ``BUNDLE``
+   bytes of sketches goes to one task, each member once, however many of its
+   cells it is in. Cells of larger bundles are dealt out one by one, in blocks
+   of ``REGION`` members; members of a cell's largest component never meet each
+   other there. A pair is proposed for one cell only: the first of those that
+   its two members share.
 
 A slice is kept as 32 bits, which are the hashes of its finer slices. All slices
 of a document are its sketch. The number of fine slices that differ is a metric
@@ -45,7 +45,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -345,16 +345,16 @@ def region_pairs(sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray, pe
 
 
 def open_cells(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, c, s1, label, size, top, n_top of the members of cells that hold several components.
+    """key, p, c, s1, label, size, top, n_top of the members of cells that hold several components.
 
     A cell's pivot has met all others, so cells of two are settled. ``top`` is
     the component with most members, ``n_top`` their number.
     """
-    named = met.join(labels, "s1").select("key", "s1", "label")
+    named = met.join(labels, "s1").select("key", "p", "s1", "label")
     kinds = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("k"))
     mixed = kinds.agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("z"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1 AND size > 2")
     some = mixed.select("k", "size", F.col("z.label").alias("top"), F.col("z.n").alias("n_top"))
-    return named.join(some, F.col("key") == F.col("k")).select("key", class_of("key").alias("c"), "s1", "label", "size", "top", "n_top")
+    return named.join(some, F.col("key") == F.col("k")).select("key", "p", class_of("key").alias("c"), "s1", "label", "size", "top", "n_top")
 
 
 def class_of(key: str) -> Column:
@@ -362,19 +362,14 @@ def class_of(key: str) -> Column:
 
 
 def bundled(cells: DataFrame, sketches: DataFrame) -> DataFrame:
-    """bundle, s1, c, label, n, sketch, bytes: each member of open cells once, with the size of its bundle's sketches."""
-    node = F.xxhash64("s1", "c")  # if two members had one hash, their bundles would be one
-    ends = cells.groupBy(F.col("key").alias("k")).agg(F.min(node).alias("b"))
-    edges = cells.select("key", node.alias("a")).join(ends, F.col("key") == F.col("k")).where("a <> b").select("a", "b").distinct()
-    found = components(edges)
-    members = cells.select("s1", "c", "label").distinct().withColumn("node", node).join(found.withColumnRenamed("label", "bundle"), F.col("node") == F.col("v"), "left").join(sketches, ["s1", "c"])
-    named = members.select(F.coalesce("bundle", "node").alias("bundle"), "s1", "c", "label", "n", "sketch")
-    sizes = named.groupBy(F.col("bundle").alias("of")).agg(F.sum(F.length("sketch")).alias("bytes"))
-    return named.join(sizes, F.col("bundle") == F.col("of")).drop("of")
-
-
-def bundle_pairs(sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray, c: int, percent: int, classes: SizeClasses) -> list[tuple[int, int]]:
-    """Positions of the pairs of members of one class that may link, each from the first cell that they share."""
+    """p, c, s1, label, n, sketch, bytes: the members of all open cells with one pivot, once, and the size of their sketches."""
+    members = cells.select("p", "c", "s1", "label").distinct().join(sketches, ["s1", "c"])
+    sizes = members.groupBy(F.col("p").alias("of"), F.col("c").alias("of_c")).agg(F.sum(F.length("sketch")).alias("bytes"))
+    return members.join(sizes, (F.col("p") == F.col("of")) & (F.col("c") == F.col("of_c"))).select("p", "c", "s1", "label", "n", "sketch", "bytes")
+
+
+def bundle_pairs(pivot: int, sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray, c: int, percent: int, classes: SizeClasses) -> list[tuple[int, int]]:
+    """Positions of the pairs of members of one class that may link and whose first shared cell the pivot is in."""
     classes.of(int(sizes.max()))
     spare = classes.slices(c)[1]
     empty = sketches == 0
@@ -383,16 +378,14 @@ def bundle_pairs(sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray, c:
     fine = sketches.view(f"<u{4 // classes.fine}")
     largest = np.array([classes.at(int(n)) for n in sizes])
     found = []
-    for i in range(sketches.shape[1]):
-        rows = np.flatnonzero(named[:, i])
-        rows = rows[np.argsort(sketches[rows, i], kind="stable")]
-        for cell in np.split(rows, np.flatnonzero(np.diff(sketches[rows, i])) + 1):
-            if len(cell) < 2 or (labels[cell] == labels[cell[0]]).all():
-                continue
-            for a, b in region_pairs(fine[cell], sizes[cell], labels[cell], percent):
-                a, b = cell[a], cell[b]
-                if max(largest[a], largest[b]) == c and np.argmax((sketches[a] == sketches[b]) & named[a] & named[b]) == i:
-                    found.append((int(a), int(b)))
+    for i in np.flatnonzero(named[pivot]):
+        cell = np.flatnonzero(named[:, i] & (sketches[:, i] == sketches[pivot, i]))
+        if (labels[cell] == labels[pivot]).all():
+            continue
+        for a, b in region_pairs(fine[cell], sizes[cell], labels[cell], percent):
+            a, b = cell[a], cell[b]
+            if max(largest[a], largest[b]) == c and np.argmax((sketches[a] == sketches[b]) & named[a] & named[b]) == i:
+                found.append((int(a), int(b)))
     return found
 
 
@@ -407,27 +400,34 @@ def joined_bundles(bundles: DataFrame, percent: int) -> DataFrame:
             g = pa.Table.from_batches(held)
             s1, sizes = g["s1"].to_numpy(), g["n"].to_numpy()
             raw = np.stack([np.frombuffer(x, "<u4") for x in g["sketch"].to_pylist()])
-            got = np.array(bundle_pairs(raw, sizes, g["label"].to_numpy(), g["c"][0].as_py(), percent, classes), dtype=np.int64).reshape(-1, 2)
+            pivot = int(np.flatnonzero(s1 == g["p"][0].as_py())[0])
+            got = np.array(bundle_pairs(pivot, raw, sizes, g["label"].to_numpy(), g["c"][0].as_py(), percent, classes), dtype=np.int64).reshape(-1, 2)
             a, b = s1[got[:, 0]], s1[got[:, 1]]
             return pa.RecordBatch.from_pydict({"x": pa.array(np.minimum(a, b)), "y": pa.array(np.maximum(a, b))})
 
-        last = None
-        for batch in batches:
-            of = batch.column(0).to_numpy()
-            for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1):
-                if len(part):
-                    if held and of[part[0]] != last:
-                        yield flush()
-                        held.clear()
-                    held.append(batch.slice(part[0], len(part)))
-                    last = of[part[0]]
-        if held:
-            yield flush()
-
-    placed = bundles.select("bundle", "s1", "c", "label", "n", "sketch").repartition("bundle").sortWithinPartitions("bundle", "s1")
+        yield from runs(batches, 2, held, flush)
+
+    placed = bundles.select("p", "c", "s1", "label", "n", "sketch").repartition("p", "c").sortWithinPartitions("p", "c", "s1")
     return placed.mapInArrow(task, "x long, y long")
 
 
+def runs(batches: Iterator[pa.RecordBatch], width: int, held: list[pa.RecordBatch], flush: Callable[[], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``flush`` makes of each run of rows with equal first ``width`` columns; it finds their rows in ``held``."""
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
+        new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for a, b in zip([0, *new], [*new, batch.num_rows], strict=True):
+            if b > a:
+                if held and tuple(keys[:, a]) != last:
+                    yield flush()
+                    held.clear()
+                held.append(batch.slice(a, b - a))
+                last = tuple(keys[:, a])
+    if held:
+        yield flush()
+
+
 def joined_in_tasks(cells: DataFrame, sketches: DataFrame, percent: int, region: int) -> DataFrame:
     """x, y of pairs within open cells that may link; a task holds at most about two blocks of ``region`` members.
 
@@ -457,19 +457,7 @@ def joined_in_tasks(cells: DataFrame, sketches: DataFrame, percent: int, region:
             a, b = s1[np.array([a for a, _ in got], dtype=np.int64)], s1[np.array([b for _, b in got], dtype=np.int64)]
             return pa.RecordBatch.from_pydict({"x": pa.array(np.minimum(a, b)), "y": pa.array(np.maximum(a, b))})
 
-        last = None
-        for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-            new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            for a, b in zip([0, *new], [*new, batch.num_rows], strict=True):
-                if b > a:
-                    if held and tuple(keys[:, a]) != last:
-                        yield flush()
-                        held.clear()
-                    held.append(batch.slice(a, b - a))
-                    last = tuple(keys[:, a])
-        if held:
-            yield flush()
+        yield from runs(batches, 3, held, flush)
 
     placed = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "s1")
     return placed.mapInArrow(regions, "x long, y long")
@@ -505,7 +493,7 @@ def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, regi
         pairs = joined_bundles(bundles.where(F.col("bytes") <= bundle), percent)
         wide = bundles.where(F.col("bytes") > bundle)
         if not wide.isEmpty():
-            some = cells.join(wide.select("s1", "c"), ["s1", "c"], "left_semi")
+            some = cells.join(wide.select("p", "c").distinct(), ["p", "c"], "left_semi")
             pairs = pairs.unionByName(joined_in_tasks(some, sketches, percent, region))
         pairs = saved(pairs.distinct())
         discard(bundles)

@@ -8,9 +8,11 @@ one with the highest likelihood less ``penalty`` * log(words) for each language
 beyond the first, found by adding the best language at a time.
 
 Fitting counts trigrams over a bounded sample of labelled documents: about
-``sample`` rows, drawn by a hash of the id. The model is ``buckets`` counts for
-each language and goes to the tasks as a broadcast; languages are limited to
-``max_languages`` (most documents first, then code point order).
+``sample`` rows, drawn by a hash of the row, as many of each language but no
+fewer than about ``each`` where it has them, so that rare languages are learned
+at any size. The model is ``buckets`` counts for each language and goes to the
+tasks as a broadcast; more than ``max_languages`` different labels raise an
+error, none is dropped.
 
 Defined results: a text that is null or has no letter gets ``und`` with score
 0, as does every text when no language could be learned; ties between
@@ -29,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rubicost.llm.common import map_slices
+from rubicost.llm.common import keep_slices, map_slices, slices
 
 BUCKETS = 1 << 15
 SAMPLE = 20_000
+EACH = 500
+MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>"
 
@@ -75,19 +79,22 @@ class Model:
         self.names, self.logs = names, logs
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, smoothing: float = 0.1, max_languages: int = 256) -> Model:
-    """Counts trigrams by language over a sample of about ``sample`` labelled rows that aren't held out."""
-    usable = documents.where(F.col("lang").isNotNull() & ~held_out())
-    by = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    total = sum(r["count"] for r in by)
-    share = min(1.0, sample / max(1, total))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20))).select("lang", "text")
+def fit(documents: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, smoothing: float = 0.1, max_languages: int = MAX_LANGUAGES, each: int = EACH) -> Model:
+    """Counts trigrams by language over a sample of labelled rows that aren't held out."""
+    usable = documents.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
+    by = usable.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(by) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    wanted = max(each, sample // max(1, len(by)))
+    shares = F.broadcast(documents.sparkSession.createDataFrame([(r["lang"], min(1.0, wanted / r["count"])) for r in by], "l string, share double"))  # at most max_languages rows
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1 << 53)) / float(1 << 53)
+    chosen = usable.join(shares, F.col("lang") == F.col("l")).where(draw < F.col("share")).select("lang", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128).to_pydict()
+            for part in slices(batch, 128, 1 << 20):
+                part = part.to_pydict()
                 for lang in set(part["lang"]):
                     got, _, _ = trigrams([t for t, x in zip(part["text"], part["lang"], strict=True) if x == lang], buckets)
                     sums[lang] = sums.get(lang, 0) + np.bincount(got, minlength=buckets)
@@ -96,7 +103,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, smoo
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(counts[at].astype(np.int64))})
 
     names = sorted(r["lang"] for r in by)
-    counts = chosen.where(F.col("lang").isin(names)).mapInArrow(task, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(task, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.zeros((buckets, len(names)))
     if names:
         found = counts.toPandas()  # at most buckets * max_languages rows
@@ -182,7 +189,7 @@ def identify(documents: DataFrame, model: Model | None = None, penalty: float =
 
         return work
 
-    return map_slices(documents.select("doc_id", held_out().alias("held_out"), "text"), start, SCHEMA, rows=128)
+    return map_slices(documents.select("doc_id", held_out().alias("held_out"), "text"), start, SCHEMA, rows=128, volume=1 << 20)
 
 
 def keep_identified(documents: DataFrame, least: float = 0.5, **options) -> DataFrame:
@@ -192,16 +199,9 @@ def keep_identified(documents: DataFrame, least: float = 0.5, **options) -> Data
     """
     model = fit(documents, **options)
     shared = documents.sparkSession.sparkContext.broadcast((model.names, model.logs))
-    columns = documents.columns
 
     def start():
         fitted = Model(*shared.value)
+        return lambda texts: [bool(parts) and parts[0] >= least for _, parts in infer(texts, fitted, 4.0)]
 
-        def work(cols):
-            got = infer(cols["text"], fitted, 4.0)
-            return cols | {"_share": [parts[0] if parts else 0.0 for _, parts in got]}
-
-        return work
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", _share double"
-    return map_slices(documents, start, schema, rows=128).where(F.col("_share") >= least).select(*columns)
+    return keep_slices(documents, "text", start, rows=128, volume=1 << 20)

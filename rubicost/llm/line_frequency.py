@@ -75,10 +75,15 @@ def normalised(line: Column) -> Column:
     return F.btrim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "))
 
 
+def line_hash(line: Column) -> Column:
+    """128 bits: as good as the line itself at any size."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
+
+
 def lines_of(documents: DataFrame) -> DataFrame:
     """source, doc_id, tk and an array of (line hash, words), one row per document."""
     lines = F.filter(F.transform(F.split("text", "\n"), normalised), lambda x: x != "")
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w")))
+    hashed = F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), F.size(F.split(x, " ")).alias("w")))
     return documents.where(F.col("text").isNotNull()).select("source", "doc_id", text_key().alias("tk"), hashed.alias("lines"))
 
 
@@ -113,10 +118,12 @@ def cleaned_text(documents: DataFrame, min_docs: int = 10, share: float = 0.002)
     frequent = frequent_lines(lines, min_docs, share).select(F.col("source").alias("f_source"), F.col("h").alias("f_h"))
     each = lines.select("source", "doc_id", "tk", F.explode("lines").alias("x")).select("source", "doc_id", "tk", "x.h")
     found = each.join(frequent, (F.col("h") == F.col("f_h")) & F.col("source").eqNullSafe(F.col("f_source"))).groupBy(F.col("doc_id").alias("r_id"), F.col("tk").alias("r_tk")).agg(F.collect_set("h").alias("r_lines"))
-    docs = documents.withColumn("_tk", text_key())
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("_tk") == F.col("r_tk")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("r_lines", F.xxhash64(normalised(x)))), "\n")
-    return joined.withColumn("text", F.when(F.col("r_lines").isNull(), F.col("text")).otherwise(kept)).select(*documents.columns)
+    # the row is nested, so that none of its columns can meet one of these
+    docs = documents.select("doc_id", text_key().alias("tk"), "text", F.struct("*").alias("row"))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tk") == F.col("r_tk")), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("r_lines", line_hash(normalised(x)))), "\n")
+    new = F.when(F.col("r_lines").isNull(), F.col("text")).otherwise(kept)
+    return joined.select(F.col("row").withField("text", new).alias("row")).select("row.*")
 
 
 def rules(documents: DataFrame, min_docs: int = 10, share: float = 0.002, depleted: float = 0.7) -> DataFrame:

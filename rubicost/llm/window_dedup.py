@@ -1,7 +1,7 @@
 """Substring dedup: repeated windows of a fixed number of tokens.
 
-A window is 50 consecutive words. Rabin-Karp hashes (a rolling polynomial over
-64-bit word hashes) stand for windows; Spark counts them and finds the smallest
+A window is 50 consecutive words. Rabin-Karp hashes (two rolling polynomials over
+64-bit word hashes, 128 bits together) stand for windows; Spark counts them and finds the smallest
 document of each. Words of a window that also starts in a smaller document are
 removed; overlapping windows merge into maximal intervals.
 
@@ -28,10 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubicost.llm.common import map_slices, rolling, saved, sieve, signed, word_hashes, words_of
+from rubicost.llm.common import map_slices, mix64, rolling, saved, sieve, signed, word_hashes, words_of
 
 WINDOW = 50
 LAST = (1 << 63) - 1
+#: makes second hashes of words, so that windows have 128 bits
+SECOND = np.uint64(0x2545F4914F6CDD1D)
 
 SCAN = "doc_id long, c1 long, c2 long, n_words long, kept_sha256 string, anchors array<long>"
 
@@ -78,20 +80,22 @@ def repeated_windows(flagged: DataFrame, width: int) -> DataFrame:
 
     def start():
         def work(cols):
-            out = {"starts": [], "hashes": []}
+            out = {"starts": [], "hashes": [], "seconds": []}
             for text, anchors in zip(cols["text"], cols["anchors"], strict=True):
                 h = word_hashes(text)
                 at = np.flatnonzero(np.isin(signed(window_anchors(h, width)), np.array(anchors, dtype=np.int64)))
                 out["starts"].append(at.astype(np.int32))
                 out["hashes"].append(signed(rolling(h, width)[at]))
+                out["seconds"].append(signed(rolling(mix64(h ^ SECOND), width)[at]))
             return {"id": cols["id"], "c1": cols["c1"]} | out
 
         return work
 
-    each = map_slices(flagged.select("id", "c1", "text", "anchors"), start, "id long, c1 long, starts array<int>, hashes array<long>")
-    windows = each.select("id", "c1", F.inline(F.arrays_zip(F.col("starts").alias("at"), F.col("hashes").alias("h"))))
-    shared = windows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("h").alias("r_h"), "least")
-    later = windows.join(shared, F.col("h") == F.col("r_h")).where("id > least")
+    each = map_slices(flagged.select("id", "c1", "text", "anchors"), start, "id long, c1 long, starts array<int>, hashes array<long>, seconds array<long>")
+    windows = each.select("id", "c1", F.inline(F.arrays_zip(F.col("starts").alias("at"), F.col("hashes").alias("h"), F.col("seconds").alias("g"))))
+    # written, so that the join is one of two plain exchanges, of which Spark can split a window that very many documents share
+    shared = saved(windows.groupBy("h", "g").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("h").alias("r_h"), F.col("g").alias("r_g"), "least"))
+    later = windows.join(shared, (F.col("h") == F.col("r_h")) & (F.col("g") == F.col("r_g"))).where("id > least")
     return later.groupBy("id", "c1").agg(F.collect_list("at").alias("starts"))
 
 
@@ -116,10 +120,10 @@ def removal(documents: DataFrame, width: int = WINDOW) -> DataFrame:
     first = rows.join(classes, ["c1", "c2", "n_words"])
     judged = saved(first.drop("anchors").join(marks, F.col("c1") == F.col("m_c1"), "left").select("doc_id", "id", "c1", "n_words", "kept_sha256", (F.col("id") > F.col("rep")).alias("copy"), F.col("marks").alias("anchors")))
     wanted = saved(judged.where(~F.col("copy") & F.col("anchors").isNotNull()).groupBy(F.col("id").alias("w_id"), "c1").agg(F.first("anchors").alias("anchors")))
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    near = sieve(documents.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), key.alias("t"), "text"), "id", wanted.select("w_id"))
-    texts = near.join(wanted, F.col("id") == F.col("w_id")).select("id", "c1", "t", "text", "anchors").dropDuplicates(["id", "c1", "t"])
-    flagged = saved(with_class(texts))
+    near = with_class(sieve(documents.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text"), "id", wanted.select("w_id")))
+    # several rows may share an id: each meets the class of its own text only
+    texts = near.join(wanted.withColumnRenamed("c1", "w_c1"), (F.col("id") == F.col("w_id")) & (F.col("c1") == F.col("w_c1")))
+    flagged = saved(texts.select("id", "c1", "text", "anchors").dropDuplicates(["id", "c1"]))
     found = repeated_windows(flagged, width)
     cut = cut_texts(flagged.join(found.select(F.col("id").alias("f_id"), F.col("c1").alias("f_c1"), "starts"), (F.col("id") == F.col("f_id")) & (F.col("c1") == F.col("f_c1"))), width)
     done = judged.join(cut.select(F.col("id").alias("d_id"), F.col("c1").alias("d_c1"), "removed", "sha"), (F.col("id") == F.col("d_id")) & (F.col("c1") == F.col("d_c1")), "left")
@@ -133,17 +137,15 @@ def removal(documents: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def with_class(texts: DataFrame) -> DataFrame:
-    """Keeps the texts whose own class is the one wanted (several rows may share an id), once each."""
+    """id, text and the class of each text."""
 
     def start():
         def work(cols):
-            mine = [int.from_bytes(bytes.fromhex(digest(words_of(t))[:16]), "big", signed=True) for t in cols["text"]]
-            keep = [m == c for m, c in zip(mine, cols["c1"], strict=True)]
-            return {k: [x for x, ok in zip(cols[k], keep, strict=True) if ok] for k in ("id", "c1", "text", "anchors")}
+            return cols | {"c1": [int.from_bytes(bytes.fromhex(digest(words_of(t))[:16]), "big", signed=True) for t in cols["text"]]}
 
         return work
 
-    return map_slices(texts.select("id", "c1", "text", "anchors"), start, "id long, c1 long, text string, anchors array<long>").dropDuplicates(["id", "c1"])
+    return map_slices(texts.select("id", "text"), start, "id long, text string, c1 long")
 
 
 def cut_texts(found: DataFrame, width: int) -> DataFrame:

@@ -35,4 +35,15 @@ def odd_documents(spark, extra: bool = False):
     rows = [(i, t, None if i % 4 == 3 else ("en", "fr")[i % 2], None if i % 5 == 4 else f"s{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
     rows += [rows[0], rows[3], (None, " ".join(base), None, None, None), (None, None, "en", "s1", None)]
     df = spark.createDataFrame(rows, SCHEMA)
-    return df.selectExpr("*", "1L AS id", "'x' AS tk", "2 AS n", "'y' AS rep", "0.5D AS p") if extra else df
+    return df.selectExpr("*", *(f"{v} AS `{k}`" for k, v in EXTRA.items())) if extra else df
+
+
+#: columns whose names the operators use inside, and an odd one
+EXTRA = {"id": "1L", "tk": "'x'", "n": "5", "rep": "'y'", "p": "0.5D", "row": "'r'", "h": "7L", "copies": "3", "gone": "doc_id", "again": "doc_id", "rank": "1", "_share": "0.1D", "_gone": "doc_id", "_n": "5", "_tk": "'k'", "_id": "9", "r_lines": "array(1L)", "d_id": "doc_id", "d_n": "1", "lines": "'l'", "odd name": "doc_id"}
+
+
+def untouched(before, after) -> bool:
+    """Whether each row that is left has the values of other columns that it had."""
+    names = [c for c in before.columns if c not in ("text", "n_chars")]
+    key = lambda r: repr([r[c] for c in names])
+    return {key(r) for r in after.collect()} <= {key(r) for r in before.collect()} and after.columns == before.columns

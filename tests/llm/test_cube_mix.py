@@ -1,7 +1,8 @@
 import random
 
 from rubicost.llm import cube_mix as cm
-from tests.llm.data import odd_documents
+from rubicost.llm.queries import op9_cube_mix
+from tests.llm.data import odd_documents, untouched
 
 
 def test_targets():
@@ -52,5 +53,24 @@ def test_odd_rows(spark):
         docs = odd_documents(spark, extra)
         got = cm.mix(docs)
         assert got.count() == docs.count() and {r["size"] for r in got.where("doc_id = 3").collect()} == {0}
-        assert cm.mixed_documents(docs).columns == docs.columns
+        mixed = cm.mixed_documents(docs)
+        assert untouched(docs, mixed) and mixed.schema == docs.schema
     assert cm.mix(docs.limit(0)).count() == 0
+
+
+def test_contract_on_a_corpus(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    size = lambda i: len((docs[i]["text"] or "").encode().split())
+    got = op9_cube_mix(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    names = sorted({d["source"] for d in docs.values() if d["source"] is not None}) + [None] * any(d["source"] is None for d in docs.values())
+    total = {n: sum(size(i) for i, d in docs.items() if d["source"] == n) for n in names}
+    want = dict(zip(names, cm.targets([total[n] for n in names], [(5, 2, 1)[k % 3] for k in range(len(names))]), strict=True))
+    taken = dict.fromkeys(names, 0)
+    for r in got:
+        n = docs[r["doc_id"]]["source"]
+        assert (r["size"], r["source_size"]) == (size(r["doc_id"]), total[n]) and abs(r["target"] - want[n]) < 1e-6 * max(1, want[n])
+        assert 0 <= r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
+        taken[n] += r["taken"]
+    assert all(abs(taken[n] - want[n]) <= max(0.02 * want[n], max(map(size, docs))) for n in names)

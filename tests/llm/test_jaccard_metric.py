@@ -1,7 +1,7 @@
 import random
 
 from rubicost.llm import jaccard_metric as jm
-from tests.llm.data import odd_documents, words
+from tests.llm.data import odd_documents, untouched, words
 
 
 def brute(rows, size, percent):
@@ -79,5 +79,6 @@ def test_odd_rows(spark):
         assert rows[6]["n_shingles"] == 1 and rows[4]["component_id"] == 4
         assert all(r["component_id"] is None for r in got.where("doc_id IS NULL").collect())
         kept = jm.one_of_each(docs)
-        assert kept.columns == docs.columns and 1 not in {r["doc_id"] for r in kept.collect()}
+        left = [r["doc_id"] for r in kept.collect()]
+        assert untouched(docs, kept) and 1 not in left and left.count(0) == left.count(3) == 1 and left.count(None) == 2
     assert jm.join(docs.limit(0)).count() == 0

@@ -1,6 +1,10 @@
+import random
+
+import pytest
+
 from rubicost.llm import language_mixture as lm
 from rubicost.llm.queries import op1_language_mixture
-from tests.llm.data import odd_documents
+from tests.llm.data import odd_documents, untouched
 
 
 def test_held_out_accuracy(spark):
@@ -29,7 +33,26 @@ def test_odd_rows(spark):
         assert len(got) == docs.count()
         assert {r["lang_pred"] for r in got if r["doc_id"] in (3, 4, 5)} == {"und"}
         kept = lm.keep_identified(docs)
-        assert kept.columns == docs.columns and not {3, 4, 5} & {r["doc_id"] for r in kept.collect()}
+        assert untouched(docs, kept) and kept.schema == docs.schema and not {3, 4, 5} & {r["doc_id"] for r in kept.collect()}
     assert lm.identify(docs.limit(0)).count() == 0
     unlabelled = docs.withColumn("lang", docs["lang"].substr(9, 1)).replace("", None, ["lang"])
     assert {r["lang_pred"] for r in lm.identify(unlabelled).collect()} == {"und"}
+
+
+def test_rare_languages_are_learned_and_none_is_dropped(spark):
+    rng = random.Random(4)
+    tongue = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(n))
+    rows = [(i, tongue("abcde", 40), "aa") for i in range(3000)] + [(10_000 + i, tongue("vwxyz", 40), "zz") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lm.fit(docs, sample=100, each=20)
+    assert model.names == ["aa", "zz"]
+    got = {r["doc_id"]: r for r in lm.identify(docs, model).collect()}
+    assert all(r["lang_pred"] == ("aa" if i < 10_000 else "zz") for i, r in got.items())
+    with pytest.raises(ValueError):
+        lm.fit(docs, max_languages=1)
+
+
+def test_ties_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("same words here", "bb"), ("same words here", "aa")] * 8)], "doc_id long, text string, lang string")
+    got = lm.identify(docs).collect()
+    assert len({(r["lang_pred"], r["score"]) for r in got}) == 1

@@ -1,6 +1,6 @@
 import corpus_pipeline
 from rubicost.llm import jaccard_metric, pii_boost
-from tests.llm.data import odd_documents
+from tests.llm.data import odd_documents, untouched
 
 
 def test_stages_work_on_what_was_kept(spark, sf_dir):
@@ -27,7 +27,21 @@ def test_run(spark, sf_dir):
 
 
 def test_odd_documents(spark, sf_dir):
+    for extra in (False, True):
+        docs = before = odd_documents(spark, extra)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, sf_dir)
+            if name != "bpe":
+                assert untouched(before, docs), name
+        assert docs.count() > 0
+
+
+def test_tables_without_rows_or_values(spark, sf_dir):
     docs = odd_documents(spark)
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf_dir)
-    assert docs.count() > 0
+    nothing = docs.limit(0)
+    nulls = docs.selectExpr(*(f"CAST(NULL AS {t}) AS `{c}`" for c, t in docs.dtypes)).limit(4)
+    for table in (nothing, nulls):
+        left = table
+        for _, stage in corpus_pipeline.STAGES:
+            left = stage(spark, left, sf_dir)
+        assert left.count() == 0

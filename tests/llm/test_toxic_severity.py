@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from rubicost.llm import toxic_severity as ts
 from rubicost.llm.queries import table
@@ -15,6 +16,18 @@ def test_labels_are_met(spark):
     assert all(0 <= r["expected_severity"] <= ts.GRADES for r in scored.values())
 
 
+@pytest.mark.parametrize(("sf", "recall", "precision"), [("sf0.01", 0.5, 0.8), ("sf0.1", 0.85, 0.9)])
+def test_a_split_that_nothing_was_chosen_on(spark, sf, recall, precision):
+    """Held out by a hash of the id. On sf0.01 there are few toxic labels in each language, and the bound is as low."""
+    docs, labels = table(spark, f"/root/testdata/{sf}", "documents"), table(spark, f"/root/testdata/{sf}", "labels")
+    away = "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 1"
+    scored = {r["doc_id"]: r["toxic"] for r in ts.severity(docs, labels.where(f"NOT ({away})")).collect()}
+    pairs = [(scored[r["doc_id"]], bool(r["toxic"])) for r in labels.where(away).collect() if r["doc_id"] in scored]
+    hits, found, true = sum(a and b for a, b in pairs), sum(a for a, _ in pairs), sum(b for _, b in pairs)
+    print(sf, "recall", hits, "of", true, "precision", hits, "of", found)
+    assert hits >= recall * true and hits >= precision * found
+
+
 def test_thresholds_are_ordered_and_gradient_descends():
     rng = np.random.default_rng(0)
     x = rng.normal(size=400)
