@@ -132,7 +132,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Encodes pre-tokens; their ids, as bytes of 32 bits each, are remembered until they are too many."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: Pairs | None = None, limit: int = 500_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: Pairs | None = None, limit: int = 100_000) -> None:
         self.ranks, self.pattern, self.pairs, self.limit = ranks, regex.compile(pattern), pairs or Pairs(ranks), limit
         self.seen: dict[str, bytes] = {}
 

@@ -15,7 +15,8 @@ members; these are rescored exactly. When segments run out, the same proof is
 taken with the quantisation error alone, so the result is always exact.
 
 Queries are packed into blocks as well and go to every shard: the stated query
-set against all rows, in blocks. A shard keeps k results a query.
+set against all rows, in blocks. A shard keeps k results a query. The number of
+shards follows the number of rows.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part; a shorter vector counts as padded with zeros; rows that repeat a
@@ -34,7 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = 16
-SHARDS = 24
+#: least number of shards, and vectors of a shard from which on there are more
+SHARDS, SHARD = 24, 50_000
 BLOCK = 4096
 QUERY_BLOCK = 256
 
@@ -144,9 +146,10 @@ def unpack(ids: bytes, v: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int64), np.frombuffer(v, np.int64).reshape(-1, dims)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, shards: int = SHARDS, levels: int = LEVELS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, shards: int | None = None, levels: int = LEVELS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows other than its own."""
     rows = usable(vectors, scale)
+    shards = shards or max(SHARDS, -(-vectors.count() // SHARD))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     index = packed(rows.select(shard.alias("p"), "vec_id", "v").repartition(shards, "p"), "p", BLOCK)
     group = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
