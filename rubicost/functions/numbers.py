@@ -17,6 +17,7 @@ def parse_number(text: Column) -> Column:
     cent sign divides by 100.
     """
     s = F.trim(text)
+    # fixed patterns: a share in per cent, a number
     percent = s.rlike(r"^\s*[+-]?\d+(?:[.,]\d+)?\s*%\s*$")
     bare = F.trim(F.regexp_replace(s, CURRENCY, ""))
     signed = F.regexp_replace(bare, r"^\((.*)\)$", "-$1")

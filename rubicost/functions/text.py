@@ -16,8 +16,20 @@ MARKED = {"a": "àáâãäåāăą", "c": "çćĉċč", "d": "ď", "e": "èéê
 # Words that carry no meaning in a row's text.
 STOP_WORDS = ("un", "and", "og", "ar", "with", "med", "the", "a", "an", "of", "for", "uz", "no", "til", "i", "in", "ieskaitot", "incl", "inkl", "komplekts", "kompl", "montaza", "montaža", "uzstadisana", "installation", "levering", "montage", "piegade", "supply")
 
-#: Brand names to leave out of keys; a parameter, since lists differ by trade.
-DEFAULT_BRANDS = ("schneider electric", "schneider", "abb", "hager", "legrand", "siemens", "eaton", "philips", "osram")
+# Fixed patterns of the normal form, in the order in which they apply, and words that introduce a brand.
+FORMS = (
+    (r"(?<=\d),(?=\d)", "."),
+    (r"(?<=\d)\s*[x*х]\s*(?=\(?\d)", "x"),
+    (r"\bmm\s*(?:\^\s*)?2\b|\bmm\s*kv\b|\bkv\.?\s*mm\b", "mm2"),
+    (r"(?U)[^\w\s.%/+-]", " "),
+    (r"_+", " "),
+    (r"(?<!\d)\.|\.(?!\d)", " "),
+    (r"(?<!\d)-|-(?!\d)", " "),
+    (r"(?U)(?<!\w)/|/(?!\w)", " "),
+    (r"\bmm 2\b", "mm2"),
+    (r"\s+", " "),
+)
+BEFORE_BRAND = r"\b(?:razotajs|zimols|brand|manufacturer|fabrikat|fabr|marke|merke|tip|type)\b\s*$"
 
 
 def fold(text: Column) -> Column:
@@ -33,31 +45,21 @@ def fold(text: Column) -> Column:
 def normalised(text: Column) -> Column:
     """A key that is the same for one item however its numbers and marks are written; empty for null."""
     out = fold(F.coalesce(text, F.lit("")))
-    for pattern, by in (
-        (r"(?<=\d),(?=\d)", "."),
-        (r"(?<=\d)\s*[x*х]\s*(?=\(?\d)", "x"),
-        (r"\bmm\s*(?:\^\s*)?2\b|\bmm\s*kv\b|\bkv\.?\s*mm\b", "mm2"),
-        (r"(?U)[^\w\s.%/+-]", " "),
-        (r"_+", " "),
-        (r"(?<!\d)\.|\.(?!\d)", " "),
-        (r"(?<!\d)-|-(?!\d)", " "),
-        (r"(?U)(?<!\w)/|/(?!\w)", " "),
-        (r"\bmm 2\b", "mm2"),
-        (r"\s+", " "),
-    ):
+    for pattern, by in FORMS:
         out = F.regexp_replace(out, pattern, by)
     return F.trim(out)
 
 
-def without_brands(text: Column, brands: tuple[str, ...] = DEFAULT_BRANDS) -> Column:
+def without_brands(text: Column, brands: tuple[str, ...] = ()) -> Column:
     """Normalised text without brand names; words that introduce a brand go from the end."""
-    names = "|".join(re.escape(b) for b in sorted(brands, key=lambda b: (-len(b), b)))
-    out = F.regexp_replace(normalised(text), rf"(?U)(?<!\w)(?:{names})(?!\w)", " ")
-    out = F.regexp_replace(out, r"\b(?:razotajs|zimols|brand|manufacturer|fabrikat|fabr|marke|merke|tip|type)\b\s*$", " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = normalised(text)
+    if brands:
+        names = "|".join(re.escape(b) for b in sorted(brands, key=lambda b: (-len(b), b)))
+        out = F.regexp_replace(out, rf"(?U)(?<!\w)(?:{names})(?!\w)", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, BEFORE_BRAND, " "), r"\s+", " "))
 
 
-def match_key(text: Column, brands: tuple[str, ...] = DEFAULT_BRANDS) -> Column:
+def match_key(text: Column, brands: tuple[str, ...] = ()) -> Column:
     return normalised(without_brands(text, brands))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rubicost.functions.attributes import attributes_agree, first_rule, leftmost_keyword, parse_attributes, web_attributes_match
 from rubicost.functions.text import lexical_similarity, match_key, tokens
-from rubicost.functions.units import normalise_unit, units_compatible
+from rubicost.functions.units import normalise_unit, units_compatible, with_labels
 from rubicost.operators.joins import lexical_join
 from rubicost.operators.topk import first_of
 from rubicost.registry import query
@@ -73,7 +73,7 @@ def attribute_filters(t: Tables):
     ]
     pick = lambda i: F.coalesce(*(F.when(n == k, F.lit(p[0]) if i == 0 else p[1]) for k, p in enumerate(pairs)))
     rows = t("part").select("p_partkey", pick(0).alias("row"), pick(1).alias("product"))
-    both = stored(parse_attributes(parse_attributes(rows, "row", "a"), "product", "b"))
+    both = stored(parse_attributes(stored(parse_attributes(rows, "row", "a")), "product", "b"))
     return both.select("p_partkey", attributes_agree(F.col("a"), F.col("b")).alias("hard"), web_attributes_match(F.col("a"), F.col("b")).alias("strict"))
 
 
@@ -96,7 +96,7 @@ def exact_by_key(t: Tables):
     parts = t("part").select("p_partkey", "p_name", F.concat(F.upper("p_name"), F.lit(" ABB, 3 × "), size, F.lit(" mm²")).alias("want_text"), F.concat("p_name", F.lit("; 3x"), size, F.lit(" mm2")).alias("ref_text"))
     lines = t("lineitem").select(
         "l_partkey",
-        normalise_unit(F.expr("CASE l_linenumber % 3 WHEN 0 THEN 'Gab.' WHEN 1 THEN 'kompl.' ELSE 'mtr' END")).alias("r_unit"),
+        normalise_unit(F.expr("CASE l_linenumber % 3 WHEN 0 THEN 'Gab.' WHEN 1 THEN 'kompl.' ELSE 'metres' END"), aliases=with_labels(pcs=("gab",), set=("kompl",))).alias("r_unit"),
         F.col("l_suppkey").alias("file_id"),
         F.struct(
             F.when(F.col("l_suppkey") % 5 >= 3, False).when(F.col("l_suppkey") % 5 == 0, False).otherwise(F.col("l_returnflag") != "A").alias("a"),
@@ -106,9 +106,9 @@ def exact_by_key(t: Tables):
     ).where((F.col("l_discount") > 0) | (F.col("l_tax") > 0)).where("file_id % 5 <> 4")
     state = F.when((F.col("file_id") % 5).isin(1, 2), "allowed").otherwise("other")
     rows = lines.join(parts.select("p_partkey", "ref_text"), F.col("l_partkey") == F.col("p_partkey")).groupBy("ref_text", "r_unit", state.alias("state")).agg(F.min("rank").alias("rank"))
-    refs = stored(parse_attributes(rows.withColumn("key", match_key(F.col("ref_text"))), "ref_text", "r_attrs"))
+    refs = stored(parse_attributes(rows.withColumn("key", match_key(F.col("ref_text"), ("abb",))), "ref_text", "r_attrs"))
     unit = normalise_unit(F.expr("CASE p_partkey % 4 WHEN 0 THEN 'pcs' WHEN 1 THEN 'set' WHEN 2 THEN 'm' END"))
-    want = stored(parse_attributes(parts.select("p_partkey", "want_text", unit.alias("w_unit"), match_key(F.col("want_text")).alias("key")), "want_text", "w_attrs"))
+    want = stored(parse_attributes(parts.select("p_partkey", "want_text", unit.alias("w_unit"), match_key(F.col("want_text"), ("abb",)).alias("key")), "want_text", "w_attrs"))
     fits = units_compatible(F.col("w_unit"), F.col("r_unit")) & attributes_agree(F.col("w_attrs"), F.col("r_attrs"))
     best = want.join(refs, "key").where(fits).groupBy("p_partkey").agg(*(F.min(F.when(F.col("state") == s, F.col("rank"))).alias(s) for s in ("allowed", "other")))
     source = F.when(F.col("allowed").isNotNull(), "exact").when(F.col("other").isNotNull(), "blocked").otherwise("none")

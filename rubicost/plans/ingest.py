@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rubicost.functions.numbers import close, column_letters, excel_round, parse_number
 from rubicost.functions.text import match_key, normalised
-from rubicost.functions.units import normalise_unit
+from rubicost.functions.units import normalise_unit, with_labels
 from rubicost.operators.joins import interval_join
 from rubicost.operators.topk import systematic
 from rubicost.registry import query
@@ -43,7 +43,7 @@ def normalised_units(t: Tables):
     """Labels in several languages to canonical units; one of them depends on the language."""
     raw = F.expr("CASE p_partkey % 7 WHEN 0 THEN 'Gab.' WHEN 1 THEN 'm²' WHEN 2 THEN 'c/h' WHEN 3 THEN 'st.' WHEN 4 THEN 'kompl.' WHEN 5 THEN 'zorkmid' ELSE 'EUR/m' END")
     lang = F.when(F.col("p_size") % 2 == 0, "LV").otherwise("SV")
-    return t("part").select("p_partkey", normalise_unit(raw, lang).alias("unit"))
+    return t("part").select("p_partkey", normalise_unit(raw, lang, with_labels(pcs=("gab",), h=("c h",), set=("kompl",))).alias("unit"))
 
 
 @query("""SELECT p_partkey, lower(p_name) || ' ' || p_size || 'x2.5 mm2' AS key FROM part""")
@@ -57,7 +57,7 @@ def normalised_keys(t: Tables):
         .when(n == 2, F.concat("p_name", F.lit("; "), size, F.lit(" х 2,5 mm 2")))
         .otherwise(F.concat("p_name", F.lit(" – "), size, F.lit("x2,5 mm2.")))
     )
-    return t("part").select("p_partkey", match_key(text).alias("key"))
+    return t("part").select("p_partkey", match_key(text, ("abb",)).alias("key"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, CASE WHEN l_returnflag = 'R' THEN 'section ' || l_partkey END AS title FROM lineitem)

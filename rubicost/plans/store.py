@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rubicost.operators.merge import override, replace_groups, upsert
@@ -210,9 +212,20 @@ def json_fields(t: Tables):
 
 
 @query("""SELECT user_id, sum(value::DECIMAL(18,2))::DOUBLE AS spent, CASE WHEN sum(value::DECIMAL(18,2)) >= 4000 THEN 'over' WHEN sum(value::DECIMAL(18,2)) >= 3200 THEN 'near' ELSE 'ok' END AS status FROM events GROUP BY user_id""")
-def user_budgets(t: Tables):
-    """State of each user's budget: over from its amount on, near from its alert share on; an amount of nothing is no limit."""
-    amount, alert = 4000.0, 80
-    spent = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
-    g = t("events").groupBy("user_id").agg(spent.alias("spent"))
-    return g.select("user_id", "spent", F.when(F.lit(amount) <= 0, "ok").when(F.col("spent") >= amount, "over").when(F.col("spent") >= amount * alert / 100, "near").otherwise("ok").alias("status"))
+def user_budgets(t: Tables, amount: float = 4000.0, alert: int = 80):
+    """State of each user's budget, as a SQL table function: over from its amount on, near from its alert share on; an amount of nothing is no limit."""
+    name = uuid.uuid4().hex
+    t("events").createOrReplaceTempView(f"spent_{name}")
+    t.spark.sql(f"""CREATE TEMPORARY FUNCTION budget_{name}(amount DOUBLE, alert DOUBLE) RETURNS TABLE(user_id BIGINT, spent DOUBLE, status STRING)
+        RETURN SELECT user_id, spent, CASE WHEN amount <= 0 THEN 'ok' WHEN spent >= amount THEN 'over' WHEN spent >= amount * alert / 100 THEN 'near' ELSE 'ok' END
+        FROM (SELECT user_id, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM spent_{name} GROUP BY user_id)""")
+    return t.spark.sql(f"SELECT * FROM budget_{name}(CAST({float(amount)} AS DOUBLE), CAST({float(alert)} AS DOUBLE))")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_acctbal < 0) THEN l_extendedprice END AS price FROM lineitem""")
+def unlocked_prices(t: Tables):
+    """Prices that are told only while a condition holds, as a SQL scalar function."""
+    name = uuid.uuid4().hex
+    t("supplier").createOrReplaceTempView(f"files_{name}")
+    t.spark.sql(f"CREATE TEMPORARY FUNCTION unlocked_{name}() RETURNS BOOLEAN RETURN EXISTS (SELECT 1 FROM files_{name} WHERE s_acctbal < 0)")
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(f"CASE WHEN unlocked_{name}() THEN l_extendedprice END").alias("price"))

@@ -11,7 +11,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None, name: str | None = None):
-    """Registers ``fn(tables) -> DataFrame`` under its name; ``sql`` is its equivalent."""
+    """Registers ``fn(tables, **options) -> DataFrame`` under its name; ``sql`` is its equivalent without options."""
 
     def register(fn):
         from rubicost.tables import Tables
@@ -19,7 +19,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or fn.__name__
         if key in QUERIES:
             raise ValueError(f"{key} is registered already")
-        QUERIES[key] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir, **options: fn(Tables(spark, sf_dir), **options)
         if sql:
             ORACLES[key] = sql
         return fn

@@ -32,13 +32,14 @@ def listed(spark: SparkSession, folder: str, kinds: dict[str, str] = KINDS) -> D
     """path, name, extension, length, kind and, where a file can't be read, why.
 
     Contents are not loaded: the column is pruned from the scan. A reason takes
-    the place of an error, so one bad file stops nothing.
+    the place of an error, so one bad file stops nothing. Files without a byte
+    have no row: Spark's scans pass them over.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), extension)
-    reason = F.when(F.col("length") == 0, "empty").when(kind.isNull(), "unsupported")
+    reason = F.when(kind.isNull(), "unsupported")
     return files.select("path", name.alias("name"), extension.alias("extension"), "length", kind.alias("kind"), reason.alias("fail_reason"))
 
 
