@@ -135,6 +135,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: Pairs | None = None, limit: int = 100_000) -> None:
         self.ranks, self.pattern, self.pairs, self.limit = ranks, regex.compile(pattern), pairs or Pairs(ranks), limit
         self.seen: dict[str, bytes] = {}
+        self.bytes = token_bytes(ranks)
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Merges the pieces that aren't remembered, those of like length together."""
@@ -224,17 +225,41 @@ def stitch(text: str, starts: list[int], stops: list[int], ends: list[list[int]]
     return out
 
 
-def encode_documents(documents: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id and ids (array of int), one row for each row of documents."""
+def token_bytes(ranks: dict[bytes, int]) -> np.ndarray:
+    """The raw bytes of each id."""
+    of = np.empty(max(ranks.values(), default=-1) + 1, dtype=object)
+    for raw, i in ranks.items():
+        of[i] = raw
+    return of
+
+
+def decoded(ids: np.ndarray, ends: list[int], of: np.ndarray) -> pa.Array:
+    """The joined bytes of consecutive lists of ids that end at ``ends``."""
+    raw = of[ids].tolist()
+    return pa.array([b"".join(raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.binary())
+
+
+def encode_documents(documents: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, decode: bool = False) -> DataFrame:
+    """doc_id and ids (array of int), one row for each row of documents; with ``decode`` also data, what the ids decode to.
+
+    Decoding in the same tasks spares sending all ids to a second Python worker.
+    """
+    more = ", data binary" if decode else ""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast((ranks, Pairs(ranks)))
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def whole():
         encoder = own_encoder(shared.value, pattern)
-        return lambda cols: {"doc_id": cols["doc_id"], "ids": lists(encoder.encode_all([encoder.pattern.findall(t) for t in cols["text"]]))}
 
-    short = map_slices(docs.where(F.length("text") <= chunk), whole, "doc_id long, ids array<int>")
+        def work(cols):
+            rows = encoder.encode_all([encoder.pattern.findall(t) for t in cols["text"]])
+            data = {"data": decoded(np.concatenate([np.zeros(0, ID), *rows]), np.cumsum([*map(len, rows)], dtype=int).tolist(), encoder.bytes)} if decode else {}
+            return {"doc_id": cols["doc_id"], "ids": lists(rows)} | data
+
+        return work
+
+    short = map_slices(docs.where(F.length("text") <= chunk), whole, f"doc_id long, ids array<int>{more}")
 
     def cut():
         encoder = own_encoder(shared.value, pattern)
@@ -254,14 +279,15 @@ def encode_documents(documents: DataFrame, ranks: dict[bytes, int], pattern: str
         stops = [a + len(p) for a, p in zip(starts, group["piece"], strict=True)]
         ends = stitch(text, starts, stops, [list(e) for e in group["ends"]], encoder)
         ids = encoder.encode([text[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        return pd.DataFrame({"doc_id": pd.array([group["doc_id"].iloc[0]] * times, dtype="Int64"), "ids": [ids] * times})
+        data = {"data": [b"".join(encoder.bytes[ids].tolist())] * times} if decode else {}
+        return pd.DataFrame({"doc_id": pd.array([group["doc_id"].iloc[0]] * times, dtype="Int64"), "ids": [ids] * times} | data)
 
     long = docs.where(F.length("text") > chunk).withColumn("tk", text_key()).withColumn("n", F.length("text"))
     start = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk)))
     chunks = long.select("doc_id", "tk", "n", start.alias("start"), "text").select("doc_id", "tk", "n", "start", F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("piece"))
     dealt = chunks.repartition("doc_id", "tk", "start")
     found = map_slices(dealt, cut, "doc_id long, tk long, n int, start int, piece string, ends array<int>", rows=8)
-    stitched = found.groupBy("doc_id", "tk", "n").applyInPandas(join, "doc_id long, ids array<int>")
+    stitched = found.groupBy("doc_id", "tk", "n").applyInPandas(join, f"doc_id long, ids array<int>{more}")
     return short.unionByName(stitched)
 
 
@@ -271,16 +297,12 @@ def decode_documents(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("data", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = np.empty(max(shared.value.values(), default=-1) + 1, dtype=object)
-        for raw, i in shared.value.items():
-            of[i] = raw
+        of = token_bytes(shared.value)
         for batch in batches:
             for part in slices(batch, 256, 1 << 22):
                 ids = part.column(1)
-                raw = of[ids.flatten().to_numpy()].tolist()
                 ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy()).tolist()
-                data = [b"".join(raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), ids.cast(schema.field(1).type), pa.array(data, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids.cast(schema.field(1).type), decoded(ids.flatten().to_numpy(), ends, of)], schema=schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(task, "doc_id long, ids array<int>, data binary")
 

@@ -7,6 +7,7 @@ data through the driver.
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -144,6 +145,7 @@ def map_slices(
                 out = work({n: plain(part.column(i)) for i, n in enumerate(part.schema.names)})
                 made = [x if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(made, schema=arrow)
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return df.mapInArrow(task, schema)
 
@@ -193,6 +195,12 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no frame refers to any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a frame that ``saved`` returned and that no later plan reads."""
     spark = df.sparkSession

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubicost.llm.common import FOLDERS, discard, free_name, map_slices, mix64, rolling, saved, sieve, signed, slices, word_hashes, words_of
+from rubicost.llm.common import FOLDERS, discard, free_name, map_slices, mix64, rolling, saved, sieve, signed, slices, tidy, word_hashes, words_of
 
 SHINGLE = 3
 PERCENT = 90
@@ -481,10 +481,14 @@ def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, regi
 
     met = saved(with_pivots(postings(real, percent)))
     by_class = real.select("s1", F.col("n_shingles").alias("n"), F.explode("sigs").alias("z")).select("s1", "n", "z.c", "z.sketch")
+    tidy(documents.sparkSession)  # the exchange of the cells is the largest
     sketches = saved(by_class.join(met.select("s1").distinct(), "s1", "left_semi").dropDuplicates(["s1", "c"]))
+    discard(rows)
+    tidy(documents.sparkSession)
     ends = met.where("s1 <> p").select(F.col("p").alias("x"), F.col("s1").alias("y"), class_of("key").alias("c")).groupBy("x", "y").agg(F.max("c").alias("c"))
     links = checked(documents, sifted(ends, sketches, percent), classes, size, percent).unionByName(bound)
     labels = components(links)
+    tidy(documents.sparkSession)
 
     own = classes.join(labels, F.col("rep") == F.col("v"), "left").select("s1", F.coalesce("label", "rep").alias("label"))
     cells = saved(open_cells(met, own))
@@ -499,7 +503,7 @@ def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, regi
         discard(bundles)
         if not pairs.isEmpty():
             labels = components(checked(documents, pairs, classes, size, percent), labels)
-    for x in (rows, met, sketches, cells):
+    for x in (met, sketches, cells):
         discard(x)
     # a node is its own component where it has no link
     final = named.join(labels, F.col("rep") == F.col("v"), "left")

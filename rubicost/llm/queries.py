@@ -48,8 +48,7 @@ def op6_jaccard_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer()
-    encoded = bpe_chunks.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern)
-    return bpe_chunks.digests(bpe_chunks.decode_documents(encoded, ranks))
+    return bpe_chunks.digests(bpe_chunks.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern, decode=True))
 
 
 def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ def test_chunks_are_stitched_exactly(spark, vocabulary):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for chunk, overlap in ((64, 16), (100, 5), (333, 40), (10_000, 100)):
         got = {r["doc_id"]: (list(r["ids"]), bytes(r["data"])) for r in bc.decode_documents(bc.encode_documents(df, ranks, pattern, chunk, overlap), ranks).collect()}
+        once = bc.encode_documents(df, ranks, pattern, chunk, overlap, decode=True)
+        assert {r["doc_id"]: (list(r["ids"]), bytes(r["data"])) for r in once.collect()} == got
         for i, t in enumerate(texts):
             assert got[i] == (own.encode_ordinary(t), t.encode()), (chunk, i)
 
@@ -43,7 +45,7 @@ def test_odd_rows(spark, vocabulary):
     ranks, pattern, _ = vocabulary
     for extra in (False, True):
         docs = odd_documents(spark, extra)
-        got = bc.digests(bc.decode_documents(bc.encode_documents(docs, ranks, pattern, 1000, 100), ranks))
+        got = bc.digests(bc.encode_documents(docs, ranks, pattern, 1000, 100, decode=True))
         assert got.count() == docs.count()
         assert {r["n_tokens"] for r in got.where("doc_id IN (3, 4)").collect()} == {0}
     assert bc.encode_documents(docs.limit(0), ranks, pattern).count() == 0
