@@ -34,7 +34,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer()
-    return bpe_chunks.digests(bpe_chunks.decode_documents(bpe_chunks.encode_documents(docs, ranks, pattern), ranks))
+    return bpe_chunks.digests(bpe_chunks.encode_documents(docs, ranks, pattern, decode=True))
 
 
 STAGES = [("language_id", language_id), ("jaccard_join", jaccard_join), ("pii", pii), ("mixing", mixing), ("bpe", bpe)]
