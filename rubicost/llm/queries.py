@@ -1,11 +1,11 @@
-"""Queries of the ten training-data operators, with production parameters, and their SQL where SQL can say it."""
+"""Queries of the training-data operators, with production parameters, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubicost.llm import bpe_chunks, chat_format, cube_mix, impact_index, jaccard_metric, language_mixture, line_frequency, pii_boost, toxic_severity, window_dedup
+from rubicost.llm import bisected_index, bpe_chunks, chat_format, cube_mix, impact_index, jaccard_metric, language_mixture, line_frequency, minhash_dedup, pii_boost, spelling_groups, toxic_severity, window_dedup
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -75,7 +75,36 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_line_frequency, op3_impact_topk, op4_toxic_severity, op5_pii_boost, op6_jaccard_metric, op7_bpe_chunks, op8_window_dedup, op9_cube_mix, op10_chat_format)}
+def op11_bisected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisected_index.search(bisected_index.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.join(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_mixture,
+        op2_line_frequency,
+        op3_impact_topk,
+        op4_toxic_severity,
+        op5_pii_boost,
+        op6_jaccard_metric,
+        op7_bpe_chunks,
+        op8_window_dedup,
+        op9_cube_mix,
+        op10_chat_format,
+        op11_bisected_search,
+        op12_minhash_dedup,
+        op13_spelling_groups,
+    )
+}
 
 W = r"[^\x20\x09-\x0D]+"
 
@@ -137,4 +166,42 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
     sum(n)::BIGINT AS formatted_chars,
     regexp_matches(string_agg(role, ',' ORDER BY turn NULLS FIRST, role, text), '^(system,)?user,assistant(,user,assistant)*$') AS valid
 FROM e GROUP BY conv_id""",
+    "op11_bisected_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+dt AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d) GROUP BY r, term),
+dl AS (SELECT r, sum(tf)::BIGINT AS n FROM dt GROUP BY r),
+tot AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM dl),
+it AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM dt GROUP BY term), tot),
+m AS (SELECT r, 10 + (90 * n * docs) // terms AS m FROM dl, tot),
+s AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM it JOIN w USING (term) JOIN dt USING (term) JOIN m USING (r) GROUP BY item_id, r)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s JOIN d USING (r) WHERE score > 0 AND doc_id IS NOT NULL) WHERE rank <= 10""",
+    "op12_minhash_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{W}') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, l.b FROM reach r JOIN links l ON r.u = l.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.c::BIGINT AS component_id, d.doc_id = r.c AS kept FROM documents d LEFT JOIN n USING (doc_id)
+    LEFT JOIN (SELECT v, min(u) AS c FROM reach GROUP BY v) r ON r.v = d.doc_id""",
+    "op13_spelling_groups": r"""
+WITH RECURSIVE runs AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY doc_id, w),
+hexed AS (SELECT doc_id, w, c, hex(encode(doc_id || ':' || w)) AS x FROM runs),
+bits AS (SELECT b, b::BIGINT AS v, 0 AS s FROM range(256) t(b) UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, s + 1 FROM bits WHERE s < 8),
+byte0 AS (SELECT b, v FROM bits WHERE s = 8),
+far AS (SELECT 0 AS k, b, v FROM byte0 UNION ALL SELECT k + 1, far.b, xor(far.v >> 8, byte0.v) FROM far JOIN byte0 ON byte0.b = far.v & 255 WHERE k < (SELECT max(len(x)) // 2 FROM hexed)),
+zeros AS (SELECT 0 AS n, 4294967295::BIGINT AS v UNION ALL SELECT n + 1, xor(zeros.v >> 8, byte0.v) FROM zeros JOIN byte0 ON byte0.b = zeros.v & 255 WHERE n < (SELECT max(len(x)) // 2 FROM hexed)),
+chars AS (SELECT doc_id, w, x, unnest(range(0, len(x) // 2)) AS i FROM hexed WHERE x IS NOT NULL),
+mixed AS (SELECT doc_id, w, x, bit_xor(far.v) AS v FROM chars JOIN far ON far.k = len(x) // 2 - 1 - i AND far.b = ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT GROUP BY doc_id, w, x),
+h AS (SELECT doc_id, w, xor(4294967295, xor(mixed.v, zeros.v)) AS h FROM mixed JOIN zeros ON zeros.n = len(x) // 2),
+made AS (SELECT CASE WHEN h % 97 = 0 THEN w[1:h % len(w)] || w[h % len(w) + 2:] ELSE w END AS word, c FROM runs LEFT JOIN h USING (doc_id, w)),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM made WHERE len(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+gaps AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word AS a, b.word AS b FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word FROM gaps a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word FROM gaps a JOIN words b ON a.rest = b.word),
+near AS (SELECT a AS word, count(*) AS n_near, max(w.n) AS top, (list(b ORDER BY w.n DESC, b))[1] AS best FROM pairs JOIN words w ON w.word = b GROUP BY a),
+forms AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * n THEN best END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n FROM words LEFT JOIN near USING (word)),
+led AS (SELECT word, word AS led_to, 0 AS s FROM forms UNION ALL SELECT led.word, f.form, s + 1 FROM led JOIN forms f ON f.word = led.led_to WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, max_by(led_to, s) AS root FROM led GROUP BY word) USING (word)""",
 }
