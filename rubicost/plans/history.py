@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rubicost.operators.fold import ordered_fold
+from rubicost.operators.scan import FAR, Machine, Numeric, Pieces, called, composed_fold
 from rubicost.operators.topk import first_of
 from rubicost.registry import query
 from rubicost.tables import Tables
@@ -159,19 +160,23 @@ def delta_flushes(t: Tables):
     return ordered_fold(rows, "conv_id", ["turn", "text"], delta_steps, ["conv_id", "turn", "text"], "conv_id long, turn long, text string, flush int").drop("text")
 
 
-def bucket_steps(capacity: float = 3, per_second: float = 1 / 20_000):
-    """Whether a token bucket lets each request pass."""
-    tokens, last = capacity, None
+class Bucket(Numeric):
+    """Whether a token bucket lets each request pass; times in microseconds, a token takes ``token`` of them.
 
-    def step(at: float) -> tuple[bool]:
-        nonlocal tokens, last
-        tokens = capacity if last is None else min(capacity, tokens + (at - last) * per_second)
-        last = at
-        passed = tokens >= 1
-        tokens -= passed
-        return (passed,)
+    The state is the held amount less the time, so it only changes when a
+    request passes, or where the bucket is full.
+    """
 
-    return step
+    start = FAR
+
+    def __init__(self, capacity: int = 3, token: int = 20_000_000_000) -> None:
+        self.full, self.token = capacity * token, token
+
+    def effect(self, at: int) -> Pieces:
+        return [(self.token - at, 1, 0), (self.full - at, 1, -self.token), (2 * FAR, 0, self.full - self.token - at)]
+
+    def step(self, state: int, at: int) -> tuple[int, tuple[bool]]:
+        return called(self.effect(at), state), (state + at >= self.token,)
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -180,35 +185,56 @@ s AS (SELECT user_id, event_id, k, tm, true AS passed, 2.0::DOUBLE AS tokens FRO
         FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
 SELECT user_id, event_id, passed FROM s""")
 def rate_limits(t: Tables):
-    """Token bucket for each user over the ordered requests."""
-    rows = t("events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return ordered_fold(rows, "user_id", ["at", "event_id"], bucket_steps, ["user_id", "event_id"], "user_id long, event_id long, passed boolean")
+    """Token bucket for each user over the ordered requests; a busy user has many tasks."""
+    rows = t("events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return composed_fold(rows, "user_id", ["at", "event_id"], Bucket, ["user_id", "event_id"], "user_id long, event_id long, passed boolean")
 
 
-def card_steps(undo: float = 10, expiry: float = 1800):
+class Card(Machine):
     """State of a card after each action, and what became of the action.
 
-    A card is open from its first action's time on; a decision counts once, may
-    be undone within ``undo`` seconds, and nothing counts after ``expiry``.
+    A card is open from its first action's time (``begun``) on; a decision counts
+    once, may be undone within ``undo`` seconds, and nothing counts after
+    ``expiry``. States are (name, time of the decision).
+
+    Of a decision made before some rows, only the first undo among them matters:
+    if that comes too late, so do the others. A summary hence holds where an open
+    card leads, that undo's time, and where the card leads that it reopened.
     """
-    state, decided, start = "open", None, None
-
-    def step(at: float, action: str) -> tuple[str, str]:
-        nonlocal state, decided, start
-        start = at if start is None else start
-        if state == "open" and at - start > expiry:
-            state = "expired"
-        if action == "undo":
-            if state in ("allowed", "denied") and decided is not None and at - decided <= undo:
-                state, decided = "open", None
-                return state, "undone"
-            return state, "ignored"
-        if state == "open":
-            state, decided = action, at
-            return state, "applied"
-        return state, "ignored"
 
-    return step
+    start = ("open", None)
+
+    def __init__(self, undo: float = 10, expiry: float = 1800) -> None:
+        self.undo, self.expiry = undo, expiry
+
+    def step(self, state: tuple, at: float, action: str, begun: float) -> tuple[tuple, tuple[str, str]]:
+        name, decided = state
+        if name == "open" and at - begun > self.expiry:
+            name = "expired"
+        if action == "undo" and decided is not None and at - decided <= self.undo:
+            return self.start, ("open", "undone")
+        if action != "undo" and name == "open":
+            return (action, at), (action, "applied")
+        return (name, decided), (name, "ignored")
+
+    def summary(self) -> tuple:
+        return self.start, None, None
+
+    def extend(self, summary: tuple, at: float, action: str, begun: float) -> tuple:
+        led, first_undo, undone = summary
+        if first_undo is not None:
+            undone = self.step(undone, at, action, begun)[0]
+        elif action == "undo":
+            first_undo, undone = at, self.start
+        return self.step(led, at, action, begun)[0], first_undo, undone
+
+    def apply(self, summary: tuple, state: tuple) -> tuple:
+        led, first_undo, undone = summary
+        if state[0] == "open":
+            return led
+        if state[1] is not None and first_undo is not None and first_undo - state[1] <= self.undo:
+            return undone
+        return state
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id * 100 + day(ts) AS card_id, event_id, epoch_us(ts) / 1e6 AS tm, CASE WHEN event_type = 'error' THEN 'undo' WHEN event_type IN ('view', 'click') THEN 'allowed' ELSE 'denied' END AS action FROM events),
@@ -220,24 +246,24 @@ s AS (SELECT card_id, event_id, k, CASE WHEN action = 'undo' THEN 'open' ELSE ac
         FROM (SELECT n.card_id, n.event_id, n.k, n.tm, n.action, s.decided, CASE WHEN s.state = 'open' AND n.tm - n.start > 1800 THEN 'expired' ELSE s.state END AS was FROM s JOIN n ON n.card_id = s.card_id AND n.k = s.k + 1))
 SELECT card_id, event_id, state, effect FROM s""")
 def card_decisions(t: Tables):
-    """Decisions on cards: a fold over the ordered actions of each card."""
+    """Decisions on cards: a fold over the ordered actions of each card; a card with very many has many tasks."""
     action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type").isin("view", "click"), "allowed").otherwise("denied")
     rows = t("events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("card_id"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), action.alias("action"))
-    return ordered_fold(rows, "card_id", ["at", "event_id"], card_steps, ["card_id", "event_id"], "card_id long, event_id long, state string, effect string")
+    begun = rows.groupBy(F.col("card_id").alias("of")).agg(F.min("at").alias("begun"))
+    timed = rows.join(begun, F.col("card_id") == F.col("of")).drop("of")
+    return composed_fold(timed, "card_id", ["at", "event_id"], Card, ["card_id", "event_id"], "card_id long, event_id long, state string, effect string")
 
 
-def queue_steps():
-    """Whether a job is taken: one with its key that is queued or running holds it off until it is done."""
-    free = None
+class Queue(Numeric):
+    """Whether a job is taken: one with its key that is queued or running holds it off until it is done. The state is when the key frees."""
 
-    def step(at: float, lasts: float) -> tuple[bool]:
-        nonlocal free
-        taken = free is None or at >= free
-        if taken:
-            free = at + lasts
-        return (taken,)
+    start = -FAR
 
-    return step
+    def effect(self, at: int, lasts: int) -> Pieces:
+        return [(at + 1, 0, at + lasts), (2 * FAR, 1, 0)]
+
+    def step(self, state: int, at: int, lasts: int) -> tuple[int, tuple[bool]]:
+        return (at + lasts, (True,)) if state <= at else (state, (False,))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id % 50 AS key, event_id, epoch_us(ts) / 1e6 AS tm, value * 600 AS lasts, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS k FROM events),
@@ -245,9 +271,9 @@ s AS (SELECT key, event_id, k, true AS taken, tm + lasts AS free FROM e WHERE k
     UNION ALL SELECT e.key, e.event_id, e.k, e.tm >= s.free, CASE WHEN e.tm >= s.free THEN e.tm + e.lasts ELSE s.free END FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1)
 SELECT key, event_id, taken FROM s""")
 def enqueued_jobs(t: Tables):
-    """One queued or running job for each key; a key frees when its job is done."""
-    rows = t("events").select((F.col("user_id") % 50).alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("value") * 600).alias("lasts"))
-    return ordered_fold(rows, "key", ["at", "event_id"], queue_steps, ["key", "event_id"], "key long, event_id long, taken boolean")
+    """One queued or running job for each key; a key frees when its job is done. Few keys have many tasks all the same."""
+    rows = t("events").select((F.col("user_id") % 50).alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.round(F.col("value") * 600_000_000).cast("long").alias("lasts"))
+    return composed_fold(rows, "key", ["at", "event_id"], Queue, ["key", "event_id"], "key long, event_id long, taken boolean")
 
 
 @query("""WITH e AS (SELECT event_id, user_id AS run_id, json_extract_string(props, '$.k')::BIGINT AS seq FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY run_id, seq ORDER BY event_id) AS k FROM e),

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rubicost.operators.joins import asof_nearest, overlap_join
+from rubicost.operators.scan import ranks
 from rubicost.operators.topk import first_of, mode_first_seen
 from rubicost.registry import query
 from rubicost.tables import Tables, with_views
@@ -27,8 +28,8 @@ def preference(t: Tables):
 
 @query(f"""{RANKED}, {PREF} SELECT file_id, rank FROM pref""")
 def file_preference(t: Tables):
-    """Order of preference among reference files (one row per file, so one window over them)."""
-    return preference(t).select("file_id", F.row_number().over(Window.orderBy("pref")).cast("long").alias("rank"))
+    """Order of preference among reference files, by range partitions."""
+    return ranks(preference(t), [F.col("pref")]).select("file_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""{ITEMS}, c AS (SELECT file_id, category, qty, count(*) AS n, min((doc_date, sheet, row_no)) AS seen FROM items GROUP BY 1, 2, 3),

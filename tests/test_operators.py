@@ -9,7 +9,7 @@ from rubicost.operators.joins import asof_nearest, interval_join, knn_join, lexi
 from rubicost.operators.merge import insert_absent, override, replace_groups, upsert
 from rubicost.operators.statistics import exact_median
 from rubicost.operators.topk import mode_first_seen, page, systematic
-from rubicost.plans.history import bucket_steps, card_steps, delta_steps, queue_steps
+from rubicost.plans.history import Bucket, Card, Queue, delta_steps
 from rubicost.plans.web import linked_price, sanitised
 from rubicost.sources.files import clean_number, clean_value, listed, replace_files
 
@@ -182,6 +182,18 @@ def test_systematic_and_page(spark):
     assert [r["i"] for r in page(df, [F.col("i")], 3, 2).collect()] == [3, 4]
 
 
+def stepped(machine):
+    """A machine as a step function that holds its state."""
+    state = machine.start
+
+    def step(*values):
+        nonlocal state
+        state, out = machine.step(state, *values)
+        return out
+
+    return step
+
+
 def run(steps, *columns):
     return [x if len(x) > 1 else x[0] for x in map(steps, *columns)]
 
@@ -189,10 +201,10 @@ def run(steps, *columns):
 def test_deltas_buckets_and_cards():
     assert run(delta_steps(), [20, 20, 20, 5, 1], [0, 0.01, 0.02, 0.03, 0.04], [True] * 3 + [False, True]) == [0, 0, 0, 1, 2]
     assert run(delta_steps(), [1, 1, 1], [0, 0.05, 0.2], [True] * 3) == [0, 0, 0]
-    assert run(bucket_steps(3, 0.1), [0, 0, 0, 0, 10]) == [True, True, True, False, True]
-    assert run(card_steps(), [0, 5, 6, 30, 31], ["allowed", "undo", "denied", "undo", "allowed"]) == [("allowed", "applied"), ("open", "undone"), ("denied", "applied"), ("denied", "ignored"), ("denied", "ignored")]
-    assert run(card_steps(), [0, 4000], ["undo", "allowed"])[1] == ("expired", "ignored")
-    assert run(queue_steps(), [0, 5, 10, 12], [10, 1, 1, 1]) == [True, False, True, True]
+    assert run(stepped(Bucket(3, 10)), [0, 0, 0, 0, 10]) == [True, True, True, False, True]
+    assert run(stepped(Card()), [0, 5, 6, 30, 31], ["allowed", "undo", "denied", "undo", "allowed"], [0] * 5) == [("allowed", "applied"), ("open", "undone"), ("denied", "applied"), ("denied", "ignored"), ("denied", "ignored")]
+    assert run(stepped(Card()), [0, 4000], ["undo", "allowed"], [0, 0])[1] == ("expired", "ignored")
+    assert run(stepped(Queue()), [0, 5, 10, 12], [10, 1, 1, 1]) == [True, False, True, True]
 
 
 def test_html():
