@@ -55,7 +55,7 @@ def test_composed_pieces_stay_few():
             for row in rows:
                 state = machine.step(state, *row)[0]
             assert called(f, x) == state
-    assert composed([(5, 1, 1), (FAR, 0, 9)], [(4, 1, 0), (FAR, 0, 4)]) == [(3, 1, 1), (5, 0, 4), (FAR, 0, 4)][:2]
+    assert composed([(5, 1, 1), (FAR, 0, 9)], [(4, 1, 0), (FAR, 0, 4)]) == [(3, 1, 1), (FAR, 0, 4)]
 
 
 def test_folds_of_nothing(spark):
