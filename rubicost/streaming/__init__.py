@@ -1,5 +1,5 @@
 """Streaming queries; importing this package registers them."""
 
-from rubicost.streaming import log
+from rubicost.streaming import log, stateful
 
-__all__ = ["log"]
+__all__ = ["log", "stateful"]
