@@ -18,11 +18,14 @@
    are measured on the full sets, from the texts.
 6. A star alone would lose links of members that are far from their hub. Buckets
    whose members are not all in one component after the stars stay open: their
-   members meet in blocks, those of the largest component never among
-   themselves, pairs of one component never. What agrees enough is measured too.
+   members meet in blocks with their full sets, those of the largest component
+   never among themselves, pairs of one component never, and a pair only in the
+   first bucket that it shares. A link found there joins its two components for
+   the task, so a task returns fewer links than it has members.
 
-Links are confirmed exactly; only a link that no band proposes is lost, with the
-probability stated above.
+Links are confirmed on the full sets: stars on the texts' shingles, the others
+on all 64-bit hashes of these. Only a link that no band proposes is lost, with
+the probability stated above.
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing; with fewer words than a shingle the whole sequence is the one
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubicost.llm.common import GOLDEN, discard, map_slices, mix64, saved, signed, slices, tidy
-from rubicost.llm.jaccard_metric import checked, components, runs, set_hash, shingle_hashes
+from rubicost.llm.jaccard_metric import checked, components, runs, set_hash, shingle_hashes, texts_of
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 50, 5
@@ -161,19 +164,62 @@ def sizes_fit(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def open_pairs(met: DataFrame, labels: DataFrame, signatures: DataFrame, least: int, percent: int, block: int) -> DataFrame:
-    """x, y of different components that share a bucket and agree enough; a task holds at most two blocks of members."""
+def open_cells(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, s1, label, size, top, n_top of the members of buckets that hold several components, ``top`` being the largest."""
     named = met.join(labels, "s1").select("key", "s1", "label")
     kinds = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy(F.col("key").alias("k"))
     mixed = kinds.agg(F.sum("m").alias("size"), F.max(F.struct("m", "label")).alias("z"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1 AND size > 2")
-    cells = named.join(mixed, F.col("key") == F.col("k")).join(signatures, "s1").select("key", "s1", "label", "n", "signature", "size", F.col("z.label").alias("top"), F.col("z.m").alias("n_top"))
+    return named.join(mixed, F.col("key") == F.col("k")).select("key", "s1", "label", "size", F.col("z.label").alias("top"), F.col("z.m").alias("n_top"))
+
+
+def full_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """of, hashes: all shingles of the wanted representatives (s1, rep), as sorted 64-bit hashes."""
+
+    def start():
+        def work(cols):
+            return {"of": cols["s1"], "hashes": [shingle_hashes(t, size).tobytes() for t in cols["text"]]}
+
+        return work
+
+    return map_slices(texts_of(documents, wanted, size), start, "of long, hashes binary", rows=64).dropDuplicates(["of"])
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many members two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def spanning_links(s1: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.ndarray, raw: np.ndarray, sets: list[np.ndarray], key: int, bands: int, apart: bool, least: int, percent: int) -> tuple[list[int], list[int]]:
+    """Links between members of different components, of which this bucket is the first shared one; those that join components so far apart."""
+    component = np.unique(label, return_inverse=True)[1]
+    keys = band_keys(raw, bands)
+    a, b = [], []
+    for i in range(len(s1)):
+        ok = np.flatnonzero((component != component[i]) & sizes_fit(n, n[i], percent) & (s1 > s1[i]) & (own != own[i] if apart else True))
+        ok = ok[(raw[ok] == raw[i]).sum(axis=1) >= least]
+        ok = ok[keys[i, (keys[ok] == keys[i]).argmax(axis=1)] == key]
+        for j in ok.tolist():
+            if component[j] != component[i]:
+                shared = common(sets[i], sets[j])
+                if 100 * shared >= percent * (n[i] + n[j] - shared):
+                    component[component == component[j]] = component[i]
+                    a.append(int(s1[i]))
+                    b.append(int(s1[j]))
+    return a, b
+
+
+def open_links(cells: DataFrame, signatures: DataFrame, sets: DataFrame, bands: int, least: int, percent: int, block: int) -> DataFrame:
+    """x, y: links between components that share an open bucket; a task holds at most two blocks of members."""
+    full = cells.join(signatures, "s1").join(sets, F.col("s1") == F.col("of"))
     top = F.col("label") == F.col("top")
     many, rest = F.ceil(F.col("n_top") / block).cast("int"), F.ceil((F.col("size") - F.col("n_top")) / block).cast("int")
     place = F.xxhash64("s1", "key")
     own = F.when(top, F.pmod(place, many)).otherwise(many + F.pmod(place, rest)).cast("int")
     # blocks of the largest component meet those of the others, and not each other
     others = F.sequence(F.when(top, many).otherwise(F.lit(0)), many + rest - 1)
-    meeting = cells.withColumn("own", own).withColumn("other", F.explode(others)).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "s1", "label", "n", "signature")
+    meeting = full.withColumn("own", own).withColumn("other", F.explode(others)).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "s1", "label", "n", "signature", "hashes")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -182,14 +228,10 @@ def open_pairs(met: DataFrame, labels: DataFrame, signatures: DataFrame, least:
             g = pa.Table.from_batches(held)
             s1, n, label, own = (g[c].to_numpy() for c in ("s1", "n", "label", "own"))
             raw = np.frombuffer(b"".join(g["signature"].to_pylist()), "<u2").reshape(len(s1), -1)
-            apart = g["lo"][0].as_py() != g["hi"][0].as_py()
-            a, b = [], []
-            for i in range(len(s1)):
-                ok = np.flatnonzero((label != label[i]) & sizes_fit(n, n[i], percent) & (own != own[i] if apart else s1 > s1[i]) & (s1 > s1[i]))
-                ok = ok[(raw[ok] == raw[i]).sum(axis=1) >= least]
-                a.append(np.full(len(ok), s1[i]))
-                b.append(s1[ok])
-            return pa.RecordBatch.from_pydict({"x": pa.array(np.concatenate(a)), "y": pa.array(np.concatenate(b))})
+            sets = [np.frombuffer(x, np.uint64) for x in g["hashes"].to_pylist()]
+            key, lo, hi = (g[k][0].as_py() for k in ("key", "lo", "hi"))
+            a, b = spanning_links(s1, n, label, own, raw, sets, key, bands, lo != hi, least, percent)
+            return pa.RecordBatch.from_pydict({"x": pa.array(a, pa.int64()), "y": pa.array(b, pa.int64())})
 
         yield from runs(batches, 3, held, flush)
 
@@ -216,12 +258,18 @@ def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, band
     links = checked(documents, agreeing(stars, signatures, least), classes, size, percent).unionByName(bound)
     labels = components(links)
     own = classes.join(labels, F.col("rep") == F.col("v"), "left").select("s1", F.coalesce("label", "rep").alias("label"))
-    pairs = saved(open_pairs(met, own, signatures, least, percent, block))
+    cells = saved(open_cells(met, own))
     tidy(documents.sparkSession)
-    if not pairs.isEmpty():
-        labels = components(checked(documents, pairs, classes, size, percent), labels)
-    for x in (met, signatures, pairs):
+    if not cells.isEmpty():
+        wanted = saved(cells.select("s1").distinct().join(classes, "s1").select("s1", "rep"))
+        sets = saved(full_sets(documents, wanted, size))
+        found = saved(open_links(cells, signatures, sets, bands, least, percent, block))
+        left, right = (classes.select(F.col("s1").alias(s), F.col("rep").alias(r)) for s, r in (("x", "a"), ("y", "b")))
+        labels = components(found.join(left, "x").join(right, "y").select("a", "b"), labels)
+        for x in (wanted, sets, found):
+            discard(x)
+    for x in (met, signatures, cells):
         discard(x)
     # a node is its own component where it has no link
-    found = named.join(labels, F.col("rep") == F.col("v"), "left").select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    final = named.join(labels, F.col("rep") == F.col("v"), "left").select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
+    return final.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
