@@ -114,21 +114,16 @@ def split(owner: np.ndarray, at: np.ndarray, n: int, terms: int) -> tuple[np.nda
     return right, moves()[2]
 
 
-def fit(sample: list[list[str]], depth: int, features: int = FEATURES) -> Tree:
-    """The tree of bisections of a sample of documents, each a list of distinct terms."""
-    df = Counter(t for terms in sample for t in terms)
-    # the terms of a single document and those of most say nothing about neighbours
-    useful = sorted((t for t, n in df.items() if 1 < n <= max(2, 0.6 * len(sample))), key=lambda t: (-df[t], t))[:features]
-    number = {t: i for i, t in enumerate(useful)}
-    lists = [np.array([number[t] for t in terms if t in number], dtype=np.int64) for terms in sample]
-    weights, middle = np.zeros((1 << depth, max(len(number), 1)), dtype=np.float32), np.zeros(1 << depth)
+def fit(sample: list[np.ndarray], features: dict[str, int], depth: int) -> Tree:
+    """The tree of bisections of a sample of documents, each the numbers of its features."""
+    weights, middle = np.zeros((1 << depth, max(len(features), 1)), dtype=np.float32), np.zeros(1 << depth)
 
     def grow(node: int, members: list[int]) -> None:
         if node >= 1 << depth or len(members) < 2:
             return
-        own = [lists[i] for i in members]
+        own = [sample[i] for i in members]
         owner, at = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
-        _, lean = split(owner, at, len(own), len(number))
+        _, lean = split(owner, at, len(own), len(features))
         weights[node] = lean
         mean = np.bincount(owner, weights=weights[node, at], minlength=len(own)) / np.maximum(np.bincount(owner, minlength=len(own)), 1)
         middle[node] = np.median(mean)
@@ -137,15 +132,19 @@ def fit(sample: list[list[str]], depth: int, features: int = FEATURES) -> Tree:
         grow(2 * node, [i for i, g in zip(members, goes, strict=True) if not g])
         grow(2 * node + 1, [i for i, g in zip(members, goes, strict=True) if g])
 
-    if number:
+    if features:
         grow(1, list(range(len(sample))))
-    return Tree(number, weights, middle, depth)
+    return Tree(features, weights, middle, depth)
 
 
-def sampled(documents: DataFrame, count: int, most: int) -> list[list[str]]:
-    """Terms of at most ``most`` documents, drawn by hash; of a long one those of smallest hash."""
+def sampled(documents: DataFrame, count: int, most: int) -> tuple[list[np.ndarray], dict[str, int]]:
+    """At most ``most`` documents, drawn by hash, as numbers of features, and the features: the most frequent terms that tell neighbours apart.
 
-    def start():
+    Of a long document the terms of smallest hash count. What goes through the
+    driver is at most ``FEATURES`` terms and ``most`` * ``SAMPLE_TERMS`` numbers.
+    """
+
+    def terms():
         pattern = re.compile(TERM)
 
         def work(cols):
@@ -156,15 +155,29 @@ def sampled(documents: DataFrame, count: int, most: int) -> list[list[str]]:
     grain = 1 << 30
     h = F.xxhash64("doc_id", "text")
     drawn = documents.where(F.col("text").isNotNull()).select(h.alias("h"), "text").where(F.pmod("h", F.lit(grain)) < math.ceil(grain * min(1.0, 1.3 * most / max(count, 1))))
-    rows = map_slices(drawn, start, "h long, terms array<string>").orderBy("h").limit(most).collect()
-    return [r["terms"] for r in rows]
+    rows = saved(map_slices(drawn, terms, "h long, terms array<string>").orderBy("h").limit(most))
+    # the terms of a single document and those of most say nothing about neighbours
+    df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    useful = df.where((F.col("df") > 1) & (F.col("df") <= max(2, 0.6 * rows.count()))).orderBy(F.desc("df"), "term").limit(FEATURES).collect()
+    features = {r["term"]: i for i, r in enumerate(useful)}
+    shared = documents.sparkSession.sparkContext.broadcast(features)
+
+    def numbers():
+        def work(cols):
+            return {"at": [np.array([shared.value[t] for t in c if t in shared.value], dtype=np.int32).tobytes() for c in cols["terms"]]}
+
+        return work
+
+    lists = [np.frombuffer(r["at"], np.int32) for r in map_slices(rows, numbers, "at binary").collect()]
+    discard(rows)
+    return lists, features
 
 
 def build(documents: DataFrame, shard: int = SHARD, depth: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """row, doc_id, n, terms, tfs, cluster and shard of every document, written once."""
     count = documents.count()
     depth = depth or min(MOST_DEPTH, max(LEAST_DEPTH, math.ceil(math.log2(max(count, 1) / shard))))
-    shared = documents.sparkSession.sparkContext.broadcast(fit(sampled(documents, count, sample), depth))
+    shared = documents.sparkSession.sparkContext.broadcast(fit(*sampled(documents, count, sample), depth))
 
     def start():
         pattern, tree = re.compile(TERM), shared.value

@@ -73,8 +73,9 @@ def test_bisection_puts_alike_documents_together():
     rng = random.Random(3)
     topics = [words(rng, 30, 10**6) for _ in range(4)]
     sample = [sorted(set(rng.choice(topics[i % 4]) for _ in range(25))) for i in range(400)]
-    tree = bi.fit(sample, 2)
-    known = [[tree.features[t] for t in terms] for terms in sample]
+    features = {t: i for i, t in enumerate(sorted({t for terms in sample for t in terms}))}
+    known = [np.array([features[t] for t in terms]) for terms in sample]
+    tree = bi.fit(known, features, 2)
     cluster = tree.route(np.concatenate(known), np.repeat(np.arange(400), [len(x) for x in known]), 400)
     pure = sum(max(np.bincount(np.arange(400)[cluster == c] % 4)) for c in set(cluster.tolist()))
     assert pure >= 380
