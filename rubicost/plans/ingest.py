@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rubicost.functions.numbers import close, column_letters, excel_round, parse_number
 from rubicost.functions.text import match_key, normalised
 from rubicost.functions.units import normalise_unit, with_labels
+from rubicost.operators.dyadic import contained
 from rubicost.operators.joins import interval_join
 from rubicost.operators.topk import systematic
 from rubicost.registry import query
@@ -107,10 +108,12 @@ def section_of_row(t: Tables):
 @query("""WITH m AS (SELECT s_suppkey AS sheet, s_suppkey % 5 AS r1, s_suppkey % 5 + 3 AS r2, s_nationkey % 4 AS c1, s_nationkey % 4 + 2 AS c2, s_name AS anchor FROM supplier)
 SELECT l_orderkey, l_linenumber, l_partkey, anchor FROM lineitem LEFT JOIN m ON sheet = l_suppkey AND l_linenumber BETWEEN r1 AND r2 AND l_partkey % 7 BETWEEN c1 AND c2""")
 def merged_ranges(t: Tables):
-    """The merged range that a cell lies in: an equi-join on the sheet with bounds on row and column."""
-    m = t("supplier").select(F.col("s_suppkey").alias("sheet"), (F.col("s_suppkey") % 5).alias("r1"), (F.col("s_nationkey") % 4).alias("c1"), F.col("s_name").alias("anchor"))
-    inside = (F.col("sheet") == F.col("l_suppkey")) & F.col("l_linenumber").between(F.col("r1"), F.col("r1") + 3) & (F.col("l_partkey") % 7).between(F.col("c1"), F.col("c1") + 2)
-    return t("lineitem").join(m, inside, "left").select("l_orderkey", "l_linenumber", "l_partkey", "anchor")
+    """The merged range that a cell lies in, by dyadic pieces of its rows and columns: equality joins, however many ranges a sheet has."""
+    m = t("supplier").select(F.col("s_suppkey").alias("sheet"), (F.col("s_suppkey") % 5).alias("r1"), (F.col("s_suppkey") % 5 + 3).alias("r2"), (F.col("s_nationkey") % 4).alias("c1"), (F.col("s_nationkey") % 4 + 2).alias("c2"), F.col("s_name").alias("anchor"))
+    cells = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("sheet"), F.col("l_linenumber").alias("row"), (F.col("l_partkey") % 7).alias("col"))
+    # each place once; merged ranges don't overlap
+    found = contained(cells.select("sheet", "row", "col").distinct(), m, ["sheet"], [("row", "r1", "r2"), ("col", "c1", "c2")])
+    return cells.join(found.select("sheet", "row", "col", "anchor"), ["sheet", "row", "col"], "left").select("l_orderkey", "l_linenumber", "l_partkey", "anchor")
 
 
 @query("""WITH r AS (SELECT *, (l_partkey % 5 = 0) AS no_unit, (l_partkey % 7 = 0) AS no_total FROM lineitem), v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS q, CASE WHEN NOT no_unit THEN l_tax * 100 END AS ul, CASE WHEN NOT no_total THEN l_discount * 1000 END AS tm,

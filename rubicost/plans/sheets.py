@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubicost.operators.binding import Bind, bindings, bound, header, label_of
+from rubicost.operators.links import followed
 from rubicost.operators.scan import carried
 from rubicost.registry import query
 from rubicost.sources.files import stored
@@ -334,3 +335,15 @@ def pricing_rows(t: Tables):
     names = t("orders").select(F.col("o_orderkey").alias("sheet"), F.col("o_orderpriority").alias("name"))
     read = read_pricing(sheets_of_orders(t), labels(t, COLUMN_LABELS), names, PART_WORDS, COLUMN_BINDS, ())
     return read.withColumn("notes", F.array_join("notes", " | ")).drop("percent", "phase_qty")
+
+
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey AS s, o_totalprice, CASE WHEN o_orderpriority <> '5-LOW' THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) END AS t FROM orders),
+f AS (SELECT s, t AS e, 1::BIGINT AS n FROM o WHERE t IS NOT NULL UNION ALL SELECT f.s, o.t, n + 1 FROM f JOIN o ON o.s = f.e WHERE o.t IS NOT NULL), l AS (SELECT s, arg_max(e, n) AS e, max(n) AS n FROM f GROUP BY s)
+SELECT l.s AS line, l.e AS "end", l.n AS steps, o.o_totalprice AS amount FROM l JOIN o ON o.s = l.e""")
+def linked_costs(t: Tables):
+    """Cost lines that refer to another sheet take their amount from where the references lead at last."""
+    o = t("orders")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    links = o.select(F.col("o_orderkey").alias("line"), F.when(F.col("o_orderpriority") != "5-LOW", before).alias("target"))
+    ends = followed(links, "line", "target")
+    return ends.join(o.select(F.col("o_orderkey").alias("_o"), F.col("o_totalprice").alias("amount")), F.col("end") == F.col("_o")).select("line", "end", "steps", "amount")

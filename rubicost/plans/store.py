@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from rubicost.operators.merge import override, replace_groups, upsert
 from rubicost.operators.topk import first_of
 from rubicost.registry import query
-from rubicost.sources.files import clean_number, clean_value
+from rubicost.sources.files import clean_number, clean_value, shared_folder
+from rubicost.sources.published import publish, published
 from rubicost.tables import Tables, with_views
 
 
@@ -26,6 +27,22 @@ def replaced_by_file(t: Tables):
     return override(replace_groups(old, new, ["file_id"]), edits, ["l_partkey"], ["hours"])
 
 
+@query("""WITH o AS (SELECT l_suppkey AS file_id, l_orderkey AS sheet, l_linenumber AS row_no, l_partkey, l_quantity AS hours FROM lineitem WHERE l_returnflag <> 'A'), n AS (SELECT l_suppkey AS file_id, l_orderkey AS sheet, l_linenumber AS row_no, l_partkey, l_quantity + 1 AS hours FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 3 = 0),
+f AS (SELECT DISTINCT file_id FROM n UNION SELECT s_suppkey FROM supplier WHERE s_acctbal < 0 AND s_suppkey % 3 <> 0), b AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE file_id NOT IN (SELECT file_id FROM f)),
+e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE END AS hours FROM part WHERE p_partkey % 7 = 0)
+SELECT b.file_id, sheet, row_no, l_partkey, CASE WHEN e.k IS NOT NULL THEN e.hours ELSE b.hours END AS hours, e.k IS NOT NULL AS edited FROM b LEFT JOIN e ON e.k = l_partkey""")
+def published_files(t: Tables):
+    """Files written twice as transactions and read back: a second reading replaces a file's rows, a failed one takes them away, edits are applied again."""
+    rows = t("lineitem").select(F.col("l_suppkey").alias("file_id"), F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("row_no"), "l_partkey", F.col("l_quantity").alias("hours"), F.col("l_returnflag").alias("flag"))
+    path = f"{shared_folder(t.spark)}/published-{uuid.uuid4().hex}"
+    publish(rows.where("flag <> 'A'").drop("flag"), path)
+    again = rows.where("flag = 'A' AND file_id % 3 = 0").drop("flag").withColumn("hours", F.col("hours") + 1)
+    failed = t("supplier").where("s_acctbal < 0 AND s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("file_id"), F.lit("unreadable").alias("fail_reason"))
+    publish(again.withColumn("fail_reason", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True), path)
+    edits = t("part").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("double")).alias("hours"), F.array(F.lit("hours")).alias("fields"))
+    return override(published(t.spark, path), edits, ["l_partkey"], ["hours"])
+
+
 @query("""WITH o AS (SELECT s_suppkey AS file_id, CASE WHEN s_suppkey % 2 = 0 THEN 'DENMARK' END AS market FROM supplier WHERE s_suppkey % 5 <> 0), n AS (SELECT s_suppkey AS file_id, n_name AS market FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0)
 SELECT coalesce(o.file_id, n.file_id) AS file_id, coalesce(o.market, n.market) AS market FROM o FULL JOIN n ON n.file_id = o.file_id""")
 def detected_markets(t: Tables):
