@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubicost.operators.phrases import labelled, phrase_join, stripped, tokens
+from rubicost.operators.topk_join import top_k_join
 from rubicost.registry import query
 from rubicost.tables import Tables
 
@@ -57,3 +58,13 @@ def names_without_makes(t: Tables):
     """Part texts without the words of a vocabulary that is a column of a table."""
     makes = t("part").where("p_size > 45").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("phrase")).distinct().withColumn("label", F.lit("make"))
     return stripped(t("part").withColumn("text", F.concat_ws(" ", "p_name", "p_type")), "p_partkey", "text", makes)
+
+
+@query(rf"""WITH a AS (SELECT item_id, list_distinct({TOKENS.format('text')}) AS x FROM benchmark), b AS (SELECT doc_id, list_distinct({TOKENS.format('text')}) AS y FROM documents), wa AS (SELECT *, list_sum(list_transform(x, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN 2.0::DOUBLE ELSE 1.0 END)) AS wx FROM a),
+wb AS (SELECT *, list_sum(list_transform(y, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN 2.0::DOUBLE ELSE 1.0 END)) AS wy FROM b), s AS (SELECT item_id, doc_id, 2 * list_sum(list_transform(list_intersect(x, y), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN 2.0::DOUBLE ELSE 1.0 END)) / (wx + wy) AS similarity FROM wa, wb WHERE list_has_any(x, y))
+SELECT item_id, doc_id, round(similarity, 9) AS similarity, rank FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id))::INTEGER AS rank FROM s) WHERE rank <= 3""")
+def best_matches(t: Tables):
+    """The three documents most similar to each passage, without a threshold, by an index that is read as far as bounds ask for."""
+    toks = F.array_distinct(tokens(F.col("text")))
+    found = top_k_join(t("benchmark").select("item_id", toks.alias("toks")), t("documents").select("doc_id", toks.alias("toks")), "item_id", "doc_id", 3)
+    return found.select(F.col("l_key").alias("item_id"), F.col("r_key").alias("doc_id"), F.round("similarity", 9).alias("similarity"), "rank")
