@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rubicost.functions.numbers import close, column_letters, excel_round, parse_number
 from rubicost.functions.text import match_key, normalised
 from rubicost.functions.units import normalise_unit, with_labels
+from rubicost.operators.consensus import ratio_consensus
 from rubicost.operators.dyadic import contained
 from rubicost.operators.joins import interval_join
 from rubicost.operators.topk import systematic
@@ -250,3 +251,17 @@ def work_list_lines(t: Tables):
 def raw_keys(t: Tables):
     """Keys that keep the brand."""
     return t("part").select("p_partkey", normalised(F.concat_ws(" ", "p_name", "p_brand")).alias("raw_key"))
+
+
+@query("""WITH r AS (SELECT l_suppkey AS file_id, l_returnflag AS name, l_quantity * 7 AS labour, l_extendedprice AS material, l_quantity * 7 + l_extendedprice AS total, CASE l_returnflag WHEN 'A' THEN l_extendedprice * round(l_suppkey % 5 / 100.0 + 0.01, 2) WHEN 'N' THEN CASE WHEN l_discount < 0.07 THEN (l_quantity * 7 + l_extendedprice) * 0.1::DOUBLE ELSE l_tax * 1000 END ELSE l_tax * 1000 END AS value FROM lineitem),
+u AS (SELECT file_id, name, unnest([{'i': 0, 'b': 'labour', 'r': round(value / nullif(labour, 0), 4)}, {'i': 1, 'b': 'material', 'r': round(value / nullif(material, 0), 4)}, {'i': 2, 'b': 'total', 'r': round(value / nullif(total, 0), 4)}]) AS x FROM r WHERE value IS NOT NULL),
+v AS (SELECT file_id, name, x.i, x.b, x.r, count(*) AS c FROM u WHERE x.r IS NOT NULL GROUP BY ALL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, name ORDER BY c DESC, i, r) AS k FROM v) WHERE k = 1), n AS (SELECT file_id, name, count(value) AS n FROM r GROUP BY 1, 2)
+SELECT n.file_id, n.name, CASE WHEN c >= 2 AND c >= 0.5 * n THEN b.b ELSE 'total' END AS base, CASE WHEN c >= 2 AND c >= 0.5 * n THEN b.r END AS pct, n.n, coalesce(c, 0) AS votes, coalesce(c >= 2 AND c >= 0.5 * n, false) AS confirmed FROM n LEFT JOIN b ON b.file_id = n.file_id AND b.name = n.name""")
+def markup_bases(t: Tables):
+    """What the markups of a file are a share of, by votes of its rows; some are noise and some are shares of nothing."""
+    labour, material = F.col("l_quantity") * 7, F.col("l_extendedprice")
+    noise = F.col("l_tax") * 1000
+    share = F.round(F.col("l_suppkey") % 5 / 100 + 0.01, 2)
+    value = F.when(F.col("l_returnflag") == "A", material * share).when(F.col("l_returnflag") == "N", F.when(F.col("l_discount") < 0.07, (labour + material) * 0.1).otherwise(noise)).otherwise(noise)
+    rows = t("lineitem").select(F.col("l_suppkey").alias("file_id"), F.col("l_returnflag").alias("name"), labour.alias("labour"), material.alias("material"), (labour + material).alias("total"), value.alias("value"))
+    return ratio_consensus(rows, ["file_id", "name"], "value", ["labour", "material", "total"])
