@@ -90,7 +90,7 @@ def basis_of(section: Column, sheet: Column, w: Words) -> Column:
 
 
 def layout(cells: DataFrame, vocabulary: DataFrame, binds: list[Bind] = BINDS, prefixes: tuple[str, ...] = ("total",)) -> DataFrame:
-    """sheet, header_row, c_<meaning>: the header's columns, and those that it leaves open.
+    """sheet, header_row, c_<meaning>: the header's columns, and those that it leaves open (c_named is the described column as the header has it).
 
     A unit's label may stand some rows away from the header; descriptions are in
     the column left of the quantity with most texts; marks are in the first
@@ -107,6 +107,7 @@ def layout(cells: DataFrame, vocabulary: DataFrame, binds: list[Bind] = BINDS, p
     most = counts.groupBy(F.col("sheet").alias("_t")).agg(F.min_by("col", F.struct(-F.col("n"), "col")).alias("most_text"))
     full = h.join(units, F.col("sheet") == F.col("_u"), "left").join(most, F.col("sheet") == F.col("_t"), "left")
     desc = F.coalesce("most_text", "c_desc", F.lit(2))
+    full = full.withColumn("c_named", F.col("c_desc"))
     return full.withColumn("c_uom", F.coalesce("c_uom", "near_unit")).withColumn("c_tag", F.coalesce("c_tag", F.when(desc > 1, F.lit(1)))).withColumn("c_desc", desc).drop("_u", "near_unit", "_t", "most_text")
 
 
@@ -265,6 +266,109 @@ def read_pricing(cells: DataFrame, vocabulary: DataFrame, names: DataFrame | Non
     )
 
 
+# fixed values: names of sheets and what they hold, labels of a summary's cells
+UNIT_WORDS = {"week": "week", "weeks": "week", "wk": "week", "month": "month", "months": "month", "mth": "month"}
+SUMMARY_LABELS = {"project": "project", "date": "doc_date", "package": "package", "name of subcontractor": "subcontractor", "date of offer": "offer_date", "offer valid to date": "validity", "offer validity": "validity"}
+PACKAGES = [(r"containment|ladder|tray|bracket|optional", "containment"), (r"lighting", "lighting"), (r"general\s*services|gs[\s-]*sp|small\s*power|\bgs\b|socket", "gs_sp"), (r"\bcable\b", "cable"), (r"prelim", "prelims")]
+LINK = r"=\s*(?:\[\d+\])?'?([^'!]+)'?!\$?([A-Z]+)\$?(\d+)"
+
+
+def package_of(text: Column) -> Column:
+    """The trade that a name says, by the first pattern that it has; null if none."""
+    low, out = F.lower(text), F.lit(None).cast("string")
+    for pattern, package in reversed(PACKAGES):
+        out = F.when(low.rlike(pattern), package).otherwise(out)
+    return out
+
+
+def sheet_kinds(cells: DataFrame, names: DataFrame, found: DataFrame) -> DataFrame:
+    """sheet, kind, package of every named sheet: takeoff, summary, attendance, prelims, pricing, calc or other, the first that holds.
+
+    ``found`` are the headers of ``layout``; sheets may have no cells.
+    """
+    tops = cells.where((F.col("row") == 1) & (F.col("col") <= 12)).groupBy(F.col("sheet").alias("_t")).agg(F.collect_set(F.lower(clean(F.col("text")))).alias("top"))
+    h = found.select(F.col("sheet").alias("_h"), "header_row", F.col("c_ref").isNotNull().alias("has_ref"))
+    low = F.lower(F.trim("name"))
+    full = names.join(tops, F.col("sheet") == F.col("_t"), "left").join(h, F.col("sheet") == F.col("_h"), "left")
+    takeoff = F.coalesce(F.array_contains("top", "folder") & F.array_contains("top", "dimension group"), F.lit(False))
+    header = F.col("header_row").isNotNull()
+    kind = F.when(takeoff, "takeoff").when(low == "summary", "summary").when(low.contains("attendance"), "attendance").when(header & F.col("has_ref") & low.contains("prelim"), "prelims").when(header, "pricing").when(low.rlike(r"calc|total|sheet\d"), "calc").otherwise("other")
+    return full.select("sheet", kind.alias("kind"), package_of(F.col("name")).alias("package"))
+
+
+def attendance(cells: DataFrame) -> DataFrame:
+    """sheet, items, by_subcontractor: the lines below the first row that names a subcontractor, and those with a tick in that column.
+
+    Sheets without such a row have zeros.
+    """
+    said = clean(F.col("text"))
+    heads = cells.where((F.col("row") <= 40) & (F.col("col") <= 10) & F.lower(said).rlike("sub-?contractor")).groupBy(F.col("sheet").alias("_s")).agg(F.min(F.struct("row", "col")).alias("at"))
+    below = cells.join(heads, (F.col("sheet") == F.col("_s")) & (F.col("row") > F.col("at.row"))).where(said != "")
+    rows = below.groupBy("sheet", "row").agg(F.bool_or(F.col("col") == 2).alias("item"), F.bool_or(F.col("col") == F.col("at.col")).alias("tick")).where("item")
+    counts = rows.groupBy(F.col("sheet").alias("_c")).agg(F.count(F.lit(1)).alias("items"), F.count_if("tick").alias("by_subcontractor"))
+    return cells.select("sheet").distinct().join(counts, F.col("sheet") == F.col("_c"), "left").select("sheet", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("by_subcontractor", F.lit(0)).alias("by_subcontractor"))
+
+
+def read_prelims(cells: DataFrame, found: DataFrame, total: str = r"(?i)total\s*-\s*c/f|^total", units: dict[str, str] = UNIT_WORDS) -> DataFrame:
+    """sheet, row, ref, description, qty, uom, rate, total, basis, rate_is_formula: the preliminaries above the first total.
+
+    ``found`` are headers of ``layout``. Rows without quantity, rate and unit are
+    headings and left out. Weekly and monthly units say the basis, all else is a
+    lump sum.
+    """
+    h = found.select(F.col("sheet").alias("_s"), "header_row")
+    below = cells.join(h, (F.col("sheet") == F.col("_s")) & (F.col("row") > F.col("header_row"))).drop("_s")
+    table = bindings(found.withColumn("c_desc", F.coalesce("c_named", F.lit(2))).withColumn("c_ref", F.coalesce("c_ref", F.lit(1))), ["qty", "rate", "total", "uom", "ref", "desc"])
+    said = F.nullif(clean(F.col("text")), F.lit(""))
+    rows = bound(below, table, {"description": ("desc", said), "unit": ("uom", said), "ref": ("ref", said), "qty": ("qty", F.col("number")), "rate": ("rate", F.col("number")), "total": ("total", F.col("number")), "formula": ("rate", F.col("formula"))}).where("description IS NOT NULL")
+    ends = rows.where(F.col("description").rlike(total)).groupBy(F.col("sheet").alias("_e")).agg(F.min("row").alias("end"))
+    known = F.create_map(*[F.lit(x) for pair in units.items() for x in pair])
+    unit = F.coalesce(F.try_element_at(known, F.lower("unit")), F.lower("unit"))
+    basis = F.when(unit == "week", "weekly").when(unit == "month", "monthly").otherwise("lump_sum")
+    some = rows.join(ends, F.col("sheet") == F.col("_e"), "left").where("(end IS NULL OR row < end) AND NOT (qty IS NULL AND rate IS NULL AND unit IS NULL)")
+    return some.select("sheet", "row", "ref", "description", "qty", unit.alias("uom"), "rate", "total", basis.alias("basis"), F.col("formula").isNotNull().alias("rate_is_formula"))
+
+
+def summary_fields(cells: DataFrame) -> DataFrame:
+    """sheet, field, value, row, col: what stands right of a summary's labels, within five columns; the first label of a kind counts."""
+    said = clean(F.col("text"))
+    known = F.create_map(*[F.lit(x) for pair in SUMMARY_LABELS.items() for x in pair])
+    near = cells.where("row <= 60")
+    marks = near.where("col <= 12").select("sheet", "row", "col", F.try_element_at(known, F.rtrim(F.regexp_replace(F.lower(said), r"[: ]+$", ""))).alias("field")).where("field IS NOT NULL")
+    shown = F.coalesce(F.nullif(said, F.lit("")), F.col("number").cast("string"))
+    values = near.select(F.col("sheet").alias("_s"), F.col("row").alias("_r"), F.col("col").alias("_c"), shown.alias("value")).where("value IS NOT NULL")
+    beside = (F.col("sheet") == F.col("_s")) & (F.col("row") == F.col("_r")) & F.col("_c").between(F.col("col") + 1, F.col("col") + 5)
+    each = marks.join(values, beside, "left").groupBy("sheet", "field", "row", "col").agg(F.min(F.struct("_c", "value")).alias("x"))
+    # a field that has a value is not asked for again
+    first = each.groupBy("sheet", "field").agg(F.min_by(F.struct("row", "x"), F.struct(F.col("x._c").isNull(), "row", "col")).alias("f"))
+    return first.select("sheet", "field", F.col("f.x.value").alias("value"), F.col("f.row").alias("row"), F.col("f.x._c").alias("col"))
+
+
+def cost_lines(cells: DataFrame) -> DataFrame:
+    """sheet, row, label, code, link_sheet, link_cell, not_participating, package, supply, prelims, optional: the lines below "cost summary", up to the total.
+
+    A label is the first text of more than three characters that is no formula
+    and no code. A formula that refers to another sheet is the line's link;
+    ``operators.links.followed`` leads such links on.
+    """
+    said = clean(F.col("text"))
+    starts = cells.where((F.col("row") <= 80) & (F.col("col") <= 12) & (F.lower(said) == "cost summary")).groupBy(F.col("sheet").alias("_s")).agg(F.min("row").alias("start"))
+    below = cells.join(starts, (F.col("sheet") == F.col("_s")) & F.col("row").between(F.col("start") + 1, F.col("start") + 40)).where("col <= 14")
+    code = said.isin("Prelims", "E", "O")
+    is_label = (F.length(said) > 3) & ~said.startswith("=") & ~F.lower(said).isin("prelims", "e", "o")
+    linked = F.col("formula").contains("!") & (F.regexp_extract("formula", LINK, 1) != "")
+    first = lambda ok, x: F.min_by(x, F.when(ok, F.col("col")))
+    rows = below.groupBy("sheet", "row").agg(first(is_label, said).alias("label"), first(code, said).alias("code"), first(linked, F.col("formula")).alias("link"), F.count_if(is_label).alias("n_labels"), F.count_if(code).alias("n_codes"), F.count_if(linked).alias("n_links"), F.coalesce(F.bool_or(said.rlike(r"(?i)not\s*participat")), F.lit(False)).alias("not_participating"))
+    rows = rows.where("n_labels > 0")
+    label = F.col("label")
+    ends = rows.where(F.lower(label).startswith("total")).groupBy(F.col("sheet").alias("_e")).agg(F.min("row").alias("end"))
+    has = lambda p: label.rlike(f"(?i){p}")
+    code_ = F.when(F.col("n_codes") > 0, F.col("code"))
+    link = F.when(F.col("n_links") > 0, F.col("link"))
+    part = lambda i: F.regexp_extract(link, LINK, i)
+    return rows.join(ends, F.col("sheet") == F.col("_e"), "left").where("end IS NULL OR row < end").select("sheet", "row", "label", code_.alias("code"), F.trim(part(1)).alias("link_sheet"), F.concat(part(2), part(3)).alias("link_cell"), "not_participating", package_of(label).alias("package"), has("supply").alias("supply"), has("prelim").alias("prelims"), (F.coalesce(code_ == "O", F.lit(False)) | has("optional")).alias("optional"))
+
+
 #: columns of the tables as columns of a sheet: name, text or number
 SOURCES = [("l_quantity", False), ("p_retailprice", False), ("l_extendedprice", False), ("l_tax", False), ("l_discount", False), ("p_type", True), ("p_name", True), ("p_brand", True)]
 COLUMN_LABELS = {"l_quantity": "qty", "p_retailprice": "rate", "l_extendedprice": "total", "l_tax": "supply", "p_type": "uom", "p_name": "desc", "p_brand": "tag"}
@@ -347,3 +451,17 @@ def linked_costs(t: Tables):
     links = o.select(F.col("o_orderkey").alias("line"), F.when(F.col("o_orderpriority") != "5-LOW", before).alias("target"))
     ends = followed(links, "line", "target")
     return ends.join(o.select(F.col("o_orderkey").alias("_o"), F.col("o_totalprice").alias("amount")), F.col("end") == F.col("_o")).select("line", "end", "steps", "amount")
+
+
+HEADS = PRICING.split("r0 AS (")[0]
+
+
+@query(f"""{HEADS}p AS (SELECT c.sheet, c.row, max(text) FILTER (WHERE col = coalesce(named, 2)) AS description, max(lower(text)) FILTER (WHERE col = h1.uom) AS unit, max(text) FILTER (WHERE col = 1) AS ref, max(number) FILTER (WHERE col = h1.qty) AS qty, max(number) FILTER (WHERE col = h1.rate) AS rate, max(number) FILTER (WHERE col = CASE WHEN h1.tot > h1.rate THEN h1.tot END) AS total
+    FROM cells c JOIN h0 ON h0.sheet = c.sheet AND c.row > header_row JOIN h1 ON h1.sheet = c.sheet GROUP BY c.sheet, c.row), e AS (SELECT sheet, min(row) AS stop FROM p WHERE regexp_matches(description, '^hot ') GROUP BY sheet)
+SELECT p.sheet, p.row, ref, description, qty, CASE unit WHEN 'economy' THEN 'week' WHEN 'standard' THEN 'month' ELSE unit END AS uom, rate, total, CASE unit WHEN 'economy' THEN 'weekly' WHEN 'standard' THEN 'monthly' ELSE 'lump_sum' END AS basis, false AS rate_is_formula
+FROM p LEFT JOIN e ON e.sheet = p.sheet WHERE description IS NOT NULL AND (stop IS NULL OR p.row < stop) AND NOT (qty IS NULL AND rate IS NULL AND unit IS NULL)""")
+def prelims_rows(t: Tables):
+    """Orders read as sheets of preliminaries: rows up to the first total, priced by week, month or as a lump sum."""
+    cells = sheets_of_orders(t)
+    found = layout(cells, labels(t, COLUMN_LABELS), COLUMN_BINDS, ()).withColumn("c_ref", F.lit(None).cast("int"))
+    return read_prelims(cells, found, "^hot ", {"economy": "week", "standard": "month"})

@@ -3,7 +3,8 @@
 import random
 import re
 
-from rubicost.plans.sheets import BINDS, LABELS, MONTHS, PRODUCT, Words, read_pricing
+from rubicost.operators.links import followed
+from rubicost.plans.sheets import BINDS, LABELS, MONTHS, PRODUCT, Words, attendance, cost_lines, layout, read_prelims, read_pricing, sheet_kinds, summary_fields
 
 W = Words()
 
@@ -243,3 +244,42 @@ def test_nothing(spark):
     cells = spark.createDataFrame([], "sheet long, row int, col int, text string, number double, formula string")
     vocabulary = spark.createDataFrame(list(LABELS.items()), "label string, meaning string")
     assert read_pricing(cells, vocabulary).count() == 0
+
+
+def cells_of(spark, sheets):
+    """Cells of sheets given as rows of texts and numbers; texts that begin with = are formulas."""
+    rows = []
+    for name, lines in sheets.items():
+        for r, line in enumerate(lines, 1):
+            for c, x in enumerate(line, 1):
+                if x is not None:
+                    formula = x if isinstance(x, str) and x.startswith("=") else None
+                    rows.append((name, r, c, x if isinstance(x, str) and not formula else None, float(x) if isinstance(x, int | float) else None, formula))
+    return spark.createDataFrame(rows, "sheet string, row int, col int, text string, number double, formula string")
+
+
+WORKBOOK = {
+    "Summary": [["Project:", None, "Goodman FRA5"], ["Date", 45000], ["Package", None, None, None, None, None, "too far"], ["Package", "Lighting"], ["Cost summary"], [None, "Containment supply", "E", "='Tray Pricing'!$F$9"], [None, "Optional lighting", "O", "=[2]Lights!B4", "not participating"], ["x", "abc"], ["Total", 5], ["Beyond the total", "O"]],
+    "Attendance": [["", "Item", "Main contractor", "Sub-contractor"], [1, "Cranes", "x"], [2, "Skips", None, "x"], [3, None, None, "x"], [4, "Welfare", "x", " "]],
+    "Prelims": [["Ref", "Description", "Quantity", "Unit", "Rate", "Total"], ["A"], [None, "Heading"], ["B", "Site manager", 12, "Weeks", "=X1", 900], ["C", "Cabin", 3, "month", 100.0], ["D", "Insurance", None, None, 5.0], [None, "Total - c/f", 1], ["E", "after", 1, "week", 2]],
+    "Tray Pricing": [["Description", "Qty", "UoM", "Rate"], ["Cable tray 100mm", 5, "m", 3]],
+    "Sheet7": [["nothing"]],
+    "Takeoff": [["Folder", "Dimension Group", "Qty"]],
+}
+
+
+def test_a_workbook_is_routed_and_read(spark):
+    cells = cells_of(spark, WORKBOOK)
+    vocabulary = spark.createDataFrame(list(LABELS.items()), "label string, meaning string")
+    names = spark.createDataFrame([(n, n) for n in [*WORKBOOK, "Notes"]], "sheet string, name string")
+    found = layout(cells, vocabulary)
+    assert {r["sheet"]: (r["kind"], r["package"]) for r in sheet_kinds(cells, names, found).collect()} == {"Summary": ("summary", None), "Attendance": ("attendance", None), "Prelims": ("prelims", "prelims"), "Tray Pricing": ("pricing", "containment"), "Sheet7": ("calc", None), "Takeoff": ("takeoff", None), "Notes": ("other", None)}
+    assert {tuple(r) for r in attendance(cells).where("sheet IN ('Attendance', 'Sheet7')").collect()} == {("Attendance", 3, 1), ("Sheet7", 0, 0)}
+    got = read_prelims(cells, found.where("sheet = 'Prelims'")).orderBy("row").collect()
+    assert [tuple(r)[1:] for r in got] == [(4, "B", "Site manager", 12.0, "week", None, 900.0, "weekly", True), (5, "C", "Cabin", 3.0, "month", 100.0, None, "monthly", False), (6, "D", "Insurance", None, None, 5.0, None, "lump_sum", False)]
+    fields = {r["field"]: r["value"] for r in summary_fields(cells.where("sheet = 'Summary'")).collect()}
+    assert fields == {"project": "Goodman FRA5", "doc_date": "45000.0", "package": "Lighting"}
+    lines = cost_lines(cells.where("sheet = 'Summary'")).orderBy("row").collect()
+    assert [tuple(r)[1:] for r in lines] == [(6, "Containment supply", "E", "Tray Pricing", "F9", False, "containment", True, False, False), (7, "Optional lighting", "O", "Lights", "B4", True, "containment", False, False, True)]
+    links = spark.createDataFrame([("Summary!D6", "Tray Pricing!F9"), ("Tray Pricing!F9", "Tray Pricing!F8"), ("Tray Pricing!F8", None)], "source string, target string")
+    assert {tuple(r) for r in followed(links).collect()} == {("Summary!D6", "Tray Pricing!F8", 2), ("Tray Pricing!F9", "Tray Pricing!F8", 1)}
