@@ -70,3 +70,25 @@ def column_letters(n: Column) -> Column:
     a, b, c = (n - 1) % 26, F.floor((n - 27) / 26) % 26, F.floor((n - 703) / 676)
     letter = lambda i: F.char(i.cast("int") + 65)
     return F.concat(F.when(n > 702, letter(c)).otherwise(""), F.when(n > 26, letter(b)).otherwise(""), letter(a))
+
+
+def python_round(x: Column, digits: int) -> Column:
+    """x rounded to ``digits`` as its binary value lies; only a value that is exactly half-way goes to the even digit.
+
+    Where the shortest decimal form of x is no half-way case, its side is x's
+    own. Where it may be one, the product of x and 2 * 10**digits is compared
+    with the odd number beside it, error included (exact product of two doubles
+    from split halves). For amounts below 1e15.
+    """
+    scale = F.lit(2.0 * 10**digits)
+    split = lambda v: (v * 134217729.0) - ((v * 134217729.0) - v)  # noqa: E731  the upper half of the digits
+    near = x * scale
+    a, c = split(x), split(scale)
+    error = ((a * c - near) + a * (scale - c) + (x - a) * c) + (x - a) * (scale - c)
+    whole = F.rint(near)
+    odd = (F.abs(near - whole) <= F.abs(near) * 1e-15) & (F.abs(whole) % 2 == 1)
+    low, high = F.floor(whole / 2), F.floor(whole / 2) + 1
+    even = F.when(low % 2 == 0, low).otherwise(high)
+    beyond = (near - whole) + error
+    half = F.when(beyond > 0, high).when(beyond < 0, low).otherwise(even)
+    return F.when(odd, half.cast("double") / F.lit(10.0**digits)).otherwise(F.bround(x, digits))
