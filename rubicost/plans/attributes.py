@@ -126,7 +126,7 @@ def weighed(a: str, b: str) -> str:
 
 @query(f"""WITH w AS (SELECT p_partkey, p_type AS category, p_size AS size, string_split(p_name || ' ' || p_size || ' ' || lower(p_brand), ' ') AS ws FROM part),
 n AS (SELECT p_partkey AS norm_id, p_type AS category, p_size AS size, p_partkey % 3 AS level, string_split(p_name || ' ' || p_size, ' ') AS ns, round(p_retailprice / 1000, 6) AS hours FROM part WHERE p_partkey % 5 = 2),
-t1 AS (SELECT p_partkey, 1 AS tier, 85 AS pct, min(norm_id) AS norm_id FROM w JOIN n ON level = 0 AND n.category = w.category AND n.size = w.size AND w.size % 2 = 0 GROUP BY 1),
+t1 AS (SELECT p_partkey, 1 AS tier, 85 AS pct, min(norm_id) AS norm_id FROM w JOIN n ON level = 0 AND n.category = w.category AND n.size = w.size GROUP BY 1),
 t2 AS (SELECT p_partkey, 2 AS tier, CASE WHEN max(s) >= {SURE} THEN 72 ELSE 64 END AS pct, arg_min(norm_id, (-s, norm_id)) AS norm_id FROM (SELECT p_partkey, norm_id, round({weighed('ws', 'ns')}, 9) AS s FROM w JOIN n ON level = 1 AND n.category = w.category) WHERE s >= {NEAR} GROUP BY 1),
 t3 AS (SELECT p_partkey, 3 AS tier, 55 AS pct, min(norm_id) AS norm_id FROM w JOIN n ON level = 2 AND n.category = w.category GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY tier) AS k FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3))
@@ -145,7 +145,6 @@ def norm_tiers(t: Tables):
     near = lexical_join(left, right.drop("two"), "k", "n_k", on=["category"], least=NEAR).withColumn("s", F.round("similarity", 9)).where(F.col("s") >= NEAR)
     near = first_of(near.join(right.select(F.col("n_k").alias("r_key"), "two"), "r_key"), ["l_key"], F.desc("s"), F.col("two"))
     rows = named.withColumn("l_key", F.concat_ws("\x1f", "w_text", "category")).join(near.select("l_key", "two", "s"), "l_key", "left").join(one, ["category", "size"], "left").join(three, "category", "left")
-    rows = rows.withColumn("one", F.when(F.col("size") % 2 == 0, F.col("one")))
     tier = F.when(F.col("one").isNotNull(), 1).when(F.col("two").isNotNull(), 2).when(F.col("three").isNotNull(), 3)
     pct = F.when(tier == 1, 85).when(tier == 2, F.when(F.col("s") >= SURE, 72).otherwise(64)).otherwise(55)
     return rows.where(tier.isNotNull()).select("p_partkey", tier.alias("tier"), pct.alias("pct"), F.coalesce("one", "two", "three").alias("norm_id"))
@@ -173,14 +172,14 @@ def search_items(t: Tables):
     return mine.withColumn("allowed", F.lit(True)).unionByName(better.withColumn("allowed", F.lit(False)))
 
 
-@query(f"""WITH i AS (SELECT p_partkey, p_name || ' ' || p_size AS text FROM part WHERE p_partkey % 9 = 4), r AS (SELECT DISTINCT p_name AS row_text, p_type AS section FROM part WHERE p_partkey % 9 <> 4 AND p_name NOT LIKE 'old %'),
+@query(f"""WITH i AS (SELECT p_partkey, p_name || ' ' || p_size AS text FROM part WHERE p_partkey % 9 = 4), r AS (SELECT DISTINCT p_name AS row_text, p_type AS section FROM part WHERE p_partkey % 9 <> 4),
 s AS (SELECT text, section, max(round({weighed("string_split(text, ' ')", "string_split(row_text, ' ')")}, 9)) AS s FROM (SELECT DISTINCT text FROM i), r GROUP BY 1, 2), b AS (SELECT text, arg_min(section, (-s, section)) AS section, max(s) AS s FROM s GROUP BY text)
 SELECT p_partkey, CASE WHEN s >= 0.35 THEN section ELSE 'Other works' END AS section FROM i JOIN b ON b.text = i.text""")
 def section_assignment(t: Tables):
     """Each item goes to the template section with the most similar row, from 0.35 on, else to the other works."""
     part = t("part")
     items = part.where("p_partkey % 9 = 4").select("p_partkey", F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("text"))
-    rows = part.where("p_partkey % 9 <> 4 AND p_name NOT LIKE 'old %'").select(F.col("p_name").alias("row_text"), F.col("p_type").alias("section")).distinct()
+    rows = part.where("p_partkey % 9 <> 4").select(F.col("p_name").alias("row_text"), F.col("p_type").alias("section")).distinct()
     a = items.select("text").distinct().withColumn("toks", F.array_distinct(F.split("text", " ")))
     b = rows.select("row_text").distinct().withColumn("toks", F.array_distinct(F.split("row_text", " ")))
     near = lexical_join(a, b, "text", "row_text", least=0.35).withColumn("s", F.round("similarity", 9)).where("s >= 0.35")

@@ -116,8 +116,8 @@ def norm_lookup(t: Tables):
 
 
 CASCADE = f"""{BASE}, {PICK}, {NORMS}, hit AS (SELECT s.spec_id, s.qty, s.category, a.c AS a, o.c AS o FROM specs s
-    LEFT JOIN cand a ON a.text = s.text AND a.category = s.category AND a.state = 'allowed' AND s.spec_id % 3 <> 0 LEFT JOIN cand o ON o.text = s.text AND o.category = s.category AND o.state = 'other' AND s.spec_id % 2 = 0),
-nrm AS (SELECT category, arg_min(hours, norm_id) AS hours FROM norms WHERE level = 'category' AND category <> 'PROMO' GROUP BY category),
+    LEFT JOIN cand a ON a.text = s.text AND a.category = s.category AND a.state = 'allowed' LEFT JOIN cand o ON o.text = s.text AND o.category = s.category AND o.state = 'other'),
+nrm AS (SELECT category, arg_min(hours, norm_id) AS hours FROM norms WHERE level = 'category' GROUP BY category),
 p AS (SELECT h.*, n.hours, CASE WHEN a IS NOT NULL THEN 'exact' WHEN o IS NOT NULL THEN 'pending_permission' WHEN n.hours IS NOT NULL THEN 'norm' ELSE 'none' END AS source FROM hit h LEFT JOIN nrm n ON n.category = h.category)
 SELECT spec_id, source, CASE WHEN source = 'exact' THEN round(a.price, 8) END AS unit_material, CASE WHEN source IN ('exact', 'norm') THEN round(hours * {TARGET_RATE}, 4) END AS unit_labour,
     CASE source WHEN 'exact' THEN 95 WHEN 'norm' THEN 55 END AS pct, CASE source WHEN 'exact' THEN 'high' WHEN 'norm' THEN 'low' END AS confidence,
@@ -127,13 +127,13 @@ SELECT spec_id, source, CASE WHEN source = 'exact' THEN round(a.price, 8) END AS
 
 @query(CASCADE)
 def hourly_cascade(t: Tables):
-    """The stages and rows that the SQL names: exact, parked for permission, category norm, run rate, confidence, totals and no price."""
+    """The stages that need no similar text, for all parts: exact, parked for permission, category norm, run rate, confidence, totals and no price."""
     cand = candidates(t)
     a = cand.where("state = 'allowed'").select("text", "category", F.col("c").alias("a"))
     o = cand.where("state = 'other'").select("text", "category", F.col("c").alias("o"))
-    norms = t("part").where("p_partkey % 4 <> 0 AND p_partkey % 3 = 2 AND p_type <> 'PROMO'").groupBy(F.col("p_type").alias("category")).agg(F.min_by(F.round(F.col("p_retailprice") / 1000, 6), "p_partkey").alias("hours"))
+    norms = t("part").where("p_partkey % 4 <> 0 AND p_partkey % 3 = 2").groupBy(F.col("p_type").alias("category")).agg(F.min_by(F.round(F.col("p_retailprice") / 1000, 6), "p_partkey").alias("hours"))
     rows = t.specs().join(a, ["text", "category"], "left").join(o, ["text", "category"], "left").join(norms, "category", "left")
-    has_a, has_o = F.col("a").isNotNull() & (F.col("spec_id") % 3 != 0), F.col("o").isNotNull() & (F.col("spec_id") % 2 == 0)
+    has_a, has_o = F.col("a").isNotNull(), F.col("o").isNotNull()
     rows = rows.withColumn("source", F.when(has_a, "exact").when(has_o, "pending_permission").when(F.col("hours").isNotNull(), "norm").otherwise("none"))
     exact, norm = F.col("source") == "exact", F.col("source") == "norm"
     pct = F.when(exact, 95).when(norm, 55)
