@@ -19,7 +19,7 @@ set against all rows, in blocks. A shard keeps k results a query. The number of
 shards follows the number of rows.
 
 Defined results: vectors that are null or hold null or non-finite components
-take no part; a shorter vector counts as padded with zeros; rows that repeat a
+take no part; a shorter vector, and an empty one, counts as padded with zeros; rows that repeat a
 vec_id are separate candidates, and a query sees none of its own id; ties go to
 the smaller vec_id; a null vec_id takes no part; an empty table gives no rows;
 other columns are ignored. Scores must fit 64 bits.
@@ -121,7 +121,7 @@ def packed(frame: DataFrame, part: str, size: int) -> DataFrame:
         made = 0
 
         def out(p: int, rows: list) -> pa.RecordBatch:
-            dims = max(len(x) for _, x in rows)
+            dims = max(1, *(len(x) for _, x in rows))
             v = np.zeros((len(rows), dims), dtype=np.int64)
             for i, (_, x) in enumerate(rows):
                 v[i, : len(x)] = x

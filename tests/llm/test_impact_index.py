@@ -39,4 +39,7 @@ def test_clustered_ties_and_repeats(spark):
 def test_odd_vectors(spark):
     rows = [(0, [0.1, 0.2]), (1, None), (2, [None, 0.3]), (3, [float("nan"), 0.1]), (4, [float("inf"), 0.1]), (100, [0.0, 0.0]), (5, [-0.3, 0.9]), (None, [0.1, 0.1])]
     check(spark, rows)
+    # empty vectors score 0, alone and among others
+    check(spark, [(0, []), (1, []), (100, [])])
+    check(spark, [(0, []), (1, [0.5]), (2, [-0.5, 0.25]), (100, [0.25])])
     assert impact_index.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).count() == 0
