@@ -15,7 +15,7 @@ Each Python worker has one encoder, which remembers the ids of the pieces that
 it has met in any task (at most ``limit`` of them, then it starts anew).
 
 Defined results: a null text is encoded as the empty text, that is no ids;
-repeated rows and null ids stay as they are; an empty table gives no rows;
+repeated rows and null ids stay as they are (a long one is encoded once); an empty table gives no rows;
 null ids decode to no bytes; other columns are ignored. The vocabulary file is
 read on the driver, whose size bounds the broadcast (under 1 MB).
 """
@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubicost.llm.common import map_slices, slices, text_key
+from rubicost.llm.common import map_slices, saved, slices, text_key
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -266,29 +266,53 @@ def encode_documents(documents: DataFrame, ranks: dict[bytes, int], pattern: str
 
         def work(cols):
             ends = [[a + e for e in encoder.ends(p)] for p, a in zip(cols["piece"], cols["start"], strict=True)]
-            return {k: cols[k] for k in ("doc_id", "tk", "n", "start", "piece")} | {"ends": ends}
+            return {k: cols[k] for k in ("doc_id", "tk", "times", "start", "piece")} | {"ends": ends}
 
         return work
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         encoder = own_encoder(shared.value, pattern)
-        times = int((group["start"] == 0).sum())
-        group = group.drop_duplicates("start").sort_values("start")
+        group = group.sort_values("start")
         starts = group["start"].tolist()
         text = "".join(p[:chunk] for p in group["piece"])
         stops = [a + len(p) for a, p in zip(starts, group["piece"], strict=True)]
         ends = stitch(text, starts, stops, [list(e) for e in group["ends"]], encoder)
         ids = encoder.encode([text[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        data = {"data": [b"".join(encoder.bytes[ids].tolist())] * times} if decode else {}
-        return pd.DataFrame({"doc_id": pd.array([group["doc_id"].iloc[0]] * times, dtype="Int64"), "ids": [ids] * times} | data)
+        data = {"data": [b"".join(encoder.bytes[ids].tolist())]} if decode else {}
+        return pd.DataFrame({"doc_id": pd.array([group["doc_id"].iloc[0]], dtype="Int64"), "times": [group["times"].iloc[0]], "ids": [ids]} | data)
 
-    long = docs.where(F.length("text") > chunk).withColumn("tk", text_key()).withColumn("n", F.length("text"))
-    start = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk)))
-    chunks = long.select("doc_id", "tk", "n", start.alias("start"), "text").select("doc_id", "tk", "n", "start", F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("piece"))
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a text is read once, from its start to its end
+        for batch in batches:
+            for doc_id, tk, times, text in zip(*(batch.column(i) for i in range(4)), strict=True):
+                text = text.as_py()
+                starts = range(0, len(text), chunk)
+                for at in range(0, len(starts), 32):
+                    some = list(starts[at : at + 32])
+                    k = len(some)
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id.as_py()] * k, pa.int64()), "tk": pa.array([tk.as_py()] * k), "times": pa.array([times.as_py()] * k), "start": pa.array(some, pa.int32()), "piece": pa.array([text[x : x + chunk + overlap] for x in some])})
+
+    chunks = once(docs.where(F.length("text") > chunk).withColumn("tk", text_key())).mapInArrow(pieces, "doc_id long, tk long, times long, start int, piece string")
     dealt = chunks.repartition("doc_id", "tk", "start")
-    found = map_slices(dealt, cut, "doc_id long, tk long, n int, start int, piece string, ends array<int>", rows=8)
-    stitched = found.groupBy("doc_id", "tk", "n").applyInPandas(join, f"doc_id long, ids array<int>{more}")
-    return short.unionByName(stitched)
+    found = map_slices(dealt, cut, "doc_id long, tk long, times long, start int, piece string, ends array<int>", rows=8)
+    stitched = found.groupBy("doc_id", "tk", "times").applyInPandas(join, f"doc_id long, times long, ids array<int>{more}")
+    again = stitched.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
+    return short.unionByName(again)
+
+
+def once(long: DataFrame) -> DataFrame:
+    """doc_id, tk, times, text: rows of one id and text once, with their number.
+
+    Numbers are counted without the texts; only texts that do come again are
+    brought together.
+    """
+    several = saved(long.groupBy("doc_id", "tk").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("doc_id").alias("d"), F.col("tk").alias("t"), "times"))
+    single = long.select("doc_id", "tk", F.lit(1).cast("long").alias("times"), "text")
+    if several.isEmpty():
+        return single
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t"))
+    first = long.join(several, same).groupBy("doc_id", "tk", "times").agg(F.first("text").alias("text"))
+    return single.join(several, same, "left_anti").unionByName(first)
 
 
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -49,3 +49,22 @@ def test_odd_rows(spark, vocabulary):
         assert got.count() == docs.count()
         assert {r["n_tokens"] for r in got.where("doc_id IN (3, 4)").collect()} == {0}
     assert bc.encode_documents(docs.limit(0), ranks, pattern).count() == 0
+
+
+def test_a_long_row_that_is_repeated(spark, vocabulary):
+    ranks, pattern, own = vocabulary
+    text = odd_text(random.Random(2), 900)
+    rows = [(7, text)] * 300 + [(None, text)] * 3 + [(8, text), (7, text + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bc.once(df.withColumn("tk", bc.text_key())).count() == 4
+    got = [(r["doc_id"], tuple(r["ids"]), bytes(r["data"])) for r in bc.encode_documents(df, ranks, pattern, 512, 64, decode=True).collect()]
+    want = [(i, tuple(own.encode_ordinary(t)), t.encode()) for i, t in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_very_long_texts_are_cut_in_one_pass(spark, vocabulary):
+    ranks, pattern, own = vocabulary
+    text = "abc défg 12345\n" * 150_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (r,) = bc.encode_documents(df, ranks, pattern, decode=True).collect()
+    assert list(r["ids"]) == own.encode_ordinary(text) and bytes(r["data"]) == text.encode()
