@@ -15,7 +15,7 @@ the named parts of a mixture; their table (one row each, at most
 ``max_sources``, else an error) goes through the driver.
 
 Defined results: a null text has size 0; the null source is a source of its
-own and comes last; repeated rows are drawn one by one; a null doc_id is kept;
+own and comes last; repeated rows are drawn one by one, in different blocks; a null doc_id is kept;
 a source without words has target 0 and its documents are taken 0 times; an
 empty table gives no rows; other columns are ignored by ``mix`` and pass
 through ``mixed_documents``, where rows of one id and text are told apart by a
@@ -103,15 +103,17 @@ def source_table(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, m
 
 
 def sizes_of(documents: DataFrame) -> DataFrame:
-    """doc_id, tk, source and size, one row per document."""
-    return documents.select("doc_id", text_key().alias("tk"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, tk, source, size and nth, one row per document; equal rows are numbered by ``nth``, so that blocks can part them."""
+    each = documents.select("doc_id", text_key().alias("tk"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    counted = each.groupBy("doc_id", "tk", "source", "size").agg(F.count(F.lit(1)).alias("k"))
+    return counted.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "k"))).drop("k")
 
 
 def flier(names: list[str], seed: int, level: int, last: bool):
     """The flight of one block of one source, in the order of its rows' keys."""
 
     def fly(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "tk"], kind="stable").reset_index(drop=True)
+        group = group.sort_values(["doc_id", "tk", "nth"], kind="stable").reset_index(drop=True)
         rng = random.Random(f"{seed}/{level}/{key[0]}/{key[1]}")
         group["p"] = flight(group["size"].astype(float).tolist(), group["p"].tolist(), rng, last)
         return group[names]
@@ -128,7 +130,7 @@ def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, block:
     rows = sizes.join(F.broadcast(spark.createDataFrame(table, schema)), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     m = F.when(F.col("source_size") == 0, 0.0).when(F.col("target") == cap * F.col("source_size"), F.lit(float(cap))).otherwise(F.col("target") / F.col("source_size"))
     rows = rows.withColumn("m", m).withColumn("whole", F.floor("m")).withColumn("p", F.col("m") - F.floor("m"))
-    columns = "doc_id long, tk long, source string, size long, s int, source_size long, docs long, target double, whole long, p double"
+    columns = "doc_id long, tk long, nth long, source string, size long, s int, source_size long, docs long, target double, whole long, p double"
     names = [c.split()[0] for c in columns.split(", ")]
     settled = [rows.where("p = 0").select(*names)]
     left = rows.where("p > 0").select(*names)
@@ -139,7 +141,7 @@ def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, block:
         blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") * F.lit(factor)))
         last = math.ceil(units * factor) <= 1
 
-        dealt = left.withColumn("block", F.pmod(F.xxhash64("doc_id", "tk", F.lit(level)), blocks))
+        dealt = left.withColumn("block", F.pmod(F.xxhash64("doc_id", "tk", "nth", F.lit(level)), blocks))
         flown = saved(dealt.groupBy("s", "block").applyInPandas(flier(names, seed, level, last), columns))
         settled.append(flown.where("p = 0 or p = 1"))
         left, level = flown.where("p > 0 and p < 1"), level + 1

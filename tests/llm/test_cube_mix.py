@@ -12,6 +12,35 @@ def test_targets():
     assert cm.targets([0, 10], [5, 2]) == [0.0, 10.0] and cm.targets([], []) == []
 
 
+def shared_out(sizes, weights, cap=3.0):
+    """Targets found another way: the level at which weighted shares, each up to its cap, sum to all words."""
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (low, level) if sum(min(cap * s, level * w) for s, w in zip(sizes, weights)) > sum(sizes) else (level, high)
+    return [min(cap * s, low * w) for s, w in zip(sizes, weights)]
+
+
+def test_targets_by_bisection():
+    rng = random.Random(22)
+    for _ in range(200):
+        sizes = [rng.choice((0, 1, 10, 500, 90_000)) for _ in range(rng.randrange(1, 9))]
+        weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+        assert all(abs(a - b) <= 1e-6 * max(1, b) for a, b in zip(cm.targets(sizes, weights), shared_out(sizes, weights)))
+
+
+def test_equal_rows_are_parted(spark):
+    rows = [(5, "a b c", "s0")] * 3000 + [(i, "w " * (i % 50 + 1), f"s{i % 3}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = cm.mix(docs, block=64).collect()
+    assert len(got) == 3600 and len({r["nth"] for r in cm.sizes_of(docs).where("doc_id = 5").collect()}) >= 3000
+    for s in ("s0", "s1", "s2"):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 50
+    blocks = cm.sizes_of(docs).selectExpr("pmod(xxhash64(doc_id, tk, nth, 0), 57) AS b").groupBy("b").count()
+    assert max(r["count"] for r in blocks.collect()) < 200
+
+
 def test_flight_keeps_both_totals():
     rng = random.Random(0)
     sizes = [float(rng.randrange(1, 500)) for _ in range(2000)]
@@ -66,7 +95,7 @@ def test_contract_on_a_corpus(spark):
     assert sorted(r["doc_id"] for r in got) == sorted(docs)
     names = sorted({d["source"] for d in docs.values() if d["source"] is not None}) + [None] * any(d["source"] is None for d in docs.values())
     total = {n: sum(size(i) for i, d in docs.items() if d["source"] == n) for n in names}
-    want = dict(zip(names, cm.targets([total[n] for n in names], [(5, 2, 1)[k % 3] for k in range(len(names))]), strict=True))
+    want = dict(zip(names, shared_out([total[n] for n in names], [(5, 2, 1)[k % 3] for k in range(len(names))]), strict=True))
     taken = dict.fromkeys(names, 0)
     for r in got:
         n = docs[r["doc_id"]]["source"]
