@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rubicost.functions.dates import parse_date
 from rubicost.plans.store import loose_number
 from rubicost.registry import query
 from rubicost.tables import Tables
@@ -190,3 +191,35 @@ def parsed_dates(t: Tables):
     spoken = F.try_make_timestamp(F.regexp_extract(text, words, 3).try_cast("int"), F.nullif(index, F.lit(0).cast("long")).cast("int"), F.regexp_extract(text, words, 1).try_cast("int"), F.lit(0), F.lit(0), F.lit(0))
     dotted = F.try_to_timestamp(text, F.lit("d.M.yyyy"))
     return t("part").select("p_partkey", F.date_format(F.coalesce(spoken, dotted), "yyyy-MM-dd").alias("iso"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders""")
+def order_dates(t: Tables):
+    """Dates of orders, written as their priority would have them, read back; figures that begin with the year are no date here."""
+    d, p = F.col("o_orderdate"), F.col("o_orderpriority")
+    text = F.when(p == "1-URGENT", F.date_format(d, "d.M.yyyy")).when(p == "2-HIGH", F.concat(F.lit("due "), F.date_format(d, "dd/MM/yyyy"))).when(p == "3-MEDIUM", F.date_format(d, "EEEE d MMMM yyyy")).when(p == "4-NOT SPECIFIED", F.concat(F.date_format(d, "d"), F.lit("th of "), F.date_format(d, "MMMM, yyyy"))).otherwise(F.date_format(d, "yyyy-MM-dd"))
+    return t("orders").select("o_orderkey", F.date_format(parse_date(text), "yyyy-MM-dd").alias("iso"))
+
+
+#: a link: what it refers to and what it says
+ANCHOR = r'<a href="([^"]*)">([^<]*)</a>'
+
+
+@query(rf"""SELECT page_id, regexp_extract_all(html, '{ANCHOR}', 1) AS refs, regexp_extract_all(html, '{ANCHOR}', 2) AS labels FROM pages""")
+def page_references(t: Tables):
+    """References of pages as they are, with their labels, in order."""
+    found = lambda i: F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(i))
+    return t("pages").select("page_id", found(1).alias("refs"), found(2).alias("labels"))
+
+
+@query("""SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'linked' WHEN 'STANDARD' THEN 'meta' WHEN 'PROMO' THEN NULL ELSE 'text' END AS tier, CASE WHEN p_type <> 'PROMO' THEN round(p_retailprice, 2) END AS price, CASE WHEN p_type <> 'PROMO' THEN p_name END AS product, CASE p_type WHEN 'PROMO' THEN NULL WHEN 'STANDARD' THEN 'DKK' ELSE 'EUR' END AS currency FROM part""")
+def part_pages(t: Tables):
+    """Names and prices of parts, shown on pages as linked data, meta tags or in the text, read back by tier."""
+    amount = F.format_string("%.2f", "p_retailprice")
+    comma = F.translate(amount, ".", ",")
+    c = F.concat
+    linked = c(F.lit('<script type="application/ld+json">{"@type": "Product", "name": "'), F.col("p_name"), F.lit('", "offers": {"price": "'), amount, F.lit('", "priceCurrency": "eur"}}</script>'))
+    meta = c(F.lit("<title>"), F.col("p_name"), F.lit('</title><meta property="product:price:amount" content="'), comma, F.lit('"><meta property="product:price:currency" content="dkk">'))
+    text = c(F.lit("<title>"), F.col("p_name"), F.lit("</title><p>only <b>"), comma, F.lit("</b> EUR</p>"))
+    page = F.when(F.col("p_type") == "ECONOMY", linked).when(F.col("p_type") == "STANDARD", meta).when(F.col("p_type") == "PROMO", c(F.lit("<title>"), F.col("p_name"), F.lit("</title>"))).otherwise(text)
+    return priced_pages(t("part").select("p_partkey", page.alias("html")), "html").select("p_partkey", "tier", "price", "product", "currency")

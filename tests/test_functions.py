@@ -60,3 +60,11 @@ def test_rounding_and_tolerance(spark):
 def test_column_letters(spark):
     got = values(spark, column_letters(F.col("n")), *[(n,) for n in (1, 26, 27, 52, 702, 703, 18278)], schema="n int")
     assert got == ["A", "Z", "AA", "AZ", "ZZ", "AAA", "ZZZ"]
+
+
+def test_dates(spark):
+    from rubicost.functions.dates import parse_date
+
+    said = {"3rd of March, 2024": "2024-03-03", "Tuesday 21st May 2019": "2019-05-21", "31 february 2020": None, "due 7.12.2021": "2021-12-07", "31/04/2020": None, "2020-01-02": None, "4 Marchember 2020": None, "1-2-2003 or 4-5-2006": "2003-02-01", "no date": None, "12december1999": "1999-12-12", None: None}
+    df = spark.createDataFrame([(x,) for x in said], "x string")
+    assert [str(r[0]) if r[0] else None for r in df.select(parse_date(F.col("x"))).collect()] == list(said.values())
