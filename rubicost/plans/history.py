@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rubicost.operators.fold import ordered_fold
 from rubicost.operators.scan import FAR, Machine, Numeric, Pieces, called, composed_fold
 from rubicost.operators.topk import first_of
 from rubicost.registry import query
@@ -123,28 +122,55 @@ def event_replay(t: Tables):
     return t("events").where("user_id = 8 AND event_id > 500").orderBy("event_id").limit(500).select(F.col("event_id").alias("seq"), F.col("user_id").alias("run_id"), F.col("event_type").alias("type"))
 
 
-def delta_steps(size: int = 48, wait: float = 0.12):
-    """Number of the flush that each entry belongs to.
+class Deltas(Machine):
+    """Number of the flush that each entry belongs to. States are (flush, held characters, time of the first held).
 
     Text is held until ``size`` characters or ``wait`` seconds since the first
     held one are reached, and goes out before any other entry.
+
+    What was held before some rows goes out with the first of them that fills or
+    outlasts it, or is no text; from there on everything begins anew. A summary
+    holds these rows, which are at most as many as fill an empty buffer, and
+    where each beginning leads.
     """
-    flush, held, since = 0, 0, None
 
-    def step(length: int, at: float, is_text: bool) -> tuple[int]:
-        nonlocal flush, held, since
+    start = (0, 0, None)
+
+    def __init__(self, size: int = 48, wait: float = 0.12) -> None:
+        self.size, self.wait = size, wait
+
+    def step(self, state: tuple, length: int, at: float, is_text: bool) -> tuple[tuple, tuple[int]]:
+        flush, held, since = state
         if not is_text:
             flush += held > 0
-            out, flush, held, since = flush, flush + 1, 0, None
-            return (out,)
+            return (flush + 1, 0, None), (flush,)
         since = at if since is None else since
         held += length
-        out = flush
-        if held >= size or at - since >= wait:
-            flush, held, since = flush + 1, 0, None
-        return (out,)
+        if held >= self.size or at - since >= self.wait:
+            return (flush + 1, 0, None), (flush,)
+        return (flush, held, since), (flush,)
 
-    return step
+    def summary(self) -> tuple:
+        return self.start, 0, True, []
+
+    def extend(self, summary: tuple, length: int, at: float, is_text: bool) -> tuple:
+        fresh, filled, going, ends = summary
+        ends = [(c, t, text, self.step(led, length, at, is_text)[0]) for c, t, text, led in ends]
+        if going:
+            filled += length if is_text else 0
+            ends.append((filled, at, is_text, self.start))
+            going = is_text and filled < self.size
+        return self.step(fresh, length, at, is_text)[0], filled, going, ends
+
+    def apply(self, summary: tuple, state: tuple) -> tuple:
+        (more, *rest), filled, _, ends = summary
+        flush, held, since = state
+        if held == 0:
+            return flush + more, *rest
+        for c, t, text, (later, *left) in ends:
+            if not text or held + c >= self.size or t - since >= self.wait:
+                return flush + later + (1 if text else 2), *left
+        return flush, held + filled, since
 
 
 @query("""WITH RECURSIVE e AS (SELECT conv_id, turn, coalesce(length(text), 0) % 40 + 1 AS n, turn * 0.05::DOUBLE AS tm, role IS DISTINCT FROM 'system' AS is_text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations),
@@ -155,9 +181,9 @@ s AS (SELECT conv_id, turn, k, CASE WHEN is_text THEN 0 ELSE 0 END AS flush, CAS
         FROM s JOIN e ON e.conv_id = s.conv_id AND e.k = s.k + 1)
 SELECT conv_id, turn, flush::INTEGER AS flush FROM s""")
 def delta_flushes(t: Tables):
-    """Flushes of the text deltas of each conversation."""
+    """Flushes of the text deltas of each conversation; a very long one has many tasks."""
     rows = t("conversations").select("conv_id", "turn", "text", (F.coalesce(F.length("text"), F.lit(0)) % 40 + 1).alias("n"), (F.col("turn") * F.lit(0.05)).alias("at"), (~F.col("role").eqNullSafe(F.lit("system"))).alias("is_text"))
-    return ordered_fold(rows, "conv_id", ["turn", "text"], delta_steps, ["conv_id", "turn", "text"], "conv_id long, turn long, text string, flush int").drop("text")
+    return composed_fold(rows, "conv_id", ["turn", "text"], Deltas, ["conv_id", "turn", "text"], "conv_id long, turn long, text string, flush int").drop("text")
 
 
 class Bucket(Numeric):

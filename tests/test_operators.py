@@ -9,7 +9,7 @@ from rubicost.operators.joins import asof_nearest, interval_join, knn_join, lexi
 from rubicost.operators.merge import insert_absent, override, replace_groups, upsert
 from rubicost.operators.statistics import exact_median
 from rubicost.operators.topk import mode_first_seen, page, systematic
-from rubicost.plans.history import Bucket, Card, Queue, delta_steps
+from rubicost.plans.history import Bucket, Card, Deltas, Queue
 from rubicost.plans.web import linked_price, sanitised
 from rubicost.sources.files import clean_number, clean_value, listed, replace_files
 
@@ -199,8 +199,8 @@ def run(steps, *columns):
 
 
 def test_deltas_buckets_and_cards():
-    assert run(delta_steps(), [20, 20, 20, 5, 1], [0, 0.01, 0.02, 0.03, 0.04], [True] * 3 + [False, True]) == [0, 0, 0, 1, 2]
-    assert run(delta_steps(), [1, 1, 1], [0, 0.05, 0.2], [True] * 3) == [0, 0, 0]
+    assert run(stepped(Deltas()), [20, 20, 20, 5, 1], [0, 0.01, 0.02, 0.03, 0.04], [True] * 3 + [False, True]) == [0, 0, 0, 1, 2]
+    assert run(stepped(Deltas()), [1, 1, 1], [0, 0.05, 0.2], [True] * 3) == [0, 0, 0]
     assert run(stepped(Bucket(3, 10)), [0, 0, 0, 0, 10]) == [True, True, True, False, True]
     assert run(stepped(Card()), [0, 5, 6, 30, 31], ["allowed", "undo", "denied", "undo", "allowed"], [0] * 5) == [("allowed", "applied"), ("open", "undone"), ("denied", "applied"), ("denied", "ignored"), ("denied", "ignored")]
     assert run(stepped(Card()), [0, 4000], ["undo", "allowed"], [0, 0])[1] == ("expired", "ignored")

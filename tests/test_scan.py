@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from rubicost.operators.fold import ordered_fold
 from rubicost.operators.scan import FAR, Finite, called, carried, composed, composed_fold, ranks, running_totals
 from rubicost.operators.statistics import exact_median
-from rubicost.plans.history import Bucket, Card, Queue
+from rubicost.plans.history import Bucket, Card, Deltas, Queue
 from tests.test_operators import stepped
 
 KINDS = {
     "bucket": (lambda: Bucket(3, 50), lambda rng, at: (at,), "at long", "passed boolean"),
     "queue": (Queue, lambda rng, at: (at, rng.randrange(60)), "at long, lasts long", "taken boolean"),
     "card": (lambda: Card(10, 900), lambda rng, at: (at, rng.choice(["undo", "allowed", "denied"]), 0), "at long, action string, begun long", "state string, effect string"),
+    "deltas": (lambda: Deltas(40, 30), lambda rng, at: (rng.choice((0, 1, 9, 25, 60)), at, rng.random() < 0.9), "length int, at long, is_text boolean", "flush int"),
     "finite": (lambda: Finite(["out", "in"], lambda s, at, ok: (("in" if ok else "out"), (s,))), lambda rng, at: (at, rng.random() < 0.5), "at long, ok boolean", "was string"),
 }
 
@@ -23,7 +24,7 @@ def test_composed_folds_give_the_rows_of_ordered_ones(spark, kind, hot):
     machine, values, given, made = KINDS[kind]
     rng = random.Random(8)
     keys = [None, 1, 2, 3, 40, 41]
-    rows = [(7 if hot else rng.choice(keys), i, *values(rng, rng.randrange(3000) if kind != "card" else i // 2)) for i in range(1200)]
+    rows = [(7 if hot else rng.choice(keys), i, *values(rng, i // 2 if kind == "card" else i * 3 if kind == "deltas" else rng.randrange(3000))) for i in range(1200)]
     df = spark.createDataFrame(rows, f"key long, id long, {given}").repartition(5)
     schema = f"key long, id long, {made}"
     got = composed_fold(df, "key", ["at", "id"], machine, ["key", "id"], schema, parts=8)
