@@ -236,7 +236,11 @@ def user_budgets(t: Tables, amount: float = 4000.0, alert: int = 80):
     t.spark.sql(f"""CREATE TEMPORARY FUNCTION budget_{name}(amount DOUBLE, alert DOUBLE) RETURNS TABLE(user_id BIGINT, spent DOUBLE, status STRING)
         RETURN SELECT user_id, spent, CASE WHEN amount <= 0 THEN 'ok' WHEN spent >= amount THEN 'over' WHEN spent >= amount * alert / 100 THEN 'near' ELSE 'ok' END
         FROM (SELECT user_id, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM spent_{name} GROUP BY user_id)""")
-    return t.spark.sql(f"SELECT * FROM budget_{name}(CAST({float(amount)} AS DOUBLE), CAST({float(alert)} AS DOUBLE))")
+    out = t.spark.sql(f"SELECT * FROM budget_{name}(CAST({float(amount)} AS DOUBLE), CAST({float(alert)} AS DOUBLE))")
+    # the plan holds both by now
+    t.spark.sql(f"DROP TEMPORARY FUNCTION budget_{name}")
+    t.spark.catalog.dropTempView(f"spent_{name}")
+    return out
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_acctbal < 0) THEN l_extendedprice END AS price FROM lineitem""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections import deque
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -48,20 +49,20 @@ def linked_price(blocks: list[str] | None) -> tuple[str | None, str | None, str
     """Name, price and currency of the first product with an offer in a page's linked data, however deep it lies."""
     for block in blocks if blocks is not None else ():
         try:
-            todo = [json.loads(block)]
+            todo = deque([json.loads(block)])
         except ValueError:
             continue
         while todo:
-            x = todo.pop(0)
+            x = todo.popleft()
             if isinstance(x, list):
-                todo = x + todo
+                todo.extendleft(reversed(x))
             elif isinstance(x, dict):
                 kinds = x.get("@type")
                 offers = (x.get("offers") or []) if "Product" in (kinds if isinstance(kinds, list) else [kinds]) else []
                 for o in offers if isinstance(offers, list) else [offers]:
                     if price := o.get("price") or o.get("lowPrice"):
                         return x.get("name"), str(price), o.get("priceCurrency")
-                todo = [v for v in x.values() if isinstance(v, dict | list)] + todo
+                todo.extendleft(reversed([v for v in x.values() if isinstance(v, dict | list)]))
     return None, None, None
 
 
@@ -80,7 +81,10 @@ def priced_pages(pages: DataFrame, html: str) -> DataFrame:
     """
     blocks = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(LINKED), F.lit(1))
     keys, values = (F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(META), F.lit(i)) for i in (1, 2))
-    pages = pages.withColumns({"_ld": linked_prices(blocks), "_meta": F.arrays_zip(F.transform(keys, F.lower).alias("k"), values.alias("v"))})
+    pages = pages.withColumn("_blocks", blocks)
+    found = pages.where(F.size("_blocks") > 0).withColumn("_ld", linked_prices(F.col("_blocks")))
+    pages = found.unionByName(pages.where(F.size("_blocks") == 0).withColumn("_ld", F.lit(None).cast(LINKED_SCHEMA))).drop("_blocks")
+    pages = pages.withColumns({"_meta": F.arrays_zip(F.transform(keys, F.lower).alias("k"), values.alias("v"))})
     tag = lambda name: F.filter("_meta", lambda x: x["k"] == name)
     meta = lambda *names: F.coalesce(*(F.get(tag(n), F.size(tag(n)) - 1)["v"] for n in names))  # noqa: E731  the last of one name counts
     title = F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
