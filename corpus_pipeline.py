@@ -16,23 +16,37 @@ from rubicost.llm.common import checkpoint_root
 from rubicost.llm.queries import tokenizer
 
 
+#: rows of an Arrow batch: what a task holds of whole texts, in the JVM and in Python, grows with it
+BATCH = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lets the session's tasks exchange small batches; the default of 10,000 rows is some 30 MB of texts, several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return language_mixture.keep_identified(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return jaccard_metric.one_of_each(docs, size=5, percent=80)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return pii_boost.redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return cube_mix.mixed_documents(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     ranks, pattern = tokenizer()
     return bpe_chunks.digests(bpe_chunks.encode_documents(docs, ranks, pattern, decode=True))
 
