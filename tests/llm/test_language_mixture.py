@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 
 from rubicost.llm import language_mixture as lm
@@ -56,3 +58,38 @@ def test_ties_and_repeated_rows(spark):
     docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("same words here", "bb"), ("same words here", "aa")] * 8)], "doc_id long, text string, lang string")
     got = lm.identify(docs).collect()
     assert len({(r["lang_pred"], r["score"]) for r in got}) == 1
+
+
+def test_em_against_one_document_at_a_time():
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 7, 40, 3, 200])
+    lik = rng.random((4, sizes.sum())).astype(np.float32) ** 3 + 1e-4
+    lik /= lik.max(axis=0)
+    share, value = lm.em(lik, sizes, rounds=12)
+    at = 0
+    for i, n in enumerate(sizes):
+        own = [[float(x) for x in lik[:, k]] for k in range(at, at + n)]
+        at += n
+        parts = [0.25] * 4
+        for _ in range(12):
+            sums = [0.0] * 4
+            for word in own:
+                joint = [p * x for p, x in zip(parts, word, strict=True)]
+                sums = [s + j / sum(joint) for s, j in zip(sums, joint, strict=True)]
+            parts = [max(s / n, 1e-9) for s in sums]
+            parts = [p / sum(parts) for p in parts]
+        assert np.allclose(share[:, i], parts, atol=1e-4)
+        assert abs(value[i] - sum(math.log(sum(p * x for p, x in zip(parts, word, strict=True))) for word in own)) < 1e-2
+
+
+def test_sets_of_languages_against_all_sets():
+    """Languages are added while the penalised likelihood grows: with two clear ones no other set of those tried is likelier."""
+    rng = np.random.default_rng(4)
+    lik = np.full((3, 60), 1e-3, dtype=np.float32)
+    lik[0, :40] = lik[1, 40:] = 1.0
+    lik[2] = 0.05 * rng.random(60).astype(np.float32)
+    best = {}
+    for chosen in ([0], [1], [2], [0, 1], [0, 2], [1, 2], [0, 1, 2]):
+        _, value = lm.em(lik[chosen], np.array([60]))
+        best[tuple(chosen)] = float(value[0]) - 4.0 * math.log(61) * (len(chosen) - 1)
+    assert max(best, key=best.get) == (0, 1)

@@ -1,3 +1,6 @@
+import math
+import random
+
 import numpy as np
 import pytest
 
@@ -45,3 +48,41 @@ def test_odd_rows(spark):
         assert ts.severity(docs, labels).count() == docs.count()
         assert {r["severity"] for r in ts.severity(docs, labels.limit(0)).collect()} == {0}
     assert ts.severity(docs.limit(0), labels).count() == 0
+
+
+def plain_loss(w, cuts, rows, l2=0.3):
+    """Penalised negative log-likelihood of the cumulative-link model, a row at a time."""
+    total = l2 / 2 * sum(x * x for x in w)
+    for x, y in rows:
+        score = sum(a * b for a, b in zip(w, x, strict=True))
+        below = [0.0, *(1 / (1 + math.exp(score - c)) for c in cuts), 1.0]
+        total -= math.log(max(below[y + 1] - below[y], 1e-9))
+    return total
+
+
+def test_fit_against_a_search_without_gradients():
+    rng = random.Random(5)
+    true, cut = [1.5, -1.0, 0.5], [0.5, 1.5, 2.5]
+    rows = []
+    for _ in range(150):
+        x = [rng.choice((0.0, 1.0, 1.7)) for _ in true]
+        noisy = sum(a * b for a, b in zip(true, x, strict=True)) + math.log(1 / rng.uniform(0.001, 0.999) - 1)
+        rows.append((x, sum(noisy > c for c in cut)))
+    triples = [(i, j, v) for i, (x, _) in enumerate(rows) for j, v in enumerate(x) if v]
+    r, c, v = (np.array(z) for z in zip(*triples, strict=True))
+    w, cuts = ts.fit_ordinal(r, c, v, np.array([y for _, y in rows]), 3)
+    assert sorted(cuts) == list(cuts)
+    found = plain_loss(w, cuts, rows)
+    # coordinate search from there and from zero: nothing much better is near
+    for start in ([*w, *cuts], [0.0, 0.0, 0.0, 0.0, 1.0, 2.0]):
+        at, best, step = list(start), plain_loss(start[:3], start[3:], rows), 0.5
+        while step > 1e-3:
+            moved = False
+            for k in range(6):
+                for d in (step, -step):
+                    new = at[:]
+                    new[k] += d
+                    if sorted(new[3:]) == new[3:] and (value := plain_loss(new[:3], new[3:], rows)) < best - 1e-9:
+                        at, best, moved = new, value, True
+            step = step if moved else step / 2
+        assert found <= best * 1.005 and np.allclose(at[:3], w, atol=0.1)
