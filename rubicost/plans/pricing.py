@@ -171,7 +171,30 @@ def nearest(t: Tables):
     return best.groupBy("l_key").agg(*[F.max(F.when(F.col("state") == x, hit)).alias(n) for x, n in (("allowed", "a"), ("other", "o"))])
 
 
-@query()
+WHOLE = f"""{BASE}, {PICK}, {NORMS},
+ex AS (SELECT s.spec_id, CASE WHEN a.c IS NOT NULL THEN 'exact' WHEN o.c IS NOT NULL THEN 'blocked' ELSE 'none' END AS first, coalesce(a.c.file_id, o.c.file_id) AS first_file, a.c.price AS first_price
+    FROM specs s LEFT JOIN cand a ON a.text = s.text AND a.category = s.category AND a.state = 'allowed' LEFT JOIN cand o ON o.text = s.text AND o.category = s.category AND o.state = 'other'),
+tier AS (SELECT s.spec_id, 1 AS tier, 85 AS pct, n.norm_id, n.hours FROM specs s JOIN norms n ON n.level = 'parameterised' AND n.category = s.category AND n.size = s.size
+    UNION ALL SELECT s.spec_id, 2, 72, n.norm_id, n.hours FROM specs s JOIN norms n ON n.level = 'item' AND n.text = s.text AND n.category = s.category
+    UNION ALL SELECT s.spec_id, 3, 55, n.norm_id, n.hours FROM specs s JOIN norms n ON n.level = 'category' AND n.category = s.category),
+nr AS (SELECT spec_id, pct AS norm_pct, hours FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY tier, norm_id) AS k FROM tier) WHERE k = 1),
+web AS (SELECT page_id AS spec_id, min(length(html) % 90 + 10)::DOUBLE AS web FROM pages GROUP BY 1),
+refs AS (SELECT text || ' ' || size AS r_key, category, CASE WHEN file_id % 5 IN {ALLOWED} THEN 'allowed' ELSE 'other' END AS state, arg_min(struct_pack(file_id := file_id, price := unit_price), (tag <> 'A', file_id, sheet, row_no, unit_price)) AS c
+    FROM items WHERE file_id % 5 NOT IN {DENIED + DENIED} AND unit_price IS NOT NULL GROUP BY 1, 2, 3),
+lt AS (SELECT DISTINCT text, category, {TOKENS.format(x='text')} AS toks FROM specs), rt AS (SELECT DISTINCT r_key, category, {TOKENS.format(x='r_key')} AS toks FROM refs),
+sim AS (SELECT lt.text, lt.category, r_key, {dice('lt.toks', 'rt.toks')} AS s FROM lt JOIN rt ON rt.category = lt.category),
+best AS (SELECT sim.text, sim.category, state, round(s, 6) AS s, c, row_number() OVER (PARTITION BY sim.text, sim.category, state ORDER BY round(s, 6) DESC, sim.r_key) AS k FROM sim JOIN refs ON refs.r_key = sim.r_key AND refs.category = sim.category WHERE s >= {ACCEPT}),
+near AS (SELECT text, category, max(s) FILTER (WHERE state = 'allowed') AS a, max(c.price) FILTER (WHERE state = 'allowed') AS a_price, max(s) FILTER (WHERE state = 'other') AS o, max(c.file_id) FILTER (WHERE state = 'other') AS o_file FROM best WHERE k = 1 GROUP BY 1, 2),
+st AS (SELECT s.spec_id, s.qty, ex.first, first_file, first_price, norm_pct, hours, web, a, a_price, o, o_file, coalesce(o >= {MEDIUM}, false) AND (a IS NULL OR o > a + {MARGIN}) AND NOT coalesce(a >= {HIGH}, false) AS blocks
+    FROM specs s JOIN ex ON ex.spec_id = s.spec_id LEFT JOIN nr ON nr.spec_id = s.spec_id LEFT JOIN web ON web.spec_id = s.spec_id LEFT JOIN near ON near.text = s.text AND near.category = s.category),
+sg AS (SELECT *, CASE WHEN first = 'exact' THEN 'exact' WHEN NOT blocks AND coalesce(a >= {MEDIUM}, false) THEN 'similar' WHEN blocks OR first = 'blocked' THEN 'pending_permission' WHEN hours IS NOT NULL THEN 'norm' WHEN a IS NOT NULL THEN 'weak' WHEN web IS NOT NULL THEN 'web' ELSE 'none' END AS stage FROM st),
+pr AS (SELECT *, CASE WHEN stage = 'exact' THEN first_price WHEN stage IN ('similar', 'weak') THEN a_price WHEN stage IN ('norm', 'web') THEN web END AS material, CASE stage WHEN 'exact' THEN 95 WHEN 'similar' THEN CASE WHEN a >= {HIGH} THEN 88 ELSE 72 END WHEN 'norm' THEN norm_pct WHEN 'weak' THEN 50 WHEN 'web' THEN 40 END AS pct FROM sg)
+SELECT spec_id, CASE WHEN stage IN ('similar', 'weak') THEN 'semantic' ELSE stage END AS source, round(material, 8) AS unit_material, CASE WHEN stage <> 'pending_permission' THEN round(hours * {TARGET_RATE}, 4) END AS unit_labour, pct,
+    CASE WHEN pct >= 80 THEN 'high' WHEN pct >= 60 THEN 'medium' WHEN pct IS NOT NULL THEN 'low' END AS confidence, nullif(concat_ws(', ', CASE WHEN pct < 60 THEN 'CHECK' END, CASE WHEN stage IN ('norm', 'web') AND web IS NOT NULL THEN 'WEB' END, CASE WHEN stage = 'none' THEN 'NO PRICE' END), '') AS flag,
+    CASE WHEN stage = 'pending_permission' THEN CASE WHEN first = 'blocked' THEN first_file ELSE o_file END END AS blocked_file, round(qty * material, 7) AS total_material FROM pr"""
+
+
+@query(WHOLE)
 def whole_hourly_cascade(t: Tables):
     """All stages for all parts: exact, similar, parked for permission, the norm tiers, weak match, web, run rate and no price.
 
@@ -212,7 +235,7 @@ def whole_hourly_cascade(t: Tables):
     )
 
 
-@query()
+@query(f"""WITH c AS ({WHOLE}) SELECT source, count(*) AS n FROM c GROUP BY source""")
 def whole_cascade_statistics(t: Tables):
     """Rows of the cascade over all parts by source."""
     return whole_hourly_cascade(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
