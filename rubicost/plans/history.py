@@ -281,16 +281,28 @@ def card_decisions(t: Tables):
 
 
 class Queue(Numeric):
-    """Whether a job is taken: one with its key that is queued or running holds it off until it is done. The state is when the key frees."""
+    """Whether a job is taken: one with its key that is queued or running holds it off until it is done. The state is when the key frees.
+
+    With ``longest``, the longest that a job of any row lasts, a summary passes
+    over states that no row before its first can lead to.
+    """
 
     start = -FAR
 
+    def __init__(self, longest: int | None = None) -> None:
+        self.longest = longest
+
     def effect(self, at: int, lasts: int) -> Pieces:
         return [(at + 1, 0, at + lasts), (2 * FAR, 1, 0)]
 
     def step(self, state: int, at: int, lasts: int) -> tuple[int, tuple[bool]]:
         return (at + lasts, (True,)) if state <= at else (state, (False,))
 
+    def extend_all(self, summary: Pieces, rows: list[list]) -> Pieces:
+        if self.longest is not None and rows and summary == self.summary():
+            summary = [(rows[0][0] + max(self.longest, 0) + 1, 1, 0), (2 * FAR, 0, self.start)]
+        return super().extend_all(summary, rows)
+
 
 @query("""WITH RECURSIVE e AS (SELECT user_id % 50 AS key, event_id, epoch_us(ts) / 1e6 AS tm, value * 600 AS lasts, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS k FROM events),
 s AS (SELECT key, event_id, k, true AS taken, tm + lasts AS free FROM e WHERE k = 1
@@ -299,7 +311,9 @@ SELECT key, event_id, taken FROM s""")
 def enqueued_jobs(t: Tables):
     """One queued or running job for each key; a key frees when its job is done. Few keys have many tasks all the same."""
     rows = t("events").select((F.col("user_id") % 50).alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.round(F.col("value") * 600_000_000).cast("long").alias("lasts"))
-    return composed_fold(rows, "key", ["at", "event_id"], Queue, ["key", "event_id"], "key long, event_id long, taken boolean")
+    # one number
+    longest = rows.agg(F.max("lasts").alias("longest")).first()["longest"]
+    return composed_fold(rows, "key", ["at", "event_id"], lambda: Queue(longest), ["key", "event_id"], "key long, event_id long, taken boolean")
 
 
 @query("""WITH e AS (SELECT event_id, user_id AS run_id, json_extract_string(props, '$.k')::BIGINT AS seq FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY run_id, seq ORDER BY event_id) AS k FROM e),

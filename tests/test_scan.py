@@ -59,6 +59,26 @@ def test_composed_pieces_stay_few():
     assert composed([(5, 1, 1), (FAR, 0, 9)], [(4, 1, 0), (FAR, 0, 4)]) == [(3, 1, 1), (FAR, 0, 4)]
 
 
+def test_long_jobs_are_summed_up_in_pairs(monkeypatch):
+    rng, visited = random.Random(15), []
+    monkeypatch.setattr("rubicost.operators.scan.composed", lambda f, g: visited.append(len(f) + len(g)) or composed(f, g))
+    for longest, most in ((4000, 4100), (400, 500)):
+        rows = [[i, rng.randrange(longest)] for i in range(6000)]
+        for m in (Queue(), Queue(longest)):
+            f = m.summary()
+            visited.clear()
+            for i in range(0, len(rows), 2500):
+                f = m.extend_all(f, rows[i : i + 2500])
+            # one row at a time visits thousands of pieces for each
+            assert sum(visited) < 60 * len(rows)
+            assert m.longest is None or len(f) < most
+            for x in (m.start, 0, 17, longest // 2, longest):
+                state = x
+                for row in rows:
+                    state = m.step(state, *row)[0]
+                assert called(f, x) == m.apply(f, x) == state
+
+
 def test_folds_of_nothing(spark):
     empty = spark.createDataFrame([], "key long, id long, at long")
     assert composed_fold(empty, "key", ["at"], Bucket, ["key", "id"], "key long, id long, passed boolean").count() == 0
