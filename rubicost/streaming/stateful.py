@@ -28,10 +28,13 @@ from rubicost.tables import Tables
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def whole(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """The rows of a key in one micro-batch, in order."""
-    parts = list(rows)
-    return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame()
+def whole(rows: Iterator[pd.DataFrame], order: list[str], columns: list[str]) -> list[tuple]:
+    """The rows of a key in one micro-batch, in order; plain tuples, as a frame for each key costs more than its rows."""
+    names = order + [c for c in columns if c not in order]
+    got = [r for part in rows for r in zip(*(part[c].tolist() for c in names), strict=True)]
+    got.sort(key=lambda r: r[: len(order)])
+    at = [names.index(c) for c in columns]
+    return [tuple(r[i] for i in at) for r in got]
 
 
 class JobQueue(StatefulProcessor):
@@ -49,7 +52,7 @@ class JobQueue(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.running.get() if self.running.exists() else None
         out = []
-        for event_id, at, lasts in whole(rows, ["at", "event_id"])[["event_id", "at", "lasts"]].itertuples(index=False):
+        for event_id, at, lasts in whole(rows, ["at", "event_id"], ["event_id", "at", "lasts"]):
             if held is not None and at >= held[1]:
                 # its end comes before this row, whether the timer has fired or not
                 self.handle.deleteTimer(_millis(held[1]))
@@ -84,7 +87,11 @@ def _millis(micros: int) -> int:
 
 
 class CardDeck(StatefulProcessor):
-    """Decisions on cards by ``plans.history.Card``. A timer expires a card that is still open.
+    """Decisions on the cards of a deck by ``plans.history.Card``. A timer expires cards that are still open.
+
+    A deck's cards are one state, read and written once for each micro-batch, and
+    have one timer, at the first time an open one expires: calls to the store grow
+    with decks, not with cards. A deck has to stay small.
 
     Out: card_id, event_id (null for a timer), state, effect (expired for a timer).
     """
@@ -93,27 +100,34 @@ class CardDeck(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.card = handle, Card()
-        self.state = handle.getValueState("card", "name string, decided double, begun double")
+        self.cards = handle.getListState("cards", "card_id long, name string, decided double, begun double")
+
+    def expires(self, begun: float) -> int:
+        return _millis(int((begun + self.card.expiry) * 1_000_000) + 1)
+
+    def put(self, cards: dict[int, tuple]) -> None:
+        self.cards.put([(card_id, *state) for card_id, state in cards.items()])
+        if due := [self.expires(begun) for name, _, begun in cards.values() if name == "open"]:
+            self.handle.registerTimer(min(due))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        name, decided, begun = self.state.get() if self.state.exists() else (*Card.start, None)
+        cards = {card_id: state for card_id, *state in self.cards.get()}
         out = []
-        for event_id, at, action in whole(rows, ["at", "event_id"])[["event_id", "at", "action"]].itertuples(index=False):
-            if begun is None:
-                begun = float(at)
-                self.handle.registerTimer(_millis(int((begun + self.card.expiry) * 1_000_000) + 1))
+        for card_id, event_id, at, action in whole(rows, ["at", "event_id"], ["card_id", "event_id", "at", "action"]):
+            name, decided, begun = cards.get(card_id) or (*Card.start, float(at))
             (name, decided), said = self.card.step((name, decided), float(at), action, begun)
-            out.append((key[0], event_id, *said))
-        self.state.update((name, decided, begun))
+            cards[card_id] = (name, decided, begun)
+            out.append((card_id, event_id, *said))
+        self.put(cards)
         yield pd.DataFrame(out, columns=["card_id", "event_id", "state", "effect"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        name, decided, begun = self.state.get()
-        out = []
-        if name == "open":
-            self.state.update(("expired", None, begun))
-            out = [(key[0], None, "expired", "expired")]
-        yield pd.DataFrame(out, columns=["card_id", "event_id", "state", "effect"]).astype({"event_id": "Int64"})
+        cards = {card_id: state for card_id, *state in self.cards.get()}
+        by = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        gone = [card_id for card_id, (name, _, begun) in cards.items() if name == "open" and self.expires(begun) <= by]
+        if gone:
+            self.put(cards | {card_id: ("expired", None, cards[card_id][2]) for card_id in gone})
+        yield pd.DataFrame([(card_id, None, "expired", "expired") for card_id in gone], columns=["card_id", "event_id", "state", "effect"]).astype({"event_id": "Int64"})
 
     def close(self) -> None:
         pass
@@ -122,26 +136,39 @@ class CardDeck(StatefulProcessor):
 class RunLog(StatefulProcessor):
     """A run's log and its costs: the second row with a number is passed over, the others add up.
 
+    Seen numbers are kept as bits of ``BLOCK`` neighbours, each block read and
+    written once for a run's rows of a micro-batch.
+
     Out: run_id, seq, event_id, cost, total so far.
     """
 
     OUT = "run_id long, seq long, event_id long, cost double, total double"
+    #: numbers of a block; their bits are a long that isn't negative
+    BLOCK = 62
 
     def __init__(self, ttl: int | None = None) -> None:
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "seq long", "event_id long", ttlDurationMs=self.ttl)
+        self.seen = handle.getMapState("seen", "block long", "bits long", ttlDurationMs=self.ttl)
         self.total = handle.getValueState("total", "cents long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        cents = self.total.get()[0] if self.total.exists() else 0
-        out = []
-        for seq, event_id, cost in whole(rows, ["event_id"])[["seq", "event_id", "cost"]].itertuples(index=False):
-            if not self.seen.containsKey((int(seq),)):
-                self.seen.updateValue((int(seq),), (int(event_id),))
+        held = self.total.get()
+        cents = held[0] if held else 0
+        before, bits, out = {}, {}, []
+        for seq, event_id, cost in whole(rows, ["event_id"], ["seq", "event_id", "cost"]):
+            block, place = divmod(int(seq), self.BLOCK)
+            if block not in before:
+                known = self.seen.getValue((block,)) if held else None
+                before[block] = bits[block] = known[0] if known else 0
+            if not bits[block] >> place & 1:
+                bits[block] |= 1 << place
                 cents += round(cost * 100)
                 out.append((key[0], seq, event_id, cost, cents / 100))
+        for block, now in bits.items():
+            if now != before[block]:
+                self.seen.updateValue((block,), (now,))
         self.total.update((cents,))
         yield pd.DataFrame(out, columns=["run_id", "seq", "event_id", "cost", "total"])
 
@@ -164,8 +191,9 @@ def job_stream(events: DataFrame) -> DataFrame:
 def card_stream(events: DataFrame) -> DataFrame:
     at = F.col("ts").cast("timestamp")
     action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type").isin("view", "click"), "allowed").otherwise("denied")
-    rows = events.select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("card_id"), "event_id", at.alias("time"), (F.unix_micros(at) / 1e6).alias("at"), action.alias("action"))
-    return stateful(rows.withWatermark("time", "1 hour"), "card_id", CardDeck(), timed=True)
+    # a user's cards are a deck: one for each day of the month
+    rows = events.select(F.col("user_id").alias("deck"), (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("card_id"), "event_id", at.alias("time"), (F.unix_micros(at) / 1e6).alias("at"), action.alias("action"))
+    return stateful(rows.withWatermark("time", "1 hour"), "deck", CardDeck(), timed=True)
 
 
 def cost_stream(events: DataFrame) -> DataFrame:

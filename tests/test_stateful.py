@@ -3,10 +3,11 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from rubicost.plans.history import Card, Queue
-from rubicost.streaming.stateful import card_stream, cost_stream, job_stream
+from rubicost.streaming.stateful import CardDeck, RunLog, card_stream, cost_stream, job_stream
 from tests.test_operators import stepped
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -79,3 +80,55 @@ def test_second_entries_are_passed_over_and_costs_add_up(spark, tmp_path):
             cents[user] = cents.get(user, 0) + round(value * 100)
             want.append((user, seq, event_id, value, cents[user] / 100))
     assert sorted(got) == sorted(want)
+
+
+class Store:
+    """Stands in for a state handle and counts calls to its states and timers."""
+
+    def __init__(self, nothing):
+        self.nothing = nothing
+        self.calls, self.timers, self.kept = 0, set(), {}
+
+    def state(self, *_, **__):
+        return self
+
+    getValueState = getListState = getMapState = state
+
+    def call(self, got=None):
+        self.calls += 1
+        return got
+
+    def get(self):
+        return self.call(self.kept.get("all", self.nothing))
+
+    def put(self, values):
+        self.call(self.kept.update(all=values))
+
+    update = put
+
+    def getValue(self, key):
+        return self.call(self.kept.get(key))
+
+    containsKey = getValue
+
+    def updateValue(self, key, value):
+        self.call(self.kept.update({key: value}))
+
+    def exists(self):
+        return self.call("all" in self.kept)
+
+    def registerTimer(self, at):
+        self.call(self.timers.add(at))
+
+
+def test_calls_to_the_store_grow_with_decks_and_blocks_not_with_cards_and_rows():
+    deck, store = CardDeck(), Store(())
+    deck.init(store)
+    rows = pd.DataFrame([(c, c * 10 + i, c * 1000.0 + i, "allowed" if i else "undo") for c in range(30) for i in range(3)], columns=["card_id", "event_id", "at", "action"])
+    (out,) = deck.handleInputRows((1,), iter([rows[50:], rows[:50]]), None)
+    assert len(out) == 90 and store.calls <= 3 and (out["effect"] == "applied").sum() == 30
+    log, store = RunLog(), Store(None)
+    log.init(store)
+    rows = pd.DataFrame([(i % 100, i, 1.5) for i in range(250)], columns=["seq", "event_id", "cost"])
+    (out,) = log.handleInputRows((1,), iter([rows]), None)
+    assert len(out) == 100 and out["total"].iloc[-1] == 150 and store.calls <= 6
