@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 import time
@@ -211,3 +212,19 @@ def test_html():
     assert linked_price(['[{"@graph":[{"@type":"Product","name":"Lamp","offers":[{"price":"12,50","priceCurrency":"EUR"}]}]}]']) == ("Lamp", "12,50", "EUR")
     assert linked_price(["{broken", '{"@type": "Thing", "offers": {"price": 1}}']) == linked_price(None) == (None, None, None)
     assert sanitised('<p onclick="x()">a<script>bad()</script><b>b</b> &lt;i&gt;</p><div>c</div>') == "<p>a<b>b</b> &lt;i&gt;</p>c"
+
+
+def test_each_block_of_queries_meets_each_shard(spark):
+    rng = random.Random(21)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(300)]
+    rows = [(i, v) for i, v in rows if any(v)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    q = v.where("vec_id % 7 = 0").selectExpr("vec_id AS query_id", "v")
+    got = [tuple(r) for r in knn_join(q, v, 5, shards=3, block=4, blocks=2).collect()]
+    want = []
+    for i, a in rows:
+        if i % 7 == 0:
+            cos = lambda b, a=a: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+            near = sorted((-round(cos(b), 9), j) for j, b in rows)[:5]
+            want += [(i, j, r) for r, (_, j) in enumerate(near, 1)]
+    assert sorted((a, b, r) for a, b, _, r in got) == sorted(want)
