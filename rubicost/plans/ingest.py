@@ -11,7 +11,7 @@ from rubicost.functions.units import normalise_unit, with_labels
 from rubicost.operators.consensus import ratio_consensus
 from rubicost.operators.dyadic import contained
 from rubicost.operators.joins import interval_join
-from rubicost.operators.topk import systematic
+from rubicost.operators.topk import spread, systematic
 from rubicost.registry import query
 from rubicost.tables import Tables
 
@@ -77,7 +77,8 @@ def rate_islands(t: Tables):
     """Runs of consecutive rows with one rate, of two rows at least."""
     w = Window.partitionBy("l_orderkey").orderBy(*ORDER)
     rate = F.floor(F.col("l_quantity") / 10)
-    s = t("lineitem").select("l_orderkey", rate.alias("rate"), F.row_number().over(w).cast("long").alias("k"), (~rate.eqNullSafe(F.lag(rate).over(w))).cast("int").alias("new"))
+    lines = spread(t("lineitem").select("l_orderkey", "l_quantity", *ORDER), "l_orderkey")
+    s = lines.select("l_orderkey", rate.alias("rate"), F.row_number().over(w).cast("long").alias("k"), (~rate.eqNullSafe(F.lag(rate).over(w))).cast("int").alias("new"))
     i = s.withColumn("island", F.sum("new").over(Window.partitionBy("l_orderkey").orderBy("k")))
     return i.groupBy("l_orderkey", "rate", "island").agg(F.min("k").alias("row_start"), F.max("k").alias("row_end"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("island")
 
@@ -89,7 +90,8 @@ SELECT l_orderkey, k, block_sum, running, CASE WHEN abs(l_quantity - running) <
 def total_kinds(t: Tables):
     """Whether a total row sums all rows above it or those since the last total."""
     w = Window.partitionBy("l_orderkey").orderBy("k")
-    s = t("lineitem").select("l_orderkey", "l_quantity", (F.col("l_returnflag") == "R").alias("is_total"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)).cast("long").alias("k"))
+    lines = spread(t("lineitem").select("l_orderkey", "l_returnflag", "l_quantity", *ORDER), "l_orderkey")
+    s = lines.select("l_orderkey", "l_quantity", (F.col("l_returnflag") == "R").alias("is_total"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)).cast("long").alias("k"))
     b = s.withColumn("block", F.coalesce(F.sum(F.col("is_total").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     item = F.when(~F.col("is_total"), F.col("l_quantity")).otherwise(0.0)
     r = b.withColumn("block_sum", F.sum(item).over(Window.partitionBy("l_orderkey", "block"))).withColumn("running", F.sum(item).over(w))

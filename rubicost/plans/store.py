@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from rubicost.operators.merge import override, replace_groups, upsert
-from rubicost.operators.topk import first_of
+from rubicost.operators.topk import first_of, spread
 from rubicost.registry import query
 from rubicost.sources.files import clean_number, clean_value, shared_folder
 from rubicost.sources.published import publish, published
@@ -192,7 +192,8 @@ def row_totals(t: Tables):
 SELECT document, items || ' rows priced from ' || files || CASE WHEN files = 1 THEN ' file' ELSE ' files' END || ', total ' || printf('%.2f', total::DOUBLE) || ' EUR' || CASE WHEN open > 0 THEN '; ' || open || ' without a price' ELSE '' END || '.' AS sentence FROM f""")
 def delivery_sentences(t: Tables):
     """A sentence about each delivered document, from its aggregates."""
-    f = t("lineitem").groupBy(F.col("l_orderkey").alias("document")).agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("l_discount") == 0).alias("open"), F.count_distinct("l_suppkey").alias("files"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("total"))
+    lines = spread(t("lineitem").select("l_orderkey", "l_suppkey", "l_discount", "l_extendedprice"), "l_orderkey")
+    f = lines.groupBy(F.col("l_orderkey").alias("document")).agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("l_discount") == 0).alias("open"), F.count_distinct("l_suppkey").alias("files"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("total"))
     files = F.when(F.col("files") == 1, " file").otherwise(" files")
     open_ = F.when(F.col("open") > 0, F.format_string("; %d without a price", "open")).otherwise("")
     return f.select("document", F.concat(F.format_string("%d rows priced from %d", "items", "files"), files, F.format_string(", total %.2f EUR", "total"), open_, F.lit(".")).alias("sentence"))
