@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubicost.functions.text import normalised
+from rubicost.sources.files import stored
 
 # Fixed patterns on normalised text: what an attribute looks like.
 NUMBER = r"\d{1,4}(?:\.\d{1,3})?"
@@ -167,6 +168,13 @@ def parse_attributes(df: DataFrame, text: str, out: str = "attrs", keywords: dic
     return df.withColumn(out, F.struct(*(v.alias(k) for k, v in values.items()))).drop("_n", "_c", "_kind", "_cores", "_mm2", "_pairs", "_mm", "_size", "_modules", "_gangs", "_poles", "_neutral", "_amps", "_curve")
 
 
+def with_attributes(df: DataFrame, text: str, out: str = "attrs", keywords: dict[str, tuple[str, ...]] = CATEGORY_KEYWORDS) -> DataFrame:
+    """``parse_attributes`` once for each different text, written once, and joined to the rows."""
+    texts = df.select(F.coalesce(text, F.lit("")).alias("_text")).distinct()
+    known = stored(parse_attributes(texts, "_text", out, keywords))
+    return df.join(known, F.coalesce(text, F.lit("")) == F.col("_text")).drop("_text")
+
+
 def attributes_agree(a: Column, b: Column, keys: tuple[str, ...] = EQUAL_KEYS) -> Column:
     """The hard filter over two attribute structs: nothing that both state differs; ``other`` goes with any category."""
     ca, cb = a["category"], b["category"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rubicost.functions.attributes import attributes_agree, first_rule, leftmost_keyword, parse_attributes, web_attributes_match
+from rubicost.functions.attributes import attributes_agree, first_rule, leftmost_keyword, parse_attributes, web_attributes_match, with_attributes
 from rubicost.functions.text import lexical_similarity, match_key, tokens
 from rubicost.functions.units import normalise_unit, units_compatible, with_labels
 from rubicost.operators.joins import lexical_join
@@ -73,8 +73,10 @@ def attribute_filters(t: Tables):
     ]
     pick = lambda i: F.coalesce(*(F.when(n == k, F.lit(p[0]) if i == 0 else p[1]) for k, p in enumerate(pairs)))
     rows = t("part").select("p_partkey", pick(0).alias("row"), pick(1).alias("product"))
-    both = stored(parse_attributes(stored(parse_attributes(rows, "row", "a")), "product", "b"))
-    return both.select("p_partkey", attributes_agree(F.col("a"), F.col("b")).alias("hard"), web_attributes_match(F.col("a"), F.col("b")).alias("strict"))
+    # each pair of texts is compared once
+    both = with_attributes(with_attributes(rows.select("row", "product").distinct(), "row", "a"), "product", "b")
+    said = both.select(F.col("row").alias("_row"), F.col("product").alias("_product"), attributes_agree(F.col("a"), F.col("b")).alias("hard"), web_attributes_match(F.col("a"), F.col("b")).alias("strict"))
+    return rows.join(stored(said), F.col("row").eqNullSafe(F.col("_row")) & F.col("product").eqNullSafe(F.col("_product"))).select("p_partkey", "hard", "strict")
 
 
 KEYED = """refs AS (SELECT p_name AS key, p_size AS size, CASE l_linenumber % 3 WHEN 0 THEN 'pcs' WHEN 1 THEN 'set' ELSE 'm' END AS unit, l_suppkey AS file_id, l_orderkey AS sheet, l_linenumber AS row_no, l_returnflag = 'A' AS is_reference,
@@ -90,7 +92,8 @@ def exact_by_key(t: Tables):
     """The exact stage: same match key, compatible attributes and unit, a price; references and rows with labour first.
 
     Reference rows are reduced to the best of each text, unit and permission
-    state before they meet the request rows on the key.
+    state, and request rows to their different texts and units, before they meet
+    on the key; texts are parsed once each.
     """
     size = F.col("p_size").cast("string")
     parts = t("part").select("p_partkey", "p_name", F.concat(F.upper("p_name"), F.lit(" ABB, 3 × "), size, F.lit(" mm²")).alias("want_text"), F.concat("p_name", F.lit("; 3x"), size, F.lit(" mm2")).alias("ref_text"))
@@ -106,13 +109,17 @@ def exact_by_key(t: Tables):
     ).where((F.col("l_discount") > 0) | (F.col("l_tax") > 0)).where("file_id % 5 <> 4")
     state = F.when((F.col("file_id") % 5).isin(1, 2), "allowed").otherwise("other")
     rows = lines.join(parts.select("p_partkey", "ref_text"), F.col("l_partkey") == F.col("p_partkey")).groupBy("ref_text", "r_unit", state.alias("state")).agg(F.min("rank").alias("rank"))
-    refs = stored(parse_attributes(rows.withColumn("key", match_key(F.col("ref_text"), ("abb",))), "ref_text", "r_attrs"))
+    keys = lambda df, text: df.select(text).distinct().withColumn("key", match_key(F.col(text), ("abb",)))
+    refs = stored(with_attributes(rows, "ref_text", "r_attrs").join(keys(rows, "ref_text"), "ref_text"))
     unit = normalise_unit(F.expr("CASE p_partkey % 4 WHEN 0 THEN 'pcs' WHEN 1 THEN 'set' WHEN 2 THEN 'm' END"))
-    want = stored(parse_attributes(parts.select("p_partkey", "want_text", unit.alias("w_unit"), match_key(F.col("want_text"), ("abb",)).alias("key")), "want_text", "w_attrs"))
+    asked = parts.select("p_partkey", "want_text", unit.alias("w_unit"))
+    different = asked.select("want_text", "w_unit").distinct()
+    want = stored(with_attributes(different, "want_text", "w_attrs").join(keys(different, "want_text"), "want_text"))
     fits = units_compatible(F.col("w_unit"), F.col("r_unit")) & attributes_agree(F.col("w_attrs"), F.col("r_attrs"))
-    best = want.join(refs, "key").where(fits).groupBy("p_partkey").agg(*(F.min(F.when(F.col("state") == s, F.col("rank"))).alias(s) for s in ("allowed", "other")))
+    best = want.join(refs, "key").where(fits).groupBy("want_text", F.col("w_unit").alias("_unit")).agg(*(F.min(F.when(F.col("state") == s, F.col("rank"))).alias(s) for s in ("allowed", "other")))
     source = F.when(F.col("allowed").isNotNull(), "exact").when(F.col("other").isNotNull(), "blocked").otherwise("none")
-    return t("part").select("p_partkey").join(best, "p_partkey", "left").select("p_partkey", source.alias("source"), F.coalesce("allowed.c", "other.c").alias("file_id"))
+    found = asked.join(best.withColumnRenamed("want_text", "_text"), F.col("want_text").eqNullSafe(F.col("_text")) & F.col("w_unit").eqNullSafe(F.col("_unit")), "left")
+    return found.select("p_partkey", source.alias("source"), F.coalesce("allowed.c", "other.c").alias("file_id"))
 
 
 #: An item tier needs this similarity; from ``SURE`` on it is surer.
@@ -138,7 +145,9 @@ def norm_tiers(t: Tables):
     one = norms.where("level = 0").groupBy("category", "size").agg(F.min("norm_id").alias("one"))
     three = norms.where("level = 2").groupBy("category").agg(F.min("norm_id").alias("three"))
     size = F.col("size").cast("string")
-    named = part.withColumn("w_text", F.concat_ws(" ", "p_name", size, F.lower("p_brand")))
+    # rows that are equal but for their key ask once
+    alike = ["category", "size", "p_name", "p_brand"]
+    named = part.select(*alike).distinct().withColumn("w_text", F.concat_ws(" ", "p_name", size, F.lower("p_brand")))
     left = named.select("w_text", "category").distinct().select(F.concat_ws("\x1f", "w_text", "category").alias("k"), "category", F.array_distinct(F.split("w_text", " ")).alias("toks"))
     items = norms.where("level = 1").groupBy(F.concat_ws(" ", "p_name", size).alias("n_text"), "category").agg(F.min("norm_id").alias("two"))
     right = items.select(F.concat_ws("\x1f", "n_text", "category").alias("n_k"), "category", F.array_distinct(F.split("n_text", " ")).alias("toks"), "two")
@@ -147,7 +156,9 @@ def norm_tiers(t: Tables):
     rows = named.withColumn("l_key", F.concat_ws("\x1f", "w_text", "category")).join(near.select("l_key", "two", "s"), "l_key", "left").join(one, ["category", "size"], "left").join(three, "category", "left")
     tier = F.when(F.col("one").isNotNull(), 1).when(F.col("two").isNotNull(), 2).when(F.col("three").isNotNull(), 3)
     pct = F.when(tier == 1, 85).when(tier == 2, F.when(F.col("s") >= SURE, 72).otherwise(64)).otherwise(55)
-    return rows.where(tier.isNotNull()).select("p_partkey", tier.alias("tier"), pct.alias("pct"), F.coalesce("one", "two", "three").alias("norm_id"))
+    told = stored(rows.where(tier.isNotNull()).select(*[F.col(c).alias(f"_{c}") for c in alike], tier.alias("tier"), pct.alias("pct"), F.coalesce("one", "two", "three").alias("norm_id")))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike]
+    return part.join(told, same).select("p_partkey", "tier", "pct", "norm_id")
 
 
 ASKED = "('red bolt 7'), ('old ring 12 large'), ('gear'), ('hot plate 3'), ('nothing alike')"

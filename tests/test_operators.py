@@ -5,11 +5,13 @@ import time
 
 from pyspark.sql import functions as F
 
+from rubicost.functions import attributes
+from rubicost.functions.attributes import parse_attributes as attributes_of
 from rubicost.operators.fold import ordered_fold
 from rubicost.operators.joins import asof_nearest, interval_join, knn_join, lexical_join, overlap_join
 from rubicost.operators.merge import insert_absent, override, replace_groups, upsert
 from rubicost.operators.statistics import exact_median
-from rubicost.operators.topk import mode_first_seen, page, systematic
+from rubicost.operators.topk import mode_first_seen, page, spread, systematic
 from rubicost.plans.history import Bucket, Card, Deltas, Queue
 from rubicost.plans.web import linked_price, sanitised
 from rubicost.sources.files import clean_number, clean_value, listed, replace_files
@@ -228,3 +230,21 @@ def test_each_block_of_queries_meets_each_shard(spark):
             near = sorted((-round(cos(b), 9), j) for j, b in rows)[:5]
             want += [(i, j, r) for r, (_, j) in enumerate(near, 1)]
     assert sorted((a, b, r) for a, b, _, r in got) == sorted(want)
+
+
+def test_spread_follows_the_number_of_rows(spark):
+    rows = spark.range(5000).selectExpr("id % 1000 AS k", "id")
+    assert spread(rows, "k", rows=100).rdd.getNumPartitions() == 50
+    assert spread(rows, "k").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = spread(rows, "k", rows=100).groupBy("k", F.col("id") % 2).count()
+    assert "Exchange hashpartitioning(k" in placed._jdf.queryExecution().toString() and placed._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_each_text_is_parsed_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(attributes, "parse_attributes", lambda df, *a: seen.append(df.count()) or parse(df, *a))
+    parse = attributes_of
+    rows = spark.createDataFrame([(i, ("Cable 3x1.5", "Socket 16A IP44", "", None)[i % 4]) for i in range(60)], "id long, text string")
+    got = attributes.with_attributes(rows, "text", "a")
+    want = attributes_of(rows, "text", "a")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and seen == [3]
