@@ -245,21 +245,33 @@ def running_totals(df: DataFrame, order: list[Column], amount: str, out: str, pa
     return placed.withColumn("_own", own).join(F.broadcast(offsets), F.col("_piece") == F.col("_of")).select(*df.columns, (F.col("_before") + F.col("_own")).alias(out))
 
 
-def carried(df: DataFrame, keys: list[str], at: str, values: dict[str, Column], width: int = 4096) -> DataFrame:
+#: places of a piece
+WIDTH = 4096
+
+
+def pieces(df: DataFrame, at: str, width: int = WIDTH) -> DataFrame:
+    """The frame with ``_b``, the number of the piece of ``width`` places that a row is in."""
+    return df.withColumn("_b", F.floor(F.col(at) / width))
+
+
+def carried(df: DataFrame, keys: list[str], at: str, values: dict[str, Column], width: int = WIDTH) -> DataFrame:
     """The frame with, for each name, the last value that isn't null at or above a row of its key; null if there is none.
 
     ``at`` is a whole number that tells the rows of a key apart. Pieces of
     ``width`` places are scanned by themselves; what a piece ends with is carried
-    on over pieces, of which a key has few.
+    on over pieces, of which a key has few. A frame that ``pieces`` has numbered
+    keeps its pieces, so calls one after the other place its rows once.
     """
-    cut = df.withColumn("_b", F.floor(F.col(at) / width))
+    cut = df if "_b" in df.columns else pieces(df, at, width)
     for name, value in values.items():
         cut = cut.withColumn(f"_v_{name}", value)
     within = Window.partitionBy(*keys, "_b").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     ends = cut.groupBy(*keys, "_b").agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(at))).alias(f"_e_{n}") for n in values])
     over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = ends.select(*keys, "_b", *[F.last(f"_e_{n}", ignorenulls=True).over(over).alias(f"_p_{n}") for n in values])
-    before = before.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb"), *[f"_p_{n}" for n in values])
+    # only pieces behind a key's first have something before them; written, so that the join knows how few they are
+    some = before.where(F.coalesce(*[F.when(F.col(f"_p_{n}").isNotNull(), F.lit(True)) for n in values], F.lit(False)))
+    before = stored(some.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb"), *[f"_p_{n}" for n in values]))
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_b") == F.col("_kb")]
     own = cut.select("*", *[F.last(f"_v_{n}", ignorenulls=True).over(within).alias(f"_o_{n}") for n in values])
     return own.join(before, same, "left").select(*df.columns, *[F.coalesce(f"_o_{n}", f"_p_{n}").alias(n) for n in values])

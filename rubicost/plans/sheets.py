@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubicost.operators.binding import Bind, bindings, bound, header, label_of
+from rubicost.operators.binding import Bind, bound, by_cell, by_row, header, label_of, marked
 from rubicost.operators.links import followed
-from rubicost.operators.scan import carried
+from rubicost.operators.scan import carried, pieces
+from rubicost.operators.topk import spread
 from rubicost.registry import query
 from rubicost.sources.files import stored
 from rubicost.tables import Tables
@@ -70,7 +71,8 @@ PRODUCT = r"^=\s*\+?\$?([A-Z]{1,3})\$?\d+\s*\*\s*\$?([A-Z]{1,3})\$?\d+\s*$"
 
 
 def labels(t: Tables, names: dict[str, str]) -> DataFrame:
-    return t.rows(list(names.items()), "label string, meaning string")
+    """A constant table; its size is known to the planner."""
+    return t.spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("label"), F.lit(m).alias("meaning")) for k, m in names.items()])))
 
 
 def clean(text: Column) -> Column:
@@ -89,26 +91,34 @@ def basis_of(section: Column, sheet: Column, w: Words) -> Column:
     return own
 
 
-def layout(cells: DataFrame, vocabulary: DataFrame, binds: list[Bind] = BINDS, prefixes: tuple[str, ...] = ("total",)) -> DataFrame:
+def is_note(text: Column, w: Words) -> Column:
+    """Whether a text above a header is a note."""
+    said = clean(text)
+    return said.rlike(w.note) & ~said.startswith("=") & (F.length(said) > 15)
+
+
+def layout(cells: DataFrame, vocabulary: DataFrame, binds: list[Bind] = BINDS, prefixes: tuple[str, ...] = ("total",), w: Words = Words()) -> DataFrame:
     """sheet, header_row, c_<meaning>: the header's columns, and those that it leaves open (c_named is the described column as the header has it).
 
+    ``phased`` and ``prefaced`` tell whether a phase or building is named near the
+    header, and whether a note stands above it.
+
     A unit's label may stand some rows away from the header; descriptions are in
     the column left of the quantity with most texts; marks are in the first
     column unless one is named for them.
     """
-    h = header(cells, vocabulary, binds, ["qty", "rate"], prefixes)
-    place = h.select(F.col("sheet").alias("_s"), "header_row", F.col("c_qty").alias("_q"))
-    own = cells.join(place, F.col("sheet") == F.col("_s"))
-    away = F.col("row") - F.col("header_row")
-    unit = label_of(F.col("text")).isin("uom", "unit") & away.between(-3, 4) & (F.col("col") <= 40)
-    units = own.where(unit).groupBy(F.col("sheet").alias("_u")).agg(F.min_by("col", F.struct("row", "col")).alias("near_unit"))
-    wordy = away.between(1, 120) & (F.col("col") < F.col("_q")) & (F.length(F.trim("text")) > 6) & ~F.col("text").startswith("=")
-    counts = own.where(wordy).groupBy("sheet", "col").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.groupBy(F.col("sheet").alias("_t")).agg(F.min_by("col", F.struct(-F.col("n"), "col")).alias("most_text"))
-    full = h.join(units, F.col("sheet") == F.col("_u"), "left").join(most, F.col("sheet") == F.col("_t"), "left")
-    desc = F.coalesce("most_text", "c_desc", F.lit(2))
+    wordy = (F.length(F.trim("text")) > 6) & ~F.col("text").startswith("=")
+    # headers are in the first 40 rows and columns, so descriptions that count are in the first 160 rows
+    seen = marked(by_row(cells), vocabulary, prefixes, {"units": label_of(F.col("text")).isin("uom", "unit"), "wordy": wordy, "named": clean(F.col("text")).rlike(w.phase) | clean(F.col("text")).rlike(w.building), "notes": is_note(F.col("text"), w)}, far=160)
+    full = header(seen, binds, ["qty", "rate"])
+    away = lambda x, lo, hi: (x["row"] - F.col("header_row")).between(lo, hi)
+    near_unit = F.array_min(F.filter("units", lambda x: away(x, -3, 4)))["col"]
+    cols = F.transform(F.filter("wordy", lambda x: away(x, 1, 120) & (x["col"] < F.col("c_qty"))), lambda x: x["col"])
+    full = full.withColumn("cols", cols)
+    most = F.array_min(F.transform(F.array_distinct("cols"), lambda c: F.struct((-F.size(F.filter("cols", lambda x: x == c))).alias("n"), c.alias("col"))))["col"]
+    desc = F.coalesce(most, "c_desc", F.lit(2))
     full = full.withColumn("c_named", F.col("c_desc"))
-    return full.withColumn("c_uom", F.coalesce("c_uom", "near_unit")).withColumn("c_tag", F.coalesce("c_tag", F.when(desc > 1, F.lit(1)))).withColumn("c_desc", desc).drop("_u", "near_unit", "_t", "most_text")
+    return full.withColumn("c_uom", F.coalesce("c_uom", near_unit)).withColumn("c_tag", F.coalesce("c_tag", F.when(desc > 1, F.lit(1)))).withColumn("c_desc", desc).withColumn("phased", F.exists("named", lambda x: away(x, -8, 10) & (x["col"] <= F.col("c_qty")))).withColumn("prefaced", F.exists("notes", lambda x: away(x, -6, -1) & (x["col"] < F.col("c_qty")))).drop("units", "wordy", "cols", "named", "notes")
 
 
 def phases(cells: DataFrame, found: DataFrame, w: Words) -> DataFrame:
@@ -118,7 +128,8 @@ def phases(cells: DataFrame, found: DataFrame, w: Words) -> DataFrame:
     phase's quantity. Phase labels hold for the columns from theirs on.
     """
     h = found.select(F.col("sheet").alias("_s"), "header_row", "c_qty", "c_rate")
-    own = cells.join(h, F.col("sheet") == F.col("_s"))
+    # all that matters is near a header, which is in the first 40 rows
+    own = by_cell(by_row(cells).where("row <= 120").join(h, F.col("sheet") == F.col("_s")))
     away = F.col("row") - F.col("header_row")
     near = own.where(away.between(-8, 10) & (F.col("col") <= F.col("c_qty")) & F.col("text").isNotNull() & (F.trim("text") != "")).select("sheet", "row", "col", "c_qty", clean(F.col("text")).alias("said"))
     first = near.where(F.col("said").rlike(w.phase)).groupBy(F.col("sheet").alias("_p")).agg(F.min("row").alias("prow"))
@@ -169,22 +180,32 @@ def read_pricing(cells: DataFrame, vocabulary: DataFrame, names: DataFrame | Non
     out unless it is a total; of cells at one place the greatest value counts;
     texts in number columns count as no number.
     """
-    found = stored(layout(cells, vocabulary, binds, prefixes))
-    below = cells.join(found.select(F.col("sheet").alias("_h"), "header_row", "c_qty", "c_desc"), F.col("sheet") == F.col("_h")).where("row > header_row").drop("_h")
-    said = clean(F.col("text"))
-    said = F.when((said != "") & ~said.startswith("="), said)
-    values = {"d": ("desc", said), "uom": ("uom", clean(F.col("text"))), "tag": ("tag", said), "qty": ("qty", F.col("number")), "qty_formula": ("qty", F.col("formula")), **{m: (m, F.col("number")) for m in ("rate", "supply", "total", "supply_total")}}
-    real = F.when(F.col("number") != 0, F.col("number"))
-    also = [
-        F.coalesce(F.bool_or(said.rlike(w.total)), F.lit(False)).alias("totals"),
-        F.max(F.when((F.col("col") > F.col("c_desc")), real)).alias("most_right"),
-        F.count(F.when((F.col("col") > F.col("c_desc")) & (F.col("col") <= 40), real)).alias("n_right"),
-        F.collect_set(F.when(F.col("col") > F.col("c_qty"), real)).alias("after_qty"),
-    ]
-    meanings = ["qty", "rate", "total", "supply", "supply_total", "uom", "desc", "tag"]
+    cells = by_row(cells)
+    found = layout(cells, vocabulary, binds, prefixes, w)
+    if names is not None:
+        found = found.join(names.select(F.col("sheet").alias("_n"), F.col("name").alias("sheet_name")), F.col("sheet") == F.col("_n"), "left").drop("_n")
+    else:
+        found = found.withColumn("sheet_name", F.lit(None).cast("string"))
     # a mark in the column of descriptions is the description
-    table = bindings(found.withColumn("c_tag", F.when(F.col("c_tag") != F.col("c_desc"), F.col("c_tag"))), meanings)
-    rows = stored(bound(below, table, values, also))
+    heads = found.withColumn("c_tag", F.when(F.col("c_tag") != F.col("c_desc"), F.col("c_tag")))
+    below = cells.join(heads.withColumnRenamed("sheet", "_h"), F.col("sheet") == F.col("_h")).where("row > header_row").drop("_h")
+    plain = lambda x: clean(x["text"])
+    said = lambda x: F.when((plain(x) != "") & ~plain(x).startswith("="), plain(x))
+    number = lambda x: x["number"]
+    values = {"d": ("desc", said), "uom": ("uom", plain), "tag": ("tag", said), "qty": ("qty", number), "qty_formula": ("qty", lambda x: x["formula"]), **{m: (m, number) for m in ("rate", "supply", "total", "supply_total")}}
+    reals = lambda ok: F.transform(F.filter("cells", lambda x: (x["number"] != 0) & ok(x["col"])), number)
+    also = {
+        "totals": F.exists("cells", lambda x: F.coalesce(said(x).rlike(w.total), F.lit(False))),
+        "most_right": F.array_max(reals(lambda c: c > F.col("c_desc"))),
+        "n_right": F.size(reals(lambda c: (c > F.col("c_desc")) & (c <= 40))),
+        "after_qty": F.array_distinct(reals(lambda c: c > F.col("c_qty"))),
+    }
+    heading = ["header_row", "c_qty", "c_rate", "phased", "prefaced"]
+    rows = stored(bound(below, values, also).select("sheet", "row", *heading, "sheet_name", F.col("c_supply").isNotNull().alias("has_supply"), *values, *also))
+
+    # sheets with such words, of which the rest need no second look
+    phased, prefaced = (stored(rows.where(x).select("sheet", *heading).distinct()) for x in ("phased", "prefaced"))
+    rows = rows.drop(*heading)
 
     d, upper = F.col("d"), F.upper("d") == F.col("d")
     shouted = upper & (F.lower("d") != F.col("d"))
@@ -193,39 +214,40 @@ def read_pricing(cells: DataFrame, vocabulary: DataFrame, names: DataFrame | Non
     priced = F.col("uom").isNotNull() | F.col("qty").isNotNull() | F.col("qty_formula").isNotNull() | F.col("rate").isNotNull() | F.col("supply").isNotNull()
     lines = (d.rlike(w.delivery) | d.rlike(w.lump)) & (~shouted | (F.col("n_right") > 0))
     first = rows.withColumn("role", F.when(total, "total").when(d.rlike(w.note), "note").when(d.rlike(w.contractor), "switch").when(priced | lines, "item"))
-    turned = carried(first, ["sheet"], "row", {"contractor": F.when(F.col("role") == "switch", F.lit(True))})
+    turned = carried(pieces(first, "row"), ["sheet"], "row", {"contractor": F.when(F.col("role") == "switch", F.lit(True))})
     hired = F.coalesce("contractor", F.lit(False))
     turned = turned.withColumn("contractor", hired).withColumn("role", F.coalesce("role", F.when(F.col("contractor") & d.rlike(w.monthly) & ~shouted, "item"), F.lit("section")))
     heads = F.col("role").isin("section", "switch")
     title = F.when(F.col("role") == "section", d).when(F.col("role") == "switch", F.lit("Contractor Items"))
     placed = carried(turned, ["sheet"], "row", {"section": title, "since": F.when(heads, F.col("row")), "title_row": F.when(F.col("role") == "section", F.struct("row", "d"))})
 
-    if names is not None:
-        placed = placed.join(names.select(F.col("sheet").alias("_n"), F.col("name").alias("sheet_name")), F.col("sheet") == F.col("_n"), "left")
-    else:
-        placed = placed.withColumn("sheet_name", F.lit(None).cast("string"))
     own_basis = basis_of(F.coalesce("title_row.d", F.lit("")), F.col("sheet_name"), w)
-    placed = stored(placed.withColumn("section_basis", own_basis))
+    placed = stored(placed.drop("_b").withColumn("section_basis", own_basis))
 
     # notes hold for their section from their row on; those before the first section, and above the header, for the sheet
-    begun = placed.where("role = 'section'").groupBy(F.col("sheet").alias("_b")).agg(F.min("row").alias("begun"))
-    notes = placed.where("role = 'note'").join(begun, F.col("sheet") == F.col("_b"), "left").select("sheet", F.when(F.coalesce(F.col("row") > F.col("begun"), F.lit(False)), F.coalesce("since", F.lit(0))).otherwise(-1).alias("level"), "row", F.lit(0).alias("col"), F.col("d").alias("note"))
-    h = found.select(F.col("sheet").alias("_s"), "header_row", "c_qty")
-    above = cells.join(h, (F.col("sheet") == F.col("_s")) & (F.col("row") < F.col("header_row")) & (F.col("row") >= F.col("header_row") - 6) & (F.col("col") < F.col("c_qty")))
-    above = above.where(said.rlike(w.note) & (F.length(said) > 15)).select("sheet", F.lit(-1).alias("level"), (F.col("row") - (1 << 30)).alias("row"), "col", said.alias("note"))
-    held = notes.unionByName(above).groupBy("sheet", "level").agg(F.sort_array(F.collect_list(F.struct("row", "col", "note"))).alias("held"))
-    of_sheet = held.where("level = -1").select(F.col("sheet").alias("_w"), F.col("held").alias("whole"))
-    of_section = held.where("level <> -1").select(F.col("sheet").alias("_x"), F.col("level").alias("_l"), F.col("held").alias("part"))
-    noted = placed.join(of_sheet, F.col("sheet") == F.col("_w"), "left").join(of_section, (F.col("sheet") == F.col("_x")) & (F.coalesce("since", F.lit(0)) == F.col("_l")), "left")
-    earlier = lambda c: F.coalesce(F.transform(F.filter(c, lambda x: x["row"] < F.col("row")), lambda x: x["note"]), F.array().cast("array<string>"))
-    noted = noted.withColumn("notes", F.when(F.col("role") == "item", F.concat(earlier("whole"), earlier("part"))))
-
-    ph = phases(cells, found, w)
-    amounts = below.where("number <> 0").select("sheet", "row", "col", "number").join(ph.select(F.col("sheet").alias("_ps"), F.col("col").alias("_pc"), "name", "building"), (F.col("sheet") == F.col("_ps")) & (F.col("col") == F.col("_pc")))
-    summed = amounts.groupBy("sheet", "row", "name").agg(F.round(F.coalesce(F.max(F.when(F.col("building"), F.col("number"))), F.sum("number")), 6).alias("q"))
-    quantities = summed.groupBy(F.col("sheet").alias("_qs"), F.col("row").alias("_qr")).agg(F.sort_array(F.collect_list(F.struct("name", "q"))).alias("phase_qty"))
-    has_supply = found.select(F.col("sheet").alias("_fs"), F.col("c_supply").isNotNull().alias("has_supply"))
-    full = noted.join(quantities, (F.col("sheet") == F.col("_qs")) & (F.col("row") == F.col("_qr")), "left").join(has_supply, F.col("sheet") == F.col("_fs"))
+    notes = placed.where("role = 'note' AND title_row IS NULL").select("sheet", "row", F.lit(0).alias("col"), F.col("d").alias("note"))
+    if not prefaced.isEmpty():
+        h = prefaced.select(F.col("sheet").alias("_s"), "header_row", "c_qty")
+        above = by_cell(cells.where("row < 40").join(h, (F.col("sheet") == F.col("_s")) & (F.col("row") - F.col("header_row")).between(-6, -1))).where("col < c_qty")
+        notes = notes.unionByName(above.where(is_note(F.col("text"), w)).select("sheet", (F.col("row") - (1 << 30)).alias("row"), "col", clean(F.col("text")).alias("note")))
+    whole = notes.groupBy(F.col("sheet").alias("_w")).agg(F.sort_array(F.collect_list(F.struct("row", "col", "note"))).alias("whole"))
+    of_sheet = placed.join(stored(whole), F.col("sheet") == F.col("_w"), "left").drop("_w")
+    # a section's rows lie where its sheet's do
+    ahead = Window.partitionBy("sheet", F.coalesce("since", F.lit(0))).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    noted = of_sheet.withColumn("part", F.collect_list(F.when((F.col("role") == "note") & F.col("title_row").isNotNull(), d)).over(ahead))
+    earlier = F.coalesce(F.transform(F.filter("whole", lambda x: x["row"] < F.col("row")), lambda x: x["note"]), F.array().cast("array<string>"))
+    noted = noted.withColumn("notes", F.when(F.col("role") == "item", F.concat(earlier, "part")))
+
+    full = noted.withColumn("phase_qty", F.lit(None).cast("array<struct<name:string,q:double>>"))
+    if not phased.isEmpty():
+        # written, so that its size is known: most sheets have few such columns or none
+        ph = stored(phases(cells, phased, w).groupBy(F.col("sheet").alias("_ps")).agg(F.collect_list(F.struct("col", "name", "building")).alias("ph")))
+        ahead = phased.select(F.col("sheet").alias("_h"), "header_row")
+        amounts = by_cell(cells.join(ph, F.col("sheet") == F.col("_ps")).join(ahead, F.col("sheet") == F.col("_h")).where("row > header_row")).where("number <> 0")
+        amounts = amounts.withColumn("p", F.explode("ph")).where("p.col = col").select("sheet", "row", "p.name", "p.building", "number")
+        summed = amounts.groupBy("sheet", "row", "name").agg(F.round(F.coalesce(F.max(F.when(F.col("building"), F.col("number"))), F.sum("number")), 6).alias("q"))
+        quantities = summed.groupBy(F.col("sheet").alias("_qs"), F.col("row").alias("_qr")).agg(F.sort_array(F.collect_list(F.struct("name", "q"))).alias("phase_qty"))
+        full = noted.join(quantities, (F.col("sheet") == F.col("_qs")) & (F.col("row") == F.col("_qr")), "left")
 
     uom = F.lower("uom")
     month = uom.isNull() | uom.isin(*MONTHS)
@@ -316,11 +338,12 @@ def read_prelims(cells: DataFrame, found: DataFrame, total: str = r"(?i)total\s*
     headings and left out. Weekly and monthly units say the basis, all else is a
     lump sum.
     """
-    h = found.select(F.col("sheet").alias("_s"), "header_row")
-    below = cells.join(h, (F.col("sheet") == F.col("_s")) & (F.col("row") > F.col("header_row"))).drop("_s")
-    table = bindings(found.withColumn("c_desc", F.coalesce("c_named", F.lit(2))).withColumn("c_ref", F.coalesce("c_ref", F.lit(1))), ["qty", "rate", "total", "uom", "ref", "desc"])
-    said = F.nullif(clean(F.col("text")), F.lit(""))
-    rows = bound(below, table, {"description": ("desc", said), "unit": ("uom", said), "ref": ("ref", said), "qty": ("qty", F.col("number")), "rate": ("rate", F.col("number")), "total": ("total", F.col("number")), "formula": ("rate", F.col("formula"))}).where("description IS NOT NULL")
+    heads = found.withColumn("c_desc", F.coalesce("c_named", F.lit(2))).withColumn("c_ref", F.coalesce("c_ref", F.lit(1))).withColumnRenamed("sheet", "_s")
+    below = by_row(cells).join(heads, (F.col("sheet") == F.col("_s")) & (F.col("row") > F.col("header_row")))
+    said = lambda x: F.nullif(clean(x["text"]), F.lit(""))
+    number = lambda x: x["number"]
+    values = {"description": ("desc", said), "unit": ("uom", said), "ref": ("ref", said), "qty": ("qty", number), "rate": ("rate", number), "total": ("total", number), "formula": ("rate", lambda x: x["formula"])}
+    rows = bound(below, values).select("sheet", "row", *values).where("description IS NOT NULL")
     ends = rows.where(F.col("description").rlike(total)).groupBy(F.col("sheet").alias("_e")).agg(F.min("row").alias("end"))
     known = F.create_map(*[F.lit(x) for pair in units.items() for x in pair])
     unit = F.coalesce(F.try_element_at(known, F.lower("unit")), F.lower("unit"))
@@ -378,23 +401,27 @@ PART_WORDS = Words(note="^red ", contractor="^green .*ring$", total="^Brand#1",
 
 
 def sheets_of_orders(t: Tables) -> DataFrame:
-    """Orders as sheets: the lines' columns in an order of each sheet's own, below a header with their names.
+    """Orders as sheets, by row: the lines' columns in an order of each sheet's own, below a header with their names.
 
     Returned lines are headings (name alone) or totals (brand and total alone).
     """
-    lines = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
-    sheet = F.col("l_orderkey")
+    lines = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed("l_orderkey", "sheet")
+    lines = spread(lines, "sheet")
+    k = F.row_number().over(Window.partitionBy("sheet").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
+    sheet = F.col("sheet")
     place = lambda j: (1 + (F.lit(j) * F.element_at(F.array(*map(F.lit, (1, 3, 5, 7))), (F.col("sheet") % 4 + 1).cast("int")) + F.col("sheet")) % 8).cast("int")
-    rows = lines.withColumn("sheet", sheet).withColumn("row", (2 + sheet % 3 + k).cast("int"))
+    rows = lines.withColumn("k", k).withColumn("row", (2 + sheet % 3 + F.col("k")).cast("int"))
     back = F.col("l_returnflag") == "R"
     heading = back & (F.col("l_linenumber") % 2 == 0)
     shown = {"p_name": ~back | heading, "p_brand": ~heading, "l_extendedprice": ~heading}
-    cell = lambda j, name, text: F.struct(place(j).alias("col"), (F.col(name) if text else F.lit(None).cast("string")).alias("text"), (F.lit(None).cast("double") if text else F.col(name).cast("double")).alias("number"), shown.get(name, ~back).alias("shown"))
-    body = rows.select("sheet", "row", F.explode(F.array(*[cell(j, *x) for j, x in enumerate(SOURCES)])).alias("c")).where("c.shown").select("sheet", "row", "c.col", "c.text", "c.number")
-    orders = t("lineitem").select(sheet.alias("sheet")).distinct()
-    tops = orders.select("sheet", (2 + F.col("sheet") % 3).cast("int").alias("row"), F.explode(F.array(*[F.struct(place(j).alias("col"), F.lit(name).alias("text")) for j, (name, _) in enumerate(SOURCES)])).alias("c")).select("sheet", "row", "c.col", "c.text", F.lit(None).cast("double").alias("number"))
-    return body.unionByName(tops).withColumn("formula", F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    made = lambda j, text, number: F.struct(place(j).alias("col"), text.alias("text"), number.cast("double").alias("number"), none.alias("formula"))
+    cell = lambda j, name, text: F.when(shown.get(name, ~back), made(j, F.col(name) if text else none, F.lit(None) if text else F.col(name)))
+    body = F.array_compact(F.array(*[cell(j, *x) for j, x in enumerate(SOURCES)]))
+    # the header stands above a sheet's first line
+    top = F.array(*[made(j, F.lit(name), F.lit(None)) for j, (name, _) in enumerate(SOURCES)])
+    both = F.when(F.col("k") == 1, F.array(F.struct((F.col("row") - 1).alias("row"), top.alias("cells")), F.struct("row", body.alias("cells")))).otherwise(F.array(F.struct("row", body.alias("cells"))))
+    return rows.select("sheet", F.inline(both))
 
 
 CELLS = """lines AS (SELECT l_orderkey AS sheet, (2 + l_orderkey % 3 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice))::INTEGER AS row, l_returnflag = 'R' AS back, l_returnflag = 'R' AND l_linenumber % 2 = 0 AS heading, l_quantity, p_retailprice, l_extendedprice, l_tax, l_discount, p_type, p_name, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -463,5 +490,5 @@ FROM p LEFT JOIN e ON e.sheet = p.sheet WHERE description IS NOT NULL AND (stop
 def prelims_rows(t: Tables):
     """Orders read as sheets of preliminaries: rows up to the first total, priced by week, month or as a lump sum."""
     cells = sheets_of_orders(t)
-    found = layout(cells, labels(t, COLUMN_LABELS), COLUMN_BINDS, ()).withColumn("c_ref", F.lit(None).cast("int"))
+    found = stored(layout(cells, labels(t, COLUMN_LABELS), COLUMN_BINDS, ())).withColumn("c_ref", F.lit(None).cast("int"))
     return read_prelims(cells, found, "^hot ", {"economy": "week", "standard": "month"})
