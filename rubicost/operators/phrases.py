@@ -3,7 +3,8 @@
 A phrase is keyed by its first two words (or its only one). A text gives each
 of its positions as two rows, keyed by the word and by it and the next, with as
 many words as the longest phrase has; equal keys meet and the words are
-compared. No pattern grows with the vocabulary, and a vocabulary of any size is
+compared. If all phrases are single words, a position is one row and its word
+the key. No pattern grows with the vocabulary, and a vocabulary of any size is
 one side of an equi-join.
 """
 
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rubicost.sources.files import stored
+
 #: runs of letters and digits of any alphabet
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -28,12 +31,21 @@ def keyed(vocabulary: DataFrame, token: str = TOKEN) -> DataFrame:
     return one.withColumn("k", F.concat_ws(" ", F.slice("words", 1, 2)))
 
 
-def candidates(texts: DataFrame, key: str, text: str, vocabulary: DataFrame, token: str = TOKEN) -> DataFrame:
-    """key, at, n, phrase, label: every place where a phrase begins, ``at`` from 0."""
-    phrases = keyed(vocabulary, token)
+def prepared(vocabulary: DataFrame, token: str = TOKEN) -> tuple[DataFrame, int]:
+    """The vocabulary by key, and how many words its longest phrase has."""
+    # written once: it is read twice, and its size tells whether texts have to be placed by word to meet it
+    phrases = stored(keyed(vocabulary, token))
     # one number
-    longest = phrases.agg(F.max(F.size("words")).alias("n")).first()["n"] or 1
+    return phrases, phrases.agg(F.max(F.size("words")).alias("n")).first()["n"] or 1
+
+
+def candidates(texts: DataFrame, key: str, text: str, phrases: DataFrame, longest: int, token: str = TOKEN) -> DataFrame:
+    """key, at, n, phrase, label: every place where one of the ``prepared`` phrases begins, ``at`` from 0."""
     said = texts.select(F.col(key).alias("_id"), tokens(F.col(text), token).alias("_t"))
+    if longest == 1:
+        # a word is its own key
+        met = said.select("_id", F.posexplode("_t").alias("at", "_k")).join(phrases, F.col("_k") == F.col("k"))
+        return met.select(F.col("_id").alias(key), "at", F.size("words").alias("n"), "phrase", "label")
     ahead = F.transform(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: F.struct(i.alias("at"), F.slice("_t", i + 1, longest).alias("ahead")))
     each = said.where(F.size("_t") > 0).select("_id", F.inline(ahead))
     keys = F.array_distinct(F.array(F.get("ahead", F.lit(0)), F.concat_ws(" ", F.slice("ahead", 1, 2))))
@@ -49,7 +61,11 @@ def phrase_join(texts: DataFrame, key: str, text: str, vocabulary: DataFrame, to
     ``key`` tells texts apart. ``vocabulary`` has phrase and label. Null texts
     and phrases without a word match nothing.
     """
-    found = candidates(texts, key, text, vocabulary, token)
+    phrases, most = prepared(vocabulary, token)
+    found = candidates(texts, key, text, phrases, most, token)
+    if most == 1:
+        # single words don't overlap
+        return found
     longest = found.groupBy(key, "at").agg(F.max_by(F.struct("at", "n", "phrase", "label"), "n").alias("m"))
     # a text's matches are fewer than its words
     row = found.select("at", "n", "phrase", "label").schema.simpleString()

@@ -45,3 +45,11 @@ def test_labels_and_rests(spark):
     makes = v.where("label = 'make'")
     assert {tuple(r) for r in stripped(t, "k", "t", makes).collect()} == {(1, "dark red steel steel"), (2, "red steel"), (3, "acme tools"), (4, "none of it"), (5, "")}
     assert phrase_join(t, "k", "t", v.limit(0)).count() == 0
+
+
+def test_single_words_of_a_long_text_are_counted_and_not_folded(spark):
+    v = spark.createDataFrame([("red", "colour"), ("steel", "stuff")], "phrase string, label string")
+    t = spark.createDataFrame([(1, "red steel red " * 5_000), (2, "steel")], "k long, t string")
+    found = labelled(t, "k", "t", v)
+    assert {tuple(r) for r in found.collect()} == {(1, "colour", 10_000), (2, "stuff", 1)}
+    assert "array_append" not in found._jdf.queryExecution().optimizedPlan().toString()
