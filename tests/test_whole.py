@@ -160,3 +160,9 @@ def test_cascade_runs_all_stages(spark, tmp_path):
     assert got[6][:3] == ("norm", None, 85) and got[12][:3] == ("norm", None, 85)
     assert got[8] == ("web", 17.0, 40, "CHECK, WEB", None)
     assert got[4] == ("none", None, None, "NO PRICE", None)
+
+
+def test_files_of_a_ranking_are_placed_once(spark, sf_dir):
+    plan = __spark_entry__.queries()["template_ranking"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(file_id" in plan
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(l_key" in x and "file_id" in x]
