@@ -18,9 +18,10 @@
    are measured on the full sets, from the texts.
 6. A star alone would lose links of members that are far from their hub. Buckets
    whose members are not all in one component after the stars stay open: their
-   members meet in blocks with their full sets, those of the largest component
-   never among themselves, pairs of one component never, and a pair only in the
-   first bucket that it shares. A link found there joins its two components for
+   members meet in blocks, those of the largest component never among
+   themselves, pairs of one component never, and a pair only in the first bucket
+   that it shares. They meet with their signatures first; members that these
+   leave anyone to be measured against meet again, with their full sets. A link found there joins its two components for
    the task, so a task returns fewer links than it has members.
 
 Links are confirmed on the full sets: stars on the texts' shingles, the others
@@ -191,16 +192,20 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
+def first_shared(i: int, s1: np.ndarray, n: np.ndarray, component: np.ndarray, own: np.ndarray, raw: np.ndarray, keys: np.ndarray, key: int, apart: bool, least: int, percent: int) -> np.ndarray:
+    """Members behind i of other components, of fitting size and signature, of which this bucket is the first shared one."""
+    ok = np.flatnonzero((component != component[i]) & sizes_fit(n, n[i], percent) & (s1 > s1[i]) & (own != own[i] if apart else True))
+    ok = ok[(raw[ok] == raw[i]).sum(axis=1) >= least]
+    return ok[keys[i, (keys[ok] == keys[i]).argmax(axis=1)] == key]
+
+
 def spanning_links(s1: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.ndarray, raw: np.ndarray, sets: list[np.ndarray], key: int, bands: int, apart: bool, least: int, percent: int) -> tuple[list[int], list[int]]:
     """Links between members of different components, of which this bucket is the first shared one; those that join components so far apart."""
     component = np.unique(label, return_inverse=True)[1]
     keys = band_keys(raw, bands)
     a, b = [], []
     for i in range(len(s1)):
-        ok = np.flatnonzero((component != component[i]) & sizes_fit(n, n[i], percent) & (s1 > s1[i]) & (own != own[i] if apart else True))
-        ok = ok[(raw[ok] == raw[i]).sum(axis=1) >= least]
-        ok = ok[keys[i, (keys[ok] == keys[i]).argmax(axis=1)] == key]
-        for j in ok.tolist():
+        for j in first_shared(i, s1, n, component, own, raw, keys, key, apart, least, percent).tolist():
             if component[j] != component[i]:
                 shared = common(sets[i], sets[j])
                 if 100 * shared >= percent * (n[i] + n[j] - shared):
@@ -210,24 +215,59 @@ def spanning_links(s1: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.nda
     return a, b
 
 
-def open_links(cells: DataFrame, signatures: DataFrame, sets: DataFrame, bands: int, least: int, percent: int, block: int) -> DataFrame:
-    """x, y: links between components that share an open bucket; a task holds at most two blocks of members."""
-    full = cells.join(signatures, "s1").join(sets, F.col("s1") == F.col("of"))
+def met_in_blocks(full: DataFrame, block: int, *more: str) -> DataFrame:
+    """Members of open buckets by key and pair of blocks (lo, hi), placed and sorted so; those of the largest component meet the others only."""
     top = F.col("label") == F.col("top")
     many, rest = F.ceil(F.col("n_top") / block).cast("int"), F.ceil((F.col("size") - F.col("n_top")) / block).cast("int")
     place = F.xxhash64("s1", "key")
     own = F.when(top, F.pmod(place, many)).otherwise(many + F.pmod(place, rest)).cast("int")
     # blocks of the largest component meet those of the others, and not each other
     others = F.sequence(F.when(top, many).otherwise(F.lit(0)), many + rest - 1)
-    meeting = full.withColumn("own", own).withColumn("other", F.explode(others)).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "s1", "label", "n", "signature", "hashes")
+    meeting = full.withColumn("own", own).withColumn("other", F.explode(others)).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "s1", "label", "n", "signature", *more)
+    return meeting.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "s1")
+
+
+def arrays(g: pa.Table) -> tuple:
+    """Ids, sizes, components, blocks and signatures of members that meet."""
+    s1, n, label, own = (g[c].to_numpy() for c in ("s1", "n", "label", "own"))
+    return s1, n, label, own, np.frombuffer(b"".join(g["signature"].to_pylist()), "<u2").reshape(len(s1), -1)
+
+
+def measurable(cells: DataFrame, signatures: DataFrame, bands: int, least: int, percent: int, block: int) -> DataFrame:
+    """The cells of members that have anyone to be measured against in their bucket, told by sizes and signatures alone.
+
+    A member is one row for each bucket, however many it would be measured against.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
             g = pa.Table.from_batches(held)
-            s1, n, label, own = (g[c].to_numpy() for c in ("s1", "n", "label", "own"))
-            raw = np.frombuffer(b"".join(g["signature"].to_pylist()), "<u2").reshape(len(s1), -1)
+            s1, n, label, own, raw = arrays(g)
+            key, lo, hi = (g[k][0].as_py() for k in ("key", "lo", "hi"))
+            keys, has = band_keys(raw, bands), np.zeros(len(s1), dtype=bool)
+            for i in range(len(s1)):
+                ok = first_shared(i, s1, n, label, own, raw, keys, key, lo != hi, least, percent)
+                has[ok] = True
+                has[i] |= len(ok) > 0
+            return pa.RecordBatch.from_pydict({"k": pa.array([key] * int(has.sum()), pa.int64()), "s": pa.array(s1[has], pa.int64())})
+
+        yield from runs(batches, 3, held, flush)
+
+    some = met_in_blocks(cells.join(signatures, "s1"), block).mapInArrow(task, "k long, s long").distinct()
+    return cells.join(some, (F.col("key") == F.col("k")) & (F.col("s1") == F.col("s"))).drop("k", "s")
+
+
+def open_links(cells: DataFrame, signatures: DataFrame, sets: DataFrame, bands: int, least: int, percent: int, block: int) -> DataFrame:
+    """x, y: links between components that share an open bucket; a task holds at most two blocks of members."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            g = pa.Table.from_batches(held)
+            s1, n, label, own, raw = arrays(g)
             sets = [np.frombuffer(x, np.uint64) for x in g["hashes"].to_pylist()]
             key, lo, hi = (g[k][0].as_py() for k in ("key", "lo", "hi"))
             a, b = spanning_links(s1, n, label, own, raw, sets, key, bands, lo != hi, least, percent)
@@ -235,8 +275,8 @@ def open_links(cells: DataFrame, signatures: DataFrame, sets: DataFrame, bands:
 
         yield from runs(batches, 3, held, flush)
 
-    placed = meeting.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "s1")
-    return placed.mapInArrow(task, "x long, y long").distinct()
+    full = cells.join(signatures, "s1").join(sets, F.col("s1") == F.col("of"))
+    return met_in_blocks(full, block, "hashes").mapInArrow(task, "x long, y long").distinct()
 
 
 def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -261,6 +301,9 @@ def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, band
     cells = saved(open_cells(met, own))
     tidy(documents.sparkSession)
     if not cells.isEmpty():
+        # full sets travel only for members that have anyone to be measured against
+        cells, every = saved(measurable(cells, signatures, bands, least, percent, block)), cells
+        discard(every)
         wanted = saved(cells.select("s1").distinct().join(classes, "s1").select("s1", "rep"))
         sets = saved(full_sets(documents, wanted, size))
         found = saved(open_links(cells, signatures, sets, bands, least, percent, block))
