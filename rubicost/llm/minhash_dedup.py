@@ -22,7 +22,10 @@
    themselves, pairs of one component never, and a pair only in the first bucket
    that it shares. They meet with their signatures first; members that these
    leave anyone to be measured against meet again, with their full sets. A link found there joins its two components for
-   the task, so a task returns fewer links than it has members.
+   the task, so a task returns fewer links than it has members. There are as many
+   blocks as the bytes of a bucket need: a member of a bucket that two blocks hold
+   is one row, or one for each block beyond. Blocks are dealt by range, so that
+   large buckets don't gather in a task.
 
 Links are confirmed on the full sets: stars on the texts' shingles, the others
 on all 64-bit hashes of these. Only a link that no band proposes is lost, with
@@ -42,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubicost.llm.common import GOLDEN, discard, map_slices, mix64, saved, signed, slices, tidy
@@ -52,8 +55,10 @@ SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 50, 5
 #: how far below its mean the agreement of a linked pair's signatures may be
 DEVIATIONS = 7.5
-#: members of an open bucket that meet in one task
-BLOCK = 256
+#: members of an open bucket in a block, at most: two blocks are compared in one task
+BLOCK = 8192
+#: bytes of what the members of a block bring along, on average
+VOLUME = 16 << 20
 
 SCAN = "doc_id long, n_shingles long, s1 long, s2 long, signature binary"
 
@@ -166,11 +171,11 @@ def sizes_fit(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def open_cells(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, s1, label, size, top, n_top of the members of buckets that hold several components, ``top`` being the largest."""
+    """key, s1, label, top of the members of buckets that hold several components, ``top`` being the largest."""
     named = met.join(labels, "s1").select("key", "s1", "label")
     kinds = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy(F.col("key").alias("k"))
     mixed = kinds.agg(F.sum("m").alias("size"), F.max(F.struct("m", "label")).alias("z"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1 AND size > 2")
-    return named.join(mixed, F.col("key") == F.col("k")).select("key", "s1", "label", "size", F.col("z.label").alias("top"), F.col("z.m").alias("n_top"))
+    return named.join(mixed, F.col("key") == F.col("k")).select("key", "s1", "label", F.col("z.label").alias("top"))
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -215,16 +220,29 @@ def spanning_links(s1: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.nda
     return a, b
 
 
-def met_in_blocks(full: DataFrame, block: int, *more: str) -> DataFrame:
-    """Members of open buckets by key and pair of blocks (lo, hi), placed and sorted so; those of the largest component meet the others only."""
+def with_blocks(cells: DataFrame, volume: Column, block: int) -> DataFrame:
+    """cells with many, rest: the blocks of each bucket's largest component and of its other members, by number and bytes."""
     top = F.col("label") == F.col("top")
-    many, rest = F.ceil(F.col("n_top") / block).cast("int"), F.ceil((F.col("size") - F.col("n_top")) / block).cast("int")
+
+    def needed(these: Column) -> Column:
+        parts = F.greatest(F.sum(these.cast("int")) / block, F.sum(F.when(these, volume).otherwise(0)) / VOLUME)
+        return F.ceil(parts).cast("int")
+
+    own = cells.groupBy(F.col("key").alias("k")).agg(needed(top).alias("many"), needed(~top).alias("rest"))
+    # a bucket that one block holds is one
+    own = own.select("k", F.when(F.greatest("many", "rest") > 1, F.col("many")).otherwise(0).alias("many"), F.greatest("rest", F.lit(1)).alias("rest"))
+    return cells.join(own, F.col("key") == F.col("k")).drop("k")
+
+
+def met_in_blocks(full: DataFrame, *more: str) -> DataFrame:
+    """Members of open buckets by key and pair of blocks (lo, hi), placed and sorted so; those of the largest component meet the others only."""
+    top = (F.col("label") == F.col("top")) & (F.col("many") > 0)
     place = F.xxhash64("s1", "key")
-    own = F.when(top, F.pmod(place, many)).otherwise(many + F.pmod(place, rest)).cast("int")
+    own = F.when(top, F.pmod(place, F.greatest("many", F.lit(1)))).otherwise(F.col("many") + F.pmod(place, F.col("rest"))).cast("int")
     # blocks of the largest component meet those of the others, and not each other
-    others = F.sequence(F.when(top, many).otherwise(F.lit(0)), many + rest - 1)
+    others = F.sequence(F.when(top, F.col("many")).otherwise(F.lit(0)), F.col("many") + F.col("rest") - 1)
     meeting = full.withColumn("own", own).withColumn("other", F.explode(others)).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "s1", "label", "n", "signature", *more)
-    return meeting.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "s1")
+    return meeting.repartitionByRange("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "s1")
 
 
 def arrays(g: pa.Table) -> tuple:
@@ -255,7 +273,9 @@ def measurable(cells: DataFrame, signatures: DataFrame, bands: int, least: int,
 
         yield from runs(batches, 3, held, flush)
 
-    some = met_in_blocks(cells.join(signatures, "s1"), block).mapInArrow(task, "k long, s long").distinct()
+    # a signature and the keys of its bands
+    full = with_blocks(cells, F.lit((2 * ROWS + 8) * bands), block).join(signatures, "s1")
+    some = met_in_blocks(full).mapInArrow(task, "k long, s long").distinct()
     return cells.join(some, (F.col("key") == F.col("k")) & (F.col("s1") == F.col("s"))).drop("k", "s")
 
 
@@ -275,8 +295,9 @@ def open_links(cells: DataFrame, signatures: DataFrame, sets: DataFrame, bands:
 
         yield from runs(batches, 3, held, flush)
 
-    full = cells.join(signatures, "s1").join(sets, F.col("s1") == F.col("of"))
-    return met_in_blocks(full, block, "hashes").mapInArrow(task, "x long, y long").distinct()
+    sized = cells.join(signatures.select("s1", F.col("n").alias("m")), "s1")
+    full = with_blocks(sized, 8 * F.col("m"), block).join(signatures, "s1").join(sets, F.col("s1") == F.col("of"))
+    return met_in_blocks(full, "hashes").mapInArrow(task, "x long, y long").distinct()
 
 
 def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:

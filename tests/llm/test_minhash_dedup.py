@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rubicost.llm import jaccard_metric as jm
 from rubicost.llm import minhash_dedup as mh
@@ -63,3 +64,18 @@ def test_odd_rows(spark):
         assert rows[6]["n_shingles"] == 1 and rows[4]["component_id"] == 4
         assert all(r["component_id"] is None and r["kept"] for r in got.where("doc_id IS NULL").collect())
     assert mh.join(docs.limit(0)).count() == 0
+
+
+def test_rows_of_a_large_open_bucket_grow_with_its_members(spark):
+    """Members of a bucket are one row each while two blocks hold it; sets of many bytes make more blocks, whatever their number."""
+    cells = spark.range(3000).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("s1"), F.col("id").alias("label"), F.lit(0).cast("long").alias("top"), F.lit(10).alias("n"), F.lit(b"").alias("signature"))
+    few = mh.met_in_blocks(mh.with_blocks(cells, F.lit(2000), mh.BLOCK))
+    assert few.count() == 3000 and few.select("lo", "hi").distinct().count() == 1
+    wide = mh.with_blocks(cells, F.lit(160_000), mh.BLOCK)
+    blocks = -(-160_000 * 2999 // mh.VOLUME)
+    assert wide.select("many", "rest").distinct().collect() == [(1, blocks)]
+    met = mh.met_in_blocks(wide)
+    assert met.count() == 2999 * (1 + blocks) + blocks
+    # every pair of which not both are of the largest component meets
+    assert met.select("lo", "hi").distinct().count() == blocks * (blocks + 1) // 2 + blocks
+    assert mh.with_blocks(cells, F.lit(1), 500).select("rest").distinct().collect() == [(6,)]
