@@ -5,7 +5,7 @@ generators propose further, overlapping spans: obfuscated addresses, numbers
 with other separators, national telephone formats. Each candidate gets format
 features (digits, groups, separators, check sums) and context features (the
 characters around it, key words before it). Gradient boosted trees, fitted with
-logistic loss on a bounded sample, score them. Positives are candidates that a
+logistic loss on all examples of the corpus, score them. Positives are candidates that a
 validated base span of the kind covers for the most part, and base spans written
 anew in the forms of the generators in their own place (``rewritten``), so that
 what base rules cannot see is learned. Negatives are candidates that a check
@@ -19,9 +19,12 @@ most ``LONGEST`` characters long; no card, address or number reaches that. Rewri
 more frequent there than in the corpus, so the precision on a corpus may be
 lower. Selected spans that overlap a base span or a better one are dropped.
 
-Offsets are code points, ends exclusive. The sample is at most ``sample``
-candidates, the smallest by a hash of place; it, counts by 2**BINS ranges of
-that hash and the trees go through the driver. Every text is searched whole.
+Offsets are code points, ends exclusive. Examples are counted by features and
+label in tasks. A tree's level needs sums of gradients by node, feature and bin,
+a threshold counts by score (in steps of 1 / GRID): these, of a fixed size
+whatever the corpus, and the trees are all that goes through the driver.
+Gradients are whole multiples of 1 / SCALE, so sums don't depend on how rows are
+dealt. Every text is searched whole, none of its examples is left out.
 
 Defined results: a null text is empty and has no spans; repeated rows get equal
 results; null ids are kept; with no candidates in the corpus only base spans
@@ -33,19 +36,24 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubicost.llm.common import ddl, discard, map_slices, saved
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000
 #: characters of a candidate
 LONGEST = 200
-#: bits of the place of a candidate by which candidates are counted
-BINS = 15
+#: steps of scores between 0 and 1
+GRID = 1 << 14
+#: steps of a gradient
+SCALE = 1 << 24
+#: distinct examples of a task
+ROWS = 200_000
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 # Fixed patterns of the base rules. The look-behind starts a search for numbers
@@ -237,24 +245,69 @@ def examples(text: str | None) -> list[tuple[int, int, list[float], bool, bool]]
     return out
 
 
-def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int, width: int, l2: float = 1.0) -> tuple:
-    """A regression tree over binned features: (value,) or (feature, bin, left, right)."""
-    total_g, total_h = g[rows].sum(), h[rows].sum()
-    leaf = (float(-total_g / (total_h + l2)),)
-    if depth == 0 or len(rows) < 20:
-        return leaf
-    best = (1e-6, None, None)
+def edges_of(values: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
+    """Upper ends of at most ``width`` bins of about as many rows each, but for the last one's; values in order, with their counts."""
+    ends = np.cumsum(counts)
+    return np.unique(values[np.searchsorted(ends, np.rint(np.linspace(0, 1, width) * (ends[-1] - 1)), side="right")])[:-1]
+
+
+def level_sums(bins: np.ndarray, y: np.ndarray, n: np.ndarray, margin: np.ndarray, splits: dict[int, tuple[int, int]], nodes: list[int], width: int) -> np.ndarray:
+    """Sums of gradients, of their derivatives (both times SCALE) and of rows: by node, kind of sum, feature and bin.
+
+    Nodes are numbered as in a heap, from 1 on; ``splits`` are those above the level.
+    """
+    at = np.ones(len(bins), dtype=np.int64)
+    for node, (f, b) in sorted(splits.items()):
+        own = at == node
+        at[own] = 2 * node + (bins[own, f] > b)
+    p = 1 / (1 + np.exp(-margin))
+    weights = [np.rint(v * SCALE) * n for v in (p - y, p * (1 - p))] + [n]
+    slot = np.full(at.max(initial=1) + 1, -1)
+    slot[[k for k in nodes if k < len(slot)]] = [i for i, k in enumerate(nodes) if k < len(slot)]
+    slot = slot[at]
+    own = slot >= 0
+    out = np.zeros((len(nodes), 3, bins.shape[1], width), dtype=np.int64)
     for f in range(bins.shape[1]):
-        gs = np.cumsum(np.bincount(bins[rows, f], g[rows], minlength=width))[:-1]
-        hs = np.cumsum(np.bincount(bins[rows, f], h[rows], minlength=width))[:-1]
-        gain = gs**2 / (hs + l2) + (total_g - gs) ** 2 / (total_h - hs + l2) - total_g**2 / (total_h + l2)
-        at = int(gain.argmax())
-        if gain[at] > best[0] + 1e-9:
-            best = (float(gain[at]), f, at)
-    if best[1] is None:
-        return leaf
-    go = bins[rows, best[1]] <= best[2]
-    return best[1], best[2], grow(bins, g, h, rows[go], depth - 1, width, l2), grow(bins, g, h, rows[~go], depth - 1, width, l2)
+        place = slot[own] * width + bins[own, f]
+        for i, w in enumerate(weights):
+            out[:, i, f] = np.rint(np.bincount(place, w[own], minlength=len(nodes) * width)).astype(np.int64).reshape(-1, width)
+    return out
+
+
+def grow(sums: Callable[[dict, list[int]], np.ndarray], depth: int, l2: float = 1.0) -> tuple:
+    """A regression tree over binned features, level by level: (value,) or (feature, bin, left, right)."""
+    splits: dict[int, tuple[int, int]] = {}
+    totals: dict[int, tuple[float, float]] = {}
+    nodes = [1]
+    for _ in range(depth):
+        if not nodes:
+            break
+        below = []
+        for node, (g, h, n) in zip(nodes, sums(splits, nodes), strict=True):
+            g, h = g.cumsum(axis=1) / SCALE, h.cumsum(axis=1) / SCALE
+            total_g, total_h = totals[node] = float(g[0, -1]), float(h[0, -1])
+            if n[0].sum() < 20:
+                continue
+            gs, hs = g[:, :-1], h[:, :-1]
+            gain = gs**2 / (hs + l2) + (total_g - gs) ** 2 / (total_h - hs + l2) - total_g**2 / (total_h + l2)
+            best = (1e-6, None, None)
+            for f, at in enumerate(gain.argmax(axis=1).tolist()):
+                if gain[f, at] > best[0] + 1e-9:
+                    best = (float(gain[f, at]), f, at)
+            if best[1] is not None:
+                _, f, at = best
+                splits[node] = (f, at)
+                totals[2 * node] = float(gs[f, at]), float(hs[f, at])
+                totals[2 * node + 1] = total_g - float(gs[f, at]), total_h - float(hs[f, at])
+                below += [2 * node, 2 * node + 1]
+        nodes = below
+
+    def tree(node: int) -> tuple:
+        if node in splits:
+            return (*splits[node], tree(2 * node), tree(2 * node + 1))
+        return (-totals[node][0] / (totals[node][1] + l2),)
+
+    return tree(1)
 
 
 def tree_value(tree: tuple, bins: np.ndarray) -> np.ndarray:
@@ -277,77 +330,142 @@ class Boosted:
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(self.edges)], axis=1)
 
+    def margin(self, bins: np.ndarray) -> np.ndarray:
+        total = np.full(len(bins), self.prior)
+        for t in self.trees:
+            total += self.rate * tree_value(t, bins)
+        return total
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        total = np.full(len(x), self.prior)
-        if self.trees and len(x):
-            bins = self.bins(x)
-            for t in self.trees:
-                total += self.rate * tree_value(t, bins)
-        return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+        """Scores from 0 to 1 in steps of 1 / GRID."""
+        return self.scored(self.bins(x)) if self.trees and len(x) else np.zeros(len(x))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, precision: float, least: int = 20, judged: np.ndarray | None = None) -> Boosted:
-        """Fits on the rows that aren't held out; calibrates the thresholds on those that are, of ``judged`` if given."""
-        train = ~held
-        if not y[train].any() or y[train].all():
-            return self
-        self.edges = [np.unique(np.quantile(x[train, f], np.linspace(0, 1, self.width), method="nearest"))[:-1] for f in range(x.shape[1])]
-        bins, target = self.bins(x[train]), y[train].astype(float)
-        share = target.mean()
+    def scored(self, bins: np.ndarray) -> np.ndarray:
+        return np.floor(GRID / (1 + np.exp(-np.clip(self.margin(bins), -35, 35)))) / GRID
+
+    def boost(self, share: float, sums: Callable[[Boosted, dict, list[int]], np.ndarray]) -> None:
+        """Grows the trees from the sums of each level; ``share`` of the rows are positive."""
         self.prior = float(np.log(share / (1 - share)))
-        total, rows = np.full(len(target), self.prior), np.arange(len(target))
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-total))
-            self.trees.append(grow(bins, p - target, p * (1 - p), rows, self.depth, self.width + 1))
-            total += self.rate * tree_value(self.trees[-1], bins)
-        scores = self.score(x)
-        counted = held & (True if judged is None else judged)
+            self.trees.append(grow(lambda splits, nodes: sums(self, splits, nodes), self.depth))
 
-        def ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def calibrate(self, kind: np.ndarray, scores: np.ndarray, positive: np.ndarray, rows: np.ndarray, precision: float, least: int = 20) -> Boosted:
+        """Thresholds from the numbers of held-out positives and rows by kind and score."""
+
+        def ranked(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Scores from the highest on, the positives and the rows up to each."""
-            order = np.argsort(-scores[rows], kind="stable")
-            t = np.cumsum(y[rows][order])
-            return scores[rows][order], t, np.arange(1, len(t) + 1)
-
-        all_s, all_t, all_n = ranked(counted)
-        for i, kind in enumerate(KINDS):
-            s, t, n = ranked(counted & (x[:, 0] == i))
-            ends = np.append(s[1:], -1) < s
-            good = np.flatnonzero((t / n >= precision) & (t >= least) & ends)
+            s, at = np.unique(-scores[own], return_inverse=True)
+            return -s, *(np.cumsum(np.bincount(at, v[own], minlength=len(s))) for v in (positive, rows))
+
+        all_s, all_t, all_n = ranked(rows > 0)
+        for i, name in enumerate(KINDS):
+            s, t, n = ranked((kind == i) & (rows > 0))
+            good = np.flatnonzero((t / n >= precision) & (t >= least))
             if not len(good) and len(s):
                 # few of a kind: as if it had ``least`` rows more, of the precision that all kinds have down to there
                 at = np.searchsorted(-all_s, -s, side="right") - 1
                 pooled = all_t[at] / all_n[at]
-                good = np.flatnonzero(((t + least * pooled) / (n + least) >= precision) & (t > 0) & (all_t[at] >= least) & ends)
+                good = np.flatnonzero(((t + least * pooled) / (n + least) >= precision) & (t > 0) & (all_t[at] >= least))
             if len(good):
-                self.thresholds[kind] = max(0.5, float(s[good[-1]]))
+                self.thresholds[name] = max(0.5, float(s[good[-1]]))
         return self
 
+    def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, precision: float, least: int = 20, judged: np.ndarray | None = None) -> Boosted:
+        """Fits on the rows of an array that aren't held out; calibrates the thresholds on those that are, of ``judged`` if given."""
+        train = ~held
+        if not y[train].any() or y[train].all():
+            return self
+        self.edges = [edges_of(*np.unique(x[train, f], return_counts=True), self.width) for f in range(x.shape[1])]
+        bins, target, n = self.bins(x[train]), y[train].astype(float), np.ones(int(train.sum()))
+        self.boost(target.mean(), lambda model, splits, nodes: level_sums(bins, target, n, model.margin(bins), splits, nodes, model.width))
+        counted = held & (True if judged is None else judged)
+        return self.calibrate(x[counted, 0], self.score(x[counted]), y[counted], np.ones(int(counted.sum())), precision, least)
+
+    def fit_blocks(self, blocks: RDD, precision: float) -> Boosted:
+        """The same from blocks in tasks: features, labels, held-out and base rows, and how many rows each stands for."""
+        width = self.width
+
+        def values(block: tuple) -> np.ndarray:
+            x, y, held, _, n = block
+            own = n * ~held
+            by_value = np.stack([np.bincount(x[:, f], own, minlength=256) for f in range(x.shape[1])])
+            return np.append(by_value.ravel(), (own * y).sum()).astype(np.int64)
+
+        found = blocks.map(values).treeReduce(np.add)
+        counts, positive = found[:-1].reshape(-1, 256), int(found[-1])
+        rows = int(counts[0].sum())
+        if positive in (0, rows):
+            return self
+        self.edges = [edges_of(np.flatnonzero(c), c[c > 0], width) for c in counts]
+        edges = self.edges
+
+        def binned(block: tuple) -> tuple:
+            x = block[0]
+            return (np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1).astype(np.uint8), x[:, 0], *block[1:])
+
+        placed = blocks.map(binned).persist(StorageLevel.MEMORY_AND_DISK)
+
+        def sums(model: Boosted, splits: dict, nodes: list[int]) -> np.ndarray:
+            def own(block: tuple) -> np.ndarray:
+                bins, _, y, held, _, n = block
+                some = bins[~held]
+                return level_sums(some, y[~held].astype(float), n[~held], model.margin(some), splits, nodes, width)
+
+            return placed.map(own).treeReduce(np.add)
+
+        self.boost(positive / rows, sums)
+        model = self
 
-def fit(documents: DataFrame, sample: int = SAMPLE, precision: float = 0.98) -> Boosted:
-    """Trees and thresholds from a bounded sample of the candidates of all documents."""
+        def judged(block: tuple) -> list[tuple]:
+            bins, kind, y, held, base, n = block
+            own = held & ~base
+            if not own.any():
+                return []
+            at = kind[own].astype(np.int64) * (GRID + 1) + (model.scored(bins[own]) * GRID).astype(np.int64)
+            places, inverse = np.unique(at, return_inverse=True)
+            sums = (np.bincount(inverse, v).astype(np.int64).tolist() for v in (n[own] * y[own], n[own]))
+            return list(zip(places.tolist(), zip(*sums, strict=True), strict=True))
+
+        got = placed.flatMap(judged).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1])).collect()  # at most 4 * (GRID + 1) rows
+        placed.unpersist()
+        at, t, n = (np.array(v, dtype=np.int64) for v in ([k for k, _ in got], [v[0] for _, v in got], [v[1] for _, v in got]))
+        return self.calibrate(at // (GRID + 1), at % (GRID + 1) / GRID, t, n, precision)
+
+
+def counted_examples(documents: DataFrame) -> DataFrame:
+    """x (a byte for each feature), y, held, base, n: the examples of all documents, those of one place once, counted by what a model sees of them."""
 
     def start():
         def work(cols):
             rows = [e for text in cols["text"] for e in examples(text)]
-            return {k: [e[i] for e in rows] for i, k in enumerate(("place", "fold", "x", "y", "base"))}
+            x = np.minimum([e[2] for e in rows], 255).astype(np.uint8)  # only base spans are as long
+            return {"place": [e[0] for e in rows], "x": [v.tobytes() for v in x], "y": [e[3] for e in rows], "held": [e[1] == 0 for e in rows], "base": [e[4] for e in rows]}
 
         return work
 
     some = documents.where(F.col("text").rlike("[0-9@]|at")).select("text")
-    found = saved(map_slices(some, start, "place long, fold int, x array<double>, y boolean, base boolean").dropDuplicates(["place"]))
-    # places are 56 bits of a hash: counts by their first bits tell up to where the sample goes
-    counts = sorted(tuple(r) for r in found.groupBy(F.shiftright("place", 56 - BINS).alias("bin")).count().collect())
-    until, total = 0, 0
-    while until < len(counts) and total < sample:
-        total += counts[until][1]
-        until += 1
-    rows = found.where(F.col("place") < (counts[until - 1][0] + 1 << 56 - BINS)).collect() if counts else []
-    rows = sorted(rows, key=lambda r: r["place"])[:sample]
-    discard(found)
-    if not rows:
+    found = map_slices(some, start, "place long, x binary, y boolean, held boolean, base boolean")
+    once = found.groupBy("place").agg(F.min(F.struct("x", "y", "held", "base")).alias("e"))
+    return once.select("e.*").groupBy("x", "y", "held", "base").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fit(documents: DataFrame, precision: float = 0.98) -> Boosted:
+    """Trees and thresholds from the examples of all documents."""
+    counts = saved(counted_examples(documents))
+    distinct = counts.count()
+    if not distinct:
+        discard(counts)
         return Boosted()
-    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
-    return Boosted().fit(x, y, np.array([r["fold"] == 0 for r in rows]), precision, judged=~np.array([r["base"] for r in rows]))
+
+    def packed(rows):
+        if rows := list(rows):
+            x = np.frombuffer(b"".join(r["x"] for r in rows), np.uint8).reshape(len(rows), -1)
+            yield (x, *(np.array([r[k] for r in rows]) for k in ("y", "held", "base", "n")))
+
+    blocks = counts.repartition(-(-distinct // ROWS), "x").rdd.mapPartitions(packed)
+    model = Boosted().fit_blocks(blocks, precision)
+    discard(counts)
+    return model
 
 
 def spans_of(text: str | None, model: Boosted) -> tuple[dict, dict]:

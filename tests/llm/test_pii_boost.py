@@ -155,3 +155,22 @@ def test_added_spans_on_the_smaller_corpus(spark):
     print("recall", hits / 300, "with other spans", extra / 300, "look-alikes taken", wrong / 300)
     assert all(sum(x) >= 0.9 * len(x) for x in by_kind.values()), {k: (sum(x), len(x)) for k, x in by_kind.items()}
     assert wrong <= 0.05 * 300
+
+
+def test_the_model_comes_from_every_example(spark, monkeypatch):
+    """Trees and thresholds of tasks are those of all examples in one array, however many and however they are dealt."""
+    more = spark.createDataFrame([(f"write to name{i}.of{i * i}@host{i % 7}.example.com today",) for i in range(200)], "text string")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").unionByName(more)
+    best = {}
+    for text in {r["text"] for r in docs.select("text").collect() if r["text"] and re.search("[0-9@]|at", r["text"])}:
+        for place, fold, x, y, base in pb.examples(text):
+            row = (bytes(min(int(v), 255) for v in x), y, fold == 0, base)
+            best[place] = min(row, best.get(place, row))
+    rows = list(best.values())
+    assert len(rows) > 20_000 and pb.counted_examples(docs).groupBy().sum("n").collect()[0][0] == len(rows)
+    x = np.array([list(r[0]) for r in rows])
+    y, held, base = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+    whole = pb.Boosted().fit(x, y, held, 0.98, judged=~base)
+    monkeypatch.setattr(pb, "ROWS", 300)
+    dealt = pb.fit(docs)
+    assert len(whole.trees) == 40 and dealt.trees == whole.trees and dealt.thresholds == whole.thresholds
