@@ -462,7 +462,8 @@ def fit(documents: DataFrame, precision: float = 0.98) -> Boosted:
             x = np.frombuffer(b"".join(r["x"] for r in rows), np.uint8).reshape(len(rows), -1)
             yield (x, *(np.array([r[k] for r in rows]) for k in ("y", "held", "base", "n")))
 
-    blocks = counts.repartition(-(-distinct // ROWS), "x").rdd.mapPartitions(packed)
+    # dealt without a key: every level passes over all blocks, so there are no more than the rows need
+    blocks = counts.repartition(-(-distinct // ROWS)).rdd.mapPartitions(packed)
     model = Boosted().fit_blocks(blocks, precision)
     discard(counts)
     return model

@@ -174,3 +174,19 @@ def test_the_model_comes_from_every_example(spark, monkeypatch):
     monkeypatch.setattr(pb, "ROWS", 300)
     dealt = pb.fit(docs)
     assert len(whole.trees) == 40 and dealt.trees == whole.trees and dealt.thresholds == whole.thresholds
+
+
+def test_no_more_blocks_than_the_examples_need(spark, monkeypatch):
+    """Each of the 120 passes is a task for each block: few rows stay one block in a session that deals what goes by key to many tasks."""
+    kind, seen = type(spark.range(0)), []
+    repartition = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *cols: repartition(self, max(n, 60) if cols else n, *cols))
+    monkeypatch.setattr(pb.Boosted, "fit_blocks", lambda self, blocks, precision: seen.append(sorted(int(b[-1].sum()) for b in blocks.collect())) or self)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counts = pb.counted_examples(docs).persist()
+    distinct, rows = counts.count(), counts.groupBy().sum("n").collect()[0][0]
+    pb.fit(docs)
+    monkeypatch.setattr(pb, "ROWS", -(-distinct // 3))
+    pb.fit(docs)
+    counts.unpersist()
+    assert [len(blocks) for blocks in seen] == [1, 3] and [sum(blocks) for blocks in seen] == [rows, rows]
