@@ -45,3 +45,14 @@ def test_tables_without_rows_or_values(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             left = stage(spark, left, sf_dir)
         assert left.count() == 0
+
+
+def test_the_pii_stage_is_fitted_in_as_few_blocks_as_its_rows_need(spark, monkeypatch):
+    """However many tasks a session deals rows by key to."""
+    kind, seen = type(spark.range(0)), []
+    repartition = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *cols: repartition(self, max(n, 60) if cols else n, *cols))
+    monkeypatch.setattr(pii_boost.Boosted, "fit_blocks", lambda self, blocks, precision: seen.append(blocks.getNumPartitions()) or self)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["pii"]
+    assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns and seen == [1]
