@@ -196,8 +196,12 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that no frame refers to any more; it does so when the driver collects its garbage."""
+    """Lets Spark delete shuffle files that no frame refers to any more; it does so when the driver collects its garbage.
+
+    Spark's listeners hold the last query until another one ends, hence the empty one.
+    """
     gc.collect()
+    spark.createDataFrame([], "x int").collect()
     spark.sparkContext._jvm.System.gc()
 
 

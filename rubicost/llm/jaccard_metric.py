@@ -9,10 +9,12 @@ is the connected component of each document.
    where a pivot says nothing, so regions are cells of documents that agree on
    a slice of the shingle universe. Sizes fall into classes; a class has more
    slices than linked documents of its sizes can have differing shingles, and
-   some to spare. Linked documents hence agree on more slices than were spared,
-   and share a cell: a slice that is equal and not empty or, where a document
-   has more empty slices than were spared, one of its first empty slices (the
-   prefix of a set that has to overlap another in so many members).
+   some to spare. A document names one cell more than it can have differing
+   shingles from any it links with, and leaves out the slices with the fewest
+   shingles (later ones first): of two sets that overlap in more members than
+   either leaves out, in one order for all, a common one stays in both. A slice
+   of a single shingle is what documents share by chance, ever more of them the
+   more there are; hardly any names a cell.
 3. Each cell's smallest member is its pivot and is measured against all others,
    linearly in its size. Members within the radius link to the pivot; pairs in
    one component are settled, which ends cells of near copies however large.
@@ -27,7 +29,8 @@ is the connected component of each document.
    its two members share.
 
 A slice is kept as 32 bits, which are the hashes of its finer slices. All slices
-of a document are its sketch. The number of fine slices that differ is a metric
+of a document, and two bits each for how many shingles they hold, are its
+sketch. The number of fine slices that differ is a metric
 too and never more than the number of shingles that differ, so it rules pairs
 out before any text is read (steps 3 and 4). What it doesn't rule out is
 measured on the texts' own shingles: hashes only propose.
@@ -124,30 +127,53 @@ class SizeClasses:
             return range(0)
         return range(self.at(n), self.at(n * 100 // self.percent) + 1)
 
+    def spare(self, c: int, n: int) -> int:
+        """How many slices of class c a set of n members can leave out: one less than it has in common with any that it links with."""
+        largest = min(self.tops[c], n * 100 // self.percent)
+        return self.slices(c)[0] - (n + largest) * (100 - self.percent) // (100 + self.percent) - 1
+
     def unpacked(self, sketch: bytes) -> np.ndarray:
         """The fine slices of a sketch."""
-        return np.frombuffer(sketch, dtype=f"<u{4 // self.fine}")
+        return parted(np.frombuffer(sketch, "<u4"))[0].view(f"<u{4 // self.fine}")
+
+
+#: slices whose numbers of shingles, two bits each, share 32 bits of a sketch
+PACKED = 16
 
 
 def sketch(h: np.ndarray, m: int, fine: int) -> np.ndarray:
-    """32 bits for each slice of a set, made of the hashes of its fine slices; 0 for an empty one."""
+    """32 bits for each slice of a set, made of the hashes of its fine slices, then how many members each slice has, up to 3."""
     at = ((h >> np.uint64(20)) % np.uint64(fine * m)).astype(np.int64)
     sums = np.zeros(fine * m, dtype=np.uint64)
     np.add.at(sums, at, mix64(h))
-    return (mix64(sums) >> np.uint64(64 - 32 // fine)).astype(f"<u{4 // fine}").view("<u4")
+    slices = (mix64(sums) >> np.uint64(64 - 32 // fine)).astype(f"<u{4 // fine}").view("<u4")
+    held = np.zeros(-(-m // PACKED) * PACKED, dtype="<u4")
+    held[:m] = np.minimum(np.bincount(at // fine, minlength=m), 3)
+    return np.concatenate([slices, (held.reshape(-1, PACKED) << BITS).sum(axis=1, dtype="<u4")])
+
 
+BITS = np.arange(0, 2 * PACKED, 2, dtype="<u4")
 
-def posted(slices: np.ndarray, spare: int) -> np.ndarray:
-    """Which slices name a cell: those that aren't empty, and the first empty ones beyond the spare number."""
-    out = slices != 0
-    empty = np.flatnonzero(~out)
-    out[empty[: max(0, len(empty) - spare)]] = True
+
+def parted(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of a sketch, or of many (rows), and how many members each has, up to 3."""
+    n = sketches.shape[-1]
+    m = n - -(-n // (PACKED + 1))
+    held = (sketches[..., m:, None] >> BITS & np.uint32(3)).astype(np.uint8)
+    return sketches[..., :m], held.reshape(*sketches.shape[:-1], -1)[..., :m]
+
+
+def posted(held: np.ndarray, spare: int) -> np.ndarray:
+    """Which slices name a cell: all but the spare number of those with the fewest members, later ones first."""
+    out = np.ones(len(held), dtype=bool)
+    out[len(held) - 1 - np.argsort(held[::-1], kind="stable")[:spare]] = False
     return out
 
 
-def cell_keys(c: int, slices: np.ndarray, spare: int) -> np.ndarray:
+def cell_keys(c: int, sketch: np.ndarray, spare: int) -> np.ndarray:
     """Cells of a set in a class: the class, the slice's place (24 bits) and its content, side by side."""
-    at = np.flatnonzero(posted(slices, spare)).astype(np.uint64)
+    slices, held = parted(sketch)
+    at = np.flatnonzero(posted(held, spare)).astype(np.uint64)
     return signed(np.uint64(c & 127) << np.uint64(56) | (at & np.uint64(0xFFFFFF)) << np.uint64(32) | slices[at].astype(np.uint64))
 
 
@@ -192,7 +218,7 @@ def postings(rows: DataFrame, percent: int) -> DataFrame:
                 keys, owner = [], []
                 for s1, n, sigs in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     classes.of(n)
-                    own = [cell_keys(z["c"], np.frombuffer(z["sketch"], "<u4"), classes.slices(z["c"])[1]) for z in sigs]
+                    own = [cell_keys(z["c"], np.frombuffer(z["sketch"], "<u4"), classes.spare(z["c"], n)) for z in sigs]
                     keys += own
                     owner.append(np.full(sum(map(len, own)), s1, dtype=np.int64))
                 if keys:
@@ -362,19 +388,20 @@ def class_of(key: str) -> Column:
 
 
 def bundled(cells: DataFrame, sketches: DataFrame) -> DataFrame:
-    """p, c, s1, label, n, sketch, bytes: the members of all open cells with one pivot, once, and the size of their sketches."""
-    members = cells.select("p", "c", "s1", "label").distinct().join(sketches, ["s1", "c"])
-    sizes = members.groupBy(F.col("p").alias("of"), F.col("c").alias("of_c")).agg(F.sum(F.length("sketch")).alias("bytes"))
-    return members.join(sizes, (F.col("p") == F.col("of")) & (F.col("c") == F.col("of_c"))).select("p", "c", "s1", "label", "n", "sketch", "bytes")
+    """p, c, s1, label, bytes: the members of all open cells with one pivot, once, and the size of their sketches, which are as long as each other."""
+    members = cells.select("p", "c", "s1", "label").distinct()
+    widths = sketches.groupBy(F.col("c").alias("w_c")).agg(F.max(F.length("sketch")).alias("width"))
+    sizes = members.groupBy(F.col("p").alias("of"), F.col("c").alias("of_c")).agg(F.count(F.lit(1)).alias("n")).join(widths, F.col("of_c") == F.col("w_c"))
+    both = members.join(sizes, (F.col("p") == F.col("of")) & (F.col("c") == F.col("of_c")))
+    return both.select("p", "c", "s1", "label", (F.col("n") * F.col("width")).alias("bytes"))
 
 
 def bundle_pairs(pivot: int, sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray, c: int, percent: int, classes: SizeClasses) -> list[tuple[int, int]]:
     """Positions of the pairs of members of one class that may link and whose first shared cell the pivot is in."""
     classes.of(int(sizes.max()))
-    spare = classes.slices(c)[1]
-    empty = sketches == 0
-    # as ``posted``, for all members at once
-    named = ~empty | (np.cumsum(empty, axis=1) <= empty.sum(axis=1, keepdims=True) - spare)
+    sketches, held = parted(sketches)
+    named = np.stack([posted(x, classes.spare(c, int(n))) for x, n in zip(held, sizes, strict=True)])
+    sketches = np.ascontiguousarray(sketches)
     fine = sketches.view(f"<u{4 // classes.fine}")
     largest = np.array([classes.at(int(n)) for n in sizes])
     found = []
@@ -389,7 +416,7 @@ def bundle_pairs(pivot: int, sketches: np.ndarray, sizes: np.ndarray, labels: np
     return found
 
 
-def joined_bundles(bundles: DataFrame, percent: int) -> DataFrame:
+def joined_bundles(bundles: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """x, y of pairs within bundles that may link; a task holds one bundle at a time."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +434,8 @@ def joined_bundles(bundles: DataFrame, percent: int) -> DataFrame:
 
         yield from runs(batches, 2, held, flush)
 
-    placed = bundles.select("p", "c", "s1", "label", "n", "sketch").repartition("p", "c").sortWithinPartitions("p", "c", "s1")
+    full = bundles.join(sketches, ["s1", "c"]).select("p", "c", "s1", "label", "n", "sketch")
+    placed = full.repartition("p", "c").sortWithinPartitions("p", "c", "s1")
     return placed.mapInArrow(task, "x long, y long")
 
 
@@ -453,7 +481,7 @@ def joined_in_tasks(cells: DataFrame, sketches: DataFrame, percent: int, region:
             raw, s1, sizes = g["sketch"].to_pylist(), g["s1"].to_numpy(), g["n"].to_numpy()
             c, i = key >> 56, key >> 32 & 0xFFFFFF
             got = region_pairs(np.stack([classes.unpacked(x) for x in raw]), sizes, g["label"].to_numpy(), percent, cross)
-            got = [(a, b) for a, b in got if classes.at(max(sizes[a], sizes[b])) == c and first_shared(raw[a], raw[b], classes.slices(c)[1]) == i]
+            got = [(a, b) for a, b in got if classes.at(max(sizes[a], sizes[b])) == c and first_shared(raw[a], raw[b], *(classes.spare(c, int(sizes[j])) for j in (a, b))) == i]
             a, b = s1[np.array([a for a, _ in got], dtype=np.int64)], s1[np.array([b for _, b in got], dtype=np.int64)]
             return pa.RecordBatch.from_pydict({"x": pa.array(np.minimum(a, b)), "y": pa.array(np.maximum(a, b))})
 
@@ -463,10 +491,10 @@ def joined_in_tasks(cells: DataFrame, sketches: DataFrame, percent: int, region:
     return placed.mapInArrow(regions, "x long, y long")
 
 
-def first_shared(a: bytes, b: bytes, spare: int) -> int:
+def first_shared(a: bytes, b: bytes, spare_a: int, spare_b: int) -> int:
     """The first slice whose cell two sets of one class share, by their sketches; they share one where this is asked."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    return int(np.argmax((x == y) & posted(x, spare) & posted(y, spare))) & 0xFFFFFF
+    (x, held_x), (y, held_y) = (parted(np.frombuffer(z, "<u4")) for z in (a, b))
+    return int(np.argmax((x == y) & posted(held_x, spare_a) & posted(held_y, spare_b))) & 0xFFFFFF
 
 
 def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, region: int = REGION, bundle: int = BUNDLE) -> DataFrame:
@@ -492,9 +520,11 @@ def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, regi
 
     own = classes.join(labels, F.col("rep") == F.col("v"), "left").select("s1", F.coalesce("label", "rep").alias("label"))
     cells = saved(open_cells(met, own))
+    discard(met)
+    tidy(documents.sparkSession)
     if not cells.isEmpty():
         bundles = saved(bundled(cells, sketches))
-        pairs = joined_bundles(bundles.where(F.col("bytes") <= bundle), percent)
+        pairs = joined_bundles(bundles.where(F.col("bytes") <= bundle), sketches, percent)
         wide = bundles.where(F.col("bytes") > bundle)
         if not wide.isEmpty():
             some = cells.join(wide.select("p", "c").distinct(), ["p", "c"], "left_semi")
@@ -503,7 +533,7 @@ def join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, regi
         discard(bundles)
         if not pairs.isEmpty():
             labels = components(checked(documents, pairs, classes, size, percent), labels)
-    for x in (met, sketches, cells):
+    for x in (sketches, cells):
         discard(x)
     # a node is its own component where it has no link
     final = named.join(labels, F.col("rep") == F.col("v"), "left")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from rubicost.llm import jaccard_metric as jm
 from tests.llm.data import odd_documents, untouched, words
 
@@ -82,3 +84,38 @@ def test_odd_rows(spark):
         left = [r["doc_id"] for r in kept.collect()]
         assert untouched(docs, kept) and 1 not in left and left.count(0) == left.count(3) == 1 and left.count(None) == 2
     assert jm.join(docs.limit(0)).count() == 0
+
+
+def test_linked_sets_name_a_cell_in_common():
+    """Each names one more than linked sets of its size can differ in, at the sizes' bounds too."""
+    rng = random.Random(8)
+    for percent in (60, 80, 90):
+        classes, shared = jm.SizeClasses(percent), 0
+        for n in list(range(1, 60)) + [100, 156, 195, 400, 1000]:
+            for _ in range(12):
+                a = np.array([rng.getrandbits(64) for _ in range(n)], dtype=np.uint64)
+                lost = rng.randrange(n * (100 - percent) // 100 + 1)
+                more = rng.randrange(max(0, (n - lost) * 100 // percent - n) + 1)
+                b = np.concatenate([a[lost:], np.array([rng.getrandbits(64) for _ in range(more)], dtype=np.uint64)])
+                keys = []
+                for h in (a, b):
+                    keys.append({})
+                    for c, x in jm.signatures(h, classes):
+                        own = jm.cell_keys(c, x, classes.spare(c, len(h)))
+                        assert len(own) == (len(h) + min(classes.tops[c], len(h) * 100 // percent)) * (100 - percent) // (100 + percent) + 1
+                        keys[-1][c] = set(own.tolist())
+                if jm.linked(set(a.tolist()), set(b.tolist()), percent) and max(len(a), len(b)) >= classes.least and (lost or more):
+                    c = classes.at(max(len(a), len(b)))
+                    assert keys[0][c] & keys[1][c], (percent, n, lost, more)
+                    shared += 1
+        assert shared > 300
+
+
+def test_a_phrase_that_many_share_makes_no_cells(spark):
+    """As many cells as that makes grow with the square of the documents."""
+    rng = random.Random(9)
+    phrase = words(rng, 7, 5000)
+    rows = [(i, " ".join(phrase + [f"w{rng.getrandbits(60)}" for _ in range(rng.randrange(150, 400))])) for i in range(400)]
+    scanned = jm.scan(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    # the phrase has three shingles; a slice with one of them alone was a cell of all documents where it is alone
+    assert jm.with_pivots(jm.postings(scanned, 80)).count() <= 20
