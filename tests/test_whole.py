@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -165,3 +166,21 @@ def test_cascade_runs_all_stages(spark, tmp_path):
 def test_files_of_a_ranking_are_placed_once(spark, sf_dir):
     plan = __spark_entry__.queries()["template_ranking"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert [x for x in plan.splitlines() if "Exchange hashpartitioning(file_id" in x and "REPARTITION_BY_NUM" in x]
+
+
+def test_every_vector_asks(run, spark, sf_dir):
+    rows = sorted(spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect(), key=lambda r: r["vec_id"])
+    ids, labels = np.array([r["vec_id"] for r in rows]), np.array([r["label"] for r in rows])
+    v = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = []
+    for i, sim in enumerate(np.round(v @ v.T, 9)):
+        near = np.lexsort((ids, -sim))
+        near = [j for j in near[near != i][:40] if labels[j] == labels[i]][:8]
+        want += [(int(ids[i]), k, int(ids[j])) for k, j in enumerate(near, 1)]
+    got = run("whole_vector_candidates")
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == want
+    assert len({r["query_id"] for r in got}) > len(rows) / 2
+    some = [r for r in got if r["query_id"] % 50 == 0]
+    key = lambda r: (r["query_id"], r["rank"])
+    assert sorted(some, key=key) == sorted(run("vector_candidates"), key=key)
